@@ -1,120 +1,130 @@
 """Publishing a load: new model rows and duplicates become visible together.
 
-Each load writes its rows to a folder of their own and then adds one line to the table's
-commit list, naming the folders that make up the table from now on. Readers follow the
+Each load writes its rows as a version of their own and then adds one line to the table's
+commit list, naming the versions that make up the table from now on. Readers follow the
 last line, so they see all of a load or none, and a load may read the version it replaces.
-Insert-only loads add a folder, delete-insert loads add a folder and mask the record id in
+Insert-only loads add a version, delete-insert loads add one and mask the record id in
 older ones; only upserts and histories write the table anew.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.predicates import any_of
 from millrace.operators.apply import DEST, DUPLICATES, MODEL, ApplyResult
 from millrace.plans.spec import RECORD_ID
 
-_COMMIT = "version long, schema string, model array<struct<folder:string,without:array<int>>>, duplicates array<string>"
+VERSION = "VERSION"
+_COMMIT = (
+    "number long, schema string, model array<struct<version:long,without:array<int>>>, duplicates array<long>"
+)
 
 
 @dataclass(frozen=True)
-class Version:
+class Commit:
+    """What a table consists of: model versions with the record ids masked in each, duplicates."""
+
     number: int = 0
     schema: T.StructType | None = None
-    model: tuple[tuple[str, tuple[int, ...]], ...] = ()
-    duplicates: tuple[str, ...] = field(default=())
+    model: tuple[tuple[int, tuple[int, ...]], ...] = ()
+    duplicates: tuple[int, ...] = ()
 
 
 def _commits(root: str, table: str) -> str:
     return f"{root}/{table}/commits"
 
 
-def current_version(spark: SparkSession, root: str, table: str) -> Version:
-    """The last committed version; number 0 when nothing was published yet."""
+def _data(root: str, table: str) -> str:
+    return f"{root}/{table}/data"
+
+
+def _folder(root: str, table: str, version: int) -> str:
+    return f"{_data(root, table)}/{VERSION}={version}"
+
+
+def last_commit(spark: SparkSession, root: str, table: str) -> Commit:
+    """The last commit; number 0 when nothing was published yet."""
     try:
-        last = spark.read.schema(_COMMIT).json(_commits(root, table)).orderBy(F.col("version").desc()).first()
+        lines = spark.read.schema(_COMMIT).json(_commits(root, table))
+        last = lines.orderBy(F.col("number").desc()).first()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         last = None
     if last is None:
-        return Version()
-    return Version(
-        last["version"],
+        return Commit()
+    return Commit(
+        last["number"],
         T.StructType.fromJson(json.loads(last["schema"])),
-        tuple((m["folder"], tuple(m["without"] or ())) for m in last["model"]),
+        tuple((m["version"], tuple(m["without"] or ())) for m in last["model"]),
         tuple(last["duplicates"]),
     )
 
 
-def _commit(spark: SparkSession, root: str, table: str, version: Version) -> Version:
-    line = (
-        version.number,
-        version.schema.json(),
-        [(folder, list(without)) for folder, without in version.model],
-        list(version.duplicates),
-    )
-    spark.createDataFrame([line], _COMMIT).coalesce(1).write.mode("append").json(_commits(root, table))
-    return version
-
-
-def publish(spark: SparkSession, root: str, table: str, result: ApplyResult) -> Version:
+def publish(spark: SparkSession, root: str, table: str, result: ApplyResult) -> Commit:
     """Write what a load makes, model rows and duplicates in one pass, and commit it.
 
     One load per table at a time, as in the transaction of a load script.
     """
-    last = current_version(spark, root, table)
+    last = last_commit(spark, root, table)
     number = last.number + 1
-    folder = f"{root}/{table}/v{number:08d}"
-    result.outcome.write.mode("overwrite").partitionBy(DEST).parquet(folder)
-    schema = T.StructType([f for f in result.outcome.schema.fields if f.name != DEST])
+    result.outcome.write.mode("overwrite").partitionBy(DEST).parquet(_folder(root, table, number))
     if result.replaces is not None:
-        older = tuple((old, tuple(sorted({*without, result.replaces}))) for old, without in last.model)
+        older = tuple((v, tuple(sorted({*without, result.replaces}))) for v, without in last.model)
     else:
         older = last.model if result.appends else ()
-    return _commit(
-        spark, root, table,
-        Version(number, schema, (*older, (folder, ())), (*last.duplicates, folder)),
+    commit = Commit(
+        number,
+        T.StructType([f for f in result.outcome.schema.fields if f.name != DEST]),
+        (*older, (number, ())),
+        (*last.duplicates, number),
     )
+    line = (number, commit.schema.json(), [(v, list(w)) for v, w in commit.model], list(commit.duplicates))
+    spark.createDataFrame([line], _COMMIT).coalesce(1).write.mode("append").json(_commits(root, table))
+    return commit
 
 
-def _read(spark: SparkSession, version: Version, folders: list[str], dest: str) -> DataFrame:
-    schema = T.StructType([*version.schema.fields, T.StructField(DEST, T.StringType())])
-    return spark.read.schema(schema).parquet(*folders).filter(F.col(DEST) == dest).drop(DEST)
-
-
-def read_model(spark: SparkSession, root: str, table: str, version: Version | None = None) -> DataFrame:
-    """The model table of a version, the current one unless given."""
-    version = version or current_version(spark, root, table)
-    if not version.model:
+def _read(spark: SparkSession, root: str, table: str, commit: Commit, versions: list[int], dest: str) -> DataFrame:
+    if not versions:
         raise FileNotFoundError(f"nothing is published for {table} under {root}")
-    by_mask: dict[tuple[int, ...], list[str]] = {}
-    for folder, without in version.model:
-        by_mask.setdefault(without, []).append(folder)
-    parts = []
-    for without, folders in by_mask.items():
-        rows = _read(spark, version, folders, MODEL)
-        if without:
-            rows = rows.filter(~F.coalesce(F.col(RECORD_ID).isin(*without), F.lit(False)))
-        parts.append(rows)
-    model = parts[0]
-    for part in parts[1:]:
-        model = model.unionByName(part)
-    return model
-
-
-def read_duplicates(spark: SparkSession, root: str, table: str, version: Version | None = None) -> DataFrame:
+    schema = T.StructType(
+        [*commit.schema.fields, T.StructField(VERSION, T.LongType()), T.StructField(DEST, T.StringType())]
+    )
+    rows = spark.read.schema(schema).option("basePath", _data(root, table)).parquet(
+        *(_folder(root, table, v) for v in versions)
+    )
+    return rows.filter(F.col(DEST) == dest)
+
+
+def read_model(spark: SparkSession, root: str, table: str, commit: Commit | None = None) -> DataFrame:
+    """The model table as of a commit, the last one unless given."""
+    commit = commit or last_commit(spark, root, table)
+    rows = _read(spark, root, table, commit, [v for v, _ in commit.model], MODEL)
+    by_mask: dict[tuple[int, ...], list[int]] = {}
+    for version, without in commit.model:
+        by_mask.setdefault(without, []).append(version)
+    if any(by_mask):
+        rows = rows.filter(
+            any_of(
+                F.col(VERSION).isin(versions) & ~F.coalesce(F.col(RECORD_ID).isin(*without), F.lit(False))
+                if without else F.col(VERSION).isin(versions)
+                for without, versions in by_mask.items()
+            )
+        )
+    return rows.drop(VERSION, DEST)
+
+
+def read_duplicates(spark: SparkSession, root: str, table: str, commit: Commit | None = None) -> DataFrame:
     """All duplicate rows set aside so far."""
-    version = version or current_version(spark, root, table)
-    if not version.duplicates:
-        raise FileNotFoundError(f"nothing is published for {table} under {root}")
-    return _read(spark, version, list(version.duplicates), DUPLICATES)
+    commit = commit or last_commit(spark, root, table)
+    return _read(spark, root, table, commit, list(commit.duplicates), DUPLICATES).drop(VERSION, DEST)
 
 
 def truncate_load(df: DataFrame, root: str, table: str) -> DataFrame:
