@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.predicates import all_of, key_equal, sentinel_equal
-from millrace.plans.matching import is_small, null_key, paired, raise_on_repeats, rows_of_interest
+from millrace.plans.matching import (
+    emitted, examine, need_unique, null_key, paired, rows_of_interest, size_of,
+)
 from millrace.plans.spec import FLAG, INSERTED_AT, RECORD_ID, MappingSpec
 
 # What happened to an incoming row.
@@ -42,11 +44,16 @@ def model_columns(load: DataFrame) -> list[str]:
     return [c for c in load.columns if c.upper() != FLAG]
 
 
-def _checked(load: DataFrame, spec: MappingSpec, keys: list[str], check_keys: bool) -> DataFrame:
-    if not check_keys:
-        return load
-    message = f"record {spec.record_id}: several load rows for one key"
-    return raise_on_repeats(load, keys, message, spec.case_blind, spec.types)
+def _is_small(load: DataFrame, spec: MappingSpec, check_keys: bool, small_load: bool | None) -> bool:
+    """Check that keys are unique and measure the load, as far as the caller does not know already."""
+    if not check_keys and small_load is not None:
+        return small_load
+    if check_keys:
+        facts = examine(load, spec.primary_key, spec.types, spec.case_blind)
+        need_unique(facts, f"load of record {spec.record_id}")
+    else:
+        facts = size_of(load)
+    return facts.small if small_load is None else small_load
 
 
 def flag_rows(load: DataFrame, target: DataFrame, spec: MappingSpec, changed: str, small: bool) -> DataFrame:
@@ -92,8 +99,7 @@ def apply_insert(
     The model is only ever added to, so none of it is rewritten or shuffled beyond its
     key and compare columns.
     """
-    small = is_small(load) if small_load is None else small_load
-    load = _checked(load, spec, spec.primary_key, check_keys)
+    small = _is_small(load, spec, check_keys, small_load)
     flagged = flag_rows(load, target, spec, IGNORED, small)
     new = _flagged_rows(flagged, INSERTED)
     return ApplyResult(
@@ -115,8 +121,8 @@ def apply_upsert(
     An overwrite keeps R_ID, INSRT_DTTM and the start date filled by the job.
     """
     keys, types = spec.primary_key, spec.types
-    small = is_small(load) if small_load is None else small_load
-    load = _checked(load.select(*model_columns(load)), spec, keys, check_keys)
+    small = _is_small(load, spec, check_keys, small_load)
+    load = load.select(*model_columns(load))
     flagged = flag_rows(load, target, spec, UPDATED, small)
 
     pairs = paired(target, load, keys, small, types, spec.case_blind)
@@ -152,7 +158,7 @@ def apply_upsert(
     added = F.when(
         F.col("old").isNull() & no_null_key, F.struct(*new_row, F.lit(MODEL).alias(DEST))
     ).when(matched & same, F.struct(*new_row, F.lit(DUPLICATES).alias(DEST)))
-    outcome = pairs.select(F.inline(F.array(kept, added))).filter(F.col(DEST).isNotNull())
+    outcome = emitted(pairs, kept, added, DEST)
     return ApplyResult(
         target=outcome.filter(F.col(DEST) == MODEL).drop(DEST),
         duplicates=_flagged_rows(flagged, DUPLICATE),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.predicates import all_of, any_of, folded, key_equal, sentinel_equal
@@ -11,22 +11,25 @@ from millrace.operators.apply import (
     DEST, DUPLICATE, DUPLICATES, INSERTED, MODEL, UPDATED, ApplyResult, model_columns,
 )
 from millrace.operators.windows import first_by
-from millrace.plans.matching import is_small, null_key, raise_on_repeats, rows_of_interest
+from millrace.plans.matching import (
+    LoadFacts, emitted, examine, need_unique, null_key, paired, rows_of_interest, size_of,
+)
 from millrace.plans.neighbours import HOT_ROWS, long_keys, neighbours, with_segments
 from millrace.plans.spec import BATCH_ID, FLAG, UPDATED_AT, MappingSpec
 
 
+def _ending_open(load: DataFrame, spec: MappingSpec) -> DataFrame:
+    """A load row is an open version; one that ends before the high date fails the query."""
+    ends_open = F.col(f"`{spec.end}`").eqNullSafe(high_value(spec.types[spec.end]))
+    message = F.lit(f"record {spec.record_id}: a load row does not end at the high date")
+    return load.filter(F.when(ends_open, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+
+
 def flag_versions(load: DataFrame, target: DataFrame, spec: MappingSpec, small: bool) -> DataFrame:
     """Flag load rows against the open version of their history key: new, equal or changed."""
     keys, start, end = spec.history_keys, spec.start, spec.end
     types = spec.types
-    load = load.select(*model_columns(load))
-    ends_open = F.col(f"`{end}`").eqNullSafe(high_value(types[end]))
-    load = load.filter(
-        F.when(ends_open, F.lit(True)).otherwise(
-            F.raise_error(F.lit(f"record {spec.record_id}: a load row does not end at the high date")).cast("boolean")
-        )
-    )
+    load = _ending_open(load.select(*model_columns(load)), spec)
     needs = [*keys, start]
     keyed = load.filter(~null_key(needs))
     open_versions = rows_of_interest(
@@ -56,71 +59,100 @@ def apply_history(
     ones take part in the joins. A change on the day a version started leaves its end before
     its start.
     """
-    keys, start, end, types = spec.history_keys, spec.start, spec.end, spec.types
+    keys, end, types = spec.history_keys, spec.end, spec.types
     load = load.select(*model_columns(load))
-    small = is_small(load) if small_load is None else small_load
-    if check_keys:
-        message = f"record {spec.record_id}: several load rows for one key and start"
-        load = raise_on_repeats(load, [*keys, start], message, spec.case_blind, types)
+    facts = examine(load, keys, types, spec.case_blind) if check_keys else (
+        LoadFacts() if small_load is not None else size_of(load)
+    )
+    small = facts.small if small_load is None else small_load
+    is_open = F.col(f"`{end}`") == high_value(types[end])
+    open_versions = target.filter(is_open)
+    closed = target.filter(~F.coalesce(is_open, F.lit(False))).withColumn(DEST, F.lit(MODEL))
     flagged = flag_versions(load, target, spec, small)
-    applied = flagged.filter(F.col(FLAG).isin(INSERTED, UPDATED))
-    if check_keys:
-        applied = _one_version_each(applied, flagged, load, spec)
-    new = applied.drop(FLAG)
+    if facts.repeated is None:
+        outcome = _one_row_per_key(load, open_versions, spec, small)
+    else:
+        outcome = _several_rows_per_key(load, flagged, open_versions, spec, small)
+    outcome = closed.unionByName(outcome)
+    return ApplyResult(
+        target=outcome.filter(F.col(DEST) == MODEL).drop(DEST),
+        duplicates=flagged.filter(F.col(FLAG) == DUPLICATE).drop(FLAG),
+        flagged=flagged,
+        outcome=outcome,
+        appends=False,
+    )
 
-    is_open = F.col(f"`{end}`") == high_value(types[end])
-    open_versions, closed = target.filter(is_open), target.filter(~F.coalesce(is_open, F.lit(False)))
-    changes = applied.filter(F.col(FLAG) == UPDATED).select(*keys, start, BATCH_ID, UPDATED_AT)
+
+def _closing(spec: MappingSpec, target: DataFrame, prefix: str) -> dict[str, Column]:
+    """What a changed row writes into the version it closes."""
+    end_type = target.schema[spec.end].dataType
+    new_end = end_before(F.col(f"{prefix}.`{spec.start}`"), spec.types[spec.end]).cast(end_type)
+    return {spec.end: new_end} | {
+        c: F.col(f"{prefix}.{c}") for c in (BATCH_ID, UPDATED_AT) if c in target.columns
+    }
+
+
+def _one_row_per_key(load: DataFrame, open_versions: DataFrame, spec: MappingSpec, small: bool) -> DataFrame:
+    """The usual load: each open version meets at most one row, so one join decides both."""
+    types, columns = spec.types, open_versions.columns
+    keyed = _ending_open(load, spec).filter(~null_key([*spec.history_keys, spec.start]))
+    pairs = paired(open_versions, keyed, spec.history_keys, small, types, spec.case_blind)
+    matched = F.col("old").isNotNull() & F.col("new").isNotNull()
+    same = matched & all_of(
+        sentinel_equal(F.col(f"new.`{c}`"), F.col(f"old.`{c}`"), types[c], spec.case_blind)
+        for c in spec.history_columns
+    )
+    closing = _closing(spec, open_versions, "new")
+    old_row = F.struct(
+        *(
+            (F.when(matched & ~same, closing[c]).otherwise(F.col(f"old.`{c}`")) if c in closing else F.col(f"old.`{c}`")).alias(c)
+            for c in columns
+        ),
+        F.lit(MODEL).alias(DEST),
+    )
+    new_row = F.struct(
+        *(
+            (F.col(f"new.`{c}`") if c in load.columns else F.lit(None)).cast(open_versions.schema[c].dataType).alias(c)
+            for c in columns
+        ),
+        F.when(same, DUPLICATES).otherwise(MODEL).alias(DEST),
+    )
+    return emitted(
+        pairs, F.when(F.col("old").isNotNull(), old_row), F.when(F.col("new").isNotNull(), new_row), DEST
+    )
+
+
+def _several_rows_per_key(
+    load: DataFrame, flagged: DataFrame, open_versions: DataFrame, spec: MappingSpec, small: bool
+) -> DataFrame:
+    """A load with several starts of a key: equal rows may repeat, but one row at most may be new."""
+    keys, start, types = spec.history_keys, spec.start, spec.types
+    need_unique(
+        examine(load, [*keys, start], types, spec.case_blind), f"load of record {spec.record_id} by key and start"
+    )
+    applied = flagged.filter(F.col(FLAG).isin(INSERTED, UPDATED))
+    need_unique(
+        examine(applied.select(*keys), keys, types, spec.case_blind),
+        f"load of record {spec.record_id}, new versions",
+    )
+    changes = applied.filter(F.col(FLAG) == UPDATED).select(
+        *dict.fromkeys([*keys, start, *(c for c in (BATCH_ID, UPDATED_AT) if c in load.columns)])
+    )
     if small:
         changes = F.broadcast(changes)
-    new_end = end_before(F.col(f"new.`{start}`"), types[end]).cast(target.schema[end].dataType)
-    replaced = {end: new_end} | {c: F.col(f"new.{c}") for c in (BATCH_ID, UPDATED_AT) if c in target.columns}
-    hit = F.col(f"new.`{keys[0]}`").isNotNull()
+    closing, hit = _closing(spec, open_versions, "new"), F.col(f"new.`{keys[0]}`").isNotNull()
     maybe_closed = open_versions.alias("old").join(
         changes.alias("new"), key_equal("old", "new", keys, types, spec.case_blind), "left"
     ).select(
         *(
-            F.when(hit, replaced[c]).otherwise(F.col(f"old.`{c}`")).alias(c) if c in replaced else F.col(f"old.`{c}`")
-            for c in target.columns
-        )
-    )
-    model = closed.unionByName(maybe_closed).unionByName(new, allowMissingColumns=True)
-    duplicates = flagged.filter(F.col(FLAG) == DUPLICATE).drop(FLAG)
-    return ApplyResult(
-        target=model,
-        duplicates=duplicates,
-        flagged=flagged,
-        outcome=model.withColumn(DEST, F.lit(MODEL)).unionByName(
-            duplicates.withColumn(DEST, F.lit(DUPLICATES)), allowMissingColumns=True
+            (F.when(hit, closing[c]).otherwise(F.col(f"old.`{c}`")) if c in closing else F.col(f"old.`{c}`")).alias(c)
+            for c in open_versions.columns
         ),
-        appends=False,
-    )
-
-
-def _one_version_each(applied: DataFrame, flagged: DataFrame, load: DataFrame, spec: MappingSpec) -> DataFrame:
-    """Fail when a key has several new versions in one load: only one can close the open one.
-
-    Only keys that occur several times in the load are looked at, usually none.
-    """
-    keys, types = spec.history_keys, spec.types
-    several = load.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    suspects = (
-        flagged.filter(F.col(FLAG).isin(INSERTED, UPDATED)).alias("new")
-        .join(several.alias("old"), key_equal("new", "old", keys, types, False), "left_semi")
-        .select(*keys)
-    )
-    names = [f"key_{i}" for i in range(len(keys))]
-    example = (
-        suspects.select(*(F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)))
-        .groupBy(*names).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        .agg(F.max(F.concat_ws(", ", *(F.col(n).cast("string") for n in names)))).scalar()
-    )
-    message = f"record {spec.record_id}: several new versions for one history key: "
-    return applied.filter(
-        F.when(example.isNull(), F.lit(True)).otherwise(
-            F.raise_error(F.concat(F.lit(message), example)).cast("boolean")
-        )
+        F.lit(MODEL).alias(DEST),
     )
+    dest = F.when(F.col(FLAG) == DUPLICATE, DUPLICATES).otherwise(MODEL)
+    incoming = flagged.filter(F.col(FLAG).isNotNull()).withColumn(DEST, dest).drop(FLAG)
+    return maybe_closed.unionByName(incoming, allowMissingColumns=True)
 
 
 def apply_history_legacy(

@@ -21,33 +21,40 @@ def max_key(sgk: DataFrame, key: str) -> Column:
     return sgk.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).scalar()
 
 
-def new_keys(stage: DataFrame, sgk: DataFrame, spec: SurrogateSpec, distinct: bool = False) -> DataFrame:
-    """Natural keys in stage without a surrogate in this SGK_ID.
-
-    Repeats stay unless ``distinct``; a NULL natural key never has a surrogate. NULLs skip
-    the join.
-    """
-    column = f"`{spec.source_column}`" if "." not in spec.source_column else spec.source_column
-    value = F.col(column)
-    rows = stage.select(value.alias("value"))
-    if distinct:
-        rows = rows.distinct()
-    ctype = parse_type(spec.natural_type)
-    known = sgk.filter(F.col(SURROGATE_SET) == spec.sgk_id).select(F.col(spec.natural_key).alias("known"))
-    known = known.filter(F.col("known").isNotNull())
-    same = folded(cast_to(F.col("s.value"), ctype), ctype, spec.case_blind) == folded(
+def _without_surrogate(values: DataFrame, sgk: DataFrame, spec: SurrogateSpec) -> DataFrame:
+    """Rows whose natural key has no surrogate in this SGK_ID; NULLs never have one and skip the join."""
+    ctype, name = parse_type(spec.natural_type), spec.natural_key
+    known = sgk.filter((F.col(SURROGATE_SET) == spec.sgk_id) & F.col(f"`{name}`").isNotNull()).select(
+        F.col(f"`{name}`").alias("known")
+    )
+    same = folded(cast_to(F.col(f"s.`{name}`"), ctype), ctype, spec.case_blind) == folded(
         F.col("k.known"), ctype, spec.case_blind
     )
-    fresh = rows.filter(F.col("value").isNotNull()).alias("s").join(known.alias("k"), same, "left_anti")
-    return fresh.union(rows.filter(F.col("value").isNull())).withColumnRenamed("value", spec.natural_key)
+    is_null = F.col(f"`{name}`").isNull()
+    fresh = values.filter(~is_null).alias("s").join(known.alias("k"), same, "left_anti")
+    return fresh.union(values.filter(is_null))
+
+
+def _natural_keys(stage: DataFrame, spec: SurrogateSpec) -> DataFrame:
+    column = spec.source_column if "." in spec.source_column else f"`{spec.source_column}`"
+    return stage.select(F.col(column).alias(spec.natural_key))
+
+
+def new_keys(stage: DataFrame, sgk: DataFrame, spec: SurrogateSpec, distinct: bool = False) -> DataFrame:
+    """Natural keys in stage without a surrogate in this SGK_ID; repeats stay unless ``distinct``."""
+    values = _natural_keys(stage, spec)
+    return _without_surrogate(values.distinct() if distinct else values, sgk, spec)
+
+
+def _assigned(fresh: DataFrame, sgk: DataFrame, spec: SurrogateSpec, counted: str | None) -> DataFrame:
+    natural = F.col(f"`{spec.natural_key}`")
+    numbered = number_rows(fresh, [natural.desc()], spec.key, max_key(sgk, spec.key), counted)
+    return numbered.withColumn(spec.natural_key, cast_to(natural, parse_type(spec.natural_type)))
 
 
 def assign_keys(new: DataFrame, sgk: DataFrame, spec: SurrogateSpec) -> DataFrame:
     """Number new natural keys above the highest surrogate, natural key descending."""
-    numbered = number_rows(
-        new.select(spec.natural_key), [F.col(spec.natural_key).desc()], spec.key, above=max_key(sgk, spec.key)
-    )
-    return numbered.withColumn(spec.natural_key, cast_to(F.col(spec.natural_key), parse_type(spec.natural_type)))
+    return _assigned(new.select(spec.natural_key), sgk, spec, None)
 
 
 def load_surrogates(
@@ -58,11 +65,17 @@ def load_surrogates(
     as_of: dt.datetime | str | None = None,
     distinct: bool = False,
 ) -> DataFrame:
-    """Rows to append to the surrogate table: new keys, numbered, with technical columns."""
+    """Rows to append to the surrogate table: new keys, numbered, with technical columns.
+
+    Natural keys are counted first, so a key that fills much of the stage is one row in the
+    join and the numbering; its copies appear only in the result.
+    """
     stage = joined(tables, spec.source_table, spec.joins)
     if spec.where:
         stage = stage.filter(spec.where)
-    fresh = assign_keys(new_keys(stage, sgk, spec, distinct), sgk, spec)
+    copies = F.max(F.lit(1).cast("long")) if distinct else F.count(F.lit(1))
+    counted = _natural_keys(stage, spec).groupBy(spec.natural_key).agg(copies.alias("copies"))
+    fresh = _assigned(_without_surrogate(counted, sgk, spec), sgk, spec, "copies")
     now = load_time(as_of, "TIMESTAMP(0)")
     filled = {c: F.lit(None).cast(sgk.schema[c].dataType) for c in spec.null_columns if c in sgk.columns}
     return fresh.withColumns(
@@ -74,7 +87,7 @@ def load_surrogates(
             INSERTED_AT: now,
             UPDATED_AT: now,
         }
-    ).select(*(c for c in sgk.columns))
+    ).select(*sgk.columns)
 
 
 def lookup_key(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.predicates import key_equal
 from millrace.functions.types import ColumnType, load_time
-from millrace.plans.matching import is_small, null_key, paired, raise_on_repeats, rows_of_interest
+from millrace.plans.matching import examine, need_unique, null_key, paired, rows_of_interest, size_of
 from millrace.sources.dictionary import (
     FILE_NAME, MART_INSERTED, MART_UPDATED, STAGE_BATCH, SourceTable,
 )
@@ -45,9 +45,10 @@ def merge_mart(
     added by every run.
     """
     _need_keys(keys)
-    small = is_small(stage) if small_load is None else small_load
-    if check_keys:
-        stage = raise_on_repeats(stage, keys, "several stage rows for one mart key", case_blind, types)
+    if check_keys or small_load is None:
+        facts = examine(stage, keys, types, case_blind) if check_keys else size_of(stage)
+        need_unique(facts, "stage")
+        small_load = facts.small if small_load is None else small_load
     now = load_time(as_of, "TIMESTAMP(0)")
     incoming = {c.lower(): c for c in stage.columns}
     key_names = {k.lower() for k in keys}
@@ -71,7 +72,7 @@ def merge_mart(
             .alias(c)
         )
 
-    pairs = paired(mart, stage, list(keys), small, types, case_blind)
+    pairs = paired(mart, stage, list(keys), small_load, types, case_blind)
     return pairs.select(*(value(c) for c in mart.columns))
 
 
@@ -81,7 +82,7 @@ def new_mart_rows(
 ) -> DataFrame:
     """Stage rows without a mart row of the same key, as mart rows to append."""
     _need_keys(keys)
-    small = is_small(stage) if small_load is None else small_load
+    small = size_of(stage).small if small_load is None else small_load
     now = load_time(as_of, "TIMESTAMP(0)")
     known = rows_of_interest(mart, stage, keys, (), small, types, case_blind)
     new = (

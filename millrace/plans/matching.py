@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,47 +18,72 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 _VARIABLE = (T.StringType, T.BinaryType)
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Bytes the rows take in memory: eight and a little per column, plus the text itself."""
-    width = 16 + 16 * len(df.columns)
-    texts = [F.octet_length(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, _VARIABLE)]
-    total = F.lit(0).cast("long")
-    for text in texts:
-        total = total + F.coalesce(text, F.lit(0))
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(total), F.lit(0)).alias("text")).first()
-    return row["n"] * width + row["text"]
+class RepeatedKey(ValueError):
+    """Several load rows for one target row."""
 
 
-def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    fixed = all(isinstance(f.dataType, (T.AtomicType, *_VARIABLE)) for f in df.schema.fields)
-    return fixed and measured_bytes(df) <= limit
+@dataclass(frozen=True)
+class LoadFacts:
+    """What is known of a load before it is matched: its size, and a key it repeats."""
+
+    bytes: int = 0
+    repeated: str | None = None
+
+    @property
+    def small(self) -> bool:
+        return self.bytes <= BROADCAST_BYTES
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes a row takes in memory: a few words per column, plus texts, lists and structs as JSON text."""
+    width = F.lit(16 + 16 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        column = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, _VARIABLE):
+            width = width + F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            width = width + F.coalesce(F.octet_length(F.to_json(column)), F.lit(0))
+    return width
 
 
 def null_key(keys: Sequence[str]) -> Column:
     return any_null(F.col(f"`{k}`") for k in keys)
 
 
-def raise_on_repeats(df: DataFrame, keys: Sequence[str], message: str, case_blind: bool = False,
-                     types: dict[str, ColumnType] | None = None) -> DataFrame:
-    """The same rows, but the query fails when a key without NULLs occurs twice.
+def examine(
+    load: DataFrame, keys: Sequence[str], types: dict[str, ColumnType] | None = None, case_blind: bool = False
+) -> LoadFacts:
+    """Measure a load and look for repeated keys, in one pass over it.
 
-    The count is a subquery of the query itself and is combined before it is shuffled,
-    so a key repeated very often costs no more than one repeated once.
+    Rows are counted and summed per key before they are shuffled, so a key repeated very
+    often costs no more than one repeated once; one row comes to the driver. Keys with a
+    NULL match nothing and may repeat.
     """
     types = types or {}
     names = [f"key_{i}" for i in range(len(keys))]
-    plain = df.filter(~null_key(keys)).select(
-        *(folded(F.col(f"`{k}`"), types.get(k), case_blind).alias(n) for k, n in zip(keys, names))
-    )
-    repeated = plain.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    example = repeated.agg(
-        F.max(F.concat_ws(", ", *(F.col(n).cast("string") for n in names)))
-    ).scalar()
-    return df.filter(
-        F.when(example.isNull(), F.lit(True)).otherwise(
-            F.raise_error(F.concat(F.lit(message + ": "), example)).cast("boolean")
-        )
+    folded_keys = [folded(F.col(f"`{k}`"), types.get(k), case_blind).alias(n) for k, n in zip(keys, names)]
+    groups = (
+        load.select(*folded_keys, _row_bytes(load).alias("bytes"))
+        .groupBy(*names)
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
     )
+    shown = F.concat_ws(", ", *(F.col(n).cast("string") for n in names))
+    row = groups.agg(
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
+        F.max(F.when((F.col("n") > 1) & ~null_key(names), shown)).alias("repeated"),
+    ).first()
+    return LoadFacts(int(row["bytes"]), row["repeated"])
+
+
+def size_of(load: DataFrame) -> LoadFacts:
+    """Measure a load whose keys are known to be unique."""
+    row = load.agg(F.coalesce(F.sum(_row_bytes(load)), F.lit(0)).alias("bytes")).first()
+    return LoadFacts(int(row["bytes"]))
+
+
+def need_unique(facts: LoadFacts, what: str) -> None:
+    if facts.repeated is not None:
+        raise RepeatedKey(f"{what}: several rows for the key {facts.repeated}")
 
 
 def rows_of_interest(
@@ -124,3 +150,8 @@ def paired(
     return pairs.union(old.filter(null_key(names)).select("old", no_new)).union(
         new.filter(null_key(names)).select(no_old, "new")
     )
+
+
+def emitted(pairs: DataFrame, old_row: Column, new_row: Column, marker: str) -> DataFrame:
+    """Up to two rows per pair: what becomes of the old row and of the new one; NULL rows vanish."""
+    return pairs.select(F.inline(F.array(old_row, new_row))).filter(F.col(marker).isNotNull())

@@ -36,42 +36,63 @@ def frozen(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _copies(df: DataFrame, count: str, at_once: int = COPIES_AT_ONCE) -> DataFrame:
+def _copies(df: DataFrame, count: str, longest: int, at_once: int = COPIES_AT_ONCE) -> DataFrame:
     """Repeat each row ``count`` times, with the repeat number; long runs are spread over tasks."""
     n = F.col(count)
-    short = df.filter(n <= at_once).withColumn("__copy", F.explode(F.sequence(F.lit(0), n - 1)))
+    if longest <= 1:
+        return df.withColumn("__copy", F.lit(0).cast("long"))
+    short = df.filter(n <= at_once).withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    if longest <= at_once:
+        return short
     pieces = df.filter(n > at_once).withColumn(
         "__from", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(at_once).cast("long")))
     )
-    spread = pieces.repartition(F.col("__from"), F.xxhash64(*(c for c in df.columns)))
+    spread = pieces.repartition(F.col("__from"), F.xxhash64(*df.columns))
     last = F.least(F.col("__from") + at_once, n) - 1
     long = spread.withColumn("__copy", F.explode(F.sequence(F.col("__from"), last))).drop("__from")
     return short.unionByName(long)
 
 
-def number_rows(df: DataFrame, order: Sequence[Column], out: str, above: Column | int = 0) -> DataFrame:
+def number_rows(
+    df: DataFrame,
+    order: Sequence[Column],
+    out: str,
+    above: Column | int = 0,
+    counted: str | None = None,
+    at_once: int = COPIES_AT_ONCE,
+) -> DataFrame:
     """Add ``out``: consecutive numbers above ``above`` in the given order.
 
-    Equal rows are counted before anything is sorted, so a value that fills a third of the
-    table is one row here. Distinct rows are range-partitioned in order (ties by all columns),
-    frozen so that the ranges cannot change, and numbered within their range above the total
-    of the ranges before it: one small row per range.
+    Equal rows are counted before anything is sorted (or come with their count in the column
+    ``counted``), so a value that fills a third of the table is one row here. Distinct rows
+    are range-partitioned in order, ties by all columns, and frozen so that the ranges cannot
+    change. They are numbered within their range above the total of the ranges before it;
+    those totals, one row per range, are all that comes to the driver.
     """
-    columns = df.columns
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    if counted is None:
+        counted = "__n"
+        df = df.groupBy(*(F.col(f"`{c}`") for c in df.columns)).agg(F.count(F.lit(1)).alias(counted))
+    columns = [c for c in df.columns if c != counted]
     ordering = [*order, *(F.col(f"`{c}`").asc() for c in columns)]
-    counted = df.groupBy(*(F.col(f"`{c}`") for c in columns)).agg(F.count(F.lit(1)).alias("__n"))
-    ranges = frozen(
-        counted.repartitionByRange(parts, *ordering).withColumn("__part", F.spark_partition_id())
-    )
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranges.groupBy("__part").agg(F.sum("__n").alias("__rows"))
-    offsets = totals.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = frozen(df.repartitionByRange(parts, *ordering).withColumn("__part", F.spark_partition_id()))
+    totals = (
+        ranges.groupBy("__part").agg(F.sum(counted).alias("rows"), F.max(counted).alias("longest")).orderBy("__part")
+    ).collect()
+    offsets, total = [], 0
+    for part in totals:
+        offsets.append((part["__part"], total))
+        total += part["rows"]
+    longest = max((part["longest"] for part in totals), default=0)
+
+    offset = F.broadcast(spark.createDataFrame(offsets, "__part int, __offset long"))
     within = Window.partitionBy("__part").orderBy(*ordering).rowsBetween(Window.unboundedPreceding, 0)
-    # At most one offset per shuffle partition, so the broadcast is bounded by that setting.
-    placed = ranges.join(F.broadcast(offsets), "__part").withColumn(
-        "__first", F.col("__offset") + F.sum("__n").over(within) - F.col("__n") + 1
+    placed = ranges.join(offset, "__part").withColumn(
+        "__first", F.col("__offset") + F.sum(counted).over(within) - F.col(counted) + 1
     )
     above = F.lit(above) if isinstance(above, int) else above
     number = above + F.col("__first") + F.col("__copy")
-    return _copies(placed, "__n").select(number.cast("long").alias(out), *(F.col(f"`{c}`") for c in columns))
+    return _copies(placed, counted, longest, at_once).select(
+        number.cast("long").alias(out), *(F.col(f"`{c}`") for c in columns)
+    )
