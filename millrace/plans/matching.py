@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.predicates import any_null, folded, key_equal
 from millrace.functions.types import ColumnType
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-"""A load is sent whole to every executor only when it measures at most this much."""
+BROADCAST_SETTING = "spark.sql.autoBroadcastJoinThreshold"
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
 
 _VARIABLE = (T.StringType, T.BinaryType)
 
@@ -28,10 +29,17 @@ class LoadFacts:
 
     bytes: int = 0
     repeated: str | None = None
+    limit: int = 0
 
     @property
     def small(self) -> bool:
-        return self.bytes <= BROADCAST_BYTES
+        return self.bytes <= self.limit
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """What may be sent whole to every executor: Spark's own threshold, negative for nothing."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", spark.conf.get(BROADCAST_SETTING).strip().lower()).groups()
+    return int(number) * _UNITS[unit]
 
 
 def _row_bytes(df: DataFrame) -> Column:
@@ -72,13 +80,13 @@ def examine(
         F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
         F.max(F.when((F.col("n") > 1) & ~null_key(names), shown)).alias("repeated"),
     ).first()
-    return LoadFacts(int(row["bytes"]), row["repeated"])
+    return LoadFacts(int(row["bytes"]), row["repeated"], broadcast_limit(load.sparkSession))
 
 
 def size_of(load: DataFrame) -> LoadFacts:
     """Measure a load whose keys are known to be unique."""
     row = load.agg(F.coalesce(F.sum(_row_bytes(load)), F.lit(0)).alias("bytes")).first()
-    return LoadFacts(int(row["bytes"]))
+    return LoadFacts(int(row["bytes"]), limit=broadcast_limit(load.sparkSession))
 
 
 def need_unique(facts: LoadFacts, what: str) -> None:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.predicates import all_of
-from millrace.plans.matching import BROADCAST_BYTES
+from millrace.plans.matching import broadcast_limit
 
 HOT_ROWS = 1_000_000
 """Rows of one key beyond which the key is cut into segments."""
@@ -51,7 +51,7 @@ def long_keys(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HO
         .groupBy(*keys)
         .agg(F.percentile_approx(order, [i / segments for i in range(1, segments)]).alias("cuts"))
     )
-    return LongKeys(cuts, found["keys"] * (16 * segments + 256) <= BROADCAST_BYTES)
+    return LongKeys(cuts, found["keys"] * (16 * segments + 256) <= broadcast_limit(df.sparkSession))
 
 
 def with_segments(df: DataFrame, long: LongKeys, keys: Sequence[str], order: str) -> DataFrame:

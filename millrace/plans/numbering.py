@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 COPIES_AT_ONCE = 100_000
+_PART_BITS = 33  # monotonically_increasing_id: partition above, row within the partition below
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,12 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def frozen(df: DataFrame) -> DataFrame:
-    """The same rows cut off from their lineage, kept in the shared folder."""
+    """The same rows cut off from their lineage: written once to the shared folder and read back."""
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    folder = f"{shared_folder(spark)}/millrace/frozen-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def _copies(df: DataFrame, count: str, longest: int, at_once: int = COPIES_AT_ONCE) -> DataFrame:
@@ -76,7 +77,11 @@ def number_rows(
     columns = [c for c in df.columns if c != counted]
     ordering = [*order, *(F.col(f"`{c}`").asc() for c in columns)]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = frozen(df.repartitionByRange(parts, *ordering).withColumn("__part", F.spark_partition_id()))
+    ranges = frozen(
+        df.repartitionByRange(parts, *ordering)
+        .sortWithinPartitions(*ordering)
+        .withColumn("__at", F.monotonically_increasing_id())
+    ).withColumns({"__part": F.shiftright("__at", _PART_BITS), "__row": F.col("__at").bitwiseAND((1 << _PART_BITS) - 1)})
     totals = (
         ranges.groupBy("__part").agg(F.sum(counted).alias("rows"), F.max(counted).alias("longest")).orderBy("__part")
     ).collect()
@@ -86,13 +91,16 @@ def number_rows(
         total += part["rows"]
     longest = max((part["longest"] for part in totals), default=0)
 
-    offset = F.broadcast(spark.createDataFrame(offsets, "__part int, __offset long"))
-    within = Window.partitionBy("__part").orderBy(*ordering).rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranges.join(offset, "__part").withColumn(
-        "__first", F.col("__offset") + F.sum(counted).over(within) - F.col(counted) + 1
-    )
+    offset = F.broadcast(spark.createDataFrame(offsets, "__part long, __offset long"))
+    if longest <= 1:
+        before = F.col("__row")
+    else:
+        within = Window.partitionBy("__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
+        before = F.sum(counted).over(within) - F.col(counted)
+    placed = ranges.join(offset, "__part").withColumn("__first", F.col("__offset") + before + 1)
     above = F.lit(above) if isinstance(above, int) else above
     number = above + F.col("__first") + F.col("__copy")
+    placed = placed.drop("__at", "__part", "__row", "__offset")
     return _copies(placed, counted, longest, at_once).select(
         number.cast("long").alias(out), *(F.col(f"`{c}`") for c in columns)
     )
