@@ -12,6 +12,7 @@ from millrace.sources.dictionary import SourceColumn, SourceTable, tables_from_d
 from millrace.sources.landed import read_landed, stage, text_schema
 from millrace.sources.publish import publish, read_duplicates, read_model, truncate_load
 from millrace.sources.tables import load_parquet, read_spec, save_parquet, write_table
+from millrace.streaming.arrivals import archive_arrivals, arrivals
 from queries.apply import ALL, DELETE_INSERT_SQL, INSERT_SPEC, INSERT_SQL, UPSERT_MODEL_SQL, UPSERT_SQL
 from queries.apply import _upsert, line_load, line_model, order_load, order_model
 from queries.common import AS_OF, fresh_folder, table
@@ -42,6 +43,18 @@ def _staged(spark, sf_dir):
     return stage(landed(spark, sf_dir), ORDERS, 7, AS_OF).withColumn("filename", F.col("filename").contains(".csv"))
 
 
+def _arrived(spark, sf_dir):
+    """Orders land in two deliveries; each run archives what is new."""
+    folder = fresh_folder(spark)
+    orders = table(spark, sf_dir, "orders").select([c.name for c in ORDERS.columns])
+    text = orders.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    for batch, status in ((1, "o_orderstatus = 'F'"), (2, "o_orderstatus <> 'F'")):
+        text.filter(status).write.mode("append").csv(f"{folder}/in")
+        stream = arrivals(spark, f"{folder}/in", "csv", ".csv", text_schema(ORDERS))
+        archive_arrivals(stream, ORDERS, f"{folder}/archive", f"{folder}/progress", batch, AS_OF)
+    return spark.read.parquet(f"{folder}/archive").withColumn("filename", F.col("filename").contains(".csv"))
+
+
 def _written(spark, sf_dir):
     """Order lines bucketed by order and partitioned by return flag, in a catalog table."""
     name, folder = f"lines_{uuid.uuid4().hex}", fresh_folder(spark)
@@ -138,6 +151,7 @@ QUERIES = {
     "read_landed": _landed,
     "stage": _staged,
     "stage_by_dictionary": _dictionary,
+    "archive_arrivals": _arrived,
     "write_table": _written,
     "save_parquet": lambda s, d: s.read.parquet(_saved(s, d)),
     "load_parquet": _loaded,
@@ -157,6 +171,9 @@ ORACLES = {
     "stage_by_dictionary": STAGED_SQL.replace("TRUE AS filename", "CAST(NULL AS VARCHAR) AS filename").replace(
         "o_custkey,", "CAST(o_custkey AS INTEGER) AS o_custkey,"
     ),
+    "archive_arrivals": STAGED_SQL.replace(
+        "CAST(7 AS INTEGER)", "CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS INTEGER)"
+    ),
     "write_table": "SELECT * FROM lineitem",
     "save_parquet": """
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,

@@ -1,0 +1,86 @@
+import datetime as dt
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from millrace.operators.keys import assign_keys, load_surrogates, lookup_key, new_keys
+from millrace.plans import numbering
+from millrace.plans.numbering import number_rows
+from millrace.plans.spec import Join, SurrogateSpec
+
+SGK = "K long, NAT string, FILL string, SGK_ID short, R_ID int, B_ID long, INSRT_DTTM timestamp_ntz, UPDT_DTTM timestamp_ntz"
+SPEC = SurrogateSpec(5, "X_SGK", "K", "NAT", "VARCHAR(4)", 1, "src", "stg", "code", null_columns=("FILL",))
+AS_OF = dt.datetime(2024, 6, 1, 12, 30, 15)
+
+
+def sgk(spark, values):
+    return spark.createDataFrame([(k, n, None, s, 1, 1, AS_OF, AS_OF) for k, n, s in values], SGK)
+
+
+def stage(spark, values):
+    return spark.createDataFrame([(v,) for v in values], "code string")
+
+
+def test_new_keys(spark):
+    known = sgk(spark, [(10, "a", 1), (99, "b", 2), (11, "long", 1)])
+    load = stage(spark, ["a", "b", "b", None, None, "c", "longer"])
+    assert rows(new_keys(load, known, SPEC)) == [(None,), (None,), ("b",), ("b",), ("c",)]
+    assert rows(new_keys(load, known, SPEC, distinct=True)) == [(None,), ("b",), ("c",)]
+
+
+def test_assigned_above_the_highest_of_all_sets_descending(spark):
+    known = sgk(spark, [(10, "a", 1), (99, "b", 2)])
+    found = assign_keys(new_keys(stage(spark, ["b", "b", "c", None, "a"]), known, SPEC), known, SPEC)
+    assert rows(found, "K", "NAT") == [(100, "c"), (101, "b"), (102, "b"), (103, None)]
+
+
+def test_load(spark):
+    known = sgk(spark, [(10, "a", 1)])
+    tables = {
+        "stg": spark.createDataFrame([("b", 1), ("c", 2), ("d", 3), ("a", 1)], "code string, ref int"),
+        "dim": spark.createDataFrame([(1,), (3,)], "id int"),
+    }
+    log = spark.createDataFrame([(4, "src"), (9, "src"), (50, "other")], "B_ID long, B_SOURCE string")
+    spec = SurrogateSpec(
+        5, "X_SGK", "K", "NAT", "VARCHAR(4)", 1, "src", "stg", "code", ("FILL",),
+        joins=(Join("dim", "stg.ref = d.id", alias="d", how="inner"),), where="stg.code <> 'x'",
+    )
+    at = dt.datetime(2024, 6, 1, 12, 30, 15)
+    found = load_surrogates(tables, known, spec, log, dt.datetime(2024, 6, 1, 12, 30, 15, 999))
+    assert rows(found) == [(11, "d", None, 1, 5, 9, at, at), (12, "b", None, 1, 5, 9, at, at)]
+    assert found.schema["SGK_ID"].dataType.simpleString() == "smallint"
+    again = load_surrogates(tables, known.union(found), spec, log, AS_OF)
+    assert again.count() == 0
+    empty = load_surrogates(tables, sgk(spark, []), spec, log.limit(0), AS_OF, distinct=True)
+    assert rows(empty, "K", "NAT", "B_ID") == [(1, "d", 0), (2, "b", 0), (3, "a", 0)]
+
+
+@pytest.mark.parametrize("at_once", [100_000, 7])
+def test_numbering_is_that_of_one_sorted_list(spark, at_once, monkeypatch):
+    values = [("hot", 1)] * 700 + [(f"v{i % 90:02d}", i % 7) for i in range(600)] + [(None, 3)] * 3
+    df = spark.createDataFrame(values, "v string, w int").repartition(5)
+    found = number_rows(df, [F.col("v").desc()], "n", above=1000, at_once=at_once).collect()
+    ordered = sorted(values, key=lambda r: r[1])
+    ordered = sorted(ordered, key=lambda r: (r[0] is None, [-ord(c) for c in r[0] or ""]))
+    assert sorted(r.n for r in found) == list(range(1001, 1001 + len(values)))
+    assert [(r.v, r.w) for r in sorted(found, key=lambda r: r.n)] == ordered
+
+
+def test_unique_rows_are_numbered_without_a_window(spark, plan):
+    df = spark.range(1000).select(F.col("id"), F.lit(1).cast("long").alias("n"))
+    found = number_rows(df, [F.col("id").desc()], "no", counted="n")
+    assert "Window" not in plan(found) and "Generate" not in plan(found)
+    assert found.filter(F.col("no") + F.col("id") != 1000).count() == 0
+    assert number_rows(df.limit(0), [F.col("id").desc()], "no", counted="n").count() == 0
+
+
+def test_shared_folder_is_the_one_the_session_names(spark):
+    named = spark.conf.get(numbering.CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
+    assert named is None or numbering.shared_folder(spark) == named
+
+
+def test_lookup(spark):
+    known = sgk(spark, [(10, "a", 1), (99, "b", 2)])
+    found = lookup_key(stage(spark, ["a", "b", None]), known, "code", "NAT", 1, "K", "K")
+    assert rows(found) == [(None, None), ("a", 10), ("b", None)]
