@@ -100,14 +100,17 @@ def load_time(as_of: dt.datetime | str | None, ctype: ColumnType | str = "TIMEST
     return cast_to(F.lit(moment(as_of).isoformat(sep=" ")).cast("timestamp_ntz"), ctype)
 
 
-def high_value(ctype: ColumnType) -> Column:
+def high_text(ctype: ColumnType) -> str:
     """The open end of a version: the last day, or its last moment with as many 9s as digits."""
     if ctype.kind == "date":
-        return F.lit(HIGH_DATE).cast(ctype.spark)
+        return HIGH_DATE
     if ctype.kind != "timestamp":
         raise ValueError(f"an end date must be DATE or TIMESTAMP, not {ctype.text}")
-    fraction = "." + "9" * ctype.digits if ctype.digits else ""
-    return F.lit(f"{HIGH_DATE} {HIGH_TIME}{fraction}").cast(ctype.spark)
+    return f"{HIGH_DATE} {HIGH_TIME}" + ("." + "9" * ctype.digits if ctype.digits else "")
+
+
+def high_value(ctype: ColumnType) -> Column:
+    return F.lit(high_text(ctype)).cast(ctype.spark)
 
 
 def end_before(start: Column, ctype: ColumnType) -> Column:

@@ -30,6 +30,8 @@ class ApplyResult:
     ``outcome``     rows to write, tagged DEST: new model rows and duplicates in one pass
     ``appends``     the model rows of ``outcome`` are added to the model; else they replace it
     ``replaces``    added after all model rows of this record id are taken out
+    ``kept``        model rows passed through as they are, not in ``outcome``
+    ``final``       the SQL condition all kept rows meet, and all rows a later load will keep
     """
 
     target: DataFrame
@@ -38,6 +40,8 @@ class ApplyResult:
     outcome: DataFrame
     appends: bool
     replaces: int | None = None
+    kept: DataFrame | None = None
+    final: str | None = None
 
 
 def model_columns(load: DataFrame) -> list[str]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.predicates import all_of, any_of, folded, key_equal, sentinel_equal
-from millrace.functions.types import end_before, high_value
+from millrace.functions.types import end_before, high_text, high_value
 from millrace.operators.apply import (
     DEST, DUPLICATE, DUPLICATES, INSERTED, MODEL, UPDATED, ApplyResult, model_columns,
 )
@@ -65,24 +65,32 @@ def apply_history(
         LoadFacts() if small_load is not None else size_of(load)
     )
     small = facts.small if small_load is None else small_load
-    is_open = F.col(f"`{end}`") == high_value(types[end])
-    open_versions = target.filter(is_open)
-    closed = target.filter(~F.coalesce(is_open, F.lit(False))).withColumn(DEST, F.lit(MODEL))
+    open_end = high_value(types[end])
+    open_versions = target.filter(F.col(f"`{end}`") == open_end)
+    closed = target.filter((F.col(f"`{end}`") != open_end) | F.col(f"`{end}`").isNull())
     flagged = flag_versions(load, target, spec, small)
     if facts.repeated is None:
         outcome = _one_row_per_key(load, open_versions, spec, small)
     else:
         outcome = _several_rows_per_key(load, flagged, open_versions, spec, small)
-    outcome = closed.unionByName(outcome)
     return ApplyResult(
-        target=outcome.filter(F.col(DEST) == MODEL).drop(DEST),
+        target=closed.unionByName(outcome.filter(F.col(DEST) == MODEL).drop(DEST)),
         duplicates=flagged.filter(F.col(FLAG) == DUPLICATE).drop(FLAG),
         flagged=flagged,
         outcome=outcome,
         appends=False,
+        kept=closed,
+        final=final_versions(spec),
     )
 
 
+def final_versions(spec: MappingSpec) -> str:
+    """The condition that tells closed versions, which no later close-and-insert load touches."""
+    ctype = spec.types[spec.end]
+    literal = "DATE" if ctype.kind == "date" else "TIMESTAMP_NTZ"
+    return f"NOT (`{spec.end}` <=> {literal} '{high_text(ctype)}')"
+
+
 def _closing(spec: MappingSpec, target: DataFrame, prefix: str) -> dict[str, Column]:
     """What a changed row writes into the version it closes."""
     end_type = target.schema[spec.end].dataType
@@ -169,10 +177,18 @@ def apply_history_legacy(
     types = spec.types
     load = load.select(*model_columns(load))
     at = [*keys, start]
+    folded_keys = [f"__key_{i}" for i in range(len(keys))]
+    as_keys = {
+        n: folded(F.col(f"`{k}`"), types.get(k), spec.case_blind) for n, k in zip(folded_keys, keys)
+    }
+    long = long_keys(load.withColumns(as_keys), folded_keys, start, hot_rows)
     spots = load.filter(~null_key(at)).select(*at).distinct()
+    spots = F.broadcast(spots) if long.small else spots
     same_spot = key_equal("old", "new", at, types, spec.case_blind)
-    untouched = target.alias("old").join(spots.alias("new"), same_spot, "left_anti")
-    touched = target.alias("old").join(spots.alias("new"), same_spot, "left_semi")
+    # Both branches read the same shuffled target; rows with a NULL match nothing and skip it.
+    keyed = target.filter(~null_key(at)).alias("old")
+    touched = keyed.join(spots.alias("new"), same_spot, "left_semi")
+    untouched = keyed.join(spots.alias("new"), same_spot, "left_anti").union(target.filter(null_key(at)))
 
     merged = load.withColumn("__incoming", F.lit(1)).unionByName(
         touched.select(*(c for c in target.columns if c in load.columns)).withColumn("__incoming", F.lit(0)),
@@ -183,11 +199,6 @@ def apply_history_legacy(
     spot = [folded(F.col(f"`{c}`"), types.get(c), spec.case_blind) for c in at]
     single = first_by(merged, spot, tie_break).drop("__incoming")
 
-    folded_keys = [f"__key_{i}" for i in range(len(keys))]
-    as_keys = {
-        n: folded(F.col(f"`{k}`"), types.get(k), spec.case_blind) for n, k in zip(folded_keys, keys)
-    }
-    long = long_keys(load.withColumns(as_keys), folded_keys, start, hot_rows)
     cut = with_segments(single.withColumns(as_keys), long, folded_keys, start)
     seen = neighbours(cut, folded_keys, start, compared, "previous", "__pre_")
     changed = seen.filter(
@@ -209,6 +220,7 @@ def apply_history_legacy(
         flagged=load.withColumn(FLAG, F.lit(None).cast("string")),
         outcome=model.withColumn(DEST, F.lit(MODEL)),
         appends=False,
+        final=final_versions(spec),
     )
 
 

@@ -48,7 +48,8 @@ def new_keys(stage: DataFrame, sgk: DataFrame, spec: SurrogateSpec, distinct: bo
 
 def _assigned(fresh: DataFrame, sgk: DataFrame, spec: SurrogateSpec, counted: str | None) -> DataFrame:
     natural = F.col(f"`{spec.natural_key}`")
-    numbered = number_rows(fresh, [natural.desc()], spec.key, max_key(sgk, spec.key), counted)
+    highest = sgk.agg(F.coalesce(F.max(spec.key), F.lit(0)).cast("long")).first()[0]
+    numbered = number_rows(fresh, [natural.desc()], spec.key, highest, counted)
     return numbered.withColumn(spec.natural_key, cast_to(natural, parse_type(spec.natural_type)))
 
 

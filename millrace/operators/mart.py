@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.predicates import key_equal
+from millrace.functions.predicates import all_of, key_equal
 from millrace.functions.types import ColumnType, load_time
 from millrace.plans.matching import examine, need_unique, null_key, paired, rows_of_interest, size_of
 from millrace.sources.dictionary import (
@@ -16,6 +16,7 @@ from millrace.sources.dictionary import (
 )
 
 Types = dict[str, ColumnType]
+MOST_PARTITIONS = 1000
 
 
 def _inserted(column: str, stage_value: Column, now: Column) -> Column:
@@ -38,11 +39,13 @@ def _need_keys(keys: Sequence[str]) -> None:
 def merge_mart(
     stage: DataFrame, mart: DataFrame, keys: Sequence[str], as_of: dt.datetime | str | None = None,
     types: Types | None = None, case_blind: bool = False, check_keys: bool = True, small_load: bool | None = None,
+    partitions: Sequence[str] = (),
 ) -> DataFrame:
     """The mart after a merge: matched rows take new values, update and dump time; others are added.
 
     Batch and insert time of a matched row stay. A NULL key matches nothing, so such a row is
-    added by every run.
+    added by every run. ``partitions`` names key columns the mart is partitioned by: partitions
+    the stage does not reach pass through without taking part in the join.
     """
     _need_keys(keys)
     if check_keys or small_load is None:
@@ -72,8 +75,26 @@ def merge_mart(
             .alias(c)
         )
 
-    pairs = paired(mart, stage, list(keys), small_load, types, case_blind)
-    return pairs.select(*(value(c) for c in mart.columns))
+    reached, others = _by_partition(mart, stage, partitions) if partitions and not case_blind else (mart, None)
+    pairs = paired(reached, stage, list(keys), small_load, types, case_blind)
+    merged = pairs.select(*(value(c) for c in mart.columns))
+    return merged if others is None else others.unionByName(merged)
+
+
+def _by_partition(mart: DataFrame, stage: DataFrame, partitions: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Mart rows in partitions the stage may reach, and the rest; the scan prunes both.
+
+    Partition values are few by design; with more than ``MOST_PARTITIONS`` of them in stage
+    the whole mart takes part in the join.
+    """
+    conditions = []
+    for column in partitions:
+        found = stage.select(column).filter(F.col(f"`{column}`").isNotNull()).distinct().limit(MOST_PARTITIONS + 1).collect()
+        if len(found) > MOST_PARTITIONS:
+            return mart, None
+        conditions.append(F.col(f"`{column}`").isin([row[0] for row in found]))
+    reached = all_of(conditions)
+    return mart.filter(reached), mart.filter(~F.coalesce(reached, F.lit(False)))
 
 
 def new_mart_rows(
@@ -112,5 +133,6 @@ def load_mart(
     stage: DataFrame, mart: DataFrame, table: SourceTable, as_of: dt.datetime | str | None = None, **options
 ) -> DataFrame:
     """Merge, or insert of new rows when the table consists of key columns only."""
-    load = insert_new_mart if len(table.keys) == len(table.columns) else merge_mart
-    return load(stage, mart, table.keys, as_of, **options)
+    if len(table.keys) == len(table.columns):
+        return insert_new_mart(stage, mart, table.keys, as_of, **options)
+    return merge_mart(stage, mart, table.keys, as_of, partitions=table.partitions, **options)

@@ -42,7 +42,7 @@ def broadcast_limit(spark: SparkSession) -> int:
     return int(number) * _UNITS[unit]
 
 
-def _row_bytes(df: DataFrame) -> Column:
+def row_bytes(df: DataFrame) -> Column:
     """Bytes a row takes in memory: a few words per column, plus texts, lists and structs as JSON text."""
     width = F.lit(16 + 16 * len(df.columns)).cast("long")
     for f in df.schema.fields:
@@ -71,7 +71,7 @@ def examine(
     names = [f"key_{i}" for i in range(len(keys))]
     folded_keys = [folded(F.col(f"`{k}`"), types.get(k), case_blind).alias(n) for k, n in zip(keys, names)]
     groups = (
-        load.select(*folded_keys, _row_bytes(load).alias("bytes"))
+        load.select(*folded_keys, row_bytes(load).alias("bytes"))
         .groupBy(*names)
         .agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
     )
@@ -85,7 +85,7 @@ def examine(
 
 def size_of(load: DataFrame) -> LoadFacts:
     """Measure a load whose keys are known to be unique."""
-    row = load.agg(F.coalesce(F.sum(_row_bytes(load)), F.lit(0)).alias("bytes")).first()
+    row = load.agg(F.coalesce(F.sum(row_bytes(load)), F.lit(0)).alias("bytes")).first()
     return LoadFacts(int(row["bytes"]), limit=broadcast_limit(load.sparkSession))
 
 

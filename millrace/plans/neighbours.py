@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.predicates import all_of
-from millrace.plans.matching import broadcast_limit
+from millrace.plans.matching import broadcast_limit, row_bytes
 
 HOT_ROWS = 1_000_000
 """Rows of one key beyond which the key is cut into segments."""
@@ -27,31 +27,45 @@ SEGMENT, HOT, EDGE = "__segment", "__hot", "__edge"
 
 @dataclass(frozen=True)
 class LongKeys:
-    """Keys with many rows and the cut points of their segments; ``cuts`` is None when there are none."""
+    """Keys with many rows and the cut points of their segments; ``cuts`` is None when there are none.
+
+    ``small`` tells whether the keys and order values of the whole table may be broadcast,
+    ``few`` whether the cut points may.
+    """
 
     cuts: DataFrame | None
-    fits_broadcast: bool = False
+    small: bool = False
+    few: bool = False
 
 
 def long_keys(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS) -> LongKeys:
     """Find keys of more than ``hot_rows`` rows and even cut points along ``order``.
 
-    The count is combined before it is shuffled; only its two totals come to the driver.
+    The count is combined before it is shuffled; only its totals come to the driver.
     Quantile sketches are built for long keys alone.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows)
-    found = counts.agg(F.count(F.lit(1)).alias("keys"), F.max("n").alias("longest")).first()
+    spots = df.select(*keys, order)
+    counts = (
+        spots.withColumn("bytes", row_bytes(spots))
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    )
+    found = counts.agg(
+        F.count_if(F.col("n") > hot_rows).alias("keys"), F.max("n").alias("longest"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
+    ).first()
+    limit = broadcast_limit(df.sparkSession)
     if not found["keys"]:
-        return LongKeys(None)
+        return LongKeys(None, found["bytes"] <= limit)
     segments = min(MOST_SEGMENTS, math.ceil(found["longest"] / hot_rows) + 1)
     same_key = all_of(F.col(f"r.`{k}`").eqNullSafe(F.col(f"h.`{k}`")) for k in keys)
     cuts = (
-        df.select(*keys, order).alias("r")
-        .join(counts.alias("h"), same_key, "left_semi")
+        spots.alias("r")
+        .join(counts.filter(F.col("n") > hot_rows).alias("h"), same_key, "left_semi")
         .groupBy(*keys)
         .agg(F.percentile_approx(order, [i / segments for i in range(1, segments)]).alias("cuts"))
     )
-    return LongKeys(cuts, found["keys"] * (16 * segments + 256) <= broadcast_limit(df.sparkSession))
+    return LongKeys(cuts, found["bytes"] <= limit, found["keys"] * (16 * segments + 256) <= limit)
 
 
 def with_segments(df: DataFrame, long: LongKeys, keys: Sequence[str], order: str) -> DataFrame:
@@ -63,7 +77,7 @@ def with_segments(df: DataFrame, long: LongKeys, keys: Sequence[str], order: str
     segment = F.when(cuts.isNull(), F.lit(0)).otherwise(
         F.size(F.filter(cuts, lambda cut: cut <= F.col(f"r.`{order}`")))
     )
-    table = F.broadcast(long.cuts) if long.fits_broadcast else long.cuts
+    table = F.broadcast(long.cuts) if long.few else long.cuts
     return df.alias("r").join(table.alias("h"), same_key, "left").select(
         "r.*", segment.alias(SEGMENT), cuts.isNotNull().alias(HOT)
     )

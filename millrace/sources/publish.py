@@ -3,37 +3,51 @@
 Each load writes its rows as a version of their own and then adds one line to the table's
 commit list, naming the versions that make up the table from now on. Readers follow the
 last line, so they see all of a load or none, and a load may read the version it replaces.
-Insert-only loads add a version, delete-insert loads add one and mask the record id in
-older ones; only upserts and histories write the table anew.
+
+Only what a load changes is written: an insert adds a version, a delete-insert adds one and
+masks the record id in older ones, and a close-and-insert history leaves closed versions,
+which are stored apart, where they are. Upserts and rebuilds write the table anew.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.predicates import any_of
+from millrace.functions.predicates import all_of, any_of
 from millrace.operators.apply import DEST, DUPLICATES, MODEL, ApplyResult
 from millrace.plans.spec import RECORD_ID
 
 VERSION = "VERSION"
+FINAL = "final"
 _COMMIT = (
-    "number long, schema string, model array<struct<version:long,without:array<int>>>, duplicates array<long>"
+    "number long, schema string, final string, "
+    "model array<struct<version:long,without:array<int>,parts:array<string>>>, duplicates array<long>"
 )
 
 
+@dataclass(frozen=True)
+class Part:
+    """Rows of one version that belong to the model: some record ids masked, or only final rows."""
+
+    version: int
+    without: tuple[int, ...] = ()
+    parts: tuple[str, ...] = (MODEL, FINAL)
+
+
 @dataclass(frozen=True)
 class Commit:
-    """What a table consists of: model versions with the record ids masked in each, duplicates."""
+    """What a table consists of; ``final`` is the condition its final rows are stored apart by."""
 
     number: int = 0
     schema: T.StructType | None = None
-    model: tuple[tuple[int, tuple[int, ...]], ...] = ()
+    final: str | None = None
+    model: tuple[Part, ...] = ()
     duplicates: tuple[int, ...] = ()
 
 
@@ -63,7 +77,8 @@ def last_commit(spark: SparkSession, root: str, table: str) -> Commit:
     return Commit(
         last["number"],
         T.StructType.fromJson(json.loads(last["schema"])),
-        tuple((m["version"], tuple(m["without"] or ())) for m in last["model"]),
+        last["final"],
+        tuple(Part(m["version"], tuple(m["without"]), tuple(m["parts"])) for m in last["model"]),
         tuple(last["duplicates"]),
     )
 
@@ -71,64 +86,88 @@ def last_commit(spark: SparkSession, root: str, table: str) -> Commit:
 def publish(spark: SparkSession, root: str, table: str, result: ApplyResult) -> Commit:
     """Write what a load makes, model rows and duplicates in one pass, and commit it.
 
-    One load per table at a time, as in the transaction of a load script.
+    The load must have been made from the table as last committed, and one load runs per
+    table at a time, as in the transaction of a load script.
     """
     last = last_commit(spark, root, table)
     number = last.number + 1
-    result.outcome.write.mode("overwrite").partitionBy(DEST).parquet(_folder(root, table, number))
+    rows, older, final = result.outcome, (), result.final
     if result.replaces is not None:
-        older = tuple((v, tuple(sorted({*without, result.replaces}))) for v, without in last.model)
-    else:
-        older = last.model if result.appends else ()
+        older = tuple(replace(p, without=tuple(sorted({*p.without, result.replaces}))) for p in last.model)
+        final = last.final
+    elif result.appends:
+        older, final = last.model, last.final
+    elif result.kept is not None:
+        if last.final == final:
+            older = tuple(replace(p, parts=(FINAL,)) for p in last.model)
+        else:
+            rows = rows.unionByName(result.kept.withColumn(DEST, F.lit(MODEL)), allowMissingColumns=True)
+    if final is not None:
+        is_final = (F.col(DEST) == MODEL) & F.expr(final)
+        rows = rows.withColumn(DEST, F.when(is_final, FINAL).otherwise(F.col(DEST)))
+    rows.write.mode("overwrite").partitionBy(DEST).parquet(_folder(root, table, number))
     commit = Commit(
         number,
-        T.StructType([f for f in result.outcome.schema.fields if f.name != DEST]),
-        (*older, (number, ())),
+        T.StructType([f for f in rows.schema.fields if f.name != DEST]),
+        final,
+        (*older, Part(number)),
         (*last.duplicates, number),
     )
-    line = (number, commit.schema.json(), [(v, list(w)) for v, w in commit.model], list(commit.duplicates))
+    line = (
+        number, commit.schema.json(), final,
+        [(p.version, list(p.without), list(p.parts)) for p in commit.model], list(commit.duplicates),
+    )
     spark.createDataFrame([line], _COMMIT).coalesce(1).write.mode("append").json(_commits(root, table))
     return commit
 
 
-def _read(spark: SparkSession, root: str, table: str, commit: Commit, versions: list[int], dest: str) -> DataFrame:
+def _read(spark: SparkSession, root: str, table: str, commit: Commit, versions: list[int]) -> DataFrame:
     if not versions:
         raise FileNotFoundError(f"nothing is published for {table} under {root}")
     schema = T.StructType(
         [*commit.schema.fields, T.StructField(VERSION, T.LongType()), T.StructField(DEST, T.StringType())]
     )
-    rows = spark.read.schema(schema).option("basePath", _data(root, table)).parquet(
+    return spark.read.schema(schema).option("basePath", _data(root, table)).parquet(
         *(_folder(root, table, v) for v in versions)
     )
-    return rows.filter(F.col(DEST) == dest)
 
 
 def read_model(spark: SparkSession, root: str, table: str, commit: Commit | None = None) -> DataFrame:
-    """The model table as of a commit, the last one unless given."""
+    """The model table as of a commit, the last one unless given.
+
+    Versions and parts are folders, so what no longer belongs to the table is not read;
+    masked record ids are filtered out in the scan.
+    """
     commit = commit or last_commit(spark, root, table)
-    rows = _read(spark, root, table, commit, [v for v, _ in commit.model], MODEL)
-    by_mask: dict[tuple[int, ...], list[int]] = {}
-    for version, without in commit.model:
-        by_mask.setdefault(without, []).append(version)
-    if any(by_mask):
-        rows = rows.filter(
-            any_of(
-                F.col(VERSION).isin(versions) & ~F.coalesce(F.col(RECORD_ID).isin(*without), F.lit(False))
-                if without else F.col(VERSION).isin(versions)
-                for without, versions in by_mask.items()
-            )
+    alike: dict[tuple, list[int]] = {}
+    for part in commit.model:
+        alike.setdefault((part.without, part.parts), []).append(part.version)
+    rows = _read(spark, root, table, commit, [p.version for p in commit.model])
+    rows = rows.filter(
+        any_of(
+            F.col(VERSION).isin(versions) & F.col(DEST).isin(*parts) for (_, parts), versions in alike.items()
         )
-    return rows.drop(VERSION, DEST)
+    )
+    masks = [
+        ~(F.col(VERSION).isin(versions) & F.coalesce(F.col(RECORD_ID).isin(*without), F.lit(False)))
+        for (without, _), versions in alike.items()
+        if without
+    ]
+    return (rows.filter(all_of(masks)) if masks else rows).drop(VERSION, DEST)
 
 
 def read_duplicates(spark: SparkSession, root: str, table: str, commit: Commit | None = None) -> DataFrame:
     """All duplicate rows set aside so far."""
     commit = commit or last_commit(spark, root, table)
-    return _read(spark, root, table, commit, list(commit.duplicates), DUPLICATES).drop(VERSION, DEST)
+    rows = _read(spark, root, table, commit, list(commit.duplicates))
+    return rows.filter(F.col(DEST) == DUPLICATES).drop(VERSION, DEST)
 
 
-def truncate_load(df: DataFrame, root: str, table: str) -> DataFrame:
-    """Empty a load-ready table and fill it anew: readers switch when the new rows are complete."""
+def truncate_load(df: DataFrame, root: str, table: str, final: str | None = None) -> DataFrame:
+    """Empty a table and fill it anew: readers switch when the new rows are complete.
+
+    ``final`` stores the rows that meet a condition apart, as history loads do.
+    """
     nothing = df.filter(F.lit(False))
-    result = ApplyResult(df, nothing, df, df.withColumn(DEST, F.lit(MODEL)), appends=False)
+    result = ApplyResult(df, nothing, df, df.withColumn(DEST, F.lit(MODEL)), appends=False, final=final)
     return read_model(df.sparkSession, root, table, publish(df.sparkSession, root, table, result))

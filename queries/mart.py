@@ -16,6 +16,11 @@ ORDERS = SourceTable("SALES", "ORDERS", (
     SourceColumn("ord_sts", "VARCHAR(2)"),
     SourceColumn("ord_amt", "FLOAT"),
 ))
+LINES = SourceTable("SALES", "LINES", (
+    SourceColumn("flag", "VARCHAR(1)", key=True, partition=True),
+    SourceColumn("part_id", "BIGINT", key=True),
+    SourceColumn("lines", "BIGINT"),
+))
 PAIRS = SourceTable("SALES", "PART_SUPP", (
     SourceColumn("part_id", "BIGINT", key=True),
     SourceColumn("supp_id", "BIGINT", key=True),
@@ -62,6 +67,25 @@ def pair_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_counts(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
+    """Order lines per return flag and part."""
+    return table(spark, sf_dir, "lineitem").filter(condition).groupBy(
+        F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("part_id")
+    ).agg(F.count(F.lit(1)).alias("lines"))
+
+
+def partitioned_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The open lines of flags A and R merged into a mart partitioned by flag; flag N is not reached."""
+    stage = line_counts(spark, sf_dir, "l_returnflag <> 'N' AND l_linestatus = 'O'").select(
+        "*", F.lit(7).alias("batch_id"), moment(AS_OF).alias("dump_dttm")
+    )
+    mart = line_counts(spark, sf_dir, "l_linestatus = 'F'").select(
+        "*", F.lit(3).alias("batch_id"), moment("2020-01-01").alias("insrt_dttm"),
+        F.lit(None).cast("timestamp_ntz").alias("updt_dttm"), moment("2020-01-01").alias("dump_dttm"),
+    )
+    return load_mart(stage, mart, LINES, AS_OF)
+
+
 def order_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_mart(spark, sf_dir).select(
         "ord_id", "cust_id", "ord_sts", "ord_amt", "batch_id", F.lit("old.csv").alias("filename"), "dump_dttm"
@@ -115,6 +139,7 @@ QUERIES = {
     "new_mart_rows": lambda s, d: new_mart_rows(pair_stage(s, d), pair_mart(s, d), PAIRS.keys, AS_OF),
     "load_mart_merge": lambda s, d: load_mart(order_stage(s, d), order_mart(s, d), ORDERS, AS_OF),
     "load_mart_all_keys": lambda s, d: load_mart(pair_stage(s, d), pair_mart(s, d), PAIRS, AS_OF),
+    "load_mart_partitioned": partitioned_merge,
     "append_archive": lambda s, d: append_archive(order_stage(s, d), order_archive(s, d)),
 }
 ORACLES = {
@@ -124,6 +149,22 @@ ORACLES = {
     "new_mart_rows": NEW_PAIRS_SQL,
     "load_mart_merge": MERGE_SQL,
     "load_mart_all_keys": ALL_PAIRS_SQL,
+    "load_mart_partitioned": """
+        WITH stage AS (
+            SELECT l_returnflag AS flag, l_partkey AS part_id, COUNT(*) AS lines FROM lineitem
+            WHERE l_returnflag <> 'N' AND l_linestatus = 'O' GROUP BY ALL
+        ), mart AS (
+            SELECT l_returnflag AS flag, l_partkey AS part_id, COUNT(*) AS lines FROM lineitem
+            WHERE l_linestatus = 'F' GROUP BY ALL
+        )
+        SELECT COALESCE(m.flag, s.flag) AS flag, COALESCE(m.part_id, s.part_id) AS part_id,
+               COALESCE(s.lines, m.lines) AS lines, CAST(CASE WHEN m.flag IS NULL THEN 7 ELSE 3 END AS INTEGER) AS batch_id,
+               CASE WHEN m.flag IS NULL THEN TIMESTAMP '2024-06-01 00:00:00'
+                    ELSE TIMESTAMP '2020-01-01 00:00:00' END AS insrt_dttm,
+               CASE WHEN m.flag IS NOT NULL AND s.flag IS NOT NULL THEN TIMESTAMP '2024-06-01 00:00:00' END AS updt_dttm,
+               CASE WHEN s.flag IS NOT NULL THEN TIMESTAMP '2024-06-01 00:00:00'
+                    ELSE TIMESTAMP '2020-01-01 00:00:00' END AS dump_dttm
+        FROM mart m FULL OUTER JOIN stage s ON m.flag = s.flag AND m.part_id = s.part_id""",
     "append_archive": """
         SELECT CASE WHEN o_totalprice >= 5000 THEN o_orderkey END AS ord_id, o_custkey AS cust_id,
                CASE WHEN o_orderstatus = 'P' THEN 'O' ELSE o_orderstatus END AS ord_sts, o_totalprice AS ord_amt,

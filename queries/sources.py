@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from millrace.operators.apply import apply_delete_insert, apply_insert
+from millrace.operators.history import apply_history, final_versions
 from millrace.plans.spec import RECORD_ID
 from millrace.sources.dictionary import SourceColumn, SourceTable, tables_from_dictionary
 from millrace.sources.landed import read_landed, stage, text_schema
@@ -16,6 +17,8 @@ from millrace.streaming.arrivals import archive_arrivals, arrivals
 from queries.apply import ALL, DELETE_INSERT_SQL, INSERT_SPEC, INSERT_SQL, UPSERT_MODEL_SQL, UPSERT_SQL
 from queries.apply import _upsert, line_load, line_model, order_load, order_model
 from queries.common import AS_OF, fresh_folder, table
+from queries.history import ORACLES as HISTORY_SQL
+from queries.history import ORDER_VERSIONS, version_load, version_model
 
 ORDERS = SourceTable("SALES", "orders", (
     SourceColumn("o_orderkey", "BIGINT", key=True),
@@ -110,6 +113,14 @@ def _published_slice(spark, sf_dir):
     return read_model(spark, folder, "LINES").withColumn(RECORD_ID, F.col(RECORD_ID).cast("int"))
 
 
+def _published_history(spark, sf_dir):
+    """Order versions published, closed and inserted again; closed versions stay where they are."""
+    folder = fresh_folder(spark)
+    model = truncate_load(version_model(spark, sf_dir), folder, "VERSIONS", final=final_versions(ORDER_VERSIONS))
+    publish(spark, folder, "VERSIONS", apply_history(version_load(spark, sf_dir), model, ORDER_VERSIONS))
+    return read_model(spark, folder, "VERSIONS")
+
+
 def _spec_table(spark, sf_dir):
     """Key/value pairs written as CSV and read back as a spec table."""
     folder = fresh_folder(spark)
@@ -160,6 +171,7 @@ QUERIES = {
     "publish_duplicates": lambda s, d: _published_upsert(s, d, read_duplicates),
     "publish_insert": _published_insert,
     "publish_delete_insert": _published_slice,
+    "publish_history": _published_history,
     "read_spec": _spec_table,
 }
 ORACLES = {
@@ -187,6 +199,7 @@ ORACLES = {
     "publish_duplicates": UPSERT_SQL + f"SELECT {ALL} FROM flagged WHERE FLAG = 'D'",
     "publish_insert": INSERT_SQL + f"SELECT * FROM model UNION ALL SELECT {ALL} FROM flagged WHERE FLAG = 'I'",
     "publish_delete_insert": DELETE_INSERT_SQL,
+    "publish_history": HISTORY_SQL["apply_history"],
     "read_spec": """
         SELECT n_name AS name, CASE WHEN n_regionkey > 0 THEN CAST(n_regionkey AS VARCHAR) ELSE '' END AS value
         FROM nation""",

@@ -70,6 +70,26 @@ def test_load_mart_chooses_by_dictionary(spark):
     assert rows(load_mart(load, model, all_keys, AS_OF), "id", "val") == [(1, "a"), (1, "b")]
 
 
+def test_partitions_the_stage_does_not_reach_skip_the_join(spark, plan, tmp_path):
+    columns = "p string, id int, val string, batch_id int, insrt_dttm timestamp_ntz, updt_dttm timestamp_ntz, dump_dttm timestamp_ntz"
+    model = [(p, i, "old", 3, OLD, None, OLD) for p in "abc" for i in range(3)] + [(None, 1, "old", 3, OLD, None, OLD)]
+    path = str(tmp_path / "mart")
+    spark.createDataFrame(model, columns).write.partitionBy("p").parquet(path)
+    mart = spark.read.schema(columns).parquet(path)
+    stage = spark.createDataFrame(
+        [("a", 1, "new", 7, AS_OF), ("d", 9, "new", 7, AS_OF), (None, 1, "new", 7, AS_OF)],
+        "p string, id int, val string, batch_id int, dump_dttm timestamp_ntz",
+    )
+    table = SourceTable("s", "t", (
+        SourceColumn("p", "VARCHAR(1)", key=True, partition=True), SourceColumn("id", "INTEGER", key=True),
+        SourceColumn("val", "VARCHAR(5)"),
+    ))
+    found = load_mart(stage, mart, table, AS_OF, small_load=False)
+    assert rows(found) == rows(merge_mart(stage, mart, ["p", "id"], AS_OF))
+    assert found.count() == 12 and found.filter("val = 'new'").count() == 3
+    assert "PartitionFilters: [p#" in plan(found) and "PartitionFilters: [NOT coalesce(p#" in plan(found)
+
+
 def test_archive_keeps_repeats(spark):
     load = stage(spark, [(1, "a"), (1, "a")])
     assert append_archive(load, load).count() == 4

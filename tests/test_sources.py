@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from millrace.operators.apply import apply_delete_insert, apply_insert, apply_upsert
+from millrace.operators.history import apply_history
 from millrace.plans.spec import ColumnSpec, MappingSpec, SpecError
 from millrace.sources.dictionary import SourceColumn, SourceTable, derive_type, tables_from_dictionary
 from millrace.sources.landed import read_landed, stage, text_schema
@@ -149,7 +150,7 @@ def test_replaced_record_ids_are_masked_not_rewritten(spark, tmp_path):
     first = load_of(spark, [(1, "a")], 1).union(load_of(spark, [(2, "b")], 2)).union(load_of(spark, [(3, "n")], None))
     model = truncate_load(first, root, "T")
     commit = publish(spark, root, "T", apply_delete_insert(load_of(spark, [(9, "z")], 2), model, 2))
-    assert commit.model == ((1, (2,)), (2, ()))
+    assert [(p.version, p.without) for p in commit.model] == [(1, (2,)), (2, ())]
     assert rows(read_model(spark, root, "T"), "ID") == [(1,), (3,), (9,)]
     publish(spark, root, "T", apply_delete_insert(load_of(spark, []), read_model(spark, root, "T"), 2))
     assert rows(read_model(spark, root, "T"), "ID") == [(1,), (3,)]
@@ -161,3 +162,27 @@ def test_a_load_may_empty_its_table(spark, tmp_path):
     empty = truncate_load(load_of(spark, []), root, "T")
     assert empty.count() == 0 and empty.columns == ["ID", "VAL", "R_ID"]
     assert read_duplicates(spark, root, "T").count() == 0
+
+
+def test_closed_versions_are_not_written_again(spark, tmp_path):
+    root, high = str(tmp_path), dt.date(9999, 12, 31)
+    spec = MappingSpec(7, "H", "HISTORY", (
+        ColumnSpec("K", "INTEGER", pk=True, role="HKEY"), ColumnSpec("A", "VARCHAR(5)", role="HCOL"),
+        ColumnSpec("S", "DATE", role="S", source_table="JOB"), ColumnSpec("E", "DATE", role="E", source_table="JOB"),
+    ))
+
+    def versions(*values):
+        return spark.createDataFrame(list(values), "K int, A string, S date, E date")
+
+    first, second, third = (dt.date(2024, m, 1) for m in (1, 2, 3))
+    truncate_load(versions((1, "a", first, second), (1, "b", second, high), (2, "a", first, high)), root, "H")
+    for at, value in ((third, "c"), (dt.date(2024, 4, 1), "d"), (dt.date(2024, 5, 1), "e")):
+        publish(spark, root, "H", apply_history(versions((1, value, at, high)), read_model(spark, root, "H"), spec))
+    assert rows(read_model(spark, root, "H")) == rows(versions(
+        (1, "a", first, second), (1, "b", second, dt.date(2024, 2, 29)), (1, "c", third, dt.date(2024, 3, 31)),
+        (1, "d", dt.date(2024, 4, 1), dt.date(2024, 4, 30)), (1, "e", dt.date(2024, 5, 1), high), (2, "a", first, high),
+    ))
+    commit = last_commit(spark, root, "H")
+    assert [(p.version, p.parts) for p in commit.model] == [(2, ("final",)), (3, ("final",)), (4, ("model", "final"))]
+    written = spark.read.parquet(f"{root}/H/data").groupBy("VERSION").count().collect()
+    assert dict(map(tuple, written)) == {1: 3, 2: 4, 3: 3, 4: 3}
