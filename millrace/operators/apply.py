@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.predicates import all_of, key_equal, sentinel_equal
 from millrace.plans.matching import (
-    emitted, examine, need_unique, null_key, paired, rows_of_interest, size_of,
+    examine, need_unique, null_key, paired, rows_of_interest, size_of,
 )
 from millrace.plans.spec import FLAG, INSERTED_AT, RECORD_ID, MappingSpec
 
@@ -130,41 +130,36 @@ def apply_upsert(
     flagged = flag_rows(load, target, spec, UPDATED, small)
 
     pairs = paired(target, load, keys, small, types, spec.case_blind)
-    matched = F.col("old").isNotNull() & F.col("new").isNotNull()
-    no_null_key = all_of(F.col(f"new.`{k}`").isNotNull() for k in keys)
+    old, new = pairs.old, pairs.new
+    matched = pairs.has_old & pairs.has_new
     same = all_of(
         [F.lit(bool(spec.compare_columns))]
-        + [
-            sentinel_equal(F.col(f"new.`{c}`"), F.col(f"old.`{c}`"), types[c], spec.case_blind)
-            for c in spec.compare_columns
-        ]
+        + [sentinel_equal(new(c), old(c), types[c], spec.case_blind) for c in spec.compare_columns]
     )
+    updated = matched & ~same
+    inserted = pairs.has_new & ~pairs.has_old & all_of(new(k).isNotNull() for k in keys)
     keep = {c.upper() for c in (*keys, RECORD_ID, INSERTED_AT, spec.job_start) if c}
     incoming = {c.upper(): c for c in load.columns}
-    updated = matched & ~same
-
-    def old_value(c: str) -> Column:
-        old = F.col(f"old.`{c}`")
-        if c.upper() in keep or c.upper() not in incoming:
-            return old.alias(c)
-        return F.when(updated, F.col(f"new.`{incoming[c.upper()]}`")).otherwise(old).alias(c)
 
     def new_value(c: str) -> Column:
-        if c.upper() in incoming:
-            return F.col(f"new.`{incoming[c.upper()]}`").alias(c)
-        return F.lit(None).cast(target.schema[c].dataType).alias(c)
+        return new(incoming[c.upper()]) if c.upper() in incoming else F.lit(None).cast(target.schema[c].dataType)
 
-    kept = F.when(
-        F.col("old").isNotNull(),
-        F.struct(*(old_value(c) for c in target.columns), F.lit(MODEL).alias(DEST)),
+    def old_value(c: str, is_updated: Column) -> Column:
+        if c.upper() in keep or c.upper() not in incoming:
+            return old(c)
+        return F.when(is_updated, new_value(c)).otherwise(old(c))
+
+    model = pairs.rows.filter(pairs.has_old | inserted).select(
+        *(F.when(pairs.has_old, old_value(c, updated)).otherwise(new_value(c)).alias(c) for c in target.columns)
+    )
+    outcome = pairs.emitted(
+        {c: old_value(c, F.col("__updated")) for c in target.columns} | {DEST: F.lit(MODEL)},
+        {c: new_value(c) for c in target.columns} | {DEST: F.when(pairs.has_old, DUPLICATES).otherwise(MODEL)},
+        with_new=inserted | (matched & ~F.col("__updated")),
+        __updated=updated,
     )
-    new_row = [new_value(c) for c in target.columns]
-    added = F.when(
-        F.col("old").isNull() & no_null_key, F.struct(*new_row, F.lit(MODEL).alias(DEST))
-    ).when(matched & same, F.struct(*new_row, F.lit(DUPLICATES).alias(DEST)))
-    outcome = emitted(pairs, kept, added, DEST)
     return ApplyResult(
-        target=outcome.filter(F.col(DEST) == MODEL).drop(DEST),
+        target=model,
         duplicates=_flagged_rows(flagged, DUPLICATE),
         flagged=flagged,
         outcome=outcome,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from millrace.operators.apply import (
 )
 from millrace.operators.windows import first_by
 from millrace.plans.matching import (
-    LoadFacts, emitted, examine, need_unique, null_key, paired, rows_of_interest, size_of,
+    LoadFacts, examine, need_unique, null_key, paired, rows_of_interest, size_of,
 )
 from millrace.plans.neighbours import HOT_ROWS, long_keys, neighbours, with_segments
 from millrace.plans.spec import BATCH_ID, FLAG, UPDATED_AT, MappingSpec
@@ -91,13 +93,10 @@ def final_versions(spec: MappingSpec) -> str:
     return f"NOT (`{spec.end}` <=> {literal} '{high_text(ctype)}')"
 
 
-def _closing(spec: MappingSpec, target: DataFrame, prefix: str) -> dict[str, Column]:
+def _closing(spec: MappingSpec, target: DataFrame, new: Callable[[str], Column]) -> dict[str, Column]:
     """What a changed row writes into the version it closes."""
-    end_type = target.schema[spec.end].dataType
-    new_end = end_before(F.col(f"{prefix}.`{spec.start}`"), spec.types[spec.end]).cast(end_type)
-    return {spec.end: new_end} | {
-        c: F.col(f"{prefix}.{c}") for c in (BATCH_ID, UPDATED_AT) if c in target.columns
-    }
+    new_end = end_before(new(spec.start), spec.types[spec.end]).cast(target.schema[spec.end].dataType)
+    return {spec.end: new_end} | {c: new(c) for c in (BATCH_ID, UPDATED_AT) if c in target.columns}
 
 
 def _one_row_per_key(load: DataFrame, open_versions: DataFrame, spec: MappingSpec, small: bool) -> DataFrame:
@@ -105,28 +104,21 @@ def _one_row_per_key(load: DataFrame, open_versions: DataFrame, spec: MappingSpe
     types, columns = spec.types, open_versions.columns
     keyed = _ending_open(load, spec).filter(~null_key([*spec.history_keys, spec.start]))
     pairs = paired(open_versions, keyed, spec.history_keys, small, types, spec.case_blind)
-    matched = F.col("old").isNotNull() & F.col("new").isNotNull()
-    same = matched & all_of(
-        sentinel_equal(F.col(f"new.`{c}`"), F.col(f"old.`{c}`"), types[c], spec.case_blind)
-        for c in spec.history_columns
-    )
-    closing = _closing(spec, open_versions, "new")
-    old_row = F.struct(
-        *(
-            (F.when(matched & ~same, closing[c]).otherwise(F.col(f"old.`{c}`")) if c in closing else F.col(f"old.`{c}`")).alias(c)
+    old, new = pairs.old, pairs.new
+    same = pairs.has_old & pairs.has_new & all_of(
+        sentinel_equal(new(c), old(c), types[c], spec.case_blind) for c in spec.history_columns
+    )
+    closing, changed = _closing(spec, open_versions, new), pairs.has_new & ~F.col("__same")
+    return pairs.emitted(
+        {c: F.when(changed, closing[c]).otherwise(old(c)) if c in closing else old(c) for c in columns}
+        | {DEST: F.lit(MODEL)},
+        {
+            c: (new(c) if c in load.columns else F.lit(None)).cast(open_versions.schema[c].dataType)
             for c in columns
-        ),
-        F.lit(MODEL).alias(DEST),
-    )
-    new_row = F.struct(
-        *(
-            (F.col(f"new.`{c}`") if c in load.columns else F.lit(None)).cast(open_versions.schema[c].dataType).alias(c)
-            for c in columns
-        ),
-        F.when(same, DUPLICATES).otherwise(MODEL).alias(DEST),
-    )
-    return emitted(
-        pairs, F.when(F.col("old").isNotNull(), old_row), F.when(F.col("new").isNotNull(), new_row), DEST
+        }
+        | {DEST: F.when(F.col("__same"), DUPLICATES).otherwise(MODEL)},
+        with_new=pairs.has_new,
+        __same=same,
     )
 
 
@@ -148,7 +140,8 @@ def _several_rows_per_key(
     )
     if small:
         changes = F.broadcast(changes)
-    closing, hit = _closing(spec, open_versions, "new"), F.col(f"new.`{keys[0]}`").isNotNull()
+    closing = _closing(spec, open_versions, lambda c: F.col(f"new.`{c}`"))
+    hit = F.col(f"new.`{keys[0]}`").isNotNull()
     maybe_closed = open_versions.alias("old").join(
         changes.alias("new"), key_equal("old", "new", keys, types, spec.case_blind), "left"
     ).select(

@@ -57,27 +57,27 @@ def merge_mart(
     key_names = {k.lower() for k in keys}
     stays = {STAGE_BATCH, FILE_NAME, MART_INSERTED} | key_names
 
+    reached, others = _by_partition(mart, stage, partitions) if partitions and not case_blind else (mart, None)
+    pairs = paired(reached, stage, list(keys), small_load, types, case_blind)
+
     def value(c: str) -> Column:
         name = c.lower()
-        old = F.col(f"old.`{c}`")
-        new = F.col(f"new.`{incoming[name]}`") if name in incoming else F.lit(None)
+        new = pairs.new(incoming[name]) if name in incoming else F.lit(None)
         if name == MART_UPDATED:
             matched = now
         elif name in stays or name not in incoming:
-            matched = old
+            matched = pairs.old(c)
         else:
             matched = new
         return (
-            F.when(F.col("old").isNull(), _inserted(c, new, now))
-            .when(F.col("new").isNull(), old)
-            .otherwise(matched)
+            F.when(~pairs.has_old, _inserted(c, new, now))
+            .when(pairs.has_new, matched)
+            .otherwise(pairs.old(c))
             .cast(mart.schema[c].dataType)
             .alias(c)
         )
 
-    reached, others = _by_partition(mart, stage, partitions) if partitions and not case_blind else (mart, None)
-    pairs = paired(reached, stage, list(keys), small_load, types, case_blind)
-    merged = pairs.select(*(value(c) for c in mart.columns))
+    merged = pairs.rows.select(*(value(c) for c in mart.columns))
     return merged if others is None else others.unionByName(merged)
 
 

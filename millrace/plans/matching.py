@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.predicates import any_null, folded, key_equal
+from millrace.functions.predicates import all_of, any_null, folded, key_equal
 from millrace.functions.types import ColumnType
 
 BROADCAST_SETTING = "spark.sql.autoBroadcastJoinThreshold"
@@ -119,6 +119,52 @@ def rows_of_interest(
     )
 
 
+HAS_OLD, HAS_NEW, WHICH = "__has_old", "__has_new", "__which"
+
+
+@dataclass(frozen=True)
+class Pairs:
+    """Rows of two tables side by side, plain columns under their own prefixes."""
+
+    rows: DataFrame
+
+    @staticmethod
+    def old(name: str) -> Column:
+        return F.col(f"`__old_{name}`")
+
+    @staticmethod
+    def new(name: str) -> Column:
+        return F.col(f"`__new_{name}`")
+
+    @property
+    def has_old(self) -> Column:
+        return F.col(HAS_OLD).isNotNull()
+
+    @property
+    def has_new(self) -> Column:
+        return F.col(HAS_NEW).isNotNull()
+
+    def emitted(
+        self, old_row: dict[str, Column], new_row: dict[str, Column], with_new: Column, **shared: Column
+    ) -> DataFrame:
+        """Each pair as up to two rows: what becomes of the old one, and the new one where ``with_new``.
+
+        ``shared`` are columns both rows are built from, computed once per pair.
+        """
+        one, other = F.array(F.lit(0)), F.array(F.lit(1))
+        which = (
+            F.when(self.has_old & with_new, F.array(F.lit(0), F.lit(1))).when(self.has_old, one).when(with_new, other)
+        )
+        rows = self.rows.withColumns(shared).withColumn(WHICH, F.explode(which))
+        return rows.select(
+            *(F.when(F.col(WHICH) == 0, old).otherwise(new_row[c]).alias(c) for c, old in old_row.items())
+        )
+
+
+def _prefixed(df: DataFrame, prefix: str, marker: str) -> DataFrame:
+    return df.select(*(F.col(f"`{c}`").alias(f"{prefix}{c}") for c in df.columns), F.lit(True).alias(marker))
+
+
 def paired(
     target: DataFrame,
     load: DataFrame,
@@ -126,40 +172,38 @@ def paired(
     small: bool,
     types: dict[str, ColumnType] | None = None,
     case_blind: bool = False,
-) -> DataFrame:
-    """Every row of both tables once, as structs ``old`` and ``new``; a missing side is NULL.
+) -> Pairs:
+    """Every row of both tables once, matched by key.
 
     A small load is broadcast: the target is not shuffled, and the load's unmatched rows
     are found against the few target rows it can touch. Otherwise one full outer join
     shuffles each table once. Rows with a NULL key match nothing and skip the join, so
     they never pile up in one task.
     """
-    old = target.select(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)),
-                        F.struct(*(F.col(f"`{c}`") for c in target.columns)).alias("old"))
-    new = load.select(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)),
-                      F.struct(*(F.col(f"`{c}`") for c in load.columns)).alias("new"))
-    names = [f"k{i}" for i in range(len(keys))]
-    join_types = {n: (types or {}).get(k) for n, k in zip(names, keys)}
-    no_old = F.lit(None).cast(old.schema["old"].dataType).alias("old")
-    no_new = F.lit(None).cast(new.schema["new"].dataType).alias("new")
-
-    keyed_old, keyed_new = old.filter(~null_key(names)), new.filter(~null_key(names))
-    condition = key_equal("a", "b", names, join_types, case_blind)
+    types = types or {}
+
+    def same_key(left: str, right: str) -> Column:
+        return all_of(
+            folded(F.col(f"`{left}{k}`"), types.get(k), case_blind)
+            == folded(F.col(f"`{right}{k}`"), types.get(k), case_blind)
+            for k in keys
+        )
+
+    old, new = _prefixed(target, "__old_", HAS_OLD), _prefixed(load, "__new_", HAS_NEW)
+    no_old, no_new = null_key([f"__old_{k}" for k in keys]), null_key([f"__new_{k}" for k in keys])
+    keyed_old, keyed_new = old.filter(~no_old), new.filter(~no_new)
     if small:
-        left = keyed_old.alias("a").join(F.broadcast(keyed_new.alias("b")), condition, "left")
-        touched = (
-            keyed_old.select(*names).alias("a")
-            .join(F.broadcast(keyed_new.select(*names).alias("b")), condition, "left_semi")
+        pairs = keyed_old.join(F.broadcast(keyed_new), same_key("__old_", "__new_"), "left")
+        known = _prefixed(load.select(*keys), "__key_", "__known").filter(~null_key([f"__key_{k}" for k in keys]))
+        touched = keyed_old.select(*(F.col(f"`__old_{k}`") for k in keys)).join(
+            F.broadcast(known), same_key("__old_", "__key_"), "left_semi"
         )
-        unmatched = keyed_new.alias("a").join(touched.alias("b"), condition, "left_anti")
-        pairs = left.select("old", "new").union(unmatched.select(no_old, "new"))
+        unmatched = keyed_new.join(touched, same_key("__new_", "__old_"), "left_anti")
+        pairs = pairs.unionByName(unmatched, allowMissingColumns=True)
     else:
-        pairs = keyed_old.alias("a").join(keyed_new.alias("b"), condition, "full_outer").select("old", "new")
-    return pairs.union(old.filter(null_key(names)).select("old", no_new)).union(
-        new.filter(null_key(names)).select(no_old, "new")
+        pairs = keyed_old.join(keyed_new, same_key("__old_", "__new_"), "full_outer")
+    return Pairs(
+        pairs.unionByName(old.filter(no_old), allowMissingColumns=True).unionByName(
+            new.filter(no_new), allowMissingColumns=True
+        )
     )
-
-
-def emitted(pairs: DataFrame, old_row: Column, new_row: Column, marker: str) -> DataFrame:
-    """Up to two rows per pair: what becomes of the old row and of the new one; NULL rows vanish."""
-    return pairs.select(F.inline(F.array(old_row, new_row))).filter(F.col(marker).isNotNull())
