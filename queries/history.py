@@ -9,7 +9,8 @@ from millrace.functions.types import end_before, high_value, parse_type
 from millrace.operators.history import apply_history, apply_history_auto, apply_history_legacy
 from millrace.operators.windows import first_by, next_start, previous
 from millrace.plans.spec import ColumnSpec, MappingSpec
-from queries.common import AS_OF, KNOWN_UNTIL, day, moment, table
+from millrace.sources.publish import publish, read_model
+from queries.common import AS_OF, KNOWN_UNTIL, day, fresh_folder, moment, table
 
 ORDER_VERSIONS = MappingSpec(
     201, "ORDER_VERSIONS", "HISTORY",
@@ -221,8 +222,12 @@ def _rebuild(spark, sf_dir, **options):
 
 
 def _later_run(spark, sf_dir):
+    """The first load rebuilds and is published; the next one closes and inserts on what was published."""
+    folder = fresh_folder(spark)
     first = apply_history_auto(dated_load(spark, sf_dir), dated_model(spark, sf_dir), CUSTOMER_VERSIONS, initial=True)
-    return apply_history_auto(latest_load(spark, sf_dir), first.target, CUSTOMER_VERSIONS, initial=False).target
+    publish(spark, folder, "CUSTOMERS", first)
+    model = read_model(spark, folder, "CUSTOMERS")
+    return apply_history_auto(latest_load(spark, sf_dir), model, CUSTOMER_VERSIONS, initial=False).target
 
 
 def version_ends(spark, sf_dir):
