@@ -29,7 +29,7 @@ class ApplyResult:
     ``flagged``     the load with FLAG; a row with a NULL key has a NULL flag and goes nowhere
     ``outcome``     rows to write, tagged DEST: new model rows and duplicates in one pass
     ``appends``     the model rows of ``outcome`` are added to the model; else they replace it
-    ``replaces``    added after all model rows of this record id are taken out
+    ``replaces``    added after all model rows with these values (as text) in a column are taken out
     ``kept``        model rows passed through as they are, not in ``outcome``
     ``final``       the SQL condition all kept rows meet, and all rows a later load will keep
     """
@@ -39,7 +39,7 @@ class ApplyResult:
     flagged: DataFrame
     outcome: DataFrame
     appends: bool
-    replaces: int | None = None
+    replaces: tuple[str, tuple[str, ...]] | None = None
     kept: DataFrame | None = None
     final: str | None = None
 
@@ -48,6 +48,13 @@ def model_columns(load: DataFrame) -> list[str]:
     return [c for c in load.columns if c.upper() != FLAG]
 
 
+def aligned(load: DataFrame, target: DataFrame, spec: MappingSpec) -> tuple[DataFrame, MappingSpec]:
+    """Load and spec with column names spelled as the model spells them; letter case tells nothing apart."""
+    known = {c.upper(): c for c in target.columns}
+    same = load.select(*(F.col(f"`{c}`").alias(known.get(c.upper(), c)) for c in model_columns(load)))
+    return same, spec.spelled(known)
+
+
 def _is_small(load: DataFrame, spec: MappingSpec, check_keys: bool, small_load: bool | None) -> bool:
     """Check that keys are unique and measure the load, as far as the caller does not know already."""
     if not check_keys and small_load is not None:
@@ -103,6 +110,7 @@ def apply_insert(
     The model is only ever added to, so none of it is rewritten or shuffled beyond its
     key and compare columns.
     """
+    load, spec = aligned(load, target, spec)
     small = _is_small(load, spec, check_keys, small_load)
     flagged = flag_rows(load, target, spec, IGNORED, small)
     new = _flagged_rows(flagged, INSERTED)
@@ -124,9 +132,9 @@ def apply_upsert(
 
     An overwrite keeps R_ID, INSRT_DTTM and the start date filled by the job.
     """
+    load, spec = aligned(load, target, spec)
     keys, types = spec.primary_key, spec.types
     small = _is_small(load, spec, check_keys, small_load)
-    load = load.select(*model_columns(load))
     flagged = flag_rows(load, target, spec, UPDATED, small)
 
     pairs = paired(target, load, keys, small, types, spec.case_blind)
@@ -139,13 +147,12 @@ def apply_upsert(
     updated = matched & ~same
     inserted = pairs.has_new & ~pairs.has_old & all_of(new(k).isNotNull() for k in keys)
     keep = {c.upper() for c in (*keys, RECORD_ID, INSERTED_AT, spec.job_start) if c}
-    incoming = {c.upper(): c for c in load.columns}
 
     def new_value(c: str) -> Column:
-        return new(incoming[c.upper()]) if c.upper() in incoming else F.lit(None).cast(target.schema[c].dataType)
+        return new(c) if c in load.columns else F.lit(None).cast(target.schema[c].dataType)
 
     def old_value(c: str, is_updated: Column) -> Column:
-        if c.upper() in keep or c.upper() not in incoming:
+        if c.upper() in keep or c not in load.columns:
             return old(c)
         return F.when(is_updated, new_value(c)).otherwise(old(c))
 
@@ -178,7 +185,7 @@ def apply_delete_insert(load: DataFrame, target: DataFrame, record_id: int) -> A
         flagged=load.withColumn(FLAG, F.lit(REPLACED)),
         outcome=nothing.unionByName(load, allowMissingColumns=True).withColumn(DEST, F.lit(MODEL)),
         appends=False,
-        replaces=record_id,
+        replaces=(RECORD_ID, (str(record_id),)),
     )
 
 

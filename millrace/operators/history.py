@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions.predicates import all_of, any_of, folded, key_equal, sentinel_equal
 from millrace.functions.types import end_before, high_text, high_value
 from millrace.operators.apply import (
-    DEST, DUPLICATE, DUPLICATES, INSERTED, MODEL, UPDATED, ApplyResult, model_columns,
+    DEST, DUPLICATE, DUPLICATES, INSERTED, MODEL, UPDATED, ApplyResult, aligned, model_columns,
 )
 from millrace.operators.windows import first_by
 from millrace.plans.matching import (
@@ -61,8 +61,8 @@ def apply_history(
     ones take part in the joins. A change on the day a version started leaves its end before
     its start.
     """
+    load, spec = aligned(load, target, spec)
     keys, end, types = spec.history_keys, spec.end, spec.types
-    load = load.select(*model_columns(load))
     facts = examine(load, keys, types, spec.case_blind) if check_keys else (
         LoadFacts() if small_load is not None else size_of(load)
     )
@@ -96,7 +96,7 @@ def final_versions(spec: MappingSpec) -> str:
 def _closing(spec: MappingSpec, target: DataFrame, new: Callable[[str], Column]) -> dict[str, Column]:
     """What a changed row writes into the version it closes."""
     new_end = end_before(new(spec.start), spec.types[spec.end]).cast(target.schema[spec.end].dataType)
-    return {spec.end: new_end} | {c: new(c) for c in (BATCH_ID, UPDATED_AT) if c in target.columns}
+    return {spec.end: new_end} | {c: new(c) for c in target.columns if c.upper() in (BATCH_ID, UPDATED_AT)}
 
 
 def _one_row_per_key(load: DataFrame, open_versions: DataFrame, spec: MappingSpec, small: bool) -> DataFrame:
@@ -136,7 +136,7 @@ def _several_rows_per_key(
         f"load of record {spec.record_id}, new versions",
     )
     changes = applied.filter(F.col(FLAG) == UPDATED).select(
-        *dict.fromkeys([*keys, start, *(c for c in (BATCH_ID, UPDATED_AT) if c in load.columns)])
+        *dict.fromkeys([*keys, start, *(c for c in load.columns if c.upper() in (BATCH_ID, UPDATED_AT))])
     )
     if small:
         changes = F.broadcast(changes)
@@ -166,9 +166,9 @@ def apply_history_legacy(
     all its previous values are NULL or one of them differs, and ends where the next kept
     row starts. Model rows of other starts are neither read again nor ended anew.
     """
+    load, spec = aligned(load, target, spec)
     keys, start, end, compared = spec.history_keys, spec.start, spec.end, spec.history_columns
     types = spec.types
-    load = load.select(*model_columns(load))
     at = [*keys, start]
     folded_keys = [f"__key_{i}" for i in range(len(keys))]
     as_keys = {
@@ -188,7 +188,7 @@ def apply_history_legacy(
         allowMissingColumns=True,
     )
     tie_break = [F.col(BATCH_ID).asc(), F.col("__incoming").asc()]
-    tie_break += [F.col(f"`{c}`").asc() for c in load.columns if c not in (*at, BATCH_ID)]
+    tie_break += [F.col(f"`{c}`").asc() for c in load.columns if c not in at and c.upper() != BATCH_ID]
     spot = [folded(F.col(f"`{c}`"), types.get(c), spec.case_blind) for c in at]
     single = first_by(merged, spot, tie_break).drop("__incoming")
 

@@ -111,7 +111,7 @@ def rows_of_interest(
     wanted = target.filter(~null_key(keys)).select(*dict.fromkeys([*keys, *columns]))
     if not small:
         return wanted
-    known = load.filter(~null_key(keys)).select(*keys).distinct()
+    known = load.filter(~null_key(keys)).select(*keys)
     return (
         wanted.alias("old")
         .join(F.broadcast(known.alias("new")), key_equal("old", "new", keys, types, case_blind), "left_semi")

@@ -170,6 +170,11 @@ class MappingSpec:
         skip = {*self.primary_key, self.job_start}
         return [c.name for c in self.mapped if c.name not in skip]
 
+    def spelled(self, names: dict[str, str]) -> MappingSpec:
+        """The same spec with column names spelled as given by their upper case."""
+        columns = tuple(replace(c, name=names.get(c.name.upper(), c.name)) for c in self.columns)
+        return replace(self, columns=columns)
+
     def resolved(self) -> MappingSpec:
         """HISTORY whose start date does not come from the job is a history rebuild."""
         if self.load_type == HISTORY and not self.start_from_job:

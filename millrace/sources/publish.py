@@ -4,9 +4,10 @@ Each load writes its rows as a version of their own and then adds one line to th
 commit list, naming the versions that make up the table from now on. Readers follow the
 last line, so they see all of a load or none, and a load may read the version it replaces.
 
-Only what a load changes is written: an insert adds a version, a delete-insert adds one and
-masks the record id in older ones, and a close-and-insert history leaves closed versions,
-which are stored apart, where they are. Upserts and rebuilds write the table anew.
+Only what a load changes is written: an insert adds a version; a delete-insert adds one and
+masks the record id in older ones, a merge the partitions it reached; a close-and-insert
+history leaves closed versions, which are stored apart, where they are. Upserts and rebuilds
+write the table anew.
 """
 
 from __future__ import annotations
@@ -15,30 +16,35 @@ import json
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.predicates import all_of, any_of
 from millrace.operators.apply import DEST, DUPLICATES, MODEL, ApplyResult
-from millrace.plans.spec import RECORD_ID
 
 VERSION = "VERSION"
 FINAL = "final"
 _COMMIT = (
     "number long, schema string, final string, "
-    "model array<struct<version:long,without:array<int>,parts:array<string>>>, duplicates array<long>"
+    "model array<struct<version:long,without:map<string,array<string>>,parts:array<string>>>, "
+    "duplicates array<long>"
 )
 
 
 @dataclass(frozen=True)
 class Part:
-    """Rows of one version that belong to the model: some record ids masked, or only final rows."""
+    """Rows of one version that belong to the model: some column values masked, or only final rows."""
 
     version: int
-    without: tuple[int, ...] = ()
+    without: tuple[tuple[str, tuple[str, ...]], ...] = ()
     parts: tuple[str, ...] = (MODEL, FINAL)
 
+    def masking(self, column: str, values: tuple[str, ...]) -> Part:
+        masks = dict(self.without)
+        masks[column] = tuple(sorted({*masks.get(column, ()), *values}))
+        return replace(self, without=tuple(sorted(masks.items())))
+
 
 @dataclass(frozen=True)
 class Commit:
@@ -78,7 +84,10 @@ def last_commit(spark: SparkSession, root: str, table: str) -> Commit:
         last["number"],
         T.StructType.fromJson(json.loads(last["schema"])),
         last["final"],
-        tuple(Part(m["version"], tuple(m["without"]), tuple(m["parts"])) for m in last["model"]),
+        tuple(
+            Part(m["version"], tuple(sorted((c, tuple(v)) for c, v in m["without"].items())), tuple(m["parts"]))
+            for m in last["model"]
+        ),
         tuple(last["duplicates"]),
     )
 
@@ -93,7 +102,7 @@ def publish(spark: SparkSession, root: str, table: str, result: ApplyResult) ->
     number = last.number + 1
     rows, older, final = result.outcome, (), result.final
     if result.replaces is not None:
-        older = tuple(replace(p, without=tuple(sorted({*p.without, result.replaces}))) for p in last.model)
+        older = tuple(p.masking(*result.replaces) for p in last.model)
         final = last.final
     elif result.appends:
         older, final = last.model, last.final
@@ -115,7 +124,7 @@ def publish(spark: SparkSession, root: str, table: str, result: ApplyResult) ->
     )
     line = (
         number, commit.schema.json(), final,
-        [(p.version, list(p.without), list(p.parts)) for p in commit.model], list(commit.duplicates),
+        [(p.version, {c: list(v) for c, v in p.without}, list(p.parts)) for p in commit.model], list(commit.duplicates),
     )
     spark.createDataFrame([line], _COMMIT).coalesce(1).write.mode("append").json(_commits(root, table))
     return commit
@@ -132,11 +141,16 @@ def _read(spark: SparkSession, root: str, table: str, commit: Commit, versions:
     )
 
 
+def _is_one_of(commit: Commit, column: str, values: tuple[str, ...]) -> Column:
+    kind = next(f.dataType for f in commit.schema.fields if f.name.upper() == column.upper())
+    return F.col(f"`{column}`").isin([F.lit(v).cast(kind) for v in values])
+
+
 def read_model(spark: SparkSession, root: str, table: str, commit: Commit | None = None) -> DataFrame:
     """The model table as of a commit, the last one unless given.
 
     Versions and parts are folders, so what no longer belongs to the table is not read;
-    masked record ids are filtered out in the scan.
+    masked values are filtered out in the scan.
     """
     commit = commit or last_commit(spark, root, table)
     alike: dict[tuple, list[int]] = {}
@@ -149,9 +163,9 @@ def read_model(spark: SparkSession, root: str, table: str, commit: Commit | None
         )
     )
     masks = [
-        ~(F.col(VERSION).isin(versions) & F.coalesce(F.col(RECORD_ID).isin(*without), F.lit(False)))
+        ~(F.col(VERSION).isin(versions) & F.coalesce(_is_one_of(commit, column, values), F.lit(False)))
         for (without, _), versions in alike.items()
-        if without
+        for column, values in without
     ]
     return (rows.filter(all_of(masks)) if masks else rows).drop(VERSION, DEST)
 

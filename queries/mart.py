@@ -74,16 +74,19 @@ def line_counts(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("lines"))
 
 
-def partitioned_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The open lines of flags A and R merged into a mart partitioned by flag; flag N is not reached."""
-    stage = line_counts(spark, sf_dir, "l_returnflag <> 'N' AND l_linestatus = 'O'").select(
+def line_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The open lines of flags A and R; flag N is not reached."""
+    return line_counts(spark, sf_dir, "l_returnflag <> 'N' AND l_linestatus = 'O'").select(
         "*", F.lit(7).alias("batch_id"), moment(AS_OF).alias("dump_dttm")
     )
-    mart = line_counts(spark, sf_dir, "l_linestatus = 'F'").select(
+
+
+def line_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The finished lines of all flags."""
+    return line_counts(spark, sf_dir, "l_linestatus = 'F'").select(
         "*", F.lit(3).alias("batch_id"), moment("2020-01-01").alias("insrt_dttm"),
         F.lit(None).cast("timestamp_ntz").alias("updt_dttm"), moment("2020-01-01").alias("dump_dttm"),
     )
-    return load_mart(stage, mart, LINES, AS_OF)
 
 
 def order_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +142,7 @@ QUERIES = {
     "new_mart_rows": lambda s, d: new_mart_rows(pair_stage(s, d), pair_mart(s, d), PAIRS.keys, AS_OF),
     "load_mart_merge": lambda s, d: load_mart(order_stage(s, d), order_mart(s, d), ORDERS, AS_OF),
     "load_mart_all_keys": lambda s, d: load_mart(pair_stage(s, d), pair_mart(s, d), PAIRS, AS_OF),
-    "load_mart_partitioned": partitioned_merge,
+    "load_mart_partitioned": lambda s, d: load_mart(line_stage(s, d), line_mart(s, d), LINES, AS_OF),
     "append_archive": lambda s, d: append_archive(order_stage(s, d), order_archive(s, d)),
 }
 ORACLES = {

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.apply import apply_delete_insert, apply_insert
 from millrace.operators.history import apply_history, final_versions
+from millrace.operators.mart import apply_mart
 from millrace.plans.spec import RECORD_ID
 from millrace.sources.dictionary import SourceColumn, SourceTable, tables_from_dictionary
 from millrace.sources.landed import read_landed, stage, text_schema
@@ -19,6 +20,8 @@ from queries.apply import _upsert, line_load, line_model, order_load, order_mode
 from queries.common import AS_OF, fresh_folder, table
 from queries.history import ORACLES as HISTORY_SQL
 from queries.history import ORDER_VERSIONS, version_load, version_model
+from queries.mart import LINES, line_mart, line_stage
+from queries.mart import ORACLES as MART_SQL
 
 ORDERS = SourceTable("SALES", "orders", (
     SourceColumn("o_orderkey", "BIGINT", key=True),
@@ -121,6 +124,14 @@ def _published_history(spark, sf_dir):
     return read_model(spark, folder, "VERSIONS")
 
 
+def _published_mart(spark, sf_dir):
+    """Line counts published, then merged: only the partitions of flags A and R are written again."""
+    folder = fresh_folder(spark)
+    mart = truncate_load(line_mart(spark, sf_dir), folder, "LINES")
+    publish(spark, folder, "LINES", apply_mart(line_stage(spark, sf_dir), mart, LINES, AS_OF))
+    return read_model(spark, folder, "LINES")
+
+
 def _spec_table(spark, sf_dir):
     """Key/value pairs written as CSV and read back as a spec table."""
     folder = fresh_folder(spark)
@@ -172,6 +183,7 @@ QUERIES = {
     "publish_insert": _published_insert,
     "publish_delete_insert": _published_slice,
     "publish_history": _published_history,
+    "publish_mart": _published_mart,
     "read_spec": _spec_table,
 }
 ORACLES = {
@@ -200,6 +212,7 @@ ORACLES = {
     "publish_insert": INSERT_SQL + f"SELECT * FROM model UNION ALL SELECT {ALL} FROM flagged WHERE FLAG = 'I'",
     "publish_delete_insert": DELETE_INSERT_SQL,
     "publish_history": HISTORY_SQL["apply_history"],
+    "publish_mart": MART_SQL["load_mart_partitioned"],
     "read_spec": """
         SELECT n_name AS name, CASE WHEN n_regionkey > 0 THEN CAST(n_regionkey AS VARCHAR) ELSE '' END AS value
         FROM nation""",

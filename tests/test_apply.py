@@ -173,3 +173,14 @@ def test_examine_measures_and_finds_repeats(spark):
     assert examine(df.filter("k = 1 OR k IS NULL"), ["k"]).repeated is None
     nested = df.select("k", F.array(F.repeat("v", F.lit(1000))).alias("a"))
     assert size_of(nested).bytes > 1_000_000
+
+
+def test_letter_case_of_names_does_not_matter(spark):
+    target = spark.createDataFrame([(1, "a", 1, OLD), (2, "b", 1, OLD)], "Id int, val string, b_id long, updt_dttm timestamp_ntz")
+    load = spark.createDataFrame([(1, "x", 2, NEW), (3, "c", 2, NEW)], "ID int, VAL string, B_ID long, UPDT_DTTM timestamp_ntz")
+    spec = MappingSpec(1, "T", "UPSERT", (ColumnSpec("id", "INTEGER", pk=True), ColumnSpec("Val", "VARCHAR(5)")))
+    expected = [(1, "x", 2, NEW), (2, "b", 1, OLD), (3, "c", 2, NEW)]
+    for small in (True, False):
+        found = apply_upsert(load, target, spec, small_load=small).target
+        assert rows(found) == expected and found.columns == target.columns
+    assert rows(apply_insert(load, target, spec).target, "Id", "val") == [(1, "a"), (2, "b"), (3, "c")]

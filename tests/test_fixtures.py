@@ -1,0 +1,94 @@
+"""Counts worked out beforehand for loads derived from the given tables."""
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from millrace.operators.apply import apply_delete_insert, apply_insert, apply_upsert
+from millrace.operators.history import apply_history, apply_history_legacy
+from millrace.operators.keys import load_surrogates
+from millrace.plans.spec import ColumnSpec, MappingSpec, SurrogateSpec
+
+SF = "/root/testdata/sf0.01"
+HIGH = "DATE '9999-12-31'"
+
+
+def table(spark, name):
+    return spark.read.parquet(f"{SF}/{name}.parquet")
+
+
+def counts(df):
+    return dict(df.groupBy("FLAG").count().collect())
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_customer_upsert_and_insert(spark, small):
+    spec = MappingSpec(1, "CUSTOMER", "UPSERT", (
+        ColumnSpec("c_custkey", "BIGINT", pk=True), ColumnSpec("c_name", "VARCHAR(30)"),
+        ColumnSpec("c_acctbal", "FLOAT"),
+    ))
+    customer = table(spark, "customer").select("c_custkey", "c_name", "c_acctbal")
+    target = customer.filter("c_custkey % 5 <> 0")
+    load = customer.filter("c_custkey % 3 = 0").withColumn("c_acctbal", F.expr("c_acctbal + if(c_custkey % 2 = 0, 1, 0)"))
+    assert counts(apply_upsert(load, target, spec, small_load=small).flagged) == {"I": 100, "D": 200, "U": 200}
+    assert counts(apply_insert(load, target, spec, small_load=small).flagged) == {"I": 100, "D": 200, "X": 200}
+    assert apply_upsert(load, target, spec, small_load=small).target.count() == 1300
+
+
+def test_order_delete_insert(spark):
+    orders = table(spark, "orders").select("o_orderkey", "o_totalprice", F.expr("cast(o_orderkey % 4 AS int)").alias("R_ID"))
+    load = orders.filter("o_orderkey % 8 = 1").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    found = apply_delete_insert(load, orders, 1).target
+    assert found.count() == 13125 and found.filter("R_ID = 1").count() == 1875
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_supplier_history(spark, small):
+    spec = MappingSpec(1, "SUPPLIER", "HISTORY", (
+        ColumnSpec("s_suppkey", "BIGINT", pk=True, role="HKEY"), ColumnSpec("s_acctbal", "FLOAT", role="HCOL"),
+        ColumnSpec("strt", "DATE", role="S", source_table="JOB"), ColumnSpec("ends", "DATE", role="E", source_table="JOB"),
+    ))
+    supplier = table(spark, "supplier").select("s_suppkey", "s_acctbal")
+    target = supplier.select("*", F.lit("2020-01-01").cast("date").alias("strt"), F.expr(HIGH).alias("ends"))
+    even = supplier.filter("s_suppkey % 2 = 0").withColumn("s_acctbal", F.expr("s_acctbal + if(s_suppkey % 4 = 0, 1, 0)"))
+    load = even.union(even.withColumn("s_suppkey", F.col("s_suppkey") + 100000)).select(
+        "*", F.lit("2024-06-01").cast("date").alias("strt"), F.expr(HIGH).alias("ends")
+    )
+    result = apply_history(load, target, spec, small_load=small)
+    assert counts(result.flagged) == {"D": 25, "U": 25, "I": 50}
+    assert result.target.count() == 175
+    assert result.target.filter("ends = DATE '2024-05-31'").count() == 25
+
+
+def test_order_rebuild(spark):
+    spec = MappingSpec(1, "ORDERS", "HISTORY_LEGACY", (
+        ColumnSpec("k", "BIGINT", pk=True, role="HKEY"), ColumnSpec("sts", "VARCHAR(2)", role="HCOL"),
+        ColumnSpec("s", "TIMESTAMP", role="S", source_table="orders"), ColumnSpec("e", "TIMESTAMP", role="E"),
+    ))
+    orders = table(spark, "orders").select(
+        F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("sts"), F.col("o_orderdate").alias("s"),
+        F.lit("9999-12-31 23:59:59.999999").cast("timestamp_ntz").alias("e"), F.col("o_orderkey").alias("B_ID"),
+    )
+    load = orders.filter("B_ID % 2 = 1")
+    again = load.filter("B_ID % 7 = 1").withColumns({"sts": F.lit("Z"), "B_ID": F.lit(0).cast("long")})
+    target = again.union(orders.filter("B_ID % 10 = 0"))
+    assert (load.count(), target.count()) == (7500, 2572)
+    for hot_rows in (1_000_000, 5):
+        model = apply_history_legacy(load, target, spec, hot_rows=hot_rows).target
+        spots = load.select("k", "s").distinct()
+        assert spots.count() == 7493
+        assert model.join(spots, ["k", "s"], "left_semi").count() == 5881
+
+
+def test_customer_surrogates(spark):
+    customer = table(spark, "customer").select(F.col("c_custkey").cast("string").alias("nat"))
+    numbered = customer.select(F.col("nat").cast("long").alias("id"), "nat")
+    sgk = numbered.select(
+        (F.col("id") + 10).alias("K"), F.col("nat").alias("SRC"),
+        F.expr("cast(if(id % 3 = 0, 1, 2) AS smallint)").alias("SGK_ID"),
+    ).selectExpr("*", "1 AS R_ID", "1L AS B_ID", "timestamp_ntz'2020-01-01' AS INSRT_DTTM", "timestamp_ntz'2020-01-01' AS UPDT_DTTM")
+    spec = SurrogateSpec(1, "C_SGK", "K", "SRC", "VARCHAR(20)", 1, "SRC", "customer", "nat")
+    log = spark.createDataFrame([(5, "SRC")], "B_ID long, B_SOURCE string")
+    new = load_surrogates({"customer": customer}, sgk, spec, log, "2024-06-01")
+    (found,) = rows(new.agg(F.count("K"), F.countDistinct("K"), F.min("K"), F.max("K")))
+    assert found == (1000, 1000, 1510, 2509)

@@ -254,3 +254,14 @@ def test_first_by(spark):
     df = spark.createDataFrame([(1, 3), (1, 1), (1, 2), (2, 5)], "k int, v int")
     assert rows(first_by(df, ["k"], ["v"])) == [(1, 1), (2, 5)]
     assert rows(first_by(df, ["k"], [F.col("v").desc()], n=2)) == [(1, 2), (1, 3), (2, 5)]
+
+
+def test_letter_case_of_names_does_not_matter(spark):
+    target = table(spark, [(1, "a", 1, day(0), HIGH)])
+    lower = target.toDF(*(c.lower() for c in target.columns))
+    load = table(spark, [(1, "b", 1, day(10), HIGH)], batch=2)
+    expected = [("a", day(0), day(9), 2), ("b", day(10), HIGH, 2)]
+    assert rows(apply_history(load, lower, spec("A")).target, "a", "s", "e", "b_id") == expected
+    several = load.union(table(spark, [(1, "a", 1, day(5), HIGH)], batch=2))
+    assert rows(apply_history(several, lower, spec("A")).target, "a", "s", "e", "b_id") == expected
+    assert rows(apply_history_legacy(load, lower, spec("A")).target, "a", "s", "e") == [("a", day(0), HIGH), ("b", day(10), HIGH)]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.apply import apply_delete_insert, apply_insert, apply_upsert
 from millrace.operators.history import apply_history
+from millrace.operators.mart import apply_mart
 from millrace.plans.spec import ColumnSpec, MappingSpec, SpecError
 from millrace.sources.dictionary import SourceColumn, SourceTable, derive_type, tables_from_dictionary
 from millrace.sources.landed import read_landed, stage, text_schema
@@ -150,7 +151,7 @@ def test_replaced_record_ids_are_masked_not_rewritten(spark, tmp_path):
     first = load_of(spark, [(1, "a")], 1).union(load_of(spark, [(2, "b")], 2)).union(load_of(spark, [(3, "n")], None))
     model = truncate_load(first, root, "T")
     commit = publish(spark, root, "T", apply_delete_insert(load_of(spark, [(9, "z")], 2), model, 2))
-    assert [(p.version, p.without) for p in commit.model] == [(1, (2,)), (2, ())]
+    assert [(p.version, p.without) for p in commit.model] == [(1, (("R_ID", ("2",)),)), (2, ())]
     assert rows(read_model(spark, root, "T"), "ID") == [(1,), (3,), (9,)]
     publish(spark, root, "T", apply_delete_insert(load_of(spark, []), read_model(spark, root, "T"), 2))
     assert rows(read_model(spark, root, "T"), "ID") == [(1,), (3,)]
@@ -186,3 +187,37 @@ def test_closed_versions_are_not_written_again(spark, tmp_path):
     assert [(p.version, p.parts) for p in commit.model] == [(2, ("final",)), (3, ("final",)), (4, ("model", "final"))]
     written = spark.read.parquet(f"{root}/H/data").groupBy("VERSION").count().collect()
     assert dict(map(tuple, written)) == {1: 3, 2: 4, 3: 3, 4: 3}
+
+
+def test_a_merge_replaces_the_partitions_it_reaches(spark, tmp_path):
+    root, at = str(tmp_path), dt.datetime(2024, 6, 1)
+    table = SourceTable("s", "t", (
+        SourceColumn("d", "DATE", key=True, partition=True), SourceColumn("id", "INTEGER", key=True),
+        SourceColumn("val", "VARCHAR(5)"),
+    ))
+    mart_columns = "d date, id int, val string, batch_id int, insrt_dttm timestamp_ntz, updt_dttm timestamp_ntz, dump_dttm timestamp_ntz"
+    days = [dt.date(2024, 1, n) for n in (1, 2, 3)]
+
+    def stage_of(*values):
+        return spark.createDataFrame(
+            [(d, i, v, 2, at) for d, i, v in values], "d date, id int, val string, batch_id int, dump_dttm timestamp_ntz"
+        )
+
+    first = [(d, i, "old", 1, at, None, at) for d in days for i in (1, 2)] + [(None, 1, "old", 1, at, None, at)]
+    mart = truncate_load(spark.createDataFrame(first, mart_columns), root, "M")
+    publish(spark, root, "M", apply_mart(stage_of((days[1], 1, "new"), (days[1], 9, "add")), mart, table, at))
+    commit = publish(
+        spark, root, "M",
+        apply_mart(stage_of((days[2], 2, "new"), (None, 1, "null")), read_model(spark, root, "M"), table, at),
+    )
+    assert rows(read_model(spark, root, "M"), "d", "id", "val") == rows(spark.createDataFrame([
+        (None, 1, "null"), (None, 1, "old"), (days[0], 1, "old"), (days[0], 2, "old"), (days[1], 1, "new"),
+        (days[1], 2, "old"), (days[1], 9, "add"), (days[2], 1, "old"), (days[2], 2, "new"),
+    ], "d date, id int, val string"))
+    assert commit.model[0].without == (("d", ("2024-01-02", "2024-01-03")),)
+    written = dict(map(tuple, spark.read.parquet(f"{root}/M/data").groupBy("VERSION").count().collect()))
+    assert written == {1: 7, 2: 3, 3: 3}
+    keys_only = SourceTable("s", "t", table.columns[:2])
+    added = apply_mart(stage_of((days[0], 7, "x"), (days[0], 1, "x")), read_model(spark, root, "M"), keys_only, at)
+    publish(spark, root, "M", added)
+    assert read_model(spark, root, "M").count() == 10
