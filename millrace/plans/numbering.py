@@ -68,7 +68,8 @@ def number_rows(
     ``counted``), so a value that fills a third of the table is one row here. Distinct rows
     are range-partitioned in order, ties by all columns, and frozen so that the ranges cannot
     change. They are numbered within their range above the total of the ranges before it;
-    those totals, one row per range, are all that comes to the driver.
+    those totals, one row per range and so at most one per shuffle partition, are all that
+    comes to the driver. Adaptive execution joins neighbouring small ranges.
     """
     spark = df.sparkSession
     if counted is None:
@@ -76,9 +77,8 @@ def number_rows(
         df = df.groupBy(*(F.col(f"`{c}`") for c in df.columns)).agg(F.count(F.lit(1)).alias(counted))
     columns = [c for c in df.columns if c != counted]
     ordering = [*order, *(F.col(f"`{c}`").asc() for c in columns)]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = frozen(
-        df.repartitionByRange(parts, *ordering)
+        df.repartitionByRange(*ordering)
         .sortWithinPartitions(*ordering)
         .withColumn("__at", F.monotonically_increasing_id())
     ).withColumns({"__part": F.shiftright("__at", _PART_BITS), "__row": F.col("__at").bitwiseAND((1 << _PART_BITS) - 1)})
