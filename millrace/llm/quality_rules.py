@@ -45,7 +45,7 @@ BASE = (
 RULES = (
     *BASE,
     Rule("symbols", ("n_words", "n_symbols"), "100 * n_symbols > 10 * n_words"),
-    Rule("repeated_lines", ("n_lines", "n_dup_lines"), "100 * n_dup_lines > 30 * n_lines"),
+    Rule("repeated_lines", ("n_lines", "n_dup_lines"), "n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines"),
     Rule("word_length", ("n_words", "word_chars"), "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
 )
 
