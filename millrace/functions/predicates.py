@@ -27,8 +27,10 @@ def any_null(columns: Iterable[Column]) -> Column:
 
 
 def folded(value: Column, ctype: ColumnType | None, case_blind: bool) -> Column:
-    """Text compares ignoring case when asked to; everything else as it is."""
-    if case_blind and ctype is not None and ctype.kind == "text":
+    """Text compares ignoring case when asked to or declared so; everything else as it is."""
+    if case_blind and ctype is None:
+        raise ValueError("comparing without regard to case needs the type of every key")
+    if ctype is not None and ctype.kind == "text" and (case_blind or ctype.blind):
         return F.collate(value, CASE_BLIND)
     return value
 

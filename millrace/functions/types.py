@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +30,8 @@ _WHOLE_NUMBERS = {
     "BIGINT": T.LongType(),
     "FLOAT": T.DoubleType(),
 }
+NOT_CASESPECIFIC = " NOT CASESPECIFIC"
+_CHARACTER_SET = re.compile(r" CHARACTER SET \w+$")
 _DECLARED = re.compile(r"([A-Z][A-Z0-9 ]*?)\s*(?:\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\))?")
 
 
@@ -42,11 +44,18 @@ class ColumnType:
     spark: T.DataType
     digits: int | None = None
     length: int | None = None
+    blind: bool = False
 
 
 def parse_type(text: str) -> ColumnType:
-    """Read a declared type such as ``DECIMAL(12,2)``; a bare TIMESTAMP has six digits."""
+    """Read a declared type such as ``DECIMAL(12,2)``; a bare TIMESTAMP has six digits.
+
+    Text declared NOT CASESPECIFIC compares ignoring case; a character set says nothing here.
+    """
     declared = " ".join(text.upper().split())
+    if declared.endswith(NOT_CASESPECIFIC):
+        return replace(parse_type(declared.removesuffix(NOT_CASESPECIFIC)), blind=True)
+    declared = _CHARACTER_SET.sub("", declared)
     match = _DECLARED.fullmatch(declared)
     if match is None:
         raise ValueError(f"cannot read the type {text!r}")

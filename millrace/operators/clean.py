@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,8 +14,6 @@ BLANKS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-LONG_LIST = 1000
-"""Longer value lists are joined instead of written into the filter."""
 
 
 def _columns_of(df: DataFrame, *types: type) -> list[str]:
@@ -47,34 +45,28 @@ def truncate_floats(df: DataFrame, columns: Iterable[str] | None = None) -> Data
 def filter_in(df: DataFrame, filters: Sequence[tuple[str, Sequence | DataFrame]]) -> DataFrame:
     """Rows whose columns are in the given lists, all of them; a list may be a table of one column.
 
-    Short lists are pushed into the scan; long ones become a semi join.
+    Lists are pushed into the scan, a table becomes a semi join.
     """
     for column, values in filters:
         if isinstance(values, DataFrame):
             wanted = values.toDF("__wanted")
-        elif len(values) > LONG_LIST:
-            schema = T.StructType([T.StructField("__wanted", df.schema[column].dataType)])
-            wanted = df.sparkSession.createDataFrame([(v,) for v in values], schema)
+            df = df.join(wanted, F.col(f"`{column}`") == F.col("__wanted"), "left_semi")
         else:
             df = df.filter(F.col(f"`{column}`").isin(list(values)))
-            continue
-        df = df.join(wanted, F.col(f"`{column}`") == F.col("__wanted"), "left_semi")
     return df
 
 
 def rename_reserved(df: DataFrame, words: DataFrame, source: str, columns: Iterable[str]) -> DataFrame:
     """Append ``_`` to values that are reserved words of a source.
 
-    ``words`` has the columns ``Reserved words source`` and ``Reserved words``.
+    ``words`` has the columns ``Reserved words source`` and ``Reserved words``. It is metadata, a
+    list of words per source, and read like the other spec tables; the values are compared in place.
     """
-    reserved = (
-        words.filter(F.col("Reserved words source") == source)
-        .select(F.col("Reserved words").alias("__word"))
-        .distinct()
-    )
-    for c in columns:
-        value = F.col(f"v.`{c}`")
-        renamed = F.when(F.col("w.__word").isNotNull(), F.concat(value, F.lit("_"))).otherwise(value)
-        joined = df.alias("v").join(reserved.alias("w"), value == F.col("w.__word"), "left")
-        df = joined.select(*(renamed.alias(c) if k == c else F.col(f"v.`{k}`") for k in df.columns))
-    return df
+    wanted = words.filter(F.col("Reserved words source") == source).select("Reserved words").distinct()
+    reserved = [row[0] for row in wanted.collect() if row[0] is not None]
+
+    def renamed(c: str) -> Column:
+        value = F.col(f"`{c}`")
+        return F.when(value.isin(reserved), F.concat(value, F.lit("_"))).otherwise(value) if reserved else value
+
+    return df.withColumns({c: renamed(c) for c in columns})

@@ -20,26 +20,27 @@ from millrace.plans.neighbours import HOT_ROWS, long_keys, neighbours, with_segm
 from millrace.plans.spec import BATCH_ID, FLAG, UPDATED_AT, MappingSpec
 
 
-def _ending_open(load: DataFrame, spec: MappingSpec) -> DataFrame:
-    """A load row is an open version; one that ends before the high date fails the query."""
-    ends_open = F.col(f"`{spec.end}`").eqNullSafe(high_value(spec.types[spec.end]))
-    message = F.lit(f"record {spec.record_id}: a load row does not end at the high date")
-    return load.filter(F.when(ends_open, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+def _open(spec: MappingSpec) -> Column:
+    """Whether a row is an open version; false for a missing end date."""
+    return F.coalesce(F.col(f"`{spec.end}`") == high_value(spec.types[spec.end]), F.lit(False))
 
 
-def flag_versions(load: DataFrame, target: DataFrame, spec: MappingSpec, small: bool) -> DataFrame:
-    """Flag load rows against the open version of their history key: new, equal or changed."""
-    keys, start, end = spec.history_keys, spec.start, spec.end
-    types = spec.types
-    load = _ending_open(load.select(*model_columns(load)), spec)
+def flag_versions(
+    load: DataFrame, versions: DataFrame, spec: MappingSpec, small: bool, match: list[str] | None = None
+) -> DataFrame:
+    """Flag load rows against the version of their history key and end date: new, equal or changed.
+
+    ``match`` are the columns of both sides that are compared; the history key alone when both
+    hold open versions only.
+    """
+    keys, start, types = spec.history_keys, spec.start, spec.types
+    match = match or [*keys, spec.end]
+    load = load.select(*model_columns(load))
     needs = [*keys, start]
     keyed = load.filter(~null_key(needs))
-    open_versions = rows_of_interest(
-        target.filter(F.col(f"`{end}`") == high_value(types[end])),
-        keyed, keys, spec.history_columns, small, types, spec.case_blind,
-    )
+    candidates = rows_of_interest(versions, keyed, match, spec.history_columns, small, types, spec.case_blind)
     joined = keyed.alias("new").join(
-        open_versions.alias("old"), key_equal("new", "old", keys, types, spec.case_blind), "left"
+        candidates.alias("old"), key_equal("new", "old", match, types, spec.case_blind), "left"
     )
     same = all_of(
         sentinel_equal(F.col(f"new.`{c}`"), F.col(f"old.`{c}`"), types[c], spec.case_blind)
@@ -54,29 +55,39 @@ def flag_versions(load: DataFrame, target: DataFrame, spec: MappingSpec, small:
 def apply_history(
     load: DataFrame, target: DataFrame, spec: MappingSpec, check_keys: bool = True, small_load: bool | None = None
 ) -> ApplyResult:
-    """Close the open version of changed keys, insert new and changed rows, set equal rows aside.
+    """Close the version a changed row meets, insert new and changed rows, set equal rows aside.
+
+    A load row meets the model row of its key and its own end date. A closed version ends one
+    unit of the end date's type before the new start and takes batch and update time from
+    the load. A change on the day a version started leaves its end before its start.
 
-    A closed version ends one unit of the end date's type before the new start and takes
-    batch and update time from the load. Closed versions pass through untouched: only open
-    ones take part in the joins. A change on the day a version started leaves its end before
-    its start.
+    In the usual load every row is open: it meets open versions only, and closed ones pass
+    through untouched. Where ends come from the source, rows may also meet closed versions;
+    a row without an end date meets none and is new.
     """
     load, spec = aligned(load, target, spec)
-    keys, end, types = spec.history_keys, spec.end, spec.types
-    facts = examine(load, keys, types, spec.case_blind) if check_keys else (
+    keys, types = spec.history_keys, spec.types
+    if load.filter(~_open(spec)).isEmpty():
+        match, closed = keys, target.filter(~_open(spec))
+        versions = target.filter(F.col(f"`{spec.end}`") == high_value(types[spec.end]))
+    else:
+        match, closed, versions = [*keys, spec.end], None, target
+        need_unique(
+            examine(load, [*keys, spec.start], types, spec.case_blind),
+            f"load of record {spec.record_id} by key and start",
+        )
+    facts = examine(load, match, types, spec.case_blind) if check_keys else (
         LoadFacts() if small_load is not None else size_of(load)
     )
     small = facts.small if small_load is None else small_load
-    open_end = high_value(types[end])
-    open_versions = target.filter(F.col(f"`{end}`") == open_end)
-    closed = target.filter((F.col(f"`{end}`") != open_end) | F.col(f"`{end}`").isNull())
-    flagged = flag_versions(load, target, spec, small)
+    flagged = flag_versions(load, versions, spec, small, match)
     if facts.repeated is None:
-        outcome = _one_row_per_key(load, open_versions, spec, small)
+        outcome = _one_row_per_key(load, versions, spec, small, match)
     else:
-        outcome = _several_rows_per_key(load, flagged, open_versions, spec, small)
+        outcome = _several_rows_per_key(load, flagged, versions, spec, small, match)
+    model = outcome.filter(F.col(DEST) == MODEL).drop(DEST)
     return ApplyResult(
-        target=closed.unionByName(outcome.filter(F.col(DEST) == MODEL).drop(DEST)),
+        target=model if closed is None else closed.unionByName(model),
         duplicates=flagged.filter(F.col(FLAG) == DUPLICATE).drop(FLAG),
         flagged=flagged,
         outcome=outcome,
@@ -99,21 +110,23 @@ def _closing(spec: MappingSpec, target: DataFrame, new: Callable[[str], Column])
     return {spec.end: new_end} | {c: new(c) for c in target.columns if c.upper() in (BATCH_ID, UPDATED_AT)}
 
 
-def _one_row_per_key(load: DataFrame, open_versions: DataFrame, spec: MappingSpec, small: bool) -> DataFrame:
-    """The usual load: each open version meets at most one row, so one join decides both."""
-    types, columns = spec.types, open_versions.columns
-    keyed = _ending_open(load, spec).filter(~null_key([*spec.history_keys, spec.start]))
-    pairs = paired(open_versions, keyed, spec.history_keys, small, types, spec.case_blind)
+def _one_row_per_key(
+    load: DataFrame, versions: DataFrame, spec: MappingSpec, small: bool, match: list[str]
+) -> DataFrame:
+    """The usual load: each version meets at most one row, so one join decides both."""
+    types, columns = spec.types, versions.columns
+    keyed = load.filter(~null_key([*spec.history_keys, spec.start]))
+    pairs = paired(versions, keyed, match, small, types, spec.case_blind)
     old, new = pairs.old, pairs.new
     same = pairs.has_old & pairs.has_new & all_of(
         sentinel_equal(new(c), old(c), types[c], spec.case_blind) for c in spec.history_columns
     )
-    closing, changed = _closing(spec, open_versions, new), pairs.has_new & ~F.col("__same")
+    closing, changed = _closing(spec, versions, new), pairs.has_old & pairs.has_new & ~F.col("__same")
     return pairs.emitted(
         {c: F.when(changed, closing[c]).otherwise(old(c)) if c in closing else old(c) for c in columns}
         | {DEST: F.lit(MODEL)},
         {
-            c: (new(c) if c in load.columns else F.lit(None)).cast(open_versions.schema[c].dataType)
+            c: (new(c) if c in load.columns else F.lit(None)).cast(versions.schema[c].dataType)
             for c in columns
         }
         | {DEST: F.when(F.col("__same"), DUPLICATES).otherwise(MODEL)},
@@ -123,7 +136,7 @@ def _one_row_per_key(load: DataFrame, open_versions: DataFrame, spec: MappingSpe
 
 
 def _several_rows_per_key(
-    load: DataFrame, flagged: DataFrame, open_versions: DataFrame, spec: MappingSpec, small: bool
+    load: DataFrame, flagged: DataFrame, versions: DataFrame, spec: MappingSpec, small: bool, match: list[str]
 ) -> DataFrame:
     """A load with several starts of a key: equal rows may repeat, but one row at most may be new."""
     keys, start, types = spec.history_keys, spec.start, spec.types
@@ -132,22 +145,22 @@ def _several_rows_per_key(
     )
     applied = flagged.filter(F.col(FLAG).isin(INSERTED, UPDATED))
     need_unique(
-        examine(applied.select(*keys), keys, types, spec.case_blind),
+        examine(applied.select(*match), match, types, spec.case_blind),
         f"load of record {spec.record_id}, new versions",
     )
     changes = applied.filter(F.col(FLAG) == UPDATED).select(
-        *dict.fromkeys([*keys, start, *(c for c in load.columns if c.upper() in (BATCH_ID, UPDATED_AT))])
+        *dict.fromkeys([*match, start, *(c for c in load.columns if c.upper() in (BATCH_ID, UPDATED_AT))])
     )
     if small:
         changes = F.broadcast(changes)
-    closing = _closing(spec, open_versions, lambda c: F.col(f"new.`{c}`"))
+    closing = _closing(spec, versions, lambda c: F.col(f"new.`{c}`"))
     hit = F.col(f"new.`{keys[0]}`").isNotNull()
-    maybe_closed = open_versions.alias("old").join(
-        changes.alias("new"), key_equal("old", "new", keys, types, spec.case_blind), "left"
+    maybe_closed = versions.alias("old").join(
+        changes.alias("new"), key_equal("old", "new", match, types, spec.case_blind), "left"
     ).select(
         *(
             (F.when(hit, closing[c]).otherwise(F.col(f"old.`{c}`")) if c in closing else F.col(f"old.`{c}`")).alias(c)
-            for c in open_versions.columns
+            for c in versions.columns
         ),
         F.lit(MODEL).alias(DEST),
     )
@@ -174,7 +187,9 @@ def apply_history_legacy(
     as_keys = {
         n: folded(F.col(f"`{k}`"), types.get(k), spec.case_blind) for n, k in zip(folded_keys, keys)
     }
-    long = long_keys(load.withColumns(as_keys), folded_keys, start, hot_rows)
+    # one row is kept per key and start, so these are counted and cut, not the load's rows
+    dated = load.withColumns(as_keys).select(*folded_keys, start).distinct()
+    long = long_keys(dated, folded_keys, start, hot_rows)
     spots = load.filter(~null_key(at)).select(*at).distinct()
     spots = F.broadcast(spots) if long.small else spots
     same_spot = key_equal("old", "new", at, types, spec.case_blind)

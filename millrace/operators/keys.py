@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.predicates import folded
 from millrace.functions.types import cast_to, load_time, parse_type
-from millrace.operators.transform import batch_id, joined
+from millrace.operators.apply import DEST, MODEL, ApplyResult
+from millrace.operators.transform import TEXT, batch_id, joined
 from millrace.plans.numbering import number_rows
 from millrace.plans.spec import (
     BATCH_ID, INSERTED_AT, RECORD_ID, SURROGATE_SET, UPDATED_AT, SurrogateSpec,
@@ -40,10 +41,19 @@ def _natural_keys(stage: DataFrame, spec: SurrogateSpec) -> DataFrame:
     return stage.select(F.col(column).alias(spec.natural_key))
 
 
+def _distinct_keys(values: DataFrame, spec: SurrogateSpec) -> DataFrame:
+    """One row per natural key as the surrogate table tells keys apart: cast to its type, and without
+    regard to case if it compares so; of spellings the least stays."""
+    ctype, name = parse_type(spec.natural_type), spec.natural_key
+    typed = values.select(cast_to(F.col(f"`{name}`"), ctype).alias(name))
+    same = folded(F.col(f"`{name}`"), ctype, spec.case_blind).alias("__same")
+    return typed.groupBy(same).agg(F.min(f"`{name}`").alias(name)).select(name)
+
+
 def new_keys(stage: DataFrame, sgk: DataFrame, spec: SurrogateSpec, distinct: bool = False) -> DataFrame:
     """Natural keys in stage without a surrogate in this SGK_ID; repeats stay unless ``distinct``."""
     values = _natural_keys(stage, spec)
-    return _without_surrogate(values.distinct() if distinct else values, sgk, spec)
+    return _without_surrogate(_distinct_keys(values, spec) if distinct else values, sgk, spec)
 
 
 def _assigned(fresh: DataFrame, sgk: DataFrame, spec: SurrogateSpec, counted: str | None) -> DataFrame:
@@ -74,8 +84,11 @@ def load_surrogates(
     stage = joined(tables, spec.source_table, spec.joins)
     if spec.where:
         stage = stage.filter(spec.where)
-    copies = F.max(F.lit(1).cast("long")) if distinct else F.count(F.lit(1))
-    counted = _natural_keys(stage, spec).groupBy(spec.natural_key).agg(copies.alias("copies"))
+    values = _natural_keys(stage, spec)
+    if distinct:
+        counted = _distinct_keys(values, spec).withColumn("copies", F.lit(1).cast("long"))
+    else:
+        counted = values.groupBy(spec.natural_key).agg(F.count(F.lit(1)).alias("copies"))
     fresh = _assigned(_without_surrogate(counted, sgk, spec), sgk, spec, "copies")
     now = load_time(as_of, "TIMESTAMP(0)")
     filled = {c: F.lit(None).cast(sgk.schema[c].dataType) for c in spec.null_columns if c in sgk.columns}
@@ -91,15 +104,29 @@ def load_surrogates(
     ).select(*sgk.columns)
 
 
+def append_surrogates(
+    tables: dict[str, DataFrame], sgk: DataFrame, spec: SurrogateSpec, batch_log: DataFrame,
+    as_of: dt.datetime | str | None = None, distinct: bool = False,
+) -> ApplyResult:
+    """New surrogates as a load that only adds rows, ready to publish."""
+    rows = load_surrogates(tables, sgk, spec, batch_log, as_of, distinct)
+    return ApplyResult(
+        target=sgk.unionByName(rows), duplicates=sgk.filter(F.lit(False)), flagged=rows,
+        outcome=rows.withColumn(DEST, F.lit(MODEL)), appends=True,
+    )
+
+
 def lookup_key(
-    df: DataFrame, sgk: DataFrame, source: str, natural_key: str, sgk_id: int, key: str, out: str
+    df: DataFrame, sgk: DataFrame, source: str, natural_key: str, sgk_id: int, key: str, out: str,
+    case_blind: bool = False,
 ) -> DataFrame:
     """Add ``out``: the surrogate of ``source`` within one SGK_ID, NULL when it has none.
 
     A left join; Spark broadcasts the surrogates of the set when they are few and splits
-    hot values when they are not.
+    hot values when they are not. With ``case_blind`` letter case tells no keys apart.
     """
     wanted = sgk.filter(F.col(SURROGATE_SET) == sgk_id).select(
         F.col(natural_key).alias("__natural"), F.col(key).alias(out)
     )
-    return df.join(wanted, F.col(source) == F.col("__natural"), "left").drop("__natural")
+    same = folded(F.col(source), TEXT, case_blind) == folded(F.col("__natural"), TEXT, case_blind)
+    return df.join(wanted, same, "left").drop("__natural")

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from millrace.functions.predicates import key_equal
 from millrace.functions.types import ColumnType, load_time
 from millrace.operators.apply import DEST, MODEL, ApplyResult
+from millrace.operators.checks import check_not_null, check_unique
 from millrace.plans.matching import examine, need_unique, null_key, paired, rows_of_interest, size_of
 from millrace.sources.dictionary import (
     FILE_NAME, MART_INSERTED, MART_UPDATED, STAGE_BATCH, SourceTable,
 )
 
 Types = dict[str, ColumnType]
-MOST_PARTITIONS = 1000
 
 
 def _inserted(column: str, stage_value: Column, now: Column) -> Column:
@@ -40,24 +40,12 @@ def _need_keys(keys: Sequence[str]) -> None:
 def merge_mart(
     stage: DataFrame, mart: DataFrame, keys: Sequence[str], as_of: dt.datetime | str | None = None,
     types: Types | None = None, case_blind: bool = False, check_keys: bool = True, small_load: bool | None = None,
-    partitions: Sequence[str] = (),
 ) -> DataFrame:
     """The mart after a merge: matched rows take new values, update and dump time; others are added.
 
     Batch and insert time of a matched row stay. A NULL key matches nothing, so such a row is
-    added by every run. ``partitions`` names key columns the mart is partitioned by, outermost
-    first: partitions the stage does not reach pass through without taking part in the join.
+    added by every run.
     """
-    merged, others, _ = _merge(stage, mart, keys, as_of, types, case_blind, check_keys, small_load, partitions)
-    return merged if others is None else others.unionByName(merged)
-
-
-def _merge(
-    stage: DataFrame, mart: DataFrame, keys: Sequence[str], as_of: dt.datetime | str | None = None,
-    types: Types | None = None, case_blind: bool = False, check_keys: bool = True, small_load: bool | None = None,
-    partitions: Sequence[str] = (),
-) -> tuple[DataFrame, DataFrame | None, tuple[str, ...]]:
-    """Merged rows of the partitions the stage reaches, all other rows, and the values reached."""
     _need_keys(keys)
     if check_keys or small_load is None:
         facts = examine(stage, keys, types, case_blind) if check_keys else size_of(stage)
@@ -68,10 +56,7 @@ def _merge(
     key_names = {k.lower() for k in keys}
     stays = {STAGE_BATCH, FILE_NAME, MART_INSERTED} | key_names
 
-    reached, others, values = mart, None, ()
-    if partitions and not case_blind:
-        reached, others, values = _by_partition(mart, stage, partitions[0])
-    pairs = paired(reached, stage, list(keys), small_load, types, case_blind)
+    pairs = paired(mart, stage, list(keys), small_load, types, case_blind)
 
     def value(c: str) -> Column:
         name = c.lower()
@@ -90,24 +75,7 @@ def _merge(
             .alias(c)
         )
 
-    return pairs.rows.select(*(value(c) for c in mart.columns)), others, values
-
-
-def _by_partition(
-    mart: DataFrame, stage: DataFrame, column: str
-) -> tuple[DataFrame, DataFrame | None, tuple[str, ...]]:
-    """Mart rows in partitions the stage may reach, the rest, and the values; the scan prunes both.
-
-    Partition values are few by design; with more than ``MOST_PARTITIONS`` of them in stage
-    the whole mart takes part in the join.
-    """
-    name = F.col(f"`{column}`")
-    found = stage.select(name).filter(name.isNotNull()).distinct().limit(MOST_PARTITIONS + 1).collect()
-    if len(found) > MOST_PARTITIONS:
-        return mart, None, ()
-    values = [row[0] for row in found]
-    reached = name.isin(values)
-    return mart.filter(reached), mart.filter(~F.coalesce(reached, F.lit(False))), tuple(sorted(map(str, values)))
+    return pairs.rows.select(*(value(c) for c in mart.columns))
 
 
 def new_mart_rows(
@@ -143,25 +111,27 @@ def insert_new_mart(
 
 
 def apply_mart(
-    stage: DataFrame, mart: DataFrame, table: SourceTable, as_of: dt.datetime | str | None = None, **options
+    stage: DataFrame, mart: DataFrame, table: SourceTable, as_of: dt.datetime | str | None = None,
+    check: bool = False, **options,
 ) -> ApplyResult:
     """Merge, or insert of new rows when the table consists of key columns only, ready to publish.
 
-    New rows are appended; a merge replaces the partitions the stage reaches, or the whole
-    mart when it has none.
+    New rows are appended; a merge replaces the mart rows it was given, which for a published mart
+    with a layout are those of the folders the stage reaches. Keys compare as the dictionary
+    declares them. With ``check``, required values and, for inserts, unique keys are checked first.
     """
     nothing = mart.filter(F.lit(False))
+    options = {"types": table.types} | options
+    if check:
+        check_not_null(stage, table)
     if len(table.keys) == len(table.columns):
+        if check:
+            check_unique(stage, table.keys)
         new = new_mart_rows(stage, mart, table.keys, as_of, **options)
         return ApplyResult(mart.unionByName(new), nothing, stage, new.withColumn(DEST, F.lit(MODEL)), appends=True)
-    merged, others, values = _merge(stage, mart, table.keys, as_of, partitions=table.partitions, **options)
+    merged = merge_mart(stage, mart, table.keys, as_of, **options)
     return ApplyResult(
-        target=merged if others is None else others.unionByName(merged),
-        duplicates=nothing,
-        flagged=stage,
-        outcome=merged.withColumn(DEST, F.lit(MODEL)),
-        appends=False,
-        replaces=None if others is None else (table.partitions[0], values),
+        target=merged, duplicates=nothing, flagged=stage, outcome=merged.withColumn(DEST, F.lit(MODEL)), appends=False
     )
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.predicates import folded
 from millrace.functions.types import BARE_CONSTANT_TYPES, cast_to, high_value, load_time, parse_type
 from millrace.operators.windows import qualify
 from millrace.plans.spec import (
@@ -15,6 +16,8 @@ from millrace.plans.spec import (
     ColumnSpec, Join, Lookup, MappingSpec, SpecError,
 )
 
+TEXT = parse_type("VARCHAR")
+
 # Words of the rule column.
 DIRECT, NULL_RULE = "1:1", "NULL"
 CONSTANT_WORDS = ("HARDCODE TO", "SET TO")
@@ -107,7 +110,8 @@ def joined(tables: dict[str, DataFrame], from_table: str, joins: Iterable[Join],
 def _with_lookups(df: DataFrame, tables: dict[str, DataFrame], lookups: Iterable[Lookup]) -> DataFrame:
     for lookup in lookups:
         surrogates = tables[lookup.table].filter(F.col(SURROGATE_SET) == lookup.sgk_id).alias(lookup.alias)
-        match = F.expr(lookup.source) == F.col(f"`{lookup.alias}`.`{lookup.natural_key}`")
+        natural = F.col(f"`{lookup.alias}`.`{lookup.natural_key}`")
+        match = folded(F.expr(lookup.source), TEXT, lookup.case_blind) == folded(natural, TEXT, lookup.case_blind)
         df = df.join(surrogates, match, "left")
     return df
 

@@ -3,7 +3,8 @@
 A window sorts all rows of a key in one task. Keys counted to be long are therefore cut
 into segments along their order; windows run per key and segment, and each segment gets
 one extra row standing for the edge of the segment beside it. Results are those of a
-plain window over the key, which is also what runs when no key is long.
+plain window over the key, which is also what runs when no key is long; a NULL order value
+comes first in both.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from millrace.plans.matching import broadcast_limit, row_bytes
 HOT_ROWS = 1_000_000
 """Rows of one key beyond which the key is cut into segments."""
 MOST_SEGMENTS = 1000
+"""Segments of one key: each of its rows is compared with that many cut points at most, so the
+segments of a key beyond ``HOT_ROWS * MOST_SEGMENTS`` rows are longer. Results are the same."""
 
 SEGMENT, HOT, EDGE = "__segment", "__hot", "__edge"
 
@@ -97,7 +100,8 @@ def neighbours(
         return df.withColumns({f"{prefix}{c}": step(F.col(f"`{c}`")).over(window) for c in columns})
 
     edge_row = F.struct(*(F.col(f"`{c}`") for c in columns))
-    nearest = (F.max_by if backward else F.min_by)(edge_row, F.col(f"`{order}`"))
+    # a struct is never NULL, so a row with a NULL order value can be an edge too
+    nearest = (F.max_by if backward else F.min_by)(edge_row, F.struct(F.col(f"`{order}`")))
     across = Window.partitionBy(*keys).orderBy(SEGMENT)
     edges = (
         df.filter(HOT)

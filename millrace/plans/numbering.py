@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,11 +29,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def frozen(df: DataFrame) -> DataFrame:
-    """The same rows cut off from their lineage: written once to the shared folder and read back."""
-    spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/millrace/frozen-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    """The same rows cut off from their lineage: written once to the shared folder and read from there.
+
+    Spark deletes the copy when nothing refers to it any more, if the session says so
+    (``spark.cleaner.referenceTracking.cleanCheckpoints``, as ``session()`` does).
+    """
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def _copies(df: DataFrame, count: str, longest: int, at_once: int = COPIES_AT_ONCE) -> DataFrame:

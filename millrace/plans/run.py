@@ -11,9 +11,10 @@ from millrace.operators.apply import (
 )
 from millrace.operators.history import apply_history, apply_history_auto
 from millrace.operators.transform import transform
+from millrace.plans.numbering import frozen
 from millrace.plans.spec import (
-    DELETE_INSERT, EXCLUDED_SOURCES, HISTORY, HISTORY_DELETE_INSERT, HISTORY_LEGACY, INSERT,
-    SURROGATE_SUFFIX, UPSERT, MappingSpec, SpecError,
+    DELETE_INSERT, HISTORY, HISTORY_DELETE_INSERT, HISTORY_LEGACY, INSERT, SURROGATE_SUFFIX, UPSERT,
+    MappingSpec, SpecError,
 )
 
 
@@ -23,7 +24,7 @@ def run_load(
     target: DataFrame,
     initial: bool = False,
     allow_special: bool = False,
-    exclude_sources: tuple[str, ...] = EXCLUDED_SOURCES,
+    exclude_sources: tuple[str, ...] = (),
 ) -> ApplyResult:
     """Apply a load-ready table to its model table by the load type of the spec.
 
@@ -54,5 +55,10 @@ def run_mapping(
     as_of: dt.datetime | str | None = None,
     **options,
 ) -> ApplyResult:
-    """Transform stage tables by a mapping and apply the result."""
-    return run_load(spec, transform(spec, tables, batch_log, as_of), target, **options)
+    """Transform stage tables by a mapping into the load-ready table, and apply that.
+
+    The load-ready rows are stored before they are applied: stage tables are read once, and the
+    rows checked are the rows matched, also where a rule has ties.
+    """
+    load = frozen(transform(spec, tables, batch_log, as_of))
+    return run_load(spec, load, target, **options)

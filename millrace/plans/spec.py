@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
@@ -28,7 +29,6 @@ DELETE_INSERT = "DELETE_INSERT"
 HISTORY_DELETE_INSERT = "DELETE INSERT - HISTORY HANDLED"
 LOAD_TYPES = (INSERT, UPSERT, HISTORY, HISTORY_LEGACY, DELETE_INSERT, HISTORY_DELETE_INSERT)
 START, END, HISTORY_KEY, HISTORY_COLUMN = "S", "E", "HKEY", "HCOL"
-EXCLUDED_SOURCES = ("EMDAD_M",)
 SURROGATE_SUFFIX = "_SGK"
 
 SPEC_COLUMNS = (
@@ -64,6 +64,7 @@ class Lookup:
     natural_key: str
     sgk_id: int
     alias: str
+    case_blind: bool = False
 
 
 @dataclass(frozen=True)
@@ -211,35 +212,41 @@ def _text(value: object) -> str:
     return "" if value is None else str(value).strip()
 
 
+_QUOTED = re.compile(r"'[^']*'|\"[^\"]*\"|`[^`]*`")
+_BRACKETED = re.compile(r"\([^()]*\)")
+_PART = re.compile(r"^\s*WHERE\b|\bGROUP\s+BY\b|\bQUALIFY\b", re.IGNORECASE)
+
+
 def _split_filter(rule: str) -> tuple[str | None, tuple[str, ...], str | None]:
-    """A filter rule is a condition, QUALIFY with a condition, or [condition] GROUP BY columns."""
-    head, word, tail = rule.partition(" ")
-    if head.upper() == "QUALIFY":
-        return None, (), tail.strip()
-    upper = rule.upper()
-    columns: tuple[str, ...] = ()
-    if "GROUP BY " in upper:
-        at = upper.index("GROUP BY ")
-        columns = tuple(c.strip() for c in rule[at + len("GROUP BY "):].split(","))
-        rule = rule[:at].strip()
-    if rule.upper().startswith("WHERE "):
-        rule = rule[len("WHERE "):].strip()
-    return rule or None, columns, None
+    """The condition, grouping columns and window condition of a filter rule: ``[WHERE] condition``,
+    ``GROUP BY columns`` and ``QUALIFY condition``, each at most once; words in quotes or brackets are part of a condition."""
+    plain = _QUOTED.sub(lambda quoted: "_" * len(quoted[0]), rule)
+    while _BRACKETED.search(plain):
+        plain = _BRACKETED.sub(lambda inner: "_" * len(inner[0]), plain)
+    parts, name, begin = {}, "WHERE", 0
+    for found in _PART.finditer(plain):
+        parts[name] = parts.get(name, "") + rule[begin:found.start()]
+        name, begin = " ".join(found[0].upper().split()), found.end()
+    parts[name] = parts.get(name, "") + rule[begin:]
+    columns = tuple(c.strip() for c in parts.get("GROUP BY", "").split(",") if c.strip())
+    return parts["WHERE"].strip() or None, columns, parts.get("QUALIFY", "").strip() or None
 
 
 def specs_from_table(
     table: DataFrame,
     joins: dict[int, tuple[Join, ...]] | None = None,
     lookups: dict[int, tuple[Lookup, ...]] | None = None,
-    exclude_sources: Iterable[str] = EXCLUDED_SOURCES,
+    exclude_sources: Iterable[str] = (),
     stage_schema: str | None = None,
     record_ids: Iterable[int] | None = None,
+    case_blind: bool = False,
 ) -> list[MappingSpec]:
     """Specs of a mapping table, one row per target column (a few per table: metadata, not data).
 
     Record ids with a row from an excluded source system are left out whole, as are
     surrogate tables; joins and lookups are given by record id. An optional column
-    ``Expression`` carries the SQL of rules that need one.
+    ``Expression`` carries the SQL of rules that need one. Text compares ignoring case
+    where its data type says NOT CASESPECIFIC, or everywhere with ``case_blind``.
     """
     check_spec_columns(table.columns)
     rows = defaultdict(list)
@@ -285,13 +292,16 @@ def specs_from_table(
                 group_by=group_by,
                 qualify=qualify,
                 special=_text(first["SPECIAL_HANDLING_FLAG"]).upper() == "Y",
+                case_blind=case_blind,
                 source_systems=tuple(sorted({_text(line["Source_System"]) for line in lines})),
             ).resolved()
         )
     return specs
 
 
-def surrogates_from_table(table: DataFrame, joins: dict[int, tuple[Join, ...]] | None = None) -> list[SurrogateSpec]:
+def surrogates_from_table(
+    table: DataFrame, joins: dict[int, tuple[Join, ...]] | None = None, case_blind: bool = False
+) -> list[SurrogateSpec]:
     """Surrogate specs of a mapping table: rules SGK, NATURAL KEY, NULL or blank, and SGK_ID."""
     check_spec_columns(table.columns)
     rows = defaultdict(list)
@@ -325,6 +335,7 @@ def surrogates_from_table(table: DataFrame, joins: dict[int, tuple[Join, ...]] |
                 ),
                 joins=(joins or {}).get(record_id, ()),
                 where=where,
+                case_blind=case_blind,
             )
         )
     return specs

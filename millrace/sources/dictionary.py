@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
@@ -22,6 +22,7 @@ DICTIONARY_COLUMNS = (
     "DATA_PRECISION", "DATA_SCALE", "PRIMARY_KEY_FLAG", "NULLABILITY_FLAG", "UNICODE_FLAG",
     "TERADATA_PARTITION",
 )
+CASE_BLIND_SOURCE = "VARCHAR2"  # fixed value: text of this source type is declared NOT CASESPECIFIC
 
 
 @dataclass(frozen=True)
@@ -31,10 +32,12 @@ class SourceColumn:
     key: bool = False
     nullable: bool = True
     partition: bool = False
+    case_blind: bool = False
 
     @property
     def ctype(self) -> ColumnType:
-        return parse_type(self.type)
+        found = parse_type(self.type)
+        return replace(found, blind=True) if self.case_blind else found
 
 
 @dataclass(frozen=True)
@@ -120,6 +123,7 @@ def tables_from_dictionary(
                 key=_yes(row["PRIMARY_KEY_FLAG"]),
                 nullable=str(row["NULLABILITY_FLAG"] or "").strip().upper() != "N",
                 partition=_yes(row["TERADATA_PARTITION"]),
+                case_blind=str(row["DATA_TYPE"] or "").strip().upper() == CASE_BLIND_SOURCE,
             )
         )
     return {at: SourceTable(*at, tuple(columns)) for at, columns in found.items()}

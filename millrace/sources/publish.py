@@ -1,60 +1,82 @@
 """Publishing a load: new model rows and duplicates become visible together.
 
-Each load writes its rows as a version of their own and then adds one line to the table's
-commit list, naming the versions that make up the table from now on. Readers follow the
-last line, so they see all of a load or none, and a load may read the version it replaces.
-
-Only what a load changes is written: an insert adds a version; a delete-insert adds one and
-masks the record id in older ones, a merge the partitions it reached; a close-and-insert
-history leaves closed versions, which are stored apart, where they are. Upserts and rebuilds
-write the table anew.
+Each load writes its rows as a version of their own and then adds a commit, naming the
+folders that make up the table from now on. Readers follow the last commit, so they see all
+of a load or none, and a load may read the folders it replaces.
+
+A table may have a layout, given when it is first published: buckets of a key's hash, and
+partition columns. Each version then has a folder per bucket and partition, and
+:func:`publish_load` reads and replaces only the folders a load can reach. A delete-insert of a
+table partitioned by record id drops the folders of that id. An insert adds folders. A
+close-and-insert history leaves closed versions, which are stored apart, where they are.
+Without a layout, upserts, merges and rebuilds write the table anew.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Iterable
+from dataclasses import asdict, dataclass
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.predicates import all_of, any_of
+from millrace.functions.predicates import all_of, any_null
 from millrace.operators.apply import DEST, DUPLICATES, MODEL, ApplyResult
+from millrace.sources.tables import named, unnamed
 
-VERSION = "VERSION"
+VERSION, BUCKET, NUMBER = "VERSION", "BUCKET", "NUMBER"
 FINAL = "final"
-_COMMIT = (
-    "number long, schema string, final string, "
-    "model array<struct<version:long,without:map<string,array<string>>,parts:array<string>>>, "
-    "duplicates array<long>"
-)
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"  # fixed value: the folder name Spark gives a missing value
+WITHOUT_KEY = -1
+_COMMIT = "schema string, final string, layout string, model array<string>, duplicates array<string>"
 
 
 @dataclass(frozen=True)
-class Part:
-    """Rows of one version that belong to the model: some column values masked, or only final rows."""
+class Layout:
+    """Folders of a table: ``buckets`` of the hash of ``keys``, and partition columns, outermost first.
 
-    version: int
-    without: tuple[tuple[str, tuple[str, ...]], ...] = ()
-    parts: tuple[str, ...] = (MODEL, FINAL)
+    A load that matches rows by key must carry the key columns; partition columns that are part
+    of the key narrow down the folders it reaches, others don't. Rows without a key have a
+    bucket of their own. Letter case is ignored in placing a key, so it may be ignored in matching.
+    """
+
+    buckets: int = 0
+    keys: tuple[str, ...] = ()
+    partition_by: tuple[str, ...] = ()
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        return ((BUCKET,) if self.buckets else ()) + self.partition_by
+
+    @property
+    def reach(self) -> tuple[str, ...]:
+        """Names a key decides: a row's folder may differ in the others."""
+        known = {k.upper() for k in self.keys}
+        return ((BUCKET,) if self.buckets else ()) + tuple(c for c in self.partition_by if c.upper() in known)
 
-    def masking(self, column: str, values: tuple[str, ...]) -> Part:
-        masks = dict(self.without)
-        masks[column] = tuple(sorted({*masks.get(column, ()), *values}))
-        return replace(self, without=tuple(sorted(masks.items())))
+    def bucket(self, schema: T.StructType) -> Column:
+        """The bucket of a row; keys count as the table's type and without regard to letter case."""
+        kinds = {f.name.upper(): f.dataType for f in schema.fields}
+        keys = [F.col(f"`{k}`").cast(kinds[k.upper()]) for k in self.keys]
+        told = [F.lower(k) if isinstance(kinds[n.upper()], T.StringType) else k for n, k in zip(self.keys, keys)]
+        spread = F.pmod(F.xxhash64(*told), F.lit(self.buckets).cast("long")).cast("int")
+        return F.when(any_null(keys), F.lit(WITHOUT_KEY)).otherwise(spread)
 
 
 @dataclass(frozen=True)
 class Commit:
-    """What a table consists of; ``final`` is the condition its final rows are stored apart by."""
+    """What a table consists of: folders below its data; ``final`` rows are stored apart."""
 
     number: int = 0
     schema: T.StructType | None = None
     final: str | None = None
-    model: tuple[Part, ...] = ()
-    duplicates: tuple[int, ...] = ()
+    layout: Layout = Layout()
+    model: tuple[str, ...] = ()
+    duplicates: tuple[str, ...] = ()
 
 
 def _commits(root: str, table: str) -> str:
@@ -65,123 +87,215 @@ def _data(root: str, table: str) -> str:
     return f"{root}/{table}/data"
 
 
-def _folder(root: str, table: str, version: int) -> str:
-    return f"{_data(root, table)}/{VERSION}={version}"
+def _values(folder: str) -> dict[str, str | None]:
+    """The column values a folder's name stands for, as text."""
+    parts = (unquote(part).split("=", 1) for part in folder.split("/"))
+    return {name: None if value == NO_VALUE else value for name, value in parts}
 
 
 def last_commit(spark: SparkSession, root: str, table: str) -> Commit:
     """The last commit; number 0 when nothing was published yet."""
     try:
-        lines = spark.read.schema(_COMMIT).json(_commits(root, table))
-        last = lines.orderBy(F.col("number").desc()).first()
+        commits = spark.read.schema(f"{_COMMIT}, {NUMBER} long").json(_commits(root, table))
+        number = commits.agg(F.max(NUMBER)).first()[0]
+        last = commits.filter(F.col(NUMBER) == number).first() if number is not None else None
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         last = None
     if last is None:
         return Commit()
+    layout = json.loads(last["layout"])
     return Commit(
-        last["number"],
+        last[NUMBER],
         T.StructType.fromJson(json.loads(last["schema"])),
         last["final"],
-        tuple(
-            Part(m["version"], tuple(sorted((c, tuple(v)) for c, v in m["without"].items())), tuple(m["parts"]))
-            for m in last["model"]
-        ),
+        Layout(layout["buckets"], tuple(layout["keys"]), tuple(layout["partition_by"])),
+        tuple(last["model"]),
         tuple(last["duplicates"]),
     )
 
 
-def publish(spark: SparkSession, root: str, table: str, result: ApplyResult) -> Commit:
+def _written(spark: SparkSession, data: str, number: int) -> list[str]:
+    """The folders below ``data`` that a version's files lie in, from their names alone."""
+    at = f"/{VERSION}={number}/"
+    try:
+        files = spark.read.schema("none int").parquet(f"{data}/{VERSION}={number}").inputFiles()
+    except AnalysisException as error:  # nothing but empty folders
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        files = []
+    found = (unquote(file) for file in files)
+    return sorted({f"{VERSION}={number}/{file.rpartition(at)[2].rpartition('/')[0]}" for file in found})
+
+
+def publish(
+    spark: SparkSession, root: str, table: str, result: ApplyResult, layout: Layout | None = None,
+    read: Iterable[str] | None = None,
+) -> Commit:
     """Write what a load makes, model rows and duplicates in one pass, and commit it.
 
     The load must have been made from the table as last committed, and one load runs per
-    table at a time, as in the transaction of a load script.
+    table at a time, as in the transaction of a load script. ``layout`` counts when the table is
+    first published or written anew. ``read`` names the model folders the load was made from, if
+    not all; the others stay.
     """
     last = last_commit(spark, root, table)
     number = last.number + 1
-    rows, older, final = result.outcome, (), result.final
-    if result.replaces is not None:
-        older = tuple(p.masking(*result.replaces) for p in last.model)
+    whole = read is None
+    read = set(last.model if whole else read)
+    rows, final = result.outcome, result.final
+    if not last.number or (whole and layout is not None):
+        layout = layout or Layout()
+    else:
+        layout = last.layout
+    older = [folder for folder in last.model if folder not in read]
+    if result.appends:
+        older, final = list(last.model), last.final
+    elif result.replaces is not None:
+        column, values = result.replaces
         final = last.final
-    elif result.appends:
-        older, final = last.model, last.final
-    elif result.kept is not None:
-        if last.final == final:
-            older = tuple(replace(p, parts=(FINAL,)) for p in last.model)
+        if column.upper() in (c.upper() for c in last.layout.partition_by):
+            older = [folder for folder in last.model if not _has(folder, column, values)]
         else:
-            rows = rows.unionByName(result.kept.withColumn(DEST, F.lit(MODEL)), allowMissingColumns=True)
+            rows = result.target.withColumn(DEST, F.lit(MODEL))
+    elif result.kept is not None and last.final == final:
+        older = [folder for folder in last.model if folder not in read or _values(folder)[DEST] == FINAL]
+    elif result.kept is not None:
+        rows = rows.unionByName(result.kept.withColumn(DEST, F.lit(MODEL)), allowMissingColumns=True)
+    if not whole:
+        if result.replaces is not None or (result.kept is not None and last.final != result.final):
+            raise ValueError("this load must be made from the whole table")
+        final = last.final
+    schema = T.StructType([f for f in rows.schema.fields if f.name != DEST])
     if final is not None:
         is_final = (F.col(DEST) == MODEL) & F.expr(final)
         rows = rows.withColumn(DEST, F.when(is_final, FINAL).otherwise(F.col(DEST)))
-    rows.write.mode("overwrite").partitionBy(DEST).parquet(_folder(root, table, number))
+    if layout.buckets:
+        rows = rows.withColumn(BUCKET, layout.bucket(schema))
+    texts = {f.name.upper() for f in schema.fields if isinstance(f.dataType, T.StringType)}
+    rows = rows.withColumns({c: named(F.col(f"`{c}`")) for c in layout.partition_by if c.upper() in texts})
+    if layout.names:
+        rows = rows.hint("rebalance", DEST, *layout.names)
+    data = _data(root, table)
+    rows.write.mode("overwrite").partitionBy(DEST, *layout.names).parquet(f"{data}/{VERSION}={number}")
+    written = _written(spark, data, number)
     commit = Commit(
-        number,
-        T.StructType([f for f in rows.schema.fields if f.name != DEST]),
-        final,
-        (*older, Part(number)),
-        (*last.duplicates, number),
+        number, schema, final, layout,
+        (*older, *(f for f in written if _values(f)[DEST] != DUPLICATES)),
+        (*last.duplicates, *(f for f in written if _values(f)[DEST] == DUPLICATES)),
     )
-    line = (
-        number, commit.schema.json(), final,
-        [(p.version, {c: list(v) for c, v in p.without}, list(p.parts)) for p in commit.model], list(commit.duplicates),
+    line = (schema.json(), final, json.dumps(asdict(layout)), list(commit.model), list(commit.duplicates))
+    spark.createDataFrame([line], _COMMIT).coalesce(1).write.mode("overwrite").json(
+        f"{_commits(root, table)}/{NUMBER}={number}"
     )
-    spark.createDataFrame([line], _COMMIT).coalesce(1).write.mode("append").json(_commits(root, table))
     return commit
 
 
-def _read(spark: SparkSession, root: str, table: str, commit: Commit, versions: list[int]) -> DataFrame:
-    if not versions:
-        raise FileNotFoundError(f"nothing is published for {table} under {root}")
-    schema = T.StructType(
-        [*commit.schema.fields, T.StructField(VERSION, T.LongType()), T.StructField(DEST, T.StringType())]
-    )
-    return spark.read.schema(schema).option("basePath", _data(root, table)).parquet(
-        *(_folder(root, table, v) for v in versions)
+def _has(folder: str, column: str, values: tuple[str, ...]) -> bool:
+    return any(name.upper() == column.upper() and value in values for name, value in _values(folder).items())
+
+
+def reached(spark: SparkSession, commit: Commit, load: DataFrame) -> tuple[str, ...]:
+    """The model folders that may hold a row of a key in the load.
+
+    The load's buckets and partitions are matched with the table's folders; what comes to the
+    driver are names of folders, which the commit lists anyway.
+    """
+    layout = commit.layout
+    if not layout.reach:
+        return commit.model
+    kinds = {f.name.upper(): f.dataType for f in commit.schema.fields}
+
+    def place(name: str) -> Column:
+        value = layout.bucket(commit.schema) if name == BUCKET else F.col(f"`{name}`").cast(kinds[name.upper()])
+        if name != BUCKET and isinstance(kinds[name.upper()], T.StringType):
+            value = F.lower(named(value))
+        return value.cast("string")
+
+    def slot(folder: str) -> tuple:
+        found = {k.upper(): v for k, v in _values(folder).items()}
+        return tuple(
+            v.lower() if v is not None and n != BUCKET and isinstance(kinds[n.upper()], T.StringType) else v
+            for n in layout.reach for v in [found[n.upper()]]
+        )
+
+    at = [f"at_{i}" for i in range(len(layout.reach))]
+    wanted = load.select(*(place(n).alias(a) for n, a in zip(layout.reach, at))).distinct()
+    known = spark.createDataFrame(sorted({slot(f) for f in commit.model}, key=str), ", ".join(f"{a} string" for a in at))
+    same = all_of(F.col(f"k.{a}").eqNullSafe(F.col(f"w.{a}")) for a in at)
+    hit = {tuple(row) for row in known.alias("k").join(wanted.alias("w"), same, "left_semi").collect()}
+    return tuple(folder for folder in commit.model if slot(folder) in hit)
+
+
+def publish_load(
+    spark: SparkSession, root: str, table: str, load: DataFrame, apply: Callable[[DataFrame], ApplyResult]
+) -> Commit:
+    """Apply a load to the model rows in the folders it reaches, and replace those folders only.
+
+    ``apply`` makes the result from these rows, matching by the key of the table's layout. A load
+    that needs the whole table, such as a delete-insert or the first one to store final rows
+    apart, gets it.
+    """
+    commit = last_commit(spark, root, table)
+    folders = reached(spark, commit, load)
+    if len(folders) < len(commit.model):
+        result = apply(read_folders(spark, root, table, commit, folders))
+        first_final = result.kept is not None and commit.final != result.final
+        if result.replaces is None and not first_final:
+            return publish(spark, root, table, result, read=folders)
+    return publish(spark, root, table, apply(read_model(spark, root, table, commit)))
+
+
+def read_folders(spark: SparkSession, root: str, table: str, commit: Commit, folders: Iterable[str]) -> DataFrame:
+    """The rows of some folders of a commit."""
+    fields = commit.schema.fields
+    places = [T.StructField(VERSION, T.LongType()), T.StructField(DEST, T.StringType()), T.StructField(BUCKET, T.IntegerType())]
+    folders = list(folders)
+    if not folders:
+        return spark.createDataFrame([], commit.schema)
+    rows = spark.read.schema(T.StructType([*fields, *places])).option("basePath", _data(root, table)).parquet(
+        *(f"{_data(root, table)}/{folder}" for folder in folders)
     )
+    cut = {c.upper() for c in commit.layout.partition_by}
+
+    def value(f: T.StructField) -> Column:
+        found = F.col(f"`{f.name}`")
+        return unnamed(found).alias(f.name) if f.name.upper() in cut and isinstance(f.dataType, T.StringType) else found
 
+    return rows.select(*(value(f) for f in fields))
 
-def _is_one_of(commit: Commit, column: str, values: tuple[str, ...]) -> Column:
-    kind = next(f.dataType for f in commit.schema.fields if f.name.upper() == column.upper())
-    return F.col(f"`{column}`").isin([F.lit(v).cast(kind) for v in values])
+
+def _known(root: str, table: str, commit: Commit) -> Commit:
+    if not commit.number:
+        raise FileNotFoundError(f"nothing is published for {table} under {root}")
+    return commit
 
 
 def read_model(spark: SparkSession, root: str, table: str, commit: Commit | None = None) -> DataFrame:
     """The model table as of a commit, the last one unless given.
 
-    Versions and parts are folders, so what no longer belongs to the table is not read;
-    masked values are filtered out in the scan.
+    Only folders that belong to the table are read; a filter on a partition column leaves out
+    the folders of other values.
     """
-    commit = commit or last_commit(spark, root, table)
-    alike: dict[tuple, list[int]] = {}
-    for part in commit.model:
-        alike.setdefault((part.without, part.parts), []).append(part.version)
-    rows = _read(spark, root, table, commit, [p.version for p in commit.model])
-    rows = rows.filter(
-        any_of(
-            F.col(VERSION).isin(versions) & F.col(DEST).isin(*parts) for (_, parts), versions in alike.items()
-        )
-    )
-    masks = [
-        ~(F.col(VERSION).isin(versions) & F.coalesce(_is_one_of(commit, column, values), F.lit(False)))
-        for (without, _), versions in alike.items()
-        for column, values in without
-    ]
-    return (rows.filter(all_of(masks)) if masks else rows).drop(VERSION, DEST)
+    commit = _known(root, table, commit or last_commit(spark, root, table))
+    return read_folders(spark, root, table, commit, commit.model)
 
 
 def read_duplicates(spark: SparkSession, root: str, table: str, commit: Commit | None = None) -> DataFrame:
     """All duplicate rows set aside so far."""
-    commit = commit or last_commit(spark, root, table)
-    rows = _read(spark, root, table, commit, list(commit.duplicates))
-    return rows.filter(F.col(DEST) == DUPLICATES).drop(VERSION, DEST)
+    commit = _known(root, table, commit or last_commit(spark, root, table))
+    return read_folders(spark, root, table, commit, commit.duplicates)
 
 
-def truncate_load(df: DataFrame, root: str, table: str, final: str | None = None) -> DataFrame:
+def truncate_load(
+    df: DataFrame, root: str, table: str, final: str | None = None, layout: Layout | None = None
+) -> DataFrame:
     """Empty a table and fill it anew: readers switch when the new rows are complete.
 
-    ``final`` stores the rows that meet a condition apart, as history loads do.
+    ``final`` stores the rows that meet a condition apart, as history loads do; ``layout``
+    gives the table its folders from now on.
     """
     nothing = df.filter(F.lit(False))
     result = ApplyResult(df, nothing, df, df.withColumn(DEST, F.lit(MODEL)), appends=False, final=final)
-    return read_model(df.sparkSession, root, table, publish(df.sparkSession, root, table, result))
+    return read_model(df.sparkSession, root, table, publish(df.sparkSession, root, table, result, layout))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from millrace.sources.dictionary import FILE_NAME, SourceTable
 from millrace.sources.landed import landed_pattern, stage
+from millrace.sources.tables import archive_to
 
 
 def arrivals(
@@ -30,15 +32,14 @@ def archive_arrivals(
 ) -> None:
     """Stage all files that arrived since the last run and append them to the archive.
 
-    ``progress`` is a shared folder that remembers which files were taken; a run that fails
-    and is repeated neither loses nor repeats a row.
+    ``progress`` is a shared folder that remembers which files were taken. Each run's rows are a
+    load of the archive named after it, so a run that fails and is repeated neither loses nor
+    repeats a row, and loads of other origin stand beside them.
     """
-    run = (
-        stage(stream, table, batch, as_of)
-        .writeStream.format("parquet")
-        .option("path", archive)
-        .option("checkpointLocation", progress)
-        .trigger(availableNow=True)
-        .start()
-    )
+    source = hashlib.sha256(progress.encode()).hexdigest()[:16]
+
+    def take(rows: DataFrame, epoch: int) -> None:
+        archive_to(stage(rows, table, batch, as_of), archive, f"{source}-{epoch}")
+
+    run = stream.writeStream.foreachBatch(take).option("checkpointLocation", progress).trigger(availableNow=True).start()
     run.awaitTermination()

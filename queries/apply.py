@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from millrace.operators.apply import (
     apply_delete_insert, apply_history_delete_insert, apply_insert, apply_upsert,
 )
-from millrace.operators.checks import duplicate_keys, null_counts
+from millrace.operators.checks import check_not_null, check_unique, duplicate_keys, null_counts
+from millrace.sources.dictionary import SourceColumn, SourceTable
 from millrace.functions.predicates import sentinel_equal
 from millrace.functions.types import parse_type
 from millrace.plans.spec import ColumnSpec, MappingSpec
@@ -152,7 +153,7 @@ FROM orders
 def sentinel_query(spark, sf_dir):
     """Each order's priority and amount as known before and now, compared with sentinels."""
     load, model = order_load(spark, sf_dir).alias("n"), order_model(spark, sf_dir).alias("o")
-    return load.join(model, F.col("n.ORD_ID") == F.col("o.ORD_ID")).select(
+    return load.join(model, F.col("n.ORD_ID") == F.col("o.ORD_ID"), "left").select(
         "n.ORD_ID",
         sentinel_equal(F.col("n.ORD_PRTY"), F.col("o.ORD_PRTY"), parse_type("VARCHAR(20)")).alias("same_text"),
         sentinel_equal(F.col("n.ORD_AMT"), F.col("o.ORD_AMT"), parse_type("FLOAT")).alias("same_number"),
@@ -161,6 +162,24 @@ def sentinel_query(spark, sf_dir):
     )
 
 
+WHOLE_ORDERS = SourceTable("SALES", "ORDERS", (
+    SourceColumn("o_orderkey", "BIGINT", key=True), SourceColumn("o_custkey", "BIGINT", nullable=False),
+))
+
+
+def _checked_values(spark, sf_dir):
+    """Orders pass the check of their required values; what load and model miss is counted."""
+    check_not_null(table(spark, sf_dir, "orders"), WHOLE_ORDERS)
+    both = order_load(spark, sf_dir).unionByName(order_model(spark, sf_dir))
+    return null_counts(both, ["ORD_ID", "CUST_ID", "ORD_PRTY", "ORD_AMT"])
+
+
+def _checked_keys(spark, sf_dir):
+    """Orders pass the check of their key; repeated keys of order lines are listed."""
+    check_unique(table(spark, sf_dir, "orders"), WHOLE_ORDERS.keys)
+    return duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
 QUERIES = {
     "apply_upsert": lambda s, d: _upsert(s, d).target,
     "apply_upsert_shuffled": lambda s, d: _upsert(s, d, small_load=False).target,
@@ -175,10 +194,8 @@ QUERIES = {
     "apply_history_delete_insert": lambda s, d: apply_history_delete_insert(line_load(s, d), line_model(s, d), 3).target,
     "apply_delete_insert_flags": lambda s, d: apply_delete_insert(line_load(s, d), line_model(s, d), 3).flagged,
     "sentinel_equal": sentinel_query,
-    "check_not_null": lambda s, d: null_counts(
-        order_load(s, d).unionByName(order_model(s, d)), ["ORD_ID", "CUST_ID", "ORD_PRTY", "ORD_AMT"]
-    ),
-    "check_unique": lambda s, d: duplicate_keys(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]),
+    "check_not_null": _checked_values,
+    "check_unique": _checked_keys,
 }
 
 ORACLES = {
@@ -204,7 +221,7 @@ ORACLES = {
                COALESCE(l.ORD_AMT, -1) = COALESCE(m.ORD_AMT, -1) AS same_number,
                COALESCE(l.ORD_STRT_DT, DATE '1001-01-01') = COALESCE(m.ORD_STRT_DT, DATE '1001-01-01') AS same_day,
                COALESCE(l.UPDT_DTTM, TIMESTAMP '1001-01-01 00:00:00') = TIMESTAMP '1001-01-01 00:00:00' AS same_time
-        FROM load l JOIN model m ON l.ORD_ID = m.ORD_ID""",
+        FROM load l LEFT JOIN model m ON l.ORD_ID = m.ORD_ID""",
     "check_not_null": UPSERT_SQL + """, both_sides AS (SELECT * FROM load UNION ALL SELECT * FROM model)
         SELECT 'ORD_ID' AS column_name, COUNT(*) FILTER (WHERE ORD_ID IS NULL) AS missing FROM both_sides
         UNION ALL SELECT 'CUST_ID', COUNT(*) FILTER (WHERE CUST_ID IS NULL) FROM both_sides

@@ -56,6 +56,7 @@ QUERIES = {
     "filter_in": lambda s, d: filter_in(
         table(s, d, "lineitem"), [("l_returnflag", ["R", "A"]), ("l_linestatus", ["O"])]
     ),
+    "filter_in_long_list": lambda s, d: filter_in(table(s, d, "lineitem"), [("l_quantity", list(range(0, 3000, 2)))]),
     "filter_in_table": lambda s, d: filter_in(table(s, d, "lineitem"), [("l_partkey", wanted_parts(s, d))]),
     "rename_reserved": lambda s, d: rename_reserved(
         table(s, d, "customer"), reserved_words(s, d), "TARGET", ["c_mktsegment", "c_name"]
@@ -78,6 +79,7 @@ ORACLES = {
                CAST(trunc(l_extendedprice) AS BIGINT) AS l_extendedprice, CAST(trunc(l_discount) AS BIGINT) AS l_discount,
                l_tax, l_returnflag, l_linestatus, l_shipdate FROM lineitem""",
     "filter_in": "SELECT * FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_linestatus = 'O'",
+    "filter_in_long_list": "SELECT * FROM lineitem WHERE l_quantity IN (SELECT unnest(range(0, 3000, 2)))",
     "filter_in_table": """
         SELECT * FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_type IN ('PROMO', 'SMALL'))""",
     "rename_reserved": """

@@ -255,6 +255,35 @@ def next_start_query(spark, sf_dir, **options):
     return next_start(events, ["user_id"], "ts", "until", moment("2099-12-31 23:59:59.999999"), **options)
 
 
+def undated_events(spark, sf_dir):
+    """All events; the first one of each user has no time."""
+    first = first_by(table(spark, sf_dir, "events"), ["user_id"], ["event_id"]).select(F.col("event_id").alias("first"))
+    events = table(spark, sf_dir, "events").join(first, F.col("event_id") == F.col("first"), "left")
+    return events.select("user_id", F.when(F.col("first").isNull(), F.col("ts")).alias("ts"), "event_type", "value")
+
+
+def _previous_undated(spark, sf_dir, **options):
+    return previous(undated_events(spark, sf_dir), ["event_type", "value"], ["user_id"], "ts", **options)
+
+
+def _rebuild_undated(spark, sf_dir, **options):
+    """The rebuild of a load whose rows of low priority have no start."""
+    start = F.when(F.col("LAST_PRTY") != "5-LOW", F.col("CUST_STRT_DT"))
+    load = dated_load(spark, sf_dir).withColumn("CUST_STRT_DT", F.when(F.col("LAST_PRTY").isNull(), F.col("CUST_STRT_DT")).otherwise(start))
+    return apply_history_legacy(load, dated_model(spark, sf_dir), CUSTOMER_VERSIONS, **options)
+
+
+def _sourced_ends(spark, sf_dir):
+    """Rows that end when the first version of their order did, never, or at no known day."""
+    ended = version_load(spark, sf_dir).join(
+        table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("date").alias("placed")),
+        F.col("ORD_ID") == F.col("k"), "left",
+    )
+    end = F.when(F.col("ORD_STS") == "F", F.date_sub("placed", 1)).when(F.col("ORD_STS") == "O", F.col("ORD_END_DT"))
+    load = ended.withColumn("ORD_END_DT", end).drop("k", "placed")
+    return apply_history(load, version_model(spark, sf_dir), ORDER_VERSIONS).target
+
+
 PREVIOUS_SQL = """
 SELECT user_id, ts, event_type, value, LAG(event_type) OVER w AS PRE_event_type, LAG(value) OVER w AS PRE_value
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)
@@ -271,10 +300,15 @@ QUERIES = {
     "apply_history_duplicates": lambda s, d: _history(s, d).duplicates,
     "apply_history_legacy": lambda s, d: _rebuild(s, d).target,
     "apply_history_legacy_long_keys": lambda s, d: _rebuild(s, d, hot_rows=8).target,
+    "apply_history_legacy_null_start": lambda s, d: _rebuild_undated(s, d).target,
+    "apply_history_legacy_null_start_long_keys": lambda s, d: _rebuild_undated(s, d, hot_rows=2).target,
+    "apply_history_sourced_ends": _sourced_ends,
     "apply_history_auto": _later_run,
     "end_before": version_ends,
     "previous": neighbours_query,
     "previous_long_keys": lambda s, d: neighbours_query(s, d, hot_rows=20),
+    "previous_null_start": _previous_undated,
+    "previous_null_start_long_keys": lambda s, d: _previous_undated(s, d, hot_rows=5),
     "next_start": next_start_query,
     "next_start_long_keys": lambda s, d: next_start_query(s, d, hot_rows=20),
     "first_by": lambda s, d: first_by(
@@ -313,3 +347,23 @@ ORACLES["apply_history_shuffled"] = ORACLES["apply_history"]
 ORACLES["apply_history_legacy_long_keys"] = ORACLES["apply_history_legacy"]
 ORACLES["previous_long_keys"] = PREVIOUS_SQL
 ORACLES["next_start_long_keys"] = NEXT_SQL
+
+VERSION_TARGET_SQL = ORACLES["apply_history"].removeprefix(VERSION_SQL)
+ORACLES["apply_history_sourced_ends"] = VERSION_SQL.replace(
+    "DATE '2024-06-01' AS ORD_STRT_DT, DATE '9999-12-31' AS ORD_END_DT",
+    "DATE '2024-06-01' AS ORD_STRT_DT, CASE WHEN o_orderstatus = 'F' AND o_totalprice >= 5000 "
+    "THEN CAST(o_orderdate AS DATE) - 1 WHEN o_orderstatus = 'O' THEN DATE '9999-12-31' END AS ORD_END_DT", 1,
+) + VERSION_TARGET_SQL
+ORACLES["apply_history_legacy_null_start"] = REBUILD_SQL.replace(
+    "CAST(o_orderdate AS DATE) AS CUST_STRT_DT, DATE '9999-12-31' AS CUST_END_DT",
+    "CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(o_orderdate AS DATE) END AS CUST_STRT_DT, "
+    "DATE '9999-12-31' AS CUST_END_DT", 1,
+).replace("ORDER BY CUST_STRT_DT)", "ORDER BY CUST_STRT_DT NULLS FIRST)") + "SELECT * FROM model"
+ORACLES["apply_history_legacy_null_start_long_keys"] = ORACLES["apply_history_legacy_null_start"]
+ORACLES["previous_null_start"] = """
+    WITH undated AS (
+        SELECT user_id, CASE WHEN event_id <> MIN(event_id) OVER (PARTITION BY user_id) THEN ts END AS ts, event_type, value
+        FROM events)
+    SELECT *, LAG(event_type) OVER w AS PRE_event_type, LAG(value) OVER w AS PRE_value
+    FROM undated WINDOW w AS (PARTITION BY user_id ORDER BY ts NULLS FIRST)"""
+ORACLES["previous_null_start_long_keys"] = ORACLES["previous_null_start"]

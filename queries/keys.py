@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.keys import assign_keys, load_surrogates, lookup_key, max_key, new_keys
+from millrace.operators.keys import (
+    append_surrogates, assign_keys, load_surrogates, lookup_key, max_key, new_keys,
+)
 from millrace.plans.numbering import number_rows
 from millrace.plans.spec import Join, SurrogateSpec
-from queries.common import AS_OF, moment, table
+from millrace.sources.publish import publish, read_model, truncate_load
+from queries.common import AS_OF, fresh_folder, moment, table
 
 PAIR_KEYS = SurrogateSpec(
     record_id=301, entity="PART_SUPP_SGK", key="PAIR_ID", natural_key="SRC_KEY", natural_type="VARCHAR(50)",
@@ -105,12 +110,26 @@ def _highest(spark, sf_dir):
     return by_set.withColumn("highest", max_key(surrogates(spark, sf_dir), "PAIR_ID"))
 
 
+def _appended(spark, sf_dir):
+    """Surrogates published, new pairs appended, loaded again with nothing new, and looked up."""
+    folder, spec = fresh_folder(spark), replace(PAIR_KEYS, where="lines.pair IS NOT NULL")
+    stage = {"lines": lines(spark, sf_dir)}
+    known = truncate_load(surrogates(spark, sf_dir), folder, "PART_SUPP_SGK")
+    for _ in range(2):
+        publish(spark, folder, "PART_SUPP_SGK", append_surrogates(
+            stage, known, spec, batch_log(spark, sf_dir), AS_OF, distinct=True
+        ))
+        known = read_model(spark, folder, "PART_SUPP_SGK")
+    return lookup_key(stage["lines"], known, "pair", "SRC_KEY", 1, "PAIR_ID", "PAIR_ID")
+
+
 QUERIES = {
     "new_keys": lambda s, d: new_keys(lines(s, d), surrogates(s, d), PAIR_KEYS),
     "new_keys_distinct": lambda s, d: new_keys(lines(s, d), surrogates(s, d), PAIR_KEYS, distinct=True),
     "assign_keys": _assigned,
     "load_surrogates": lambda s, d: _loaded(s, d, PAIR_KEYS, False),
     "load_surrogates_joined": lambda s, d: _loaded(s, d, CUSTOMER_LINE_KEYS, True),
+    "append_surrogates": _appended,
     "number_rows": _numbered,
     "max_key": _highest,
     "lookup_key": lambda s, d: lookup_key(lines(s, d), surrogates(s, d), "pair", "SRC_KEY", 1, "PAIR_ID", "PAIR_ID"),
@@ -125,6 +144,12 @@ ORACLES = {
         WHERE o.o_orderstatus = 'F' AND l.l_returnflag = 'R'
     )
     """ + ASSIGN_SQL + FILLED_SQL.format(sgk=3, rid=302, source="5-LOW") + "FROM new_rows",
+    "append_surrogates": SGK_SQL + """, fresh AS (
+            SELECT pair, (SELECT MAX(PAIR_ID) FROM sgk) + ROW_NUMBER() OVER (ORDER BY pair DESC) AS PAIR_ID
+            FROM (SELECT DISTINCT pair FROM lines WHERE pair IS NOT NULL
+                  AND pair NOT IN (SELECT SRC_KEY FROM sgk WHERE SGK_ID = 1)))
+        SELECT l.l_orderkey, l.l_returnflag, l.pair, COALESCE(k.PAIR_ID, f.PAIR_ID) AS PAIR_ID
+        FROM lines l LEFT JOIN sgk k ON k.SRC_KEY = l.pair AND k.SGK_ID = 1 LEFT JOIN fresh f ON f.pair = l.pair""",
     "number_rows": """
         SELECT ROW_NUMBER() OVER (ORDER BY event_type DESC, user_id) AS n, event_type, user_id FROM events""",
     "max_key": SGK_SQL + """

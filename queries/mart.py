@@ -82,8 +82,8 @@ def line_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The finished lines of all flags."""
-    return line_counts(spark, sf_dir, "l_linestatus = 'F'").select(
+    """The finished lines of all flags, and all lines of flag N."""
+    return line_counts(spark, sf_dir, "l_linestatus = 'F' OR l_returnflag = 'N'").select(
         "*", F.lit(3).alias("batch_id"), moment("2020-01-01").alias("insrt_dttm"),
         F.lit(None).cast("timestamp_ntz").alias("updt_dttm"), moment("2020-01-01").alias("dump_dttm"),
     )
@@ -95,6 +95,21 @@ def order_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+NATIONS = SourceTable("SALES", "NATIONS", (
+    SourceColumn("name", "VARCHAR(50)", key=True, case_blind=True), SourceColumn("region", "BIGINT"),
+))
+
+
+def _blind_merge(spark, sf_dir):
+    """Nations spelled in small letters, and regions as nations, merged into nations as spelled."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    regions = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("region"))
+    stage = nations.select(F.lower("name").alias("name"), (F.col("region") + 100).alias("region")).unionByName(
+        regions.select(F.concat(F.lit("r-"), "name").alias("name"), "region")
+    )
+    return load_mart(stage, nations, NATIONS, AS_OF)
+
+
 MERGE_SQL = """
 WITH stage AS (
     SELECT CASE WHEN o_totalprice >= 5000 THEN o_orderkey END AS ord_id, o_custkey AS cust_id,
@@ -143,6 +158,7 @@ QUERIES = {
     "load_mart_merge": lambda s, d: load_mart(order_stage(s, d), order_mart(s, d), ORDERS, AS_OF),
     "load_mart_all_keys": lambda s, d: load_mart(pair_stage(s, d), pair_mart(s, d), PAIRS, AS_OF),
     "load_mart_partitioned": lambda s, d: load_mart(line_stage(s, d), line_mart(s, d), LINES, AS_OF),
+    "load_mart_case_blind": _blind_merge,
     "append_archive": lambda s, d: append_archive(order_stage(s, d), order_archive(s, d)),
 }
 ORACLES = {
@@ -158,7 +174,7 @@ ORACLES = {
             WHERE l_returnflag <> 'N' AND l_linestatus = 'O' GROUP BY ALL
         ), mart AS (
             SELECT l_returnflag AS flag, l_partkey AS part_id, COUNT(*) AS lines FROM lineitem
-            WHERE l_linestatus = 'F' GROUP BY ALL
+            WHERE l_linestatus = 'F' OR l_returnflag = 'N' GROUP BY ALL
         )
         SELECT COALESCE(m.flag, s.flag) AS flag, COALESCE(m.part_id, s.part_id) AS part_id,
                COALESCE(s.lines, m.lines) AS lines, CAST(CASE WHEN m.flag IS NULL THEN 7 ELSE 3 END AS INTEGER) AS batch_id,
@@ -168,6 +184,9 @@ ORACLES = {
                CASE WHEN s.flag IS NOT NULL THEN TIMESTAMP '2024-06-01 00:00:00'
                     ELSE TIMESTAMP '2020-01-01 00:00:00' END AS dump_dttm
         FROM mart m FULL OUTER JOIN stage s ON m.flag = s.flag AND m.part_id = s.part_id""",
+    "load_mart_case_blind": """
+        SELECT n_name AS name, n_regionkey + 100 AS region FROM nation
+        UNION ALL SELECT concat('r-', r_name), r_regionkey FROM region""",
     "append_archive": """
         SELECT CASE WHEN o_totalprice >= 5000 THEN o_orderkey END AS ord_id, o_custkey AS cust_id,
                CASE WHEN o_orderstatus = 'P' THEN 'O' ELSE o_orderstatus END AS ord_sts, o_totalprice AS ord_amt,

@@ -6,17 +6,17 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from millrace.operators.apply import apply_delete_insert, apply_insert
+from millrace.operators.apply import apply_delete_insert, apply_insert, apply_upsert
 from millrace.operators.history import apply_history, final_versions
 from millrace.operators.mart import apply_mart
 from millrace.plans.spec import RECORD_ID
 from millrace.sources.dictionary import SourceColumn, SourceTable, tables_from_dictionary
 from millrace.sources.landed import read_landed, stage, text_schema
-from millrace.sources.publish import publish, read_duplicates, read_model, truncate_load
-from millrace.sources.tables import load_parquet, read_spec, save_parquet, write_table
+from millrace.sources.publish import Layout, publish, publish_load, read_duplicates, read_model, truncate_load
+from millrace.sources.tables import archive_to, load_parquet, read_archive, read_spec, save_parquet, write_table
 from millrace.streaming.arrivals import archive_arrivals, arrivals
-from queries.apply import ALL, DELETE_INSERT_SQL, INSERT_SPEC, INSERT_SQL, UPSERT_MODEL_SQL, UPSERT_SQL
-from queries.apply import _upsert, line_load, line_model, order_load, order_model
+from queries.apply import ALL, DELETE_INSERT_SQL, INSERT_SPEC, INSERT_SQL, UPSERT_MODEL_SQL, UPSERT_SPEC, UPSERT_SQL
+from queries.apply import line_load, line_model, order_load, order_model
 from queries.common import AS_OF, fresh_folder, table
 from queries.history import ORACLES as HISTORY_SQL
 from queries.history import ORDER_VERSIONS, version_load, version_model
@@ -58,16 +58,31 @@ def _arrived(spark, sf_dir):
         text.filter(status).write.mode("append").csv(f"{folder}/in")
         stream = arrivals(spark, f"{folder}/in", "csv", ".csv", text_schema(ORDERS))
         archive_arrivals(stream, ORDERS, f"{folder}/archive", f"{folder}/progress", batch, AS_OF)
-    return spark.read.parquet(f"{folder}/archive").withColumn("filename", F.col("filename").contains(".csv"))
+    return read_archive(spark, f"{folder}/archive").withColumn("filename", F.col("filename").contains(".csv")), folder
+
+
+def _arrived_and_appended(spark, sf_dir):
+    """Two deliveries taken up as they arrive, then all orders once more as a batch."""
+    _, folder = _arrived(spark, sf_dir)
+    archive_to(stage(table(spark, sf_dir, "orders"), ORDERS, 3, AS_OF), f"{folder}/archive")
+    return read_archive(spark, f"{folder}/archive").withColumn("filename", F.col("filename").contains(".csv"))
 
 
 def _written(spark, sf_dir):
-    """Order lines bucketed by order and partitioned by return flag, in a catalog table."""
+    """Order lines bucketed by order and partitioned by return flag, in a catalog table of the session."""
     name, folder = f"lines_{uuid.uuid4().hex}", fresh_folder(spark)
-    write_table(
-        table(spark, sf_dir, "lineitem"), name, bucket_by=(8, ["l_orderkey"]), partition_by=["l_returnflag"], path=folder
-    )
-    return spark.table(name)
+    lines = table(spark, sf_dir, "lineitem")
+    write_table(lines, name, bucket_by=(8, ["l_orderkey"]), partition_by=["l_returnflag"], path=folder)
+    spark.sql(f"DROP TABLE {name}")  # the files stay where they were written
+    return spark.read.schema(lines.schema).parquet(folder)
+
+
+def _typed_partitions(spark, sf_dir):
+    """Orders saved by a text that looks like a number, or is empty, and read back."""
+    folder = fresh_folder(spark)
+    coded = F.when(F.col("o_orderstatus") == "F", "01").when(F.col("o_orderstatus") == "P", "")
+    save_parquet(table(spark, sf_dir, "orders").withColumn("code", coded.otherwise("1")), folder, partition_by=["code"])
+    return load_parquet(spark, folder, ["o_orderkey", "code"], [("code", ["01", "", "1"])])
 
 
 def _saved(spark, sf_dir):
@@ -94,10 +109,11 @@ def _truncated(spark, sf_dir):
 
 
 def _published_upsert(spark, sf_dir, read):
-    """Model published, upserted from its own published rows, and published again."""
+    """Model published in buckets of its key, upserted from its own published rows, and published again."""
     folder = fresh_folder(spark)
-    truncate_load(order_model(spark, sf_dir), folder, "ORDERS")
-    publish(spark, folder, "ORDERS", _upsert(spark, sf_dir))
+    truncate_load(order_model(spark, sf_dir), folder, "ORDERS", layout=Layout(buckets=8, keys=("ORD_ID",)))
+    load = order_load(spark, sf_dir)
+    publish_load(spark, folder, "ORDERS", load, lambda model: apply_upsert(load, model, UPSERT_SPEC))
     return read(spark, folder, "ORDERS")
 
 
@@ -109,9 +125,9 @@ def _published_insert(spark, sf_dir):
 
 
 def _published_slice(spark, sf_dir):
-    """Record id 3 of the line model replaced without rewriting the others."""
+    """Record id 3 of the line model replaced without reading or rewriting the others."""
     folder = fresh_folder(spark)
-    model = truncate_load(line_model(spark, sf_dir), folder, "LINES")
+    model = truncate_load(line_model(spark, sf_dir), folder, "LINES", layout=Layout(partition_by=(RECORD_ID,)))
     publish(spark, folder, "LINES", apply_delete_insert(line_load(spark, sf_dir), model, 3))
     return read_model(spark, folder, "LINES").withColumn(RECORD_ID, F.col(RECORD_ID).cast("int"))
 
@@ -127,8 +143,10 @@ def _published_history(spark, sf_dir):
 def _published_mart(spark, sf_dir):
     """Line counts published, then merged: only the partitions of flags A and R are written again."""
     folder = fresh_folder(spark)
-    mart = truncate_load(line_mart(spark, sf_dir), folder, "LINES")
-    publish(spark, folder, "LINES", apply_mart(line_stage(spark, sf_dir), mart, LINES, AS_OF))
+    layout = Layout(keys=tuple(LINES.keys), partition_by=tuple(LINES.partitions))
+    truncate_load(line_mart(spark, sf_dir), folder, "LINES", layout=layout)
+    load = line_stage(spark, sf_dir)
+    publish_load(spark, folder, "LINES", load, lambda mart: apply_mart(load, mart, LINES, AS_OF))
     return read_model(spark, folder, "LINES")
 
 
@@ -173,10 +191,12 @@ QUERIES = {
     "read_landed": _landed,
     "stage": _staged,
     "stage_by_dictionary": _dictionary,
-    "archive_arrivals": _arrived,
+    "archive_arrivals": lambda s, d: _arrived(s, d)[0],
+    "archive_arrivals_and_batch": _arrived_and_appended,
     "write_table": _written,
     "save_parquet": lambda s, d: s.read.parquet(_saved(s, d)),
     "load_parquet": _loaded,
+    "load_parquet_partition_text": _typed_partitions,
     "truncate_load": _truncated,
     "publish_upsert": lambda s, d: _published_upsert(s, d, read_model),
     "publish_duplicates": lambda s, d: _published_upsert(s, d, read_duplicates),
@@ -198,6 +218,8 @@ ORACLES = {
     "archive_arrivals": STAGED_SQL.replace(
         "CAST(7 AS INTEGER)", "CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS INTEGER)"
     ),
+    "load_parquet_partition_text": """
+        SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN '01' WHEN 'P' THEN '' ELSE '1' END AS code FROM orders""",
     "write_table": "SELECT * FROM lineitem",
     "save_parquet": """
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
@@ -217,3 +239,7 @@ ORACLES = {
         SELECT n_name AS name, CASE WHEN n_regionkey > 0 THEN CAST(n_regionkey AS VARCHAR) ELSE '' END AS value
         FROM nation""",
 }
+ORACLES["archive_arrivals_and_batch"] = (
+    ORACLES["archive_arrivals"] + " UNION ALL "
+    + STAGED_SQL.replace("CAST(7 AS INTEGER)", "CAST(3 AS INTEGER)").replace("TRUE AS filename", "NULL AS filename")
+)

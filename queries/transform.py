@@ -9,9 +9,10 @@ from millrace.functions.types import cast_to, parse_type
 from millrace.operators.transform import batch_id, grouped, run_transforms, technical_columns, transform
 from millrace.operators.windows import qualify
 from millrace.plans.run import run_mapping
-from millrace.plans.spec import ColumnSpec, Join, Lookup, MappingSpec
-from queries.apply import UPSERT_SQL, order_model
+from millrace.plans.spec import SPEC_COLUMNS, ColumnSpec, Join, Lookup, MappingSpec, specs_from_table
+from queries.apply import ALL, DELETE_INSERT_SQL, INSERT_SQL, UPSERT_SQL, line_model, order_model
 from queries.common import AS_OF, table
+from queries.history import REBUILD_SQL, VERSION_SQL, VERSION_TARGET_SQL, dated_model, version_model
 from queries.keys import batch_log, surrogates
 
 SOURCE = "1-URGENT"
@@ -153,7 +154,72 @@ SELECT ORD_ID, CUST_ID, ORD_STS, ORD_AMT, ORD_PRTY, ORD_STRT_DT, R_ID, B_ID, INS
 FROM flagged WHERE FLAG = 'I'
 """
 
+def _spec_rows(record_id, entity, load_type, columns, filter_rule):
+    """Rows of a mapping table for columns given as name, type, key, table, column and rule."""
+    return [
+        (record_id, entity, name, kind, key, "", load_type, "SHOP", SOURCE, source, column, rule, source, "", filter_rule, "N")
+        for name, kind, key, source, column, rule in columns
+    ]
+
+
+def _filtered_by_spec(spark, sf_dir):
+    """A mapping table with one rule that filters rows and, of the rest, keeps the last per user."""
+    rule = "WHERE events.event_type <> 'where qualify' and events.value > 10 QUALIFY " \
+        "row_number() OVER (PARTITION BY events.user_id ORDER BY events.ts DESC, events.event_id DESC) = 1"
+    mapped = _spec_rows(411, "LAST_EVENTS", "INSERT", [
+        ("USER_ID", "BIGINT", "PK", "events", "user_id", "1:1"), ("EVENT_ID", "BIGINT", "", "events", "event_id", "1:1"),
+        ("EVENT_TYPE", "VARCHAR(20)", "", "events", "event_type", "1:1"),
+    ], rule)
+    schema = ", ".join(f"`{c}` {'int' if c == 'Record_ID' else 'string'}" for c in SPEC_COLUMNS)
+    (spec,) = specs_from_table(spark.createDataFrame(mapped, schema))
+    return transform(spec, tables(spark, sf_dir), batch_log(spark, sf_dir), AS_OF)
+
+
+LINE_COLUMNS = [
+    col("DOC_ID", "BIGINT", "orders", "o_orderkey", pk=True), col("ITEM_ID", "BIGINT", "orders", "o_custkey"),
+    col("AMT", "FLOAT", "orders", "o_totalprice"), col("DOC_STRT_DT", "DATE", "orders", "o_orderdate"),
+    col("DOC_END_DT", "DATE", "orders", "o_orderdate", "open", expr="DATE'9999-12-31'"),
+]
+ORDER_HISTORY = [
+    col("ORD_ID", "BIGINT", "orders", "o_orderkey", pk=True, role="HKEY"),
+    col("ORD_STS", "VARCHAR(10)", "orders", "o_orderstatus", role="HCOL"),
+    col("ORD_PRTY", "VARCHAR(20)", "orders", "o_orderpriority", "dash when not specified", role="HCOL",
+        expr="CASE WHEN orders.o_orderpriority = '4-NOT SPECIFIED' THEN '-' ELSE orders.o_orderpriority END"),
+    col("ORD_STRT_DT", "DATE", "JOB", "JOB", "JOB START", role="S"),
+    col("ORD_END_DT", "DATE", "JOB", "JOB", "OPEN", role="E"),
+]
+CUSTOMER_HISTORY = [
+    col("CUST_ID", "BIGINT", "orders", "o_custkey", pk=True, role="HKEY"),
+    col("LAST_STS", "VARCHAR(10)", "orders", "o_orderstatus", "none while pending", role="HCOL",
+        expr="CASE WHEN orders.o_orderstatus <> 'P' THEN orders.o_orderstatus END"),
+    col("LAST_PRTY", "VARCHAR(20)", "orders", "o_orderpriority", "none when not specified", role="HCOL",
+        expr="CASE WHEN orders.o_orderpriority <> '4-NOT SPECIFIED' THEN orders.o_orderpriority END"),
+    col("CUST_STRT_DT", "DATE", "orders", "o_orderdate", role="S"),
+    col("CUST_END_DT", "DATE", "JOB", "JOB", "OPEN", role="E"),
+]
+
+
+def _mapped(spec, model, **options):
+    """The model after a mapping was run from the stage tables to it."""
+    return lambda s, d: run_mapping(spec, tables(s, d), model(s, d), batch_log(s, d), AS_OF, **options).target
+
+
+def _timed_lines(spark, sf_dir):
+    never = F.lit(None).cast("timestamp_ntz")
+    return line_model(spark, sf_dir).withColumns({"INSRT_DTTM": never, "UPDT_DTTM": never})
+
+
 QUERIES = {
+    "transform_where_qualify": _filtered_by_spec,
+    "run_mapping_insert": _mapped(mapping(101, FLAGSHIP.columns, load_type="INSERT"), order_model),
+    "run_mapping_delete_insert": _mapped(mapping(3, LINE_COLUMNS, load_type="DELETE_INSERT", entity="LINES"), _timed_lines),
+    "run_mapping_history_delete_insert": _mapped(
+        mapping(3, LINE_COLUMNS, load_type="DELETE INSERT - HISTORY HANDLED", entity="LINES"), _timed_lines
+    ),
+    "run_mapping_history": _mapped(mapping(201, ORDER_HISTORY, load_type="HISTORY", entity="VERSIONS"), version_model),
+    "run_mapping_history_legacy": _mapped(
+        mapping(202, CUSTOMER_HISTORY, load_type="HISTORY", entity="CUSTOMERS"), dated_model, initial=True
+    ),
     "transform_direct": run(DIRECT),
     "transform_constants": run(CONSTANTS),
     "transform_dates": run(DATES),
@@ -229,3 +295,25 @@ ORACLES = {
             AND COUNT(*) OVER (PARTITION BY l_orderkey) > 3""",
     "grouped": "SELECT DISTINCT l_partkey, l_returnflag FROM lineitem WHERE l_quantity > 10",
 }
+
+MAPPED = ("CASE WHEN o_totalprice >= 5000 THEN o_orderkey END AS ORD_ID", "o_orderkey AS ORD_ID", 1)
+MAPPED_BATCH = ("CAST(20 AS BIGINT) AS B_ID", f"{BATCH_SQL} AS B_ID", 1)
+ORACLES["transform_where_qualify"] = (
+    "SELECT user_id AS USER_ID, event_id AS EVENT_ID, event_type AS EVENT_TYPE" + TECHNICAL_SQL.format(rid=411)
+    + "FROM events WHERE event_type <> 'where qualify' AND value > 10 "
+    "QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
+)
+ORACLES["run_mapping_insert"] = INSERT_SQL.replace(*MAPPED).replace(*MAPPED_BATCH) + (
+    f"SELECT * FROM model UNION ALL SELECT {ALL} FROM flagged WHERE FLAG = 'I'"
+)
+NEVER = "CAST(NULL AS TIMESTAMP) AS INSRT_DTTM, CAST(NULL AS TIMESTAMP) AS UPDT_DTTM"
+LOADED = "TIMESTAMP '2024-06-01 00:00:00', TIMESTAMP '2024-06-01 00:00:00'"
+ORACLES["run_mapping_delete_insert"] = DELETE_INSERT_SQL.replace(
+    "CAST(10 AS BIGINT) AS B_ID", f"CAST(10 AS BIGINT) AS B_ID, {NEVER}"
+).replace("CAST(20 AS BIGINT)", f"{BATCH_SQL}, {LOADED}")
+ORACLES["run_mapping_history_delete_insert"] = ORACLES["run_mapping_delete_insert"]
+ORACLES["run_mapping_history"] = VERSION_SQL.replace(*MAPPED).replace(*MAPPED_BATCH) + VERSION_TARGET_SQL
+ORACLES["run_mapping_history_legacy"] = REBUILD_SQL.replace("o_orderkey AS B_ID", f"{BATCH_SQL} AS B_ID", 1).replace(
+    "ORDER BY B_ID ASC NULLS FIRST, incoming",
+    "ORDER BY B_ID ASC NULLS FIRST, incoming, LAST_STS NULLS FIRST, LAST_PRTY NULLS FIRST", 1,
+) + "SELECT * FROM model"

@@ -4,7 +4,6 @@ from collections import defaultdict
 
 import pytest
 from conftest import rows
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from millrace.operators.history import apply_history, apply_history_auto, apply_history_legacy
@@ -113,10 +112,41 @@ def test_two_new_versions_of_a_key_are_refused(spark, values):
         apply_history(table(spark, values), target, spec("A"))
 
 
-def test_a_load_row_must_be_open(spark):
-    target = table(spark, [(1, "a", 1, day(0), HIGH)])
-    with pytest.raises(PySparkException, match="high date"):
-        apply_history(table(spark, [(1, "b", 1, day(10), day(11))]), target, spec("A")).target.collect()
+@pytest.mark.parametrize("small", [True, False])
+def test_rows_meet_the_version_of_their_own_end(spark, small):
+    target = table(spark, [
+        (1, "a", 1, day(0), day(9)), (1, "b", 1, day(10), HIGH), (2, "a", 1, day(0), day(9)), (3, "a", 1, day(0), None),
+    ])
+    load = table(spark, [
+        (1, "x", 1, day(5), day(9)), (1, "b", 1, day(20), HIGH), (2, "a", 1, day(30), day(9)), (2, "q", 1, day(40), day(50)),
+        (3, "a", 1, day(60), None), (4, "n", 1, day(70), None),
+    ], batch=2)
+    result = apply_history(load, target, spec("A"), small_load=small)
+    assert rows(result.flagged, "K", "A", "FLAG") == [
+        (1, "b", "D"), (1, "x", "U"), (2, "a", "D"), (2, "q", "I"), (3, "a", "I"), (4, "n", "I"),
+    ]
+    assert rows(result.target, "K", "A", "S", "E", "B_ID") == rows(table(spark, [
+        (1, "a", 1, day(0), day(4), 2), (1, "b", 1, day(10), HIGH, 1), (1, "x", 1, day(5), day(9), 2),
+        (2, "a", 1, day(0), day(9), 1), (2, "q", 1, day(40), day(50), 2), (3, "a", 1, day(0), None, 1),
+        (3, "a", 1, day(60), None, 2), (4, "n", 1, day(70), None, 2),
+    ]), "K", "A", "S", "E", "B_ID")
+    assert rows(result.duplicates, "K", "S") == [(1, day(20)), (2, day(30))]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_segments_give_what_a_plain_window_gives_with_missing_starts(spark, seed):
+    rng = random.Random(seed)
+    values = [(k, rng.choice("ab"), rng.randint(0, 2), start, HIGH) for k in range(3)
+              for start in rng.sample([None, *(day(i) for i in range(9))], rng.randint(1, 9))]
+    df = table(spark, values)
+    for cut in (1, 2):
+        assert rows(previous(df, ["A", "B"], ["K"], "S", hot_rows=cut)) == rows(previous(df, ["A", "B"], ["K"], "S"))
+        high = F.lit(HIGH)
+        assert rows(next_start(df, ["K"], "S", "N", high, hot_rows=cut)) == rows(next_start(df, ["K"], "S", "N", high))
+    repeated = table(spark, values + rng.choices(values, k=6))
+    model = table(spark, [(k, "z", 0, day(i), HIGH, 0) for k in range(3) for i in (0, 4)])
+    plain = apply_history_legacy(repeated, model, spec("A", "B"))
+    assert rows(apply_history_legacy(repeated, model, spec("A", "B"), hot_rows=1).target) == rows(plain.target)
 
 
 def test_history_needs_its_roles(spark):

@@ -1,13 +1,15 @@
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from millrace.operators.keys import assign_keys, load_surrogates, lookup_key, new_keys
+from millrace.operators.keys import append_surrogates, assign_keys, load_surrogates, lookup_key, new_keys
 from millrace.plans import numbering
 from millrace.plans.numbering import number_rows
 from millrace.plans.spec import Join, SurrogateSpec
+from millrace.sources.publish import publish, read_model, truncate_load
 
 SGK = "K long, NAT string, FILL string, SGK_ID short, R_ID int, B_ID long, INSRT_DTTM timestamp_ntz, UPDT_DTTM timestamp_ntz"
 SPEC = SurrogateSpec(5, "X_SGK", "K", "NAT", "VARCHAR(4)", 1, "src", "stg", "code", null_columns=("FILL",))
@@ -84,3 +86,27 @@ def test_lookup(spark):
     known = sgk(spark, [(10, "a", 1), (99, "b", 2)])
     found = lookup_key(stage(spark, ["a", "b", None]), known, "code", "NAT", 1, "K", "K")
     assert rows(found) == [(None, None), ("a", 10), ("b", None)]
+
+
+def test_keys_alike_after_the_cast_get_one_surrogate(spark):
+    short = replace(SPEC, natural_type="VARCHAR(3)")
+    log = spark.createDataFrame([(4, "src")], "B_ID long, B_SOURCE string")
+    tables = {"stg": stage(spark, ["abcd", "abce", "ab", "AB", "ab"])}
+    once = load_surrogates(tables, sgk(spark, []), short, log, AS_OF, distinct=True)
+    assert rows(once, "NAT") == [("AB",), ("ab",), ("abc",)]
+    blind = load_surrogates(tables, sgk(spark, []), replace(short, case_blind=True), log, AS_OF, distinct=True)
+    assert rows(blind, "NAT") == [("AB",), ("abc",)]
+    assert rows(new_keys(tables["stg"], sgk(spark, []), replace(short, case_blind=True), distinct=True)) == [("AB",), ("abc",)]
+    assert load_surrogates(tables, sgk(spark, []), short, log, AS_OF).count() == 5
+
+
+def test_surrogates_are_appended_and_found_without_regard_to_case(spark, tmp_path):
+    root, blind = str(tmp_path), replace(SPEC, case_blind=True)
+    log = spark.createDataFrame([(4, "src")], "B_ID long, B_SOURCE string")
+    known = truncate_load(sgk(spark, [(10, "a", 1)]), root, "X_SGK")
+    for tables in ({"stg": stage(spark, ["A", "b"])}, {"stg": stage(spark, ["a", "B", "c"])}):
+        publish(spark, root, "X_SGK", append_surrogates(tables, known, blind, log, AS_OF, distinct=True))
+        known = read_model(spark, root, "X_SGK")
+    assert rows(known, "K", "NAT") == [(10, "a"), (11, "b"), (12, "c")]
+    found = lookup_key(stage(spark, ["A", "B", "x"]), known, "code", "NAT", 1, "K", "K", case_blind=True)
+    assert rows(found) == [("A", 10), ("B", 11), ("x", None)]

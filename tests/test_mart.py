@@ -5,9 +5,10 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from millrace.operators.checks import CheckError, check_not_null, check_unique, duplicate_keys, null_counts
-from millrace.operators.mart import insert_new_mart, load_mart, merge_mart
+from millrace.operators.mart import apply_mart, insert_new_mart, load_mart, merge_mart
 from millrace.plans.matching import RepeatedKey
 from millrace.sources.dictionary import SourceColumn, SourceTable
+from millrace.sources.publish import NO_VALUE, Layout, last_commit, publish_load, reached, read_model, truncate_load
 from millrace.sources.tables import append_archive
 
 AS_OF, OLD = dt.datetime(2024, 6, 1, 8, 30), dt.datetime(2020, 1, 1)
@@ -70,12 +71,13 @@ def test_load_mart_chooses_by_dictionary(spark):
     assert rows(load_mart(load, model, all_keys, AS_OF), "id", "val") == [(1, "a"), (1, "b")]
 
 
-def test_partitions_the_stage_does_not_reach_skip_the_join(spark, plan, tmp_path):
+def test_partitions_the_stage_does_not_reach_are_neither_read_nor_written(spark, plan, tmp_path):
     columns = "p string, id int, val string, batch_id int, insrt_dttm timestamp_ntz, updt_dttm timestamp_ntz, dump_dttm timestamp_ntz"
     model = [(p, i, "old", 3, OLD, None, OLD) for p in "abc" for i in range(3)] + [(None, 1, "old", 3, OLD, None, OLD)]
-    path = str(tmp_path / "mart")
-    spark.createDataFrame(model, columns).write.partitionBy("p").parquet(path)
-    mart = spark.read.schema(columns).parquet(path)
+    root = str(tmp_path)
+    layout = Layout(keys=("p", "id"), partition_by=("p",))
+    mart = truncate_load(spark.createDataFrame(model, columns), root, "M", layout=layout)
+    whole = rows(mart)
     stage = spark.createDataFrame(
         [("a", 1, "new", 7, AS_OF), ("d", 9, "new", 7, AS_OF), (None, 1, "new", 7, AS_OF)],
         "p string, id int, val string, batch_id int, dump_dttm timestamp_ntz",
@@ -84,10 +86,37 @@ def test_partitions_the_stage_does_not_reach_skip_the_join(spark, plan, tmp_path
         SourceColumn("p", "VARCHAR(1)", key=True, partition=True), SourceColumn("id", "INTEGER", key=True),
         SourceColumn("val", "VARCHAR(5)"),
     ))
-    found = load_mart(stage, mart, table, AS_OF, small_load=False)
-    assert rows(found) == rows(merge_mart(stage, mart, ["p", "id"], AS_OF))
-    assert found.count() == 12 and found.filter("val = 'new'").count() == 3
-    assert "PartitionFilters: [p#" in plan(found) and "PartitionFilters: [NOT coalesce(p#" in plan(found)
+    before = last_commit(spark, root, "M")
+    read = reached(spark, before, stage)
+    assert [f.rpartition("=")[2] for f in read] == [NO_VALUE, "a"]
+    expected = rows(load_mart(stage, mart, table, AS_OF, small_load=False))
+    after = publish_load(spark, root, "M", stage, lambda part: apply_mart(stage, part, table, AS_OF))
+    found = read_model(spark, root, "M")
+    assert rows(found) == expected and len(expected) == len(whole) + 2
+    assert set(before.model) & set(after.model) == {"VERSION=1/DEST=model/p=b", "VERSION=1/DEST=model/p=c"}
+    assert "PartitionFilters: [" in plan(found.filter("p = 'b'"))
+
+
+def test_keys_compare_as_the_dictionary_declares(spark):
+    blind = SourceTable("s", "t", (
+        SourceColumn("val", "VARCHAR(5)", key=True, case_blind=True), SourceColumn("id", "INTEGER"),
+    ))
+    load, model = stage(spark, [(9, "A"), (8, "b")]), mart(spark, [(1, "a")])
+    assert rows(load_mart(load, model, blind, AS_OF), "val", "id") == [("a", 9), ("b", 8)]
+    exact = SourceTable("s", "t", (SourceColumn("val", "VARCHAR(5)", key=True), SourceColumn("id", "INTEGER")))
+    assert rows(load_mart(load, model, exact, AS_OF), "val") == [("A",), ("a",), ("b",)]
+    assert rows(load_mart(load, model, exact, AS_OF, case_blind=True), "val") == [("a",), ("b",)]
+    with pytest.raises(ValueError, match="type of every key"):
+        merge_mart(load, model, ["val"], AS_OF, case_blind=True)
+
+
+def test_a_mart_load_may_be_checked(spark):
+    table = SourceTable("s", "t", (SourceColumn("id", "INTEGER", key=True), SourceColumn("val", "VARCHAR(5)")))
+    with pytest.raises(CheckError, match="id: 1"):
+        load_mart(stage(spark, [(None, "a")]), mart(spark, []), table, AS_OF, check=True)
+    keys = SourceTable("s", "t", (SourceColumn("id", "INTEGER", key=True), SourceColumn("val", "VARCHAR(5)", key=True)))
+    with pytest.raises(CheckError, match="not unique"):
+        load_mart(stage(spark, [(1, "a"), (1, "a")]), mart(spark, []), keys, AS_OF, check=True)
 
 
 def test_archive_keeps_repeats(spark):

@@ -10,8 +10,12 @@ from millrace.operators.mart import apply_mart
 from millrace.plans.spec import ColumnSpec, MappingSpec, SpecError
 from millrace.sources.dictionary import SourceColumn, SourceTable, derive_type, tables_from_dictionary
 from millrace.sources.landed import read_landed, stage, text_schema
-from millrace.sources.publish import last_commit, publish, read_duplicates, read_model, truncate_load
-from millrace.sources.tables import append_to, load_parquet, read_spec, save_parquet, write_table
+from millrace.sources.publish import (
+    NO_VALUE, Layout, last_commit, publish, publish_load, read_duplicates, read_model, reached, truncate_load,
+)
+from millrace.sources.tables import (
+    append_to, archive_to, load_parquet, read_archive, read_spec, save_parquet, write_table,
+)
 from millrace.streaming.arrivals import archive_arrivals, arrivals
 
 TABLE = SourceTable("s", "t", (
@@ -76,14 +80,20 @@ def test_arrivals_are_archived_once(spark, tmp_path):
         for name in names:
             (tmp_path / "in" / f"{name}.csv").write_text(f"{batch},{name},2024-01-01 00:00:00\n")
         archive_arrivals(arrivals(spark, landing, "csv", "a_", text_schema(TABLE)), TABLE, archive, progress, batch, AS_OF)
-    assert rows(spark.read.parquet(archive), "id", "filename", "batch_id") == [(1, "a_1.csv", 1), (2, "a_2.csv", 2)]
+    assert rows(read_archive(spark, archive), "id", "filename", "batch_id") == [(1, "a_1.csv", 1), (2, "a_2.csv", 2)]
+    taken = read_archive(spark, archive)
+    taken = spark.createDataFrame(taken.collect(), taken.schema)
+    archive_to(taken.withColumn("batch_id", F.lit(9)), archive)
+    archive_to(taken, archive, "again")
+    archive_to(taken.filter("batch_id = 1"), archive, "again")
+    assert rows(read_archive(spark, archive), "id", "batch_id") == [(1, 1), (1, 1), (1, 9), (2, 2), (2, 9)]
 
 
 def test_parquet_round_trip(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([(1, None, "p"), (2, "b", "q"), (3, "c", "p")], "n int, t string, part string")
     save_parquet(df, path, partition_by=["part"])
-    save_parquet(df.limit(0), path)
+    save_parquet(df.limit(0), path, partition_by=["part"])
     assert rows(spark.read.parquet(path), "n", "t", "part") == [(1, "", "p"), (2, "b", "q"), (3, "c", "p")]
     assert rows(load_parquet(spark, path, ["n"], [("part", ["p"]), ("t", ["c", "b"])])) == [(3,)]
     append_to(df.filter("n = 2"), path, ["part"])
@@ -93,6 +103,67 @@ def test_parquet_round_trip(spark, tmp_path):
     assert rows(spark.read.parquet(other), "n", "t")[0] == ("1", None)
 
 
+def test_partition_columns_keep_their_type_and_empty_texts(spark, tmp_path):
+    path = str(tmp_path / "t")
+    values = [(1, "01"), (2, ""), (3, None), (4, "\x01x"), (5, "a/b=c%")]
+    df = spark.createDataFrame(values, "n int, part string")
+    save_parquet(df, path, partition_by=["part"])
+    assert rows(load_parquet(spark, path)) == [(1, "01"), (2, ""), (3, ""), (4, "\x01x"), (5, "a/b=c%")]
+    assert rows(load_parquet(spark, path, ["n"], [("part", ["", "01"])])) == [(1,), (2,), (3,)]
+    save_parquet(df.limit(0), path, partition_by=["part"], mode="overwrite")
+    assert load_parquet(spark, path).count() == 0
+    plain = str(tmp_path / "p")
+    df.filter("n = 1").write.partitionBy("part").parquet(plain)
+    assert rows(load_parquet(spark, plain)) == [(1, "01")]
+
+
+def test_file_names_may_have_any_characters(spark, tmp_path):
+    (tmp_path / "a[1]{x}.csv").write_text("1\n")
+    (tmp_path / "a1x.csv").write_text("2\n")
+    assert rows(read_landed(spark, str(tmp_path), "csv", "[1]{x}", "n int"), "n") == [(1,)]
+
+
+def test_a_staged_row_may_be_required_to_be_whole(spark):
+    landed = spark.createDataFrame([("1", "a", None), (None, "b", None)], "id string, Name string, at string")
+    assert stage(landed, TABLE, 5, AS_OF).count() == 2
+    with pytest.raises(Exception, match="missing values in id"):
+        stage(landed, TABLE, 5, AS_OF, check=True).collect()
+
+
+def test_a_bucket_is_one_file(spark, tmp_path):
+    df = spark.range(1000).repartition(7).selectExpr("id AS k")
+    write_table(df, "one_file", bucket_by=(4, ["k"]), path=str(tmp_path / "w"))
+    assert len(list((tmp_path / "w").glob("*.parquet"))) == 4
+    spark.sql("DROP TABLE one_file")
+
+
+def test_a_load_replaces_only_the_folders_it_reaches(spark, tmp_path):
+    root = str(tmp_path)
+    layout = Layout(buckets=8, keys=("ID",))
+    truncate_load(load_of(spark, [(i, "a") for i in range(100)] + [(None, "n")]), root, "T", layout=layout)
+    first = last_commit(spark, root, "T")
+    load = load_of(spark, [(7, "b"), (200, "c")])
+    folders = reached(spark, first, load)
+    assert 1 <= len(folders) <= 2 < len(first.model) == 9
+    commit = publish_load(spark, root, "T", load, lambda model: apply_upsert(load, model, SPEC))
+    assert set(first.model) - set(folders) < set(commit.model) and not set(folders) & set(commit.model)
+    expected = [(None, "n")] + [(i, "b" if i == 7 else "a") for i in range(100)] + [(200, "c")]
+    assert rows(read_model(spark, root, "T"), "ID", "VAL") == sorted(expected, key=lambda r: [(v is not None, str(v)) for v in r])
+    added = load_of(spark, [(7, "x"), (300, "d")])
+    publish_load(spark, root, "T", added, lambda model: apply_insert(added, model, SPEC))
+    assert read_model(spark, root, "T").count() == 103
+    assert reached(spark, last_commit(spark, root, "T"), load_of(spark, [])) == ()
+
+
+def test_published_partitions_are_pruned(spark, plan, tmp_path):
+    root = str(tmp_path)
+    rows_ = spark.createDataFrame([(1, "A"), (2, "B"), (3, "")], "id int, flag string")
+    mart = truncate_load(rows_, root, "M", layout=Layout(keys=("flag", "id"), partition_by=("flag",)))
+    assert rows(mart) == [(1, "A"), (2, "B"), (3, "")]
+    text = plan(mart.filter("flag = 'A'"))
+    assert "PartitionFilters: [" in text and "flag" in text.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_specs_are_read_with_a_schema(spark, tmp_path):
     (tmp_path / "spec.csv").write_text('Key,Value\na,1\nb,\n"c\nd","2, 3"\n')
     assert rows(read_spec(spark, str(tmp_path), "Key string, Value string")) == [("a", "1"), ("b", ""), ("c\nd", "2, 3")]
@@ -146,12 +217,12 @@ def test_a_failed_write_changes_nothing(spark, tmp_path):
     assert rows(read_model(spark, root, "T"), "ID") == [(1,), (3,)]
 
 
-def test_replaced_record_ids_are_masked_not_rewritten(spark, tmp_path):
+def test_folders_of_a_replaced_record_id_are_dropped(spark, tmp_path):
     root = str(tmp_path)
     first = load_of(spark, [(1, "a")], 1).union(load_of(spark, [(2, "b")], 2)).union(load_of(spark, [(3, "n")], None))
-    model = truncate_load(first, root, "T")
+    model = truncate_load(first, root, "T", layout=Layout(partition_by=("R_ID",)))
     commit = publish(spark, root, "T", apply_delete_insert(load_of(spark, [(9, "z")], 2), model, 2))
-    assert [(p.version, p.without) for p in commit.model] == [(1, (("R_ID", ("2",)),)), (2, ())]
+    assert commit.model == ("VERSION=1/DEST=model/R_ID=1", f"VERSION=1/DEST=model/R_ID={NO_VALUE}", "VERSION=2/DEST=model/R_ID=2")
     assert rows(read_model(spark, root, "T"), "ID") == [(1,), (3,), (9,)]
     publish(spark, root, "T", apply_delete_insert(load_of(spark, []), read_model(spark, root, "T"), 2))
     assert rows(read_model(spark, root, "T"), "ID") == [(1,), (3,)]
@@ -184,7 +255,9 @@ def test_closed_versions_are_not_written_again(spark, tmp_path):
         (1, "d", dt.date(2024, 4, 1), dt.date(2024, 4, 30)), (1, "e", dt.date(2024, 5, 1), high), (2, "a", first, high),
     ))
     commit = last_commit(spark, root, "H")
-    assert [(p.version, p.parts) for p in commit.model] == [(2, ("final",)), (3, ("final",)), (4, ("model", "final"))]
+    assert commit.model == (
+        "VERSION=2/DEST=final", "VERSION=3/DEST=final", "VERSION=4/DEST=final", "VERSION=4/DEST=model"
+    )
     written = spark.read.parquet(f"{root}/H/data").groupBy("VERSION").count().collect()
     assert dict(map(tuple, written)) == {1: 3, 2: 4, 3: 3, 4: 3}
 
@@ -204,19 +277,20 @@ def test_a_merge_replaces_the_partitions_it_reaches(spark, tmp_path):
         )
 
     first = [(d, i, "old", 1, at, None, at) for d in days for i in (1, 2)] + [(None, 1, "old", 1, at, None, at)]
-    mart = truncate_load(spark.createDataFrame(first, mart_columns), root, "M")
-    publish(spark, root, "M", apply_mart(stage_of((days[1], 1, "new"), (days[1], 9, "add")), mart, table, at))
-    commit = publish(
-        spark, root, "M",
-        apply_mart(stage_of((days[2], 2, "new"), (None, 1, "null")), read_model(spark, root, "M"), table, at),
-    )
+    layout = Layout(keys=("d", "id"), partition_by=("d",))
+    truncate_load(spark.createDataFrame(first, mart_columns), root, "M", layout=layout)
+    for load in (stage_of((days[1], 1, "new"), (days[1], 9, "add")), stage_of((days[2], 2, "new"), (None, 1, "null"))):
+        commit = publish_load(spark, root, "M", load, lambda mart, load=load: apply_mart(load, mart, table, at))
     assert rows(read_model(spark, root, "M"), "d", "id", "val") == rows(spark.createDataFrame([
         (None, 1, "null"), (None, 1, "old"), (days[0], 1, "old"), (days[0], 2, "old"), (days[1], 1, "new"),
         (days[1], 2, "old"), (days[1], 9, "add"), (days[2], 1, "old"), (days[2], 2, "new"),
     ], "d date, id int, val string"))
-    assert commit.model[0].without == (("d", ("2024-01-02", "2024-01-03")),)
+    assert commit.model == (
+        "VERSION=1/DEST=model/d=2024-01-01", "VERSION=2/DEST=model/d=2024-01-02",
+        "VERSION=3/DEST=model/d=2024-01-03", f"VERSION=3/DEST=model/d={NO_VALUE}",
+    )
     written = dict(map(tuple, spark.read.parquet(f"{root}/M/data").groupBy("VERSION").count().collect()))
-    assert written == {1: 7, 2: 3, 3: 3}
+    assert written == {1: 7, 2: 3, 3: 4}
     keys_only = SourceTable("s", "t", table.columns[:2])
     added = apply_mart(stage_of((days[0], 7, "x"), (days[0], 1, "x")), read_model(spark, root, "M"), keys_only, at)
     publish(spark, root, "M", added)

@@ -10,7 +10,8 @@ from millrace.operators.transform import const, run_transforms, transform
 from millrace.operators.windows import qualify
 from millrace.plans.run import run_load, run_mapping
 from millrace.plans.spec import (
-    SPEC_COLUMNS, ColumnSpec, Join, Lookup, MappingSpec, SpecError, specs_from_table, surrogates_from_table,
+    SPEC_COLUMNS, ColumnSpec, Join, Lookup, MappingSpec, SpecError, _split_filter, specs_from_table,
+    surrogates_from_table,
 )
 
 AS_OF = dt.datetime(2024, 6, 1, 9, 8, 7, 654321)
@@ -134,7 +135,7 @@ def spec_table(spark):
         spec_rows(1, "E", "upsert", [ids], filter_rule="WHERE s.c = 'x'")
         + spec_rows(2, "H", "HISTORY", [ids, ("S_DT", "DATE", "", "s", "JOB", "JOB", "start"), ends])
         + spec_rows(3, "L", "HISTORY", [ids, ("S_DT", "DATE", "", "S", "s", "d", "1:1"), ends], stage="OTHER")
-        + spec_rows(4, "E", "INSERT", [ids], source="Emdad_M")
+        + spec_rows(4, "E", "INSERT", [ids], source="Legacy_X")
         + spec_rows(5, "E", "INSERT", [ids], filter_rule="c = 'x' group by id, g", special="Y")
         + spec_rows(6, "E", "INSERT", [ids], filter_rule="qualify row_number() over (order by s.id) = 1")
         + spec_rows(9, "N_SGK", "INSERT", [
@@ -147,7 +148,7 @@ def spec_table(spark):
 
 
 def test_specs_from_a_table(spec_table):
-    found = {s.record_id: s for s in specs_from_table(spec_table)}
+    found = {s.record_id: s for s in specs_from_table(spec_table, exclude_sources=("LEGACY_X",))}
     assert sorted(found) == [1, 2, 3, 5, 6]
     assert (found[1].load_type, found[1].where, found[1].primary_key) == ("UPSERT", "s.c = 'x'", ["ID"])
     assert (found[2].load_type, found[2].start, found[2].end) == ("HISTORY", "S_DT", "E_DT")
@@ -156,7 +157,19 @@ def test_specs_from_a_table(spec_table):
     assert found[6].qualify == "row_number() over (order by s.id) = 1"
     assert [s.record_id for s in specs_from_table(spec_table, stage_schema="other")] == [3]
     assert [s.record_id for s in specs_from_table(spec_table, record_ids=[2, 6])] == [2, 6]
-    assert 4 in [s.record_id for s in specs_from_table(spec_table, exclude_sources=())]
+    assert 4 in [s.record_id for s in specs_from_table(spec_table)]
+    assert all(s.case_blind for s in specs_from_table(spec_table, case_blind=True))
+
+
+def test_filter_rules():
+    assert _split_filter("WHERE a = 1 QUALIFY row_number() OVER (ORDER BY b) = 1") == (
+        "a = 1", (), "row_number() OVER (ORDER BY b) = 1"
+    )
+    assert _split_filter("a = 'x qualify y' and b = 1 qualify count(*) filter (where c > 1) over () = 1") == (
+        "a = 'x qualify y' and b = 1", (), "count(*) filter (where c > 1) over () = 1"
+    )
+    assert _split_filter("a = 1 GROUP BY b, c") == ("a = 1", ("b", "c"), None)
+    assert _split_filter("") == (None, (), None)
 
 
 def test_surrogate_specs_from_a_table(spec_table):
@@ -190,11 +203,20 @@ def test_run_load_dispatches_and_refuses(spark):
         run_load(special, load, model)
     assert run_load(special, load, model, allow_special=True).target.count() == 2
     with pytest.raises(SpecError, match="excluded"):
-        run_load(MappingSpec(1, "E", "INSERT", (ids,), source_systems=("Emdad_M",)), load, model)
+        run_load(MappingSpec(1, "E", "INSERT", (ids,), source_systems=("Legacy_X",)), load, model, exclude_sources=("LEGACY_X",))
     with pytest.raises(SpecError, match="surrogate"):
         run_load(MappingSpec(1, "E_SGK", "INSERT", (ids,)), load, model)
 
 
+def test_run_mapping_reads_stage_tables_once(plan, tables, log, tmp_path):
+    tables["s"].write.parquet(str(tmp_path / "s"))
+    spec = mapping(column("ID", "BIGINT", pk=True), column("C", "VARCHAR(5)", source="c"))
+    stored = tables | {"s": tables["s"].sparkSession.read.parquet(str(tmp_path / "s"))}
+    model = transform(spec, tables, log, "2024-01-01").limit(0)
+    result = run_mapping(spec, stored, model, log, "2024-01-01")
+    assert "FileScan" not in plan(result.outcome) and result.target.count() == 3
+
+
 def test_run_mapping_from_stage_to_history(tables, log):
     spec = mapping(
         column("ID", "BIGINT", pk=True, role="HKEY"), column("C", "VARCHAR(5)", source="c", role="HCOL"),
@@ -230,6 +252,7 @@ def test_filters_in_lists(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(3000)], "n int, c string")
     assert filter_in(df, [("n", [1, 2, 3]), ("c", ["b"])]).count() == 2
     assert filter_in(df, [("n", list(range(2000)))]).count() == 2000
+    assert filter_in(df.selectExpr("cast(n AS double) AS n"), [("n", list(range(2000)))]).count() == 2000
     assert filter_in(df, [("n", spark.createDataFrame([(7,), (7,), (None,)], "x int"))]).count() == 1
     assert filter_in(df, []).count() == 3000
 
