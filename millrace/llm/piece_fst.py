@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import col, unused, whole, with_results
 
 MARK = "▁"
-KEPT_WORDS, KEPT_SECTIONS, KEPT_PAIRS = 400_000, 300_000, 300_000
+KEPT_WORDS, KEPT_SECTIONS, KEPT_PAIRS = 500_000, 100_000, 500_000
 PIECE_CHARS = 1 << 20
 UNKNOWN_COST = 1e6
 _WORD_START = re.compile(f"(?<=[^{MARK}])(?={MARK})")
@@ -69,9 +69,10 @@ class PieceTransducer:
         self.together = {piece[i : i + 2] for piece in self.ids for i in range(len(piece) - 1)}
         marked = [pair for pair in self.together if pair[1] == MARK and pair[0] != MARK]
         self.by_words = not marked  # no piece goes on over the start of a word
+        self.feeds_alone = not any("\n" in pair for pair in self.together)
         self.words: dict[str, bytes] = {}
         self.sections: dict[str, bytes] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair merging: always the pair whose piece scores highest, the leftmost first."""
@@ -99,34 +100,63 @@ class PieceTransducer:
 
     def stays_apart(self, left: str, right: str) -> bool:
         """Whether merging ``left + right`` ends in exactly these two."""
-        found = self.apart.get((left, right))
-        if found is None:
-            if len(self.apart) > KEPT_PAIRS:
-                self.apart.clear()
-            found = self.merged(left + right) == ([left, right] if left else [right])
-            self.apart[left, right] = found
-        return found
+        return self.merged(left + right) == ([left, right] if left else [right])
+
+    def _merging_path(self, section: str) -> list[str] | None:
+        """The path of weight 0 in a ``bpe`` model. At most one piece can end at each place, as merging
+        a prefix has one result, so that piece is all of the state; None if a character is no piece."""
+        n, ids, states, apart, size = len(section), self.ids, self.states, self.apart, len(self.surface)
+        if len(apart) > KEPT_PAIRS:
+            apart.clear()
+        last, starts = [-1] * (n + 1), [0] * (n + 1)
+        last[0] = size  # stands for the start
+        for i in range(n):
+            before = last[i]
+            if before < 0:
+                continue
+            for j in range(i + 1, n + 1):
+                piece = section[i:j]
+                found = ids.get(piece)
+                if found is None:
+                    if j == i + 1:
+                        return None
+                elif last[j] < 0:
+                    free = apart.get(before * size + found)
+                    if free is None:
+                        free = apart[before * size + found] = self.stays_apart(section[starts[i] : i], piece)
+                    if free:
+                        last[j], starts[j] = found, i
+                if piece not in states:
+                    break
+        if last[n] < 0:
+            return None
+        path, at = [], n
+        while at:
+            path.append(section[starts[at] : at])
+            at = starts[at]
+        return path[::-1]
 
     def shortest(self, section: str) -> list[str]:
         """The pieces on the path of least weight through the section; unknown characters stand for themselves."""
+        if self.merging and (found := self._merging_path(section)) is not None:
+            return found
         n = len(section)
         weight = [0.0] + [float("inf")] * n
         last: list[str] = [""] * (n + 1)
-        ids, states, merging = self.ids, self.states, self.merging
         for i in range(n):
             if weight[i] == float("inf"):
                 continue
             for j in range(i + 1, n + 1):
                 piece = section[i:j]
-                known = piece in ids
+                known = piece in self.ids
                 if known or j == i + 1:
-                    if merging:
-                        cost = weight[i] if j == i + 1 == n == 1 or self.stays_apart(last[i], piece) else float("inf")
+                    if self.merging:
+                        cost = weight[i] if self.stays_apart(last[i], piece) else float("inf")
                     else:
                         cost = weight[i] + (-self.score[piece] if known else UNKNOWN_COST)
                     if cost < weight[j]:
                         weight[j], last[j] = cost, piece
-                if piece not in states:
+                if piece not in self.states:
                     break
         if weight[n] == float("inf"):
             raise ValueError(f"no path through {section!r}")
@@ -161,24 +191,40 @@ class PieceTransducer:
         """The ids of a whole text; none for ''."""
         if not text:
             return np.zeros(0, dtype="<i4")
+        # single spaces begin a word and line feeds a section, so words can be told apart at once
+        usual = self.by_words and self.feeds_alone and MARK not in text and "  " not in text and text[0] != " "
         out, begin, mark = [], 0, self.prefix
         while begin < len(text):
             end = text.find(" ", begin + PIECE_CHARS) if self.by_words else -1
             while 0 <= end < len(text) and text[end - 1] in (" ", MARK):  # not within a run of marks
                 end = text.find(" ", end + 1)
             end = len(text) if end < 0 else end
-            marked = mark + text[begin:end].replace(" ", MARK)
-            words = _WORD_START.split(marked) if self.by_words else [marked]
             if len(self.words) > KEPT_WORDS:
                 self.words.clear()
-            known = self.words
-            for word in words:
-                if word not in known:
-                    known[word] = self._word(word)
-            out += map(known.__getitem__, words)
+            if usual and self.prefix:
+                found = self._usual(text[begin + (begin > 0) : end])
+            else:
+                marked = mark + text[begin:end].replace(" ", MARK)
+                found = list(map(self._word, _WORD_START.split(marked) if self.by_words else [marked]))
+            out += found
             begin, mark = end, ""
         return np.frombuffer(b"".join(out), dtype="<i4")
 
+    def _usual(self, text: str) -> list[bytes]:
+        """Sections of words that each stand after one space, or begin with a line feed."""
+        words = text.replace("\n", " \n").split(" ")
+        known = self.words
+        found = list(map(known.get, words))
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            word = words[at]
+            ids = known.get(word)  # it may have come up a moment ago
+            if ids is None:
+                ids = known[word] = self._word(word if word[:1] == "\n" else MARK + word)
+            found[at] = ids
+        return found
+
     def decode(self, ids: np.ndarray) -> str:
         """The text that the ids stand for: pieces, bytes, marks as spaces, without the mark before the text."""
         raw = b"".join(map(self.surface.__getitem__, ids.tolist()))
