@@ -87,10 +87,12 @@ def fit(x: np.ndarray, y: np.ndarray, languages: tuple[str, ...], held: np.ndarr
     table = scale * embed @ out
     check = np.flatnonzero(held) if held.any() else rows
     logits = x[check] @ table + bias
+    if not len(check):
+        return LanguageModel(languages, table, bias, 1.0, 0.0)
     temperatures = np.geomspace(0.05, 20, 60)
     loss = [-np.log(_softmax(logits / t)[np.arange(len(check)), y[check]] + 1e-12).mean() for t in temperatures]
-    temperature = float(temperatures[int(np.argmin(loss))]) if len(check) else 1.0
-    best = _softmax(logits / temperature).max(axis=1) if len(check) else np.ones(1)
+    temperature = float(temperatures[int(np.argmin(loss))])
+    best = _softmax(logits / temperature).max(axis=1)
     return LanguageModel(languages, table, bias, temperature, float(np.quantile(best, REJECT_SHARE)))
 
 
