@@ -16,7 +16,6 @@ partition too. A set that runs out of partitions signs again with the next seed.
 
 from __future__ import annotations
 
-import functools
 import itertools
 from collections.abc import Iterator
 
@@ -27,11 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import col, row_key, stored, whole
+from millrace.llm.url_filter import bloom_filter, passing
 
 CELLS, DIFFERING = 3, 1
 FIRST_BAND, BAND_RATIO = 4, 2
 SEEDS = 16
 HELD_SIGNATURES = 1_000_000
+SKETCH_WORDS = 32
 
 _P1, _P2, _P3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,11 +44,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=1 << 18)
-def _word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
-
-
 def shingles(text: str | None, n: int) -> np.ndarray:
     """The distinct n-word shingles as sorted 64-bit hashes; A-Z count as a-z.
 
@@ -56,7 +52,7 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.zeros(0, dtype=np.uint64)
-    w = np.fromiter(map(_word_hash, found), dtype=np.uint64, count=len(found))
+    w = np.fromiter(map(xxhash.xxh64_intdigest, found), dtype=np.uint64, count=len(found))
     length = min(n, len(w))
     acc = np.full(len(w) - length + 1, length, dtype=np.uint64)
     for k in range(length):
@@ -71,6 +67,13 @@ def fingerprint(h: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The parity of the set's elements in each of ``SKETCH_WORDS * 64`` bins. Two sketches differ in
+    no more bits than the sets differ in elements."""
+    bins = np.bincount((mix(h + _P1) % np.uint64(SKETCH_WORDS * 64)).astype(np.int64), minlength=SKETCH_WORDS * 64)
+    return np.packbits((bins & 1).astype(np.uint8)).view(np.int64)
+
+
 def most_different(size: int, num: int, den: int) -> int:
     """In how many elements a set of this size may differ from a similar one at least as large."""
     return size * (den - num) // num
@@ -128,10 +131,6 @@ def _signed(h: np.ndarray, band: int, k: int, num: int, den: int) -> list[np.nda
     return out
 
 
-def _as_signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
 def _sign_rows(n: int, num: int, den: int):
     """Sets and signatures of documents. Among the rows held at once, a signature that several rows
     have is led by the first of them; only a leader's signature need be compared with other tasks."""
@@ -161,7 +160,9 @@ def _sign_rows(n: int, num: int, den: int):
                 copy = (len(h), a, b) in known  # it is linked through its fingerprint
                 known.add((len(h), a, b))
                 s = np.zeros(0, dtype=np.int64) if copy else signatures(h, num, den)
-                held.append({"rid": row.rid, "k1": row.k1, "k2": row.k2, "n": len(h), "a": a, "b": b})
+                held.append({
+                    "rid": row.rid, "k1": row.k1, "k2": row.k2, "n": len(h), "a": a, "b": b, "sketch": sketch(h)
+                })
                 signed.append(s)
                 total += len(s)
                 if total > HELD_SIGNATURES or len(held) > 100_000:
@@ -210,13 +211,15 @@ def ngram_join(
     least unless all are NULL; for a row without links the component is its own key. An empty table
     gives an empty result.
 
-    1. One pass over the texts computes each set's fingerprint and signatures; equal sets are one
-       node from there on, whatever their number.
+    1. One pass over the texts computes each set's fingerprint, signatures and sketch; equal sets
+       are one node from there on, whatever their number.
     2. Signatures are grouped; rows of one task are grouped before the shuffle. Each group is a star
-       around its first node, and the star's pairs are checked exactly on their whole sets.
+       around the node that shares most signatures, in a family of near copies the original if it
+       is there; the star's pairs are checked exactly on their whole sets.
     3. Links give components. Only groups that still hold several components are looked at again:
-       pairs of nodes of different components that could be similar by their sizes and by their distances
-       to the group's first node (Jaccard distance obeys the triangle inequality) are checked.
+       pairs of nodes of different components go on if they can be similar by their sizes, by their
+       distances to the group's hub (Jaccard distance obeys the triangle inequality) and by their
+       sketches, all of which a similar pair passes; they are checked exactly too.
     So every group is either one component or has had all its possible pairs checked: no link
     between components is lost, and groups of copies are never expanded into pairs.
     """
@@ -226,30 +229,29 @@ def ngram_join(
         keyed.select(F.monotonically_increasing_id().alias("rid"), "k1", "k2", whole(F.col("text")).alias("text"))
         .mapInPandas(
             _sign_rows(n, num, den),
-            "rid long, k1 long, k2 long, n long, a long, b long, own array<long>, more array<long>, led_by array<long>",
+            "rid long, k1 long, k2 long, n long, a long, b long, sketch array<long>, own array<long>, more array<long>, "
+            "led_by array<long>",
         )
     )
     rows = signed.select("rid", "k1", "k2", "n", "a", "b")
-    nodes = stored(
-        rows.filter("n > 0").groupBy("n", "a", "b").agg(F.min(F.struct("rid", "k1", "k2")).alias("first"))
-        .select("n", "a", "b", F.col("first.rid").alias("node"), F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
-    )
-    node_of = rows.select("rid", "n", "a", "b").join(nodes.select("n", "a", "b", "node"), ["n", "a", "b"]).select("rid", "node")
+    nodes = stored(rows.filter("n > 0").groupBy("n", "a", "b").agg(F.min("rid").alias("node")))
+    node_of = stored(rows.select("rid", "n", "a", "b").join(nodes, ["n", "a", "b"]).select("rid", "node"))
 
     by_signature = Window.partitionBy("sig")
-    led = signed.select("rid", F.explode("own").alias("sig")).withColumns({
-        "leader": F.min("rid").over(by_signature), "rows": F.count(F.lit(1)).over(by_signature),
-    }).filter("rows > 1").select("sig", "rid", "leader")
-    local = signed.select("rid", F.explode(F.arrays_zip("more", "led_by")).alias("x")).select(
-        F.col("x.more").alias("sig"), "rid", F.col("x.led_by").alias("leader")
+    led = signed.select("rid", F.explode("own").alias("sig")).withColumn(
+        "rows", F.count(F.lit(1)).over(by_signature)
+    ).filter("rows > 1").select("sig", "rid")
+    local = signed.select("rid", F.explode(F.arrays_zip("more", "led_by")).alias("x"))
+    shared = led.unionByName(local.select(F.col("x.more").alias("sig"), "rid")).unionByName(
+        local.select(F.col("x.more").alias("sig"), F.col("x.led_by").alias("rid"))
     )
-    shared = stored(led.unionByName(local))
-
-    def on_nodes(pairs: DataFrame) -> DataFrame:
-        """Pairs of rows as distinct pairs of different nodes, the lesser first."""
-        pairs = pairs.distinct().join(node_of.toDF("rid", "x"), "rid")
-        pairs = pairs.join(node_of.toDF("leader", "y"), "leader").filter("x <> y")
-        return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    member = stored(shared.join(node_of, "rid").select("sig", "node").distinct())
+    shares = member.groupBy("sig").agg((F.count(F.lit(1)) - 1).alias("others")).filter("others > 0")
+    popular = member.join(shares, "sig").groupBy("node").agg(F.sum("others").alias("shared"))
+    hubs = member.join(popular, "node").groupBy("sig").agg(
+        F.max(F.struct("shared", (-F.col("node")).alias("node"))).alias("hub")
+    ).select("sig", (-F.col("hub.node")).alias("hub"))
+    starred = stored(member.join(hubs, "sig"))
 
     def sized(pairs: DataFrame) -> DataFrame:
         """Pairs that may be similar by their sizes."""
@@ -257,22 +259,26 @@ def ngram_join(
         pairs = pairs.join(size.toDF("x", "n_x"), "x").join(size.toDF("y", "n_y"), "y")
         return pairs.filter(F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num)
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The shingles of the pairs' nodes. A Bloom filter of their rows keeps most other texts from being shuffled."""
         ids = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-        wanted = ids.join(nodes.select("node", "k1", "k2"), "node")
+        wanted = stored(rows.select(F.col("rid").alias("node"), "k1", "k2").join(ids, "node"))
+        place = F.concat_ws(",", "k1", "k2")
+        bloom, n_words = bloom_filter(wanted.select(place.alias("place")), "place")
+        likely = passing(keyed.select("text", "k1", "k2", place.alias("place")), "place", bloom, n_words).drop("place")
 
         def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                made = [_as_signed(shingles(t, n)) for t in frame["text"]]
+                made = [shingles(t, n).view(np.int64) for t in frame["text"]]
                 yield pd.DataFrame({"node": frame["node"], "held": made})
 
-        found = keyed.join(wanted, ["k1", "k2"]).select("node", whole(F.col("text")).alias("text"))
+        found = likely.join(wanted, ["k1", "k2"]).select("node", whole(F.col("text")).alias("text"))
         return stored(found.mapInPandas(sets, "node long, held array<long>").dropDuplicates(["node"]))
 
     def checked(pairs: DataFrame) -> DataFrame:
-        """Pairs with the size of their intersection and whether they link, on whole sets."""
+        """Pairs with their distance and whether they link, on whole sets."""
         pairs = stored(pairs)
-        sets = texts_of(pairs)
+        sets = sets_of(pairs)
         both = pairs.join(sets.toDF("x", "s_x"), "x").join(sets.toDF("y", "s_y"), "y")
         both = both.select("x", "y", "n_x", "n_y", F.size(F.array_intersect("s_x", "s_y")).cast("long").alias("common"))
         union = F.col("n_x") + F.col("n_y") - F.col("common")
@@ -280,28 +286,32 @@ def ngram_join(
             "x", "y", (F.col("common") * den >= union * num).alias("link"), (1 - F.col("common") / union).alias("distance"),
         ))
 
-    first = checked(sized(on_nodes(shared.select("rid", "leader"))))
+    spokes = starred.filter("node <> hub").select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y"))
+    first = checked(sized(spokes.distinct()))
     links = first.filter("link").select(F.col("x").alias("u"), F.col("y").alias("v"))
     so_far = components(links)
 
     # groups that still hold several components
-    member = shared.select("sig", "rid").unionByName(shared.select("sig", F.col("leader").alias("rid")))
-    member = member.join(node_of, "rid").select("sig", "node").distinct()
-    member = member.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = member.groupBy("sig").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("hub")
-    ).filter("low <> high").select("sig", "hub")
-    member = member.join(mixed, "sig").join(nodes.select("node", F.col("n").alias("size")), "node")
+    placed = starred.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = mixed.filter("low <> high").select("sig")
     known = first.select("x", "y", "distance")
     to_hub = known.unionByName(known.select(F.col("y").alias("x"), F.col("x").alias("y"), "distance"))
-    member = stored(member.join(to_hub.toDF("node", "hub", "away"), ["node", "hub"], "left"))
-    left, right = member, member.select("sig", *(F.col(c).alias(f"{c}_2") for c in ("node", "component", "size", "away")))
+    about = signed.select(F.col("rid").alias("node"), F.col("n").alias("size"), "sketch")
+    told = placed.join(mixed, "sig").join(to_hub.toDF("node", "hub", "away"), ["node", "hub"], "left").join(about, "node")
+    left = stored(told.select("sig", "node", "component", "size", "away", "sketch"))
+    right = left.toDF("sig", "node_2", "component_2", "size_2", "away_2", "sketch_2")
     far = F.abs(F.col("away") - F.col("away_2")) * den > (den - num) + 1e-6
-    possible = left.join(right, "sig").filter(
-        (F.col("component") < F.col("component_2"))
+    bits = F.lit(0)
+    for i in range(SKETCH_WORDS):
+        bits = bits + F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch_2", F.lit(i))))
+    possible = left.join(right, (
+        (left["sig"] == right["sig"])
+        & (F.col("component") < F.col("component_2"))
         & (F.least("size", "size_2") * den >= F.greatest("size", "size_2") * num)
         & ~F.coalesce(far, F.lit(False))
-    ).select(F.least("node", "node_2").alias("x"), F.greatest("node", "node_2").alias("y")).distinct()
+        & (bits * (den + num) <= (F.col("size") + F.col("size_2")) * (den - num))
+    )).select(F.least("node", "node_2").alias("x"), F.greatest("node", "node_2").alias("y")).distinct()
     second = checked(sized(possible.join(first.select("x", "y"), ["x", "y"], "left_anti")))
     more = second.filter("link").select(F.col("x").alias("u"), F.col("y").alias("v"))
     links = links.unionByName(more)
@@ -310,11 +320,11 @@ def ngram_join(
     degree = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(
         F.count(F.lit(1)).alias("n_links")
     )
-    placed = nodes.select("n", "a", "b", "node").join(linked, "node", "left").withColumn(
+    grouped = nodes.join(linked, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     ).join(degree.withColumnRenamed("u", "node"), "node", "left").drop("node")
     # the keys come from the table: the stored rows hold only what stands for a row
-    named = rows.select("k1", "k2", "n", "a", "b").distinct().join(placed, ["n", "a", "b"], "left").drop("a", "b")
+    named = rows.select("k1", "k2", "n", "a", "b").distinct().join(grouped, ["n", "a", "b"], "left").drop("a", "b")
     result = stored(keyed.select("doc", "k1", "k2").join(named, ["k1", "k2"]).select("doc", "n", "component", "n_links"))
     least = result.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc").alias("least"))
     return result.join(least, "component", "left").select(
