@@ -1,0 +1,50 @@
+from collections import defaultdict
+
+import pytest
+from conftest import rows
+
+from millrace.llm.line_dedup import drop_common_lines
+
+BLANKS = "\t\n\x0b\x0c\r "
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def brute(docs, min_docs, min_chars):
+    def key(line):
+        return line.strip(BLANKS).translate(LOWER)
+
+    seen = defaultdict(set)
+    for i, text in docs:
+        for line in (text or "").split("\n"):
+            seen[key(line)].add(i)
+    found = []
+    for i, text in docs:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if len(key(x)) < min_chars or len(seen[key(x)]) < min_docs]
+        found.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return sorted(found, key=str)
+
+
+DOCS = [
+    (1, "Share this\nfirst\n\n SHARE THIS \x0b\nend"), (2, "share this\t\nsecond"), (3, "share this"), (4, "É\nfirst"),
+    (5, "é\nfirst"), (6, None), (7, ""), (8, "\n\n"), (9, "share this\u00a0\nfirst"), (10, "x\r\nfirst\r\n"), (11, "only"),
+    (11, "only"), (11, "only\nshare this"), (None, "first\nno id"), (12, "a\n" * 5000 + "first"),
+]
+
+
+@pytest.mark.parametrize("min_docs, min_chars", [(3, 1), (2, 1), (2, 6), (99, 1), (1, 1)])
+def test_lines_are_dropped_as_by_hand(spark, min_docs, min_chars):
+    df = spark.createDataFrame(DOCS, "doc_id long, text string").repartition(3)
+    found = drop_common_lines(df, min_docs, min_chars)
+    assert sorted(map(tuple, found.collect()), key=str) == brute(DOCS, min_docs, min_chars)
+
+
+def test_columns_with_clashing_names_and_an_empty_table(spark):
+    df = spark.createDataFrame(
+        [(1, "a\nb", "x", 7, "keep", "p"), (2, "A \nc", "y", 8, "keep", "q")],
+        "doc_id long, text string, row_a string, N_Lines long, dropped string, line string",
+    )
+    found = drop_common_lines(df, min_docs=2)
+    assert found.columns == ["doc_id", "text", "row_a", "dropped", "line", "n_lines", "n_dropped"]
+    assert rows(found) == [(1, "b", "x", "keep", "p", 2, 1), (2, "c", "y", "keep", "q", 2, 1)]
+    assert drop_common_lines(df.limit(0)).count() == 0

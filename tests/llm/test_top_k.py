@@ -1,0 +1,53 @@
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import top_k as module
+from millrace.llm.top_k import top_k
+
+SCHEMA = "vec_id long, embedding array<float>"
+
+
+def brute(values, every, k):
+    vectors = {}
+    for i, v in values:
+        if i is None or v is None or any(x is None or not math.isfinite(np.float32(x)) for x in v):
+            continue
+        v = [float(np.float32(x)) for x in v]
+        vectors[i] = min(vectors[i], v) if i in vectors else v
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in vectors.items()}
+    found = []
+    for q in whole:
+        if q % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
+            found += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("slices, ties", [(2, False), (3, True), (1, False)])
+def test_the_best_are_those_of_all_pairs(spark, monkeypatch, slices, ties):
+    monkeypatch.setattr(module, "CANDIDATES_PER_BLOCK", 40)
+    monkeypatch.setattr(module, "QUERIES_PER_BLOCK", 7)
+    monkeypatch.setattr(module, "LIST_FACTOR", 1)
+    rng = random.Random(3)
+    draw = (lambda: rng.choice([-0.5, 0.0, 0.5])) if ties else (lambda: rng.gauss(0, 0.3))
+    values = [(i, [draw() for _ in range(7)]) for i in range(150)]
+    values += [(200, [1.0, 2.0]), (210, None), (220, [None] * 7), (230, [float("nan")] * 7), (240, [float("inf")] * 7), (None, [1.0] * 7)]
+    values += [(250, []), (0, [9.0] * 7), values[10], values[10]]
+    df = spark.createDataFrame(values, SCHEMA).repartition(4)
+    found = top_k(df, F.col("vec_id") % 10 == 0, k=5, slices=slices)
+    assert sorted(map(tuple, found.collect())) == brute(values, 10, 5)
+
+
+def test_few_vectors_large_numbers_and_none(spark):
+    two = [(0, [1.0, -1.0]), (1, [0.5, 0.25])]
+    df = spark.createDataFrame(two, SCHEMA)
+    assert sorted(map(tuple, top_k(df, F.col("vec_id") == 0).collect())) == [(0, 1, 1, 256 * 128 - 256 * 64)]
+    assert top_k(df.filter("vec_id = 0"), F.lit(True)).count() == 0
+    assert top_k(df.limit(0), F.lit(True)).count() == 0
+    large = spark.createDataFrame([(0, [3e20, 1.0]), (1, [3e20, 1.0]), (2, [-3e20, 1.0])], SCHEMA)
+    found = sorted(map(tuple, top_k(large, F.col("vec_id") == 0).collect()))
+    assert [r[2] for r in found] == [1, 2] and found[0][3] > 0 > found[1][3]
