@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import (
@@ -12,6 +12,7 @@ from millrace.llm import (
     url_filter,
 )
 from millrace.llm.common import fresh_folder, table
+from millrace.plans.numbering import number_rows
 
 TOKENIZER, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 END_ID = 2
@@ -40,10 +41,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_weights(docs: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     """The weights in turn, by the sources' order with NULL last."""
-    # one row per source: numbered in one task only for as many sources as a table has
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    names = docs.select("source").distinct().withColumn("n", F.row_number().over(order) - 1)
-    return names.select("source", F.get(F.array(*(F.lit(float(w)) for w in weights)), F.col("n") % len(weights)).alias("weight"))
+    names = docs.select("source").distinct().withColumn("rows", F.lit(1).cast("long"))
+    numbered = number_rows(names, [F.col("source").asc_nulls_last()], "n", counted="rows")
+    turns = F.array(*(F.lit(float(w)) for w in weights))
+    return numbered.select("source", F.get(turns, ((F.col("n") - 1) % len(weights)).cast("int")).alias("weight"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
