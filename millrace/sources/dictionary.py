@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from millrace.functions.types import ColumnType, parse_type
 from millrace.plans.spec import check_spec_columns
@@ -110,9 +111,9 @@ def tables_from_dictionary(
     """Source tables by schema and name; one dictionary row per column (metadata, not data)."""
     check_spec_columns(dictionary.columns, DICTIONARY_COLUMNS)
     found = defaultdict(list)
+    if source_system is not None:
+        dictionary = dictionary.filter(F.col("Source System") == source_system)
     for row in dictionary.collect():
-        if source_system is not None and row["Source System"] != source_system:
-            continue
         found[row["SCHEMA_NAME"], row["TABLE_NAME"]].append(
             SourceColumn(
                 name=row["COLUMN_NAME"],
