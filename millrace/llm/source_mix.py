@@ -45,7 +45,8 @@ def mix(
     """How often each document goes into a mix of ``share`` times all words: key, source, size,
     source_size, target and ``copies``.
 
-    ``weights`` has source and weight; NULL is a source like any other, one without a weight has 0.
+    ``weights`` has source and weight; NULL is a source like any other, one without a weight has 0,
+    of several weights the highest counts.
     Size is the number of words. With e = target / source_size, every document is taken floor(e)
     times; the rest of the target is filled with documents in an order seeded by their key: one is
     taken once more if the middle of its words lies below the rest. So a source is off its
@@ -62,9 +63,8 @@ def mix(
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(col(key).cast("string"), F.lit("")))).alias("place"),
     ))
     sources = sized.groupBy("source").agg(F.sum("size").alias("size"))
-    sources = sources.join(
-        weights.select(F.col("source").alias("named"), "weight"), F.col("source").eqNullSafe(F.col("named")), "left"
-    ).drop("named")
+    given = weights.groupBy(F.col("source").alias("named")).agg(F.max("weight").alias("weight"))
+    sources = sources.join(given, F.col("source").eqNullSafe(F.col("named")), "left").drop("named")
     total = sized.agg(F.sum("size")).first()[0] or 0
     targets = fill(sources, share * total, max_epochs)
     epochs = F.floor(F.col("target") / F.col("size"))
