@@ -67,7 +67,13 @@ def apply_history(
     """
     load, spec = aligned(load, target, spec)
     keys, types = spec.history_keys, spec.types
-    if load.filter(~_open(spec)).isEmpty():
+    if check_keys:
+        facts = examine(load, keys, types, spec.case_blind, ~_open(spec))
+    elif small_load is None:
+        facts = size_of(load, ~_open(spec))
+    else:
+        facts = LoadFacts(counted=int(not load.filter(~_open(spec)).isEmpty()))
+    if not facts.counted:
         match, closed = keys, target.filter(~_open(spec))
         versions = target.filter(F.col(f"`{spec.end}`") == high_value(types[spec.end]))
     else:
@@ -76,9 +82,7 @@ def apply_history(
             examine(load, [*keys, spec.start], types, spec.case_blind),
             f"load of record {spec.record_id} by key and start",
         )
-    facts = examine(load, match, types, spec.case_blind) if check_keys else (
-        LoadFacts() if small_load is not None else size_of(load)
-    )
+        facts = examine(load, match, types, spec.case_blind)
     small = facts.small if small_load is None else small_load
     flagged = flag_versions(load, versions, spec, small, match)
     if facts.repeated is None:

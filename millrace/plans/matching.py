@@ -25,11 +25,13 @@ class RepeatedKey(ValueError):
 
 @dataclass(frozen=True)
 class LoadFacts:
-    """What is known of a load before it is matched: its size, and a key it repeats."""
+    """What is known of a load before it is matched: its size, a key it repeats, and how many of its
+    rows meet a condition the caller asked for."""
 
     bytes: int = 0
     repeated: str | None = None
     limit: int = 0
+    counted: int = 0
 
     @property
     def small(self) -> bool:
@@ -58,10 +60,15 @@ def null_key(keys: Sequence[str]) -> Column:
     return any_null(F.col(f"`{k}`") for k in keys)
 
 
+def _asked(condition: Column | None) -> Column:
+    return F.lit(False) if condition is None else condition
+
+
 def examine(
-    load: DataFrame, keys: Sequence[str], types: dict[str, ColumnType] | None = None, case_blind: bool = False
+    load: DataFrame, keys: Sequence[str], types: dict[str, ColumnType] | None = None, case_blind: bool = False,
+    counted: Column | None = None,
 ) -> LoadFacts:
-    """Measure a load and look for repeated keys, in one pass over it.
+    """Measure a load, look for repeated keys and count rows that meet a condition, in one pass over it.
 
     Rows are counted and summed per key before they are shuffled, so a key repeated very
     often costs no more than one repeated once; one row comes to the driver. Keys with a
@@ -71,22 +78,24 @@ def examine(
     names = [f"key_{i}" for i in range(len(keys))]
     folded_keys = [folded(F.col(f"`{k}`"), types.get(k), case_blind).alias(n) for k, n in zip(keys, names)]
     groups = (
-        load.select(*folded_keys, row_bytes(load).alias("bytes"))
+        load.select(*folded_keys, row_bytes(load).alias("bytes"), _asked(counted).alias("counted"))
         .groupBy(*names)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.count_if("counted").alias("counted"))
     )
     shown = F.concat_ws(", ", *(F.col(n).cast("string") for n in names))
     row = groups.agg(
         F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
         F.max(F.when((F.col("n") > 1) & ~null_key(names), shown)).alias("repeated"),
+        F.coalesce(F.sum("counted"), F.lit(0)).alias("counted"),
     ).first()
-    return LoadFacts(int(row["bytes"]), row["repeated"], broadcast_limit(load.sparkSession))
+    return LoadFacts(int(row["bytes"]), row["repeated"], broadcast_limit(load.sparkSession), row["counted"])
 
 
-def size_of(load: DataFrame) -> LoadFacts:
-    """Measure a load whose keys are known to be unique."""
-    row = load.agg(F.coalesce(F.sum(row_bytes(load)), F.lit(0)).alias("bytes")).first()
-    return LoadFacts(int(row["bytes"]), limit=broadcast_limit(load.sparkSession))
+def size_of(load: DataFrame, counted: Column | None = None) -> LoadFacts:
+    """Measure a load whose keys are known to be unique, and count rows that meet a condition."""
+    total = F.coalesce(F.sum(row_bytes(load)), F.lit(0)).alias("bytes")
+    row = load.agg(total, F.count_if(_asked(counted)).alias("counted")).first()
+    return LoadFacts(int(row["bytes"]), limit=broadcast_limit(load.sparkSession), counted=row["counted"])
 
 
 def need_unique(facts: LoadFacts, what: str) -> None:
