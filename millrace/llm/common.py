@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
+import pyarrow
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,9 +82,25 @@ def fresh_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/millrace/llm-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     """The same rows, written once to the shared folder and read back: lineage ends here."""
     spark = df.sparkSession
-    folder = fresh_folder(spark)
+    folder = folder or fresh_folder(spark)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def open_folder(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system and path of a folder given as a path or URI."""
+    if "://" in folder or folder.startswith("file:"):
+        return pyarrow.fs.FileSystem.from_uri(folder)
+    return pyarrow.fs.LocalFileSystem(), folder
+
+
+def discard(folder: str) -> None:
+    """Delete a stored table that nothing reads any more, where pyarrow can reach it; else it stays."""
+    try:
+        store, path = open_folder(folder)
+        store.delete_dir(path)
+    except (OSError, pyarrow.ArrowException):  # a store that only Spark can open
+        pass

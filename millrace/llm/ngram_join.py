@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import col, row_key, stored, whole
+from millrace.llm.common import col, discard, fresh_folder, row_key, stored, whole
 from millrace.llm.url_filter import bloom_filter, passing
 
 CELLS, DIFFERING = 3, 1
@@ -225,15 +225,19 @@ def ngram_join(
     """
     k1, k2 = row_key(col(key), col(text))
     keyed = docs.select(col(key).alias("doc"), col(text).alias("text"), k1.alias("k1"), k2.alias("k2"))
+    spark = docs.sparkSession
+    signatures_at = fresh_folder(spark)
     signed = stored(
         keyed.select(F.monotonically_increasing_id().alias("rid"), "k1", "k2", whole(F.col("text")).alias("text"))
         .mapInPandas(
             _sign_rows(n, num, den),
             "rid long, k1 long, k2 long, n long, a long, b long, sketch array<long>, own array<long>, more array<long>, "
             "led_by array<long>",
-        )
+        ),
+        signatures_at,
     )
-    rows = signed.select("rid", "k1", "k2", "n", "a", "b")
+    about = stored(signed.select("rid", "k1", "k2", "n", "a", "b", "sketch"))
+    rows = about.drop("sketch")
     nodes = stored(rows.filter("n > 0").groupBy("n", "a", "b").agg(F.min("rid").alias("node")))
     node_of = stored(rows.select("rid", "n", "a", "b").join(nodes, ["n", "a", "b"]).select("rid", "node"))
 
@@ -246,6 +250,7 @@ def ngram_join(
         local.select(F.col("x.more").alias("sig"), F.col("x.led_by").alias("rid"))
     )
     member = stored(shared.join(node_of, "rid").select("sig", "node").distinct())
+    discard(signatures_at)  # most are of one set alone; the others are members now
     shares = member.groupBy("sig").agg((F.count(F.lit(1)) - 1).alias("others")).filter("others > 0")
     popular = member.join(shares, "sig").groupBy("node").agg(F.sum("others").alias("shared"))
     hubs = member.join(popular, "node").groupBy("sig").agg(
@@ -273,18 +278,20 @@ def ngram_join(
                 yield pd.DataFrame({"node": frame["node"], "held": made})
 
         found = likely.join(wanted, ["k1", "k2"]).select("node", whole(F.col("text")).alias("text"))
-        return stored(found.mapInPandas(sets, "node long, held array<long>").dropDuplicates(["node"]))
+        return found.mapInPandas(sets, "node long, held array<long>").dropDuplicates(["node"])
 
     def checked(pairs: DataFrame) -> DataFrame:
         """Pairs with their distance and whether they link, on whole sets."""
-        pairs = stored(pairs)
-        sets = sets_of(pairs)
+        pairs, sets_at = stored(pairs), fresh_folder(spark)
+        sets = stored(sets_of(pairs), sets_at)
         both = pairs.join(sets.toDF("x", "s_x"), "x").join(sets.toDF("y", "s_y"), "y")
         both = both.select("x", "y", "n_x", "n_y", F.size(F.array_intersect("s_x", "s_y")).cast("long").alias("common"))
         union = F.col("n_x") + F.col("n_y") - F.col("common")
-        return stored(both.select(
+        found = stored(both.select(
             "x", "y", (F.col("common") * den >= union * num).alias("link"), (1 - F.col("common") / union).alias("distance"),
         ))
+        discard(sets_at)
+        return found
 
     spokes = starred.filter("node <> hub").select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y"))
     first = checked(sized(spokes.distinct()))
@@ -297,8 +304,8 @@ def ngram_join(
     mixed = mixed.filter("low <> high").select("sig")
     known = first.select("x", "y", "distance")
     to_hub = known.unionByName(known.select(F.col("y").alias("x"), F.col("x").alias("y"), "distance"))
-    about = signed.select(F.col("rid").alias("node"), F.col("n").alias("size"), "sketch")
-    told = placed.join(mixed, "sig").join(to_hub.toDF("node", "hub", "away"), ["node", "hub"], "left").join(about, "node")
+    sketched = about.select(F.col("rid").alias("node"), F.col("n").alias("size"), "sketch")
+    told = placed.join(mixed, "sig").join(to_hub.toDF("node", "hub", "away"), ["node", "hub"], "left").join(sketched, "node")
     left = stored(told.select("sig", "node", "component", "size", "away", "sketch"))
     right = left.toDF("sig", "node_2", "component_2", "size_2", "away_2", "sketch_2")
     far = F.abs(F.col("away") - F.col("away_2")) * den > (den - num) + 1e-6
