@@ -17,6 +17,7 @@ DIMENSIONS = 16
 GRAMS = (2, 3, 4)
 PER_LANGUAGE = 600
 REJECT_SHARE = 0.01
+MOST_LANGUAGES = 10_000
 UNDECIDED = "und"
 PIECE = 1 << 20
 
@@ -106,6 +107,8 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, key: str = "doc_id"
     share = known.groupBy(col(lang).alias("of")).agg(F.count(F.lit(1)).alias("n")).select(
         "of", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")).alias("share")
     )
+    # a row per language: beyond any number of languages there are, Spark chooses the join
+    share = F.broadcast(share) if share.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES else share
     place = F.pmod(F.xxhash64(F.lit("sample"), col(key), col(text)), F.lit(1 << 30)) / float(1 << 30)
     drawn = known.select(col(lang).alias("of"), col(key).alias("k"), col(text).alias("text"), place.alias("place"))
     drawn = drawn.join(share, "of").filter(F.col("place") < F.col("share")).select("of", "k", "text", "place")
