@@ -12,18 +12,19 @@ from __future__ import annotations
 import functools
 import re
 import struct
+import sys
 import uuid
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import col, stored, whole
+from millrace.llm.common import col, open_folder, stored, whole
 
 # fixed values of the zstandard seekable format
 SEEK_MAGIC, TABLE_FRAME, DOCS_FRAME = 0x8F92EAB1, 0x184D2A5E, 0x184D2A5D
@@ -31,63 +32,109 @@ HAS_CHECKSUMS = 0x80
 _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 _DOC = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("tokens", "<u8")])
 
-CACHED_PIECES = 500_000
+KEPT_WORDS = 1_300_000
 PIECE_CHARS = 1 << 20
-WORDS_AT_ONCE = 64
 _BREAK = re.compile(r"(?<=\S) ")
-_SPACE_RUN = re.compile(r"\s ")
+# all white space but space and line feed, and every two of these
+_UNUSUAL = (
+    *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)),
+    "  ", "\n\n", " \n", "\n ",
+)
+_BLANK = re.compile(r"[ \n]")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but for the apostrophe, which may begin a suffix
 
 
-class Encoder:
-    """Ids of whole texts from a tokenizers file, with the words seen lately kept encoded.
+def _byte_characters() -> dict[int, str]:
+    """How a byte-level vocabulary spells bytes: printable ones of Latin-1 as they are, the others, in
+    order, by the characters from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(0x100 + n) for n, b in enumerate(others)}
+
+
+def _packed(ids: list[int]) -> bytes:
+    numbers = array("I", ids)
+    if sys.byteorder != "little":
+        numbers.byteswap()
+    return numbers.tobytes()
+
 
-    The tokenizer never joins what stands on the two sides of a space that follows a character
-    other than white space, so texts are cut there and each piece is encoded by the library once.
+class Encoder:
+    """Ids of whole texts from a tokenizers file with a byte-level model, with the words seen lately
+    kept encoded.
+
+    The tokenizer first splits a text by a fixed pattern and never joins what stands on the two
+    sides of a split. Single spaces begin a new part, single line feeds are a part of their own,
+    and a word of Latin letters is split from marks that follow it; so words met before need not be
+    encoded again, and a word of letters goes to the library's model as one part. Everything else
+    is given to the library as it stands.
     """
 
     def __init__(self, path: str, end_id: int | None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.part = self.tokenizer.model.tokenize
+        self.spelled = _byte_characters()
+        self.space = self.spelled[ord(" ")]
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
-
-    def _learn(self, missing: list[str]) -> None:
-        groups = [[" " + word for word in missing[i : i + WORDS_AT_ONCE]] for i in range(0, len(missing), WORDS_AT_ONCE)]
-        for at, found in enumerate(self.tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)):
-            ids, of = np.array(found.ids, dtype="<u4"), np.array(found.word_ids, dtype=np.int64)
-            ends = np.searchsorted(of, np.arange(len(groups[at])), side="right")
-            begin = 0
-            for k, end in enumerate(ends):
-                self.known[missing[at * WORDS_AT_ONCE + k]] = ids[begin:end].tobytes()
-                begin = end
-
-    def _piece(self, text: str, first: bool) -> bytes:
-        words = _BREAK.split(text) if _SPACE_RUN.search(text) else text.split(" ")
-        head = b""
-        if first:
-            start = words.pop(0)
-            head = np.array(self.tokenizer.encode(start, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self.known) > CACHED_PIECES:
-            self.known.clear()
-        missing = list({word for word in words if word not in self.known})
-        if missing:
-            self._learn(missing)
-        return head + b"".join(map(self.known.__getitem__, words))
+        self.feed = self._plain("\n")
+
+    def _plain(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        """A word with a space before it, or with the line feed it begins with."""
+        fed = word[:1] == "\n"
+        core = (word[1:] if fed else word).rstrip(_MARKS)
+        spelled = core
+        if not core.isascii() and core.isalpha() and max(core) < "\u0250":
+            spelled = core.encode().decode("latin-1").translate(self.spelled)
+        elif not (core.isascii() and core.isalpha()):
+            return self.feed + self._plain(word[1:]) if fed else self._plain(" " + word)
+        ids = _packed([token.id for token in self.part(spelled if fed else self.space + spelled)])
+        if marks := word[len(core) + fed :]:
+            if marks not in self.marks:
+                if len(self.marks) > KEPT_WORDS // 10:
+                    self.marks.clear()
+                self.marks[marks] = self._plain(marks)
+            ids += self.marks[marks]
+        return self.feed + ids if fed else ids
+
+    def _words(self, text: str) -> bytes:
+        """A piece with single spaces and line feeds only, which begins with one of them."""
+        words = text.replace("\n", " \n").split(" ")[1:]
+        known = self.known
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        found = list(map(known.get, words))
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            word = words[at]
+            ids = known.get(word)  # it may have come up a moment ago
+            if ids is None:
+                ids = known[word] = self._word(word)
+            found[at] = ids
+        return b"".join(found)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers, with the end id."""
-        out, begin, first = [], 0, True
-        while begin < len(text) or first:
-            end = begin + PIECE_CHARS
-            if end < len(text):
-                at = _BREAK.search(text, end)
-                end = at.start() if at else len(text)
-            else:
-                end = len(text)
-            # later pieces begin with the space they were cut at, which split() puts before a first empty word
-            out.append(self._piece(text[begin:end] if first else text[begin + 1 : end], first))
-            begin, first = end, False
+        if not text:
+            return self.end
+        usual = not any(map(text.__contains__, _UNUSUAL))
+        out, begin = [], 0
+        if usual:
+            first = _BLANK.search(text)
+            begin = first.start() if first else len(text)
+            out.append(self._plain(text[:begin]) if begin else b"")
+        while begin < len(text):
+            at = _BREAK.search(text, begin + PIECE_CHARS) if begin + PIECE_CHARS < len(text) else None
+            end = at.start() if at else len(text)
+            out.append((self._words if usual else self._plain)(text[begin:end]))
+            begin = end
         return b"".join(out) + self.end
 
 
@@ -148,11 +195,6 @@ class Reader:
         return plain
 
 
-def open_folder(folder: str):
-    """The file system and path of a folder given as a path or URI."""
-    return pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pyarrow.fs.LocalFileSystem(), folder)
-
-
 def write_tokens(
     docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = None, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
