@@ -14,7 +14,7 @@ from millrace.llm.common import col, stored
 SLICES = 2
 CANDIDATES_PER_BLOCK = 2048
 QUERIES_PER_BLOCK = 512
-LIST_FACTOR = 8
+LIST_FACTOR, NODE_FACTOR = 8, 2
 LARGEST = float(1 << 61)
 
 
@@ -104,7 +104,7 @@ def _above_cutoff(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cutoff = np.array([x["cutoffs"][row.slice] for x in row.queries], dtype=np.int64)
             q_at, c_at = np.nonzero((scores >= cutoff[:, None]) & (q_ids[:, None] != c_ids[None, :]))
             yield pd.DataFrame({
-                "query_id": q_ids[q_at], "slice": row.slice, "vec_id": c_ids[c_at],
+                "query_id": q_ids[q_at], "seen": np.int64(1) << row.slice, "vec_id": c_ids[c_at],
                 "partial": scores[q_at, c_at],
             })
 
@@ -113,7 +113,10 @@ def _scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         width = max((len(v) for side in ("q", "c") for v in frame[side]), default=0)
         q, c = _matrix(list(frame["q"]), width), _matrix(list(frame["c"]), width)
-        scores = [int(_products(q[i : i + 1], c[i : i + 1])[0, 0]) for i in range(len(frame))]
+        if q.size and np.abs(q).max() * np.abs(c).max() * width >= 2**53:
+            scores = [int(_products(q[i : i + 1], c[i : i + 1])[0, 0]) for i in range(len(frame))]
+        else:
+            scores = (q * c).sum(axis=1)
         yield pd.DataFrame({"query_id": frame["query_id"], "vec_id": frame["vec_id"], "score": np.array(scores, dtype=np.int64)})
 
 
@@ -159,7 +162,7 @@ def top_k(
     # 1: local lists, and from them a bound and the cutoffs
     most = LIST_FACTOR * k
     lists = _nodes(candidates, queries, n_c, n_q, slices, width).mapInPandas(
-        _local_lists(most), "query_id long, slice int, vec_id long, partial long, lowest long"
+        _local_lists(NODE_FACTOR * k), "query_id long, slice int, vec_id long, partial long, lowest long"
     )
     lists = stored(lists)
     lowest = lists.groupBy("query_id", "slice").agg(F.min("lowest").alias("lowest"))
@@ -182,17 +185,17 @@ def top_k(
     # 2: all partial scores that reach the cutoff
     armed = queries.join(cutoffs.withColumnRenamed("query_id", "id"), "id").select("id", "vector", "q_block", "cutoffs")
     found = _nodes(candidates, armed, n_c, n_q, slices, width).mapInPandas(
-        _above_cutoff, "query_id long, slice int, vec_id long, partial long"
+        _above_cutoff, "query_id long, seen long, vec_id long, partial long"
     )
 
     # 3: what can still reach the bound
     summed = found.groupBy("query_id", "vec_id").agg(
-        F.sum("partial").alias("score"), F.count(F.lit(1)).alias("known"), F.collect_list("slice").alias("seen")
+        F.sum("partial").alias("score"), F.count(F.lit(1)).alias("known"), F.bit_or("seen").alias("seen")
     ).join(cutoffs, "query_id")
-    open_slices = F.array_except(F.sequence(F.lit(0), F.lit(slices - 1)), F.col("seen"))
-    at_most = F.col("score") + F.aggregate(
-        open_slices, F.lit(0).cast("long"), lambda a, s: a + F.get(F.col("cutoffs"), s) - 1
-    )
+    at_most = F.col("score")
+    for s in range(slices):
+        unseen = F.col("seen").bitwiseAND(F.lit(1 << s).cast("long")) == 0
+        at_most = at_most + F.when(unseen, F.get("cutoffs", F.lit(s)) - 1).otherwise(0)
     alive = stored(summed.filter(at_most >= F.col("bound")).select("query_id", "vec_id", "score", "known"))
     whole = alive.filter(F.col("known") == slices).select("query_id", "vec_id", "score")
     rest = exact(alive.filter(F.col("known") < slices).select("query_id", "vec_id"))

@@ -32,6 +32,7 @@ def test_the_best_are_those_of_all_pairs(spark, monkeypatch, slices, ties):
     monkeypatch.setattr(module, "CANDIDATES_PER_BLOCK", 40)
     monkeypatch.setattr(module, "QUERIES_PER_BLOCK", 7)
     monkeypatch.setattr(module, "LIST_FACTOR", 1)
+    monkeypatch.setattr(module, "NODE_FACTOR", 1)
     rng = random.Random(3)
     draw = (lambda: rng.choice([-0.5, 0.0, 0.5])) if ties else (lambda: rng.gauss(0, 0.3))
     values = [(i, [draw() for _ in range(7)]) for i in range(150)]
