@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import col, unused, whole, with_results
 
 MARK = "▁"
-KEPT_WORDS, KEPT_SECTIONS, KEPT_PAIRS = 500_000, 100_000, 500_000
+KEPT_WORDS, KEPT_SECTIONS, KEPT_PAIRS = 200_000, 20_000, 150_000
 PIECE_CHARS = 1 << 20
 UNKNOWN_COST = 1e6
 _WORD_START = re.compile(f"(?<=[^{MARK}])(?={MARK})")
@@ -64,8 +65,8 @@ class PieceTransducer:
                 self.ids[piece.piece], self.score[piece.piece] = at, piece.score
                 surface = piece.piece.replace(MARK, " ").encode()
             self.surface.append(surface)
-        # the trie's states are the prefixes of pieces
-        self.states = {piece[:n] for piece in self.ids for n in range(1, len(piece) + 1)}
+        # the trie's states are the prefixes of pieces: with the id of the piece that ends there, or -1
+        self.states = {piece[:n]: -1 for piece in self.ids for n in range(1, len(piece) + 1)} | self.ids
         self.together = {piece[i : i + 2] for piece in self.ids for i in range(len(piece) - 1)}
         marked = [pair for pair in self.together if pair[1] == MARK and pair[0] != MARK]
         self.by_words = not marked  # no piece goes on over the start of a word
@@ -103,38 +104,45 @@ class PieceTransducer:
         return self.merged(left + right) == ([left, right] if left else [right])
 
     def _merging_path(self, section: str) -> list[str] | None:
-        """The path of weight 0 in a ``bpe`` model. At most one piece can end at each place, as merging
-        a prefix has one result, so that piece is all of the state; None if a character is no piece."""
-        n, ids, states, apart, size = len(section), self.ids, self.states, self.apart, len(self.surface)
+        """The path of weight 0 in a ``bpe`` model; None if a character is no piece.
+
+        All finite weights are 0, so the first whole path of a depth-first search, longest pieces first,
+        is a shortest one. At most one piece can end at each place, as merging a prefix has one
+        result; a place from which the search failed is not entered again.
+        """
+        n, state, apart, size = len(section), self.states.get, self.apart, len(self.surface)
         if len(apart) > KEPT_PAIRS:
             apart.clear()
-        last, starts = [-1] * (n + 1), [0] * (n + 1)
-        last[0] = size  # stands for the start
-        for i in range(n):
-            before = last[i]
-            if before < 0:
-                continue
+        i, before, open_arcs, failed = 0, size * size, [], set()
+        while i < n:
+            arcs = []
             for j in range(i + 1, n + 1):
-                piece = section[i:j]
-                found = ids.get(piece)
+                found = state(section[i:j])
                 if found is None:
-                    if j == i + 1:
-                        return None
-                elif last[j] < 0:
-                    free = apart.get(before * size + found)
-                    if free is None:
-                        free = apart[before * size + found] = self.stays_apart(section[starts[i] : i], piece)
-                    if free:
-                        last[j], starts[j] = found, i
-                if piece not in states:
                     break
-        if last[n] < 0:
-            return None
-        path, at = [], n
-        while at:
-            path.append(section[starts[at] : at])
-            at = starts[at]
-        return path[::-1]
+                if found >= 0:
+                    arcs.append((j, found))
+            if not arcs or arcs[0][0] != i + 1:
+                return None
+            while True:
+                free = False
+                while arcs and not free:
+                    j, found = arcs.pop()
+                    if j not in failed:
+                        free = apart.get(before + found)
+                        if free is None:
+                            left = section[open_arcs[-1][0] : i] if open_arcs else ""
+                            free = apart[before + found] = self.stays_apart(left, section[i:j])
+                if free:
+                    open_arcs.append((i, before, arcs))
+                    i, before = j, found * size
+                    break
+                failed.add(i)
+                if not open_arcs:
+                    return None
+                i, before, arcs = open_arcs.pop()
+        starts = [arc[0] for arc in open_arcs]
+        return [section[i:j] for i, j in zip(starts, [*starts[1:], n], strict=True)]
 
     def shortest(self, section: str) -> list[str]:
         """The pieces on the path of least weight through the section; unknown characters stand for themselves."""
@@ -175,22 +183,20 @@ class PieceTransducer:
                 ids += [known] if known is not None else [self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass")]
             if len(self.sections) > KEPT_SECTIONS:
                 self.sections.clear()
-            found = self.sections[section] = np.array(ids, dtype="<i4").tobytes()
+            found = self.sections[section] = array("i", ids).tobytes()
         return found
 
     def _word(self, word: str) -> bytes:
-        out, begin = [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in self.together:
-                out.append(self._section(word[begin:i]))
-                begin = i
-        out.append(self._section(word[begin:]))
-        return b"".join(out)
+        together = self.together
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in together]
+        if not cuts:
+            return self._section(word)
+        return b"".join([self._section(word[i:j]) for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)])
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text; none for ''."""
         if not text:
-            return np.zeros(0, dtype="<i4")
+            return np.zeros(0, dtype=np.int32)
         # single spaces begin a word and line feeds a section, so words can be told apart at once
         usual = self.by_words and self.feeds_alone and MARK not in text and "  " not in text and text[0] != " "
         out, begin, mark = [], 0, self.prefix
@@ -208,7 +214,7 @@ class PieceTransducer:
                 found = list(map(self._word, _WORD_START.split(marked) if self.by_words else [marked]))
             out += found
             begin, mark = end, ""
-        return np.frombuffer(b"".join(out), dtype="<i4")
+        return np.frombuffer(b"".join(out), dtype=np.int32)
 
     def _usual(self, text: str) -> list[bytes]:
         """Sections of words that each stand after one space, or begin with a line feed."""
@@ -268,7 +274,7 @@ def decode_documents(docs: DataFrame, model: str, ids: str = "ids") -> DataFrame
     def decode(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fst = transducer(model)
         for held in frames:
-            yield pd.Series([fst.decode(np.asarray(x, dtype="<i4")) for x in held], dtype=object)
+            yield pd.Series([fst.decode(np.asarray(x, dtype=np.int32)) for x in held], dtype=object)
 
     run = F.pandas_udf(decode, "string")
     return with_results(docs, {"decoded": run(F.coalesce(col(ids), F.array().cast("array<int>")))})
