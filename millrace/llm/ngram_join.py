@@ -33,6 +33,7 @@ FIRST_BAND, BAND_RATIO = 4, 2
 SEEDS = 16
 HELD_SIGNATURES = 1_000_000
 SKETCH_WORDS = 32
+BLOCK_NODES, BLOCK_SHINGLES = 128, 1 << 20
 
 _P1, _P2, _P3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -199,11 +200,66 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which sets of ``left`` link with which of ``right``, by their whole sets."""
+    sizes = np.array([len(s) for s in left + right], dtype=np.int64)
+    _, column, holders = np.unique(np.concatenate(left + right), return_inverse=True, return_counts=True)
+    shared = holders > 1
+    at, owner = (np.cumsum(shared) - 1)[column], np.repeat(np.arange(len(sizes)), sizes)
+    at, owner = at[shared[column]], owner[shared[column]]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    common = np.zeros((len(left), len(right)), dtype=np.int64)
+    for begin in range(0, int(shared.sum()), 4096):
+        low, high = np.searchsorted(at, (begin, begin + 4096))
+        held = np.zeros((len(sizes), 4096), dtype=np.float32)
+        held[owner[low:high], at[low:high] - begin] = 1
+        common += (held[: len(left)] @ held[len(left) :].T).astype(np.int64)
+    union = sizes[: len(left), None] + sizes[None, len(left) :] - common
+    return common * den >= union * num
+
+
+def _count_rows(num: int, den: int):
+    """Links of each node, of rows that come sorted by the pair of blocks they are to be compared in."""
+
+    def counted(held: dict) -> pd.DataFrame:
+        low = min(block for block, *_ in held.values())
+        x = [node for node, (block, *_) in held.items() if block == low]
+        y = [node for node, (block, *_) in held.items() if block != low] or x
+        copies = {node: many for node, (_, many, _) in held.items()}
+        linked = linked_pairs([held[i][2] for i in x], [held[i][2] for i in y], num, den)
+        if x is y:
+            np.fill_diagonal(linked, False)
+            return pd.DataFrame({"node": x, "n_links": linked @ np.array([copies[i] for i in y], dtype=np.int64)})
+        return pd.DataFrame({"node": x + y, "n_links": np.concatenate([
+            linked @ np.array([copies[i] for i in y], dtype=np.int64),
+            linked.T @ np.array([copies[i] for i in x], dtype=np.int64),
+        ])})
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, held, made = None, {}, []
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                if (row.component, row.low, row.high) != of:
+                    if held and (of[1] == of[2] or len({block for block, *_ in held.values()}) > 1):
+                        made.append(counted(held))
+                    of, held = (row.component, row.low, row.high), {}
+                held[row.node] = (row.block, row.copies, row.held)
+            if made:
+                yield pd.concat(made)
+                made = []
+        if held and (of[1] == of[2] or len({block for block, *_ in held.values()}) > 1):
+            yield counted(held)
+
+    return count
+
+
 def ngram_join(
     docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text",
+    count_links: bool = True,
 ) -> DataFrame:
     """For each document: its key, ``n_shingles``, ``component_id``, the least key reachable by links,
-    and ``n_links``, to how many documents with another set links were found on the way.
+    and with ``count_links`` ``n_links``, with how many documents that have another set it links.
 
     Two documents link if den * intersection >= num * union of their distinct n-word shingles (A-Z as
     a-z; the whole sequence if there are fewer words). NULL, '' and blank texts have no shingles and
@@ -222,6 +278,9 @@ def ngram_join(
        sketches, all of which a similar pair passes; they are checked exactly too.
     So every group is either one component or has had all its possible pairs checked: no link
     between components is lost, and groups of copies are never expanded into pairs.
+    4. To count links, the distinct sets of each component are dealt into blocks of bounded size, and
+    each pair of blocks is compared set by set, exactly. A linked set counts as often as there are
+    documents with it, repeated rows being one document. No pair becomes a row.
     """
     k1, k2 = row_key(col(key), col(text))
     keyed = docs.select(col(key).alias("doc"), col(text).alias("text"), k1.alias("k1"), k2.alias("k2"))
@@ -264,9 +323,8 @@ def ngram_join(
         pairs = pairs.join(size.toDF("x", "n_x"), "x").join(size.toDF("y", "n_y"), "y")
         return pairs.filter(F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num)
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """The shingles of the pairs' nodes. A Bloom filter of their rows keeps most other texts from being shuffled."""
-        ids = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """The shingles of nodes. A Bloom filter of their rows keeps most other texts from being shuffled."""
         wanted = stored(rows.select(F.col("rid").alias("node"), "k1", "k2").join(ids, "node"))
         place = F.concat_ws(",", "k1", "k2")
         bloom, n_words = bloom_filter(wanted.select(place.alias("place")), "place")
@@ -283,7 +341,8 @@ def ngram_join(
     def checked(pairs: DataFrame) -> DataFrame:
         """Pairs with their distance and whether they link, on whole sets."""
         pairs, sets_at = stored(pairs), fresh_folder(spark)
-        sets = stored(sets_of(pairs), sets_at)
+        ids = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
+        sets = stored(sets_of(ids), sets_at)
         both = pairs.join(sets.toDF("x", "s_x"), "x").join(sets.toDF("y", "s_y"), "y")
         both = both.select("x", "y", "n_x", "n_y", F.size(F.array_intersect("s_x", "s_y")).cast("long").alias("common"))
         union = F.col("n_x") + F.col("n_y") - F.col("common")
@@ -324,17 +383,37 @@ def ngram_join(
     links = links.unionByName(more)
     linked = components(links)
 
-    degree = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(
-        F.count(F.lit(1)).alias("n_links")
-    )
-    grouped = nodes.join(linked, "node", "left").withColumn(
-        "component", F.coalesce("component", "node")
-    ).join(degree.withColumnRenamed("u", "node"), "node", "left").drop("node")
+    def degrees() -> DataFrame:
+        """Nodes and their links: of all pairs inside a component, as no link leaves it."""
+        copies = rows.filter("n > 0").select("k1", "k2", "n", "a", "b").distinct().groupBy("n", "a", "b").agg(
+            F.count(F.lit(1)).alias("copies")
+        )
+        inside = stored(nodes.join(copies, ["n", "a", "b"]).join(linked, "node").select("node", "component", "n", "copies"))
+        of = inside.groupBy("component").agg(
+            F.count(F.lit(1)).alias("members"), F.sum("n").alias("held"), F.sum("copies").alias("all")
+        )
+        blocks = F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(F.col("held") / BLOCK_SHINGLES))
+        inside = stored(inside.join(of.withColumn("blocks", blocks).drop("held"), "component"))
+        couples = inside.filter("members = 2").select("node", (F.col("all") - F.col("copies")).alias("n_links"))
+        larger = inside.filter("members > 2").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        dealt = larger.select("node", "component", "block", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.select("node", "component", "block", "copies", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        together = dealt.join(sets_of(larger.select("node")), "node").repartition("component", "low", "high")
+        counted = together.sortWithinPartitions("component", "low", "high").mapInPandas(
+            _count_rows(num, den), "node long, n_links long"
+        )
+        return couples.unionByName(counted.groupBy("node").agg(F.sum("n_links").alias("n_links")))
+
+    grouped = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if count_links:
+        grouped = grouped.join(degrees(), "node", "left")
+    grouped = grouped.drop("node")
     # the keys come from the table: the stored rows hold only what stands for a row
     named = rows.select("k1", "k2", "n", "a", "b").distinct().join(grouped, ["n", "a", "b"], "left").drop("a", "b")
-    result = stored(keyed.select("doc", "k1", "k2").join(named, ["k1", "k2"]).select("doc", "n", "component", "n_links"))
+    counts = ["n_links"] if count_links else []
+    result = stored(keyed.select("doc", "k1", "k2").join(named, ["k1", "k2"]).select("doc", "n", "component", *counts))
     least = result.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc").alias("least"))
     return result.join(least, "component", "left").select(
-        F.col("doc").alias(key), F.col("n").alias("n_shingles"),
-        F.coalesce("least", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"),
+        *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts),
     )

@@ -35,8 +35,13 @@ def fold(key: Column, of: int) -> Column:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ngram_join.ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, num=85, den=100)
-    return found.select("doc_id", "n_shingles", "component_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.ngram_join(docs, n=4, num=85, den=100, count_links=False)
+
+
+def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same join with the number of links of each document."""
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, num=85, den=100)
 
 
 def source_weights(docs: DataFrame, weights: tuple[float, ...]) -> DataFrame:
@@ -115,7 +120,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_ngram_jaccard_join, op2_mix_sources, op3_quality_rules, op4_url_filter, op5_quality_ranking, op6_language_id,
+        op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_mix_sources, op3_quality_rules, op4_url_filter, op5_quality_ranking, op6_language_id,
         op7_sentencepiece, op8_top_k, op9_line_dedup, op10_token_files,
     )
 }
@@ -147,6 +152,28 @@ reach(doc_id, r) AS (
   UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.r)
 SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(r) AS component_id
 FROM documents d JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id
+""",
+    "op1_ngram_jaccard_links": rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] FOR i IN range(1, len(w) - 2)] END) AS g
+  FROM docs),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT x, y, c = p.n AND c = q.n AS equal FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * c >= 85 * (p.n + q.n - c)),
+counted AS (SELECT x, count(*) FILTER (WHERE NOT equal) AS n_links FROM links GROUP BY x),
+reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.r)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(r) AS component_id,
+  coalesce(any_value(n_links), 0)::BIGINT AS n_links
+FROM documents d JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) LEFT JOIN counted ON counted.x = d.doc_id
+GROUP BY d.doc_id
 """,
     "op2_mix_sources": rf"""
 WITH docs AS (

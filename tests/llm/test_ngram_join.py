@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from conftest import rows
 
+from millrace.llm import ngram_join as module
 from millrace.llm.ngram_join import components, ngram_join, shingles, signatures, sketch
 
 SCHEMA = "doc_id long, text string, component_id string"
@@ -93,3 +94,24 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7)], "u long, v long")
     found = dict(map(tuple, components(edges).collect()))
     assert found == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def all_links(texts, n, num, den):
+    """With how many documents of another set each one links, by comparing all pairs."""
+    sets = {i: set(shingles(t, n).tolist()) for i, t in texts.items()}
+    return sorted((i, sum(
+        bool(s) and s != o and den * len(s & o) >= num * len(s | o) for o in sets.values()
+    )) for i, s in sets.items())
+
+
+@pytest.mark.parametrize("block_nodes", [128, 3])
+def test_links_inside_a_component_count_and_so_do_copies(spark, monkeypatch, block_nodes):
+    monkeypatch.setattr(module, "BLOCK_NODES", block_nodes)
+    words = [f"w{i}" for i in range(200)]
+    family = [" ".join(words[:i] + ["x"] + words[i + 1 :]) for i in (20, 60, 100, 140)] + [" ".join(words)]
+    texts = dict(enumerate(family + family[:1] * 5 + ["quite another text of some words", None]))
+    texts |= {i + 100: t for i, t in families(4).items()}
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()] + [(4, family[4], "x")], SCHEMA).repartition(3)
+    found = ngram_join(df, n=4, num=85, den=100)
+    assert sorted(map(tuple, found.select("doc_id", "n_links").distinct().collect())) == all_links(texts, 4, 85, 100)
+    assert dict(all_links(texts, 4, 85, 100))[1] == 9  # the other three, the original, and five more copies of the first
