@@ -119,3 +119,11 @@ def test_all_operators_are_registered():
     found = queries()
     assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES} and set(QUERIES) < set(found)
     assert "pipeline" in found and set(ORACLES) <= set(oracle_sql())
+
+
+def test_line_dedup_keeps_every_document(spark, folder):
+    copies = [(i, "one line\nand another", "en", "s1", 20) for i in range(12)] + [(20, "a text of its own", "en", "s1", 17)]
+    found = corpus_pipeline.lines(spark, spark.createDataFrame(copies, SCHEMA), folder)
+    assert rows(found, "doc_id", "text", "n_chars") == rows(spark.createDataFrame(
+        [(i, "", 0) for i in range(12)] + [(20, "a text of its own", 17)], "doc_id long, text string, n_chars long"
+    ))
