@@ -282,6 +282,35 @@ def ngram_join(
     each pair of blocks is compared set by set, exactly. A linked set counts as often as there are
     documents with it, repeated rows being one document. No pair becomes a row.
     """
+    found = _joined(docs, n, num, den, key, text, count_links)
+    least = found.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc").alias("least"))
+    return found.join(least, "component", "left").select(
+        F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"),
+        *(F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links") for _ in range(count_links)),
+    )
+
+
+def one_of_each(
+    docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """The ``row_key`` of key and text (``k1``, ``k2``) of one document of each component: the one of the
+    least key, a NULL key last, and among equal keys of the least row key. Each document without shingles
+    is one of its own. ``rows`` tells how many equal rows of it there are.
+    """
+    found = _joined(docs, n, num, den, key, text, False)
+    each = found.groupBy("k1", "k2").agg(
+        F.min("doc").alias("doc"), F.min("component").alias("component"), F.count(F.lit(1)).alias("rows")
+    )
+    order = F.struct(F.col("doc").isNull().alias("nameless"), "doc", "k1", "k2", "rows")
+    first = each.filter("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("kept"))
+    return first.select("kept.k1", "kept.k2", "kept.rows").unionByName(
+        each.filter("component IS NULL").select("k1", "k2", "rows")
+    )
+
+
+def _joined(docs: DataFrame, n: int, num: int, den: int, key: str, text: str, count_links: bool) -> DataFrame:
+    """Each row's ``doc``, row key ``k1``, ``k2``, shingles ``n``, ``component`` (a number that only it has; NULL
+    without shingles), and ``n_links``."""
     k1, k2 = row_key(col(key), col(text))
     keyed = docs.select(col(key).alias("doc"), col(text).alias("text"), k1.alias("k1"), k2.alias("k2"))
     spark = docs.sparkSession
@@ -411,9 +440,4 @@ def ngram_join(
     # the keys come from the table: the stored rows hold only what stands for a row
     named = rows.select("k1", "k2", "n", "a", "b").distinct().join(grouped, ["n", "a", "b"], "left").drop("a", "b")
     counts = ["n_links"] if count_links else []
-    result = stored(keyed.select("doc", "k1", "k2").join(named, ["k1", "k2"]).select("doc", "n", "component", *counts))
-    least = result.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc").alias("least"))
-    return result.join(least, "component", "left").select(
-        F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"),
-        *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts),
-    )
+    return stored(keyed.select("doc", "k1", "k2").join(named, ["k1", "k2"]).select("doc", "k1", "k2", "n", "component", *counts))

@@ -127,3 +127,13 @@ def test_line_dedup_keeps_every_document(spark, folder):
     assert rows(found, "doc_id", "text", "n_chars") == rows(spark.createDataFrame(
         [(i, "", 0) for i in range(12)] + [(20, "a text of its own", 17)], "doc_id long, text string, n_chars long"
     ))
+
+
+def test_one_document_of_each_group_stays_whatever_its_id(spark, folder):
+    text, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = [(3, text), (None, text), (None, text + " end"), (3, text + " more"), (7, other), (7, other), (None, "alone it is"),
+            (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s1", 0) for i, t in docs], SCHEMA)
+    found = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, df, folder).select("doc_id", "text").collect()]
+    assert Counter(i for i, _ in found) == {3: 1, 7: 1, None: 3}
+    assert {t for i, t in found if i is None} == {"alone it is", None, ""}
