@@ -110,6 +110,18 @@ def _blind_merge(spark, sf_dir):
     return load_mart(stage, nations, NATIONS, AS_OF)
 
 
+def _blind_customers(spark, sf_dir):
+    """Customers spelled in small letters, and suppliers as customers, merged into customers as spelled."""
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("name"), F.col("c_nationkey").cast("long").alias("region")
+    )
+    suppliers = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("s-"), "s_name").alias("name"), F.col("s_nationkey").cast("long").alias("region")
+    )
+    stage = customers.select(F.lower("name").alias("name"), (F.col("region") + 100).alias("region")).unionByName(suppliers)
+    return load_mart(stage, customers, NATIONS, AS_OF)
+
+
 MERGE_SQL = """
 WITH stage AS (
     SELECT CASE WHEN o_totalprice >= 5000 THEN o_orderkey END AS ord_id, o_custkey AS cust_id,
@@ -159,6 +171,7 @@ QUERIES = {
     "load_mart_all_keys": lambda s, d: load_mart(pair_stage(s, d), pair_mart(s, d), PAIRS, AS_OF),
     "load_mart_partitioned": lambda s, d: load_mart(line_stage(s, d), line_mart(s, d), LINES, AS_OF),
     "load_mart_case_blind": _blind_merge,
+    "load_mart_case_blind_customers": _blind_customers,
     "append_archive": lambda s, d: append_archive(order_stage(s, d), order_archive(s, d)),
 }
 ORACLES = {
@@ -187,6 +200,9 @@ ORACLES = {
     "load_mart_case_blind": """
         SELECT n_name AS name, n_regionkey + 100 AS region FROM nation
         UNION ALL SELECT concat('r-', r_name), r_regionkey FROM region""",
+    "load_mart_case_blind_customers": """
+        SELECT c_name AS name, c_nationkey::BIGINT + 100 AS region FROM customer
+        UNION ALL SELECT concat('s-', s_name), s_nationkey::BIGINT FROM supplier""",
     "append_archive": """
         SELECT CASE WHEN o_totalprice >= 5000 THEN o_orderkey END AS ord_id, o_custkey AS cust_id,
                CASE WHEN o_orderstatus = 'P' THEN 'O' ELSE o_orderstatus END AS ord_sts, o_totalprice AS ord_amt,

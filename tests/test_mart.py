@@ -139,3 +139,10 @@ def test_checks(spark):
         check_unique(bad, ["id"])
     assert rows(null_counts(bad, ["batch_id", "val"])) == [("batch_id", 3), ("val", 1)]
     assert rows(duplicate_keys(bad, ["id"])) == [(1, 2)]
+
+
+def test_a_case_blind_merge_grows_with_the_tables(spark):
+    from queries.mart import QUERIES
+
+    small, large = (QUERIES["load_mart_case_blind_customers"](spark, f"/root/testdata/{sf}").count() for sf in ("sf0.001", "sf0.01"))
+    assert large > 5 * small
