@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import (
-    language_id, line_dedup, ngram_join, piece_fst, quality_rank, quality_rules, source_mix, token_files, top_k,
-    url_filter,
+    fill_middle, importance, language_id, line_dedup, ngram_join, piece_fst, quality_rank, quality_rules, source_mix, token_counts,
+    token_files, top_k, url_filter,
 )
 from millrace.llm.common import fresh_folder, table
 from millrace.plans.numbering import number_rows
@@ -117,11 +117,35 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder, files, "ids_crc32 long", zlib.crc32)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, tokenizer_path(TOKENIZER), limit=512)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fill_middle.fill_in_middle(docs, seed=42, rate=50, spm_rate=80)
+    digests = {
+        "output_sha256": F.col("fim_text"), "restored_sha256": fill_middle.restored(F.col("fim_text"), F.col("form")),
+    }
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        *(F.sha2(c.cast("binary"), 256).alias(name) for name, c in digests.items()),
+    )
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = importance.resample(docs, table(spark, sf_dir, "benchmark"), share=(5, 100), min_words=20, buckets=10_000, seed=42)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_mix_sources, op3_quality_rules, op4_url_filter, op5_quality_ranking, op6_language_id,
         op7_sentencepiece, op8_top_k, op9_line_dedup, op10_token_files,
+        op11_token_counts, op12_fill_in_middle, op13_importance_resampling,
     )
 }
 
@@ -244,5 +268,59 @@ common AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTI
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(common.key)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE common.key IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN common USING (key) GROUP BY doc_id
+""",
+    "op12_fill_in_middle": r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256(concat('42:', doc_id)) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM documents),
+drawn AS (
+  SELECT *, len(units) AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS y,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+      OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM docs),
+cut AS (
+  SELECT *, array_to_string(units[1:least(x, y)], '') AS p, array_to_string(units[least(x, y) + 1:greatest(x, y)], '') AS m,
+    array_to_string(units[greatest(x, y) + 1:n], '') AS s FROM drawn)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(p || m || s) AS restored_sha256
+FROM cut
+""",
+    "op13_importance_resampling": rf"""
+WITH RECURSIVE steps(k, c, i) AS (
+  SELECT k, k, 0 FROM range(256) t(k)
+  UNION ALL SELECT k, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), i + 1 FROM steps WHERE i < 8),
+crc AS (SELECT list(c ORDER BY k) AS step FROM steps WHERE i = 8),
+texts AS (SELECT 'ours' AS side, doc_id, text FROM documents UNION ALL SELECT 'theirs', NULL, text FROM benchmark),
+split AS (
+  SELECT side, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (
+  SELECT side, doc_id, unnest(w || [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]
+    || [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS f FROM split),
+found AS (SELECT side, doc_id, f, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT f, xor(4294967295, list_reduce([('0x' || h[2 * i - 1:2 * i])::BIGINT FOR i IN range(1, len(h) // 2 + 1)],
+    lambda c, b: xor(c >> 8, step[xor(c & 255, b) + 1]), 4294967295)) % 10000 AS bucket
+  FROM (SELECT DISTINCT f, hex(encode(f)) AS h FROM found), crc),
+placed AS (SELECT side, doc_id, bucket, n FROM found JOIN hashed USING (f)),
+totals AS (
+  SELECT coalesce(sum(n) FILTER (WHERE side = 'ours'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE side = 'theirs'), 0)::DOUBLE AS t FROM placed),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(sum(n) FILTER (WHERE side = 'theirs'), 0) + 1)::DOUBLE * (any_value(totals.s) + 10000)
+    / ((coalesce(sum(n) FILTER (WHERE side = 'ours'), 0) + 1)::DOUBLE * (any_value(totals.t) + 10000))))::BIGINT AS gain
+  FROM placed, totals GROUP BY bucket),
+weighed AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM placed JOIN gains USING (bucket)
+  WHERE side = 'ours' GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256(concat('42:', doc_id))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM split LEFT JOIN weighed USING (doc_id) WHERE side = 'ours'),
+best AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS eligible FROM scored WHERE n_words >= 20)
+SELECT s.doc_id, n_features, weight, score, rank::BIGINT AS rank
+FROM scored s LEFT JOIN (SELECT * FROM best WHERE rank <= 5 * eligible // 100) b ON b.doc_id = s.doc_id
 """,
 }
