@@ -35,6 +35,15 @@ def folded(value: Column, ctype: ColumnType | None, case_blind: bool) -> Column:
     return value
 
 
+def canonical(value: Column) -> Column:
+    """A text in the one form that all texts share which the case-blind collation holds equal.
+
+    The collation takes each character's lower case by itself, and both forms of the small sigma as one; ``lower``
+    looks at a sigma's place in the word, which the replacement undoes.
+    """
+    return F.translate(F.lower(value), "ς", "σ")
+
+
 def sentinel_equal(left: Column, right: Column, ctype: ColumnType, case_blind: bool = False) -> Column:
     """Equality where NULL counts as the type's sentinel, so NULL equals the sentinel itself.
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.predicates import all_of, key_equal, sentinel_equal
 from millrace.plans.matching import (
-    examine, need_unique, null_key, paired, rows_of_interest, size_of,
+    LoadFacts, changes_of, examine, met, need_unique, null_key, paired, rows_of_interest, size_of,
 )
 from millrace.plans.spec import FLAG, INSERTED_AT, RECORD_ID, MappingSpec
 
@@ -17,7 +17,7 @@ from millrace.plans.spec import FLAG, INSERTED_AT, RECORD_ID, MappingSpec
 INSERTED, UPDATED, DUPLICATE, IGNORED, REPLACED = "I", "U", "D", "X", "DI"
 
 DEST = "DEST"
-MODEL, DUPLICATES = "model", "duplicates"
+MODEL, DUPLICATES, MASKED = "model", "duplicates", "masked"
 
 
 @dataclass(frozen=True)
@@ -32,6 +32,8 @@ class ApplyResult:
     ``replaces``    added after all model rows with these values (as text) in a column are taken out
     ``kept``        model rows passed through as they are, not in ``outcome``
     ``final``       the SQL condition all kept rows meet, and all rows a later load will keep
+    ``changes``     instead of ``outcome``, only what the load changes, tagged DEST: new rows, duplicates, and
+                    model rows that count no more, as they were, tagged masked
     """
 
     target: DataFrame
@@ -42,6 +44,7 @@ class ApplyResult:
     replaces: tuple[str, tuple[str, ...]] | None = None
     kept: DataFrame | None = None
     final: str | None = None
+    changes: DataFrame | None = None
 
 
 def model_columns(load: DataFrame) -> list[str]:
@@ -55,16 +58,16 @@ def aligned(load: DataFrame, target: DataFrame, spec: MappingSpec) -> tuple[Data
     return same, spec.spelled(known)
 
 
-def _is_small(load: DataFrame, spec: MappingSpec, check_keys: bool, small_load: bool | None) -> bool:
+def _measured(load: DataFrame, spec: MappingSpec, check_keys: bool, small_load: bool | None) -> LoadFacts:
     """Check that keys are unique and measure the load, as far as the caller does not know already."""
     if not check_keys and small_load is not None:
-        return small_load
+        return LoadFacts(is_small=small_load)
     if check_keys:
         facts = examine(load, spec.primary_key, spec.types, spec.case_blind)
         need_unique(facts, f"load of record {spec.record_id}")
     else:
         facts = size_of(load)
-    return facts.small if small_load is None else small_load
+    return replace(facts, is_small=small_load)
 
 
 def flag_rows(load: DataFrame, target: DataFrame, spec: MappingSpec, changed: str, small: bool) -> DataFrame:
@@ -111,8 +114,7 @@ def apply_insert(
     key and compare columns.
     """
     load, spec = aligned(load, target, spec)
-    small = _is_small(load, spec, check_keys, small_load)
-    flagged = flag_rows(load, target, spec, IGNORED, small)
+    flagged = flag_rows(load, target, spec, IGNORED, _measured(load, spec, check_keys, small_load).small)
     new = _flagged_rows(flagged, INSERTED)
     return ApplyResult(
         target=target.unionByName(new, allowMissingColumns=True),
@@ -134,10 +136,10 @@ def apply_upsert(
     """
     load, spec = aligned(load, target, spec)
     keys, types = spec.primary_key, spec.types
-    small = _is_small(load, spec, check_keys, small_load)
-    flagged = flag_rows(load, target, spec, UPDATED, small)
+    facts = _measured(load, spec, check_keys, small_load)
+    flagged = flag_rows(load, target, spec, UPDATED, facts.small)
 
-    pairs = paired(target, load, keys, small, types, spec.case_blind)
+    pairs = paired(target, load, keys, facts.small, types, spec.case_blind)
     old, new = pairs.old, pairs.new
     matched = pairs.has_old & pairs.has_new
     same = all_of(
@@ -165,12 +167,22 @@ def apply_upsert(
         with_new=inserted | (matched & ~F.col("__updated")),
         __updated=updated,
     )
+    hits = met(target, load, keys, facts, types, spec.case_blind)
+    overwritten, added = hits.has_old & ~same, ~hits.has_old & all_of(new(k).isNotNull() for k in keys)
+    new_row = {c: new_value(c) for c in target.columns}
+    changes = changes_of(hits, [
+        (overwritten, {c: old(c) for c in target.columns} | {DEST: F.lit(MASKED)}),
+        (overwritten, {c: old_value(c, F.lit(True)) for c in target.columns} | {DEST: F.lit(MODEL)}),
+        (added, new_row | {DEST: F.lit(MODEL)}),
+        (hits.has_old & same, new_row | {DEST: F.lit(DUPLICATES)}),
+    ], outcome.schema)
     return ApplyResult(
         target=model,
         duplicates=_flagged_rows(flagged, DUPLICATE),
         flagged=flagged,
         outcome=outcome,
         appends=False,
+        changes=changes,
     )
 
 

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.predicates import all_of, any_of, folded, key_equal, sentinel_equal
 from millrace.functions.types import end_before, high_text, high_value
 from millrace.operators.apply import (
-    DEST, DUPLICATE, DUPLICATES, INSERTED, MODEL, UPDATED, ApplyResult, aligned, model_columns,
+    DEST, DUPLICATE, DUPLICATES, INSERTED, MASKED, MODEL, UPDATED, ApplyResult, aligned, model_columns,
 )
 from millrace.operators.windows import first_by
 from millrace.plans.matching import (
-    LoadFacts, examine, need_unique, null_key, paired, rows_of_interest, size_of,
+    LoadFacts, changes_of, examine, met, need_unique, null_key, paired, rows_of_interest, size_of,
 )
 from millrace.plans.neighbours import HOT_ROWS, long_keys, neighbours, with_segments
 from millrace.plans.spec import BATCH_ID, FLAG, UPDATED_AT, MappingSpec
@@ -85,8 +87,10 @@ def apply_history(
         facts = examine(load, match, types, spec.case_blind)
     small = facts.small if small_load is None else small_load
     flagged = flag_versions(load, versions, spec, small, match)
+    changes = None
     if facts.repeated is None:
         outcome = _one_row_per_key(load, versions, spec, small, match)
+        changes = _changed_versions(load, versions, spec, replace(facts, is_small=small), match)
     else:
         outcome = _several_rows_per_key(load, flagged, versions, spec, small, match)
     model = outcome.filter(F.col(DEST) == MODEL).drop(DEST)
@@ -98,6 +102,7 @@ def apply_history(
         appends=False,
         kept=closed,
         final=final_versions(spec),
+        changes=changes,
     )
 
 
@@ -139,6 +144,30 @@ def _one_row_per_key(
     )
 
 
+def _changed_versions(
+    load: DataFrame, versions: DataFrame, spec: MappingSpec, facts: LoadFacts, match: list[str]
+) -> DataFrame:
+    """Only what the usual load writes: versions it closes, as they were, to be masked, and closed; its own rows.
+
+    A table of versions that takes such changes tells the versions of a key apart by their end.
+    """
+    columns = versions.columns
+    keyed = load.filter(~null_key([*spec.history_keys, spec.start]))
+    pairs = met(versions, keyed, match, facts, spec.types, spec.case_blind)
+    old, new = pairs.old, pairs.new
+    same = pairs.has_old & all_of(
+        sentinel_equal(new(c), old(c), spec.types[c], spec.case_blind) for c in spec.history_columns
+    )
+    closing = _closing(spec, versions, new)
+    new_row = {c: new(c) if c in load.columns else F.lit(None) for c in columns}
+    return changes_of(pairs, [
+        (pairs.has_old & ~same, {c: old(c) for c in columns} | {DEST: F.lit(MASKED)}),
+        (pairs.has_old & ~same, {c: closing.get(c, old(c)) for c in columns} | {DEST: F.lit(MODEL)}),
+        (~same, new_row | {DEST: F.lit(MODEL)}),
+        (same, new_row | {DEST: F.lit(DUPLICATES)}),
+    ], T.StructType([*versions.schema.fields, T.StructField(DEST, T.StringType())]))
+
+
 def _several_rows_per_key(
     load: DataFrame, flagged: DataFrame, versions: DataFrame, spec: MappingSpec, small: bool, match: list[str]
 ) -> DataFrame:

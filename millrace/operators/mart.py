@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.predicates import key_equal
 from millrace.functions.types import ColumnType, load_time
-from millrace.operators.apply import DEST, MODEL, ApplyResult
+from millrace.operators.apply import DEST, MASKED, MODEL, ApplyResult
 from millrace.operators.checks import check_not_null, check_unique
-from millrace.plans.matching import examine, need_unique, null_key, paired, rows_of_interest, size_of
+from millrace.plans.matching import (
+    LoadFacts, Pairs, changes_of, examine, met, need_unique, null_key, paired, rows_of_interest, size_of,
+)
 from millrace.sources.dictionary import (
     FILE_NAME, MART_INSERTED, MART_UPDATED, STAGE_BATCH, SourceTable,
 )
@@ -46,18 +50,33 @@ def merge_mart(
     Batch and insert time of a matched row stay. A NULL key matches nothing, so such a row is
     added by every run.
     """
+    facts = _measured(stage, keys, types, case_blind, check_keys, small_load)
+    pairs = paired(mart, stage, list(keys), facts.small, types, case_blind)
+    value = _merged(stage, mart, keys, as_of, pairs)
+    return pairs.rows.select(*(value(c).alias(c) for c in mart.columns))
+
+
+def _measured(
+    stage: DataFrame, keys: Sequence[str], types: Types | None, case_blind: bool, check_keys: bool,
+    small_load: bool | None,
+) -> LoadFacts:
     _need_keys(keys)
-    if check_keys or small_load is None:
-        facts = examine(stage, keys, types, case_blind) if check_keys else size_of(stage)
-        need_unique(facts, "stage")
-        small_load = facts.small if small_load is None else small_load
+    if not check_keys and small_load is not None:
+        return LoadFacts(is_small=small_load)
+    facts = examine(stage, keys, types, case_blind) if check_keys else size_of(stage)
+    need_unique(facts, "stage")
+    return replace(facts, is_small=small_load)
+
+
+def _merged(
+    stage: DataFrame, mart: DataFrame, keys: Sequence[str], as_of: dt.datetime | str | None, pairs: Pairs
+) -> Callable[[str], Column]:
+    """What a merge writes into a column of the mart."""
     now = load_time(as_of, "TIMESTAMP(0)")
     incoming = {c.lower(): c for c in stage.columns}
     key_names = {k.lower() for k in keys}
     stays = {STAGE_BATCH, FILE_NAME, MART_INSERTED} | key_names
 
-    pairs = paired(mart, stage, list(keys), small_load, types, case_blind)
-
     def value(c: str) -> Column:
         name = c.lower()
         new = pairs.new(incoming[name]) if name in incoming else F.lit(None)
@@ -72,10 +91,24 @@ def merge_mart(
             .when(pairs.has_new, matched)
             .otherwise(pairs.old(c))
             .cast(mart.schema[c].dataType)
-            .alias(c)
         )
 
-    return pairs.rows.select(*(value(c) for c in mart.columns))
+    return value
+
+
+def mart_changes(
+    stage: DataFrame, mart: DataFrame, keys: Sequence[str], as_of: dt.datetime | str | None = None,
+    types: Types | None = None, case_blind: bool = False, check_keys: bool = True, small_load: bool | None = None,
+    facts: LoadFacts | None = None,
+) -> DataFrame:
+    """Only the rows a merge writes, tagged DEST: matched rows as they were, to be masked, and all rows of the stage."""
+    facts = facts or _measured(stage, keys, types, case_blind, check_keys, small_load)
+    pairs = met(mart, stage, list(keys), facts, types, case_blind)
+    value = _merged(stage, mart, keys, as_of, pairs)
+    return changes_of(pairs, [
+        (pairs.has_old, {c: pairs.old(c) for c in mart.columns} | {DEST: F.lit(MASKED)}),
+        (pairs.has_new, {c: value(c) for c in mart.columns} | {DEST: F.lit(MODEL)}),
+    ], T.StructType([*mart.schema.fields, T.StructField(DEST, T.StringType())]))
 
 
 def new_mart_rows(
@@ -129,9 +162,15 @@ def apply_mart(
             check_unique(stage, table.keys)
         new = new_mart_rows(stage, mart, table.keys, as_of, **options)
         return ApplyResult(mart.unionByName(new), nothing, stage, new.withColumn(DEST, F.lit(MODEL)), appends=True)
+    facts = _measured(
+        stage, table.keys, options["types"], options.get("case_blind", False), options.pop("check_keys", True),
+        options.pop("small_load", None),
+    )
+    options |= {"check_keys": False, "small_load": facts.small}
     merged = merge_mart(stage, mart, table.keys, as_of, **options)
     return ApplyResult(
-        target=merged, duplicates=nothing, flagged=stage, outcome=merged.withColumn(DEST, F.lit(MODEL)), appends=False
+        target=merged, duplicates=nothing, flagged=stage, outcome=merged.withColumn(DEST, F.lit(MODEL)), appends=False,
+        changes=mart_changes(stage, mart, table.keys, as_of, facts=facts, **options),
     )
 
 

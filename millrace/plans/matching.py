@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from millrace.functions.predicates import all_of, any_null, folded, key_equal
 from millrace.functions.types import ColumnType
 
+HASHED_LOAD = 64 << 20  # bytes of a load's share in a partition that may be held in memory
 BROADCAST_SETTING = "spark.sql.autoBroadcastJoinThreshold"
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
 
@@ -32,10 +33,12 @@ class LoadFacts:
     repeated: str | None = None
     limit: int = 0
     counted: int = 0
+    is_small: bool | None = None
 
     @property
     def small(self) -> bool:
-        return self.bytes <= self.limit
+        """Whether the load may be broadcast: by its size, unless a caller has said so."""
+        return self.bytes <= self.limit if self.is_small is None else self.is_small
 
 
 def broadcast_limit(spark: SparkSession) -> int:
@@ -216,3 +219,56 @@ def paired(
             new.filter(no_new), allowMissingColumns=True
         )
     )
+
+
+def met(
+    target: DataFrame,
+    load: DataFrame,
+    keys: Sequence[str],
+    facts: LoadFacts,
+    types: dict[str, ColumnType] | None = None,
+    case_blind: bool = False,
+) -> Pairs:
+    """Every load row with the target rows of its key; target rows that meet none are left out.
+
+    A small load cuts the target down where it lies. Any other is dealt to the target's partitions, which
+    stay as they are if the target is bucketed by the keys, and held in memory there if its share is
+    small, so that neither side is sorted. Load rows with a NULL key meet nothing and skip the join.
+    """
+    types = types or {}
+
+    def same_key(left: str, right: str) -> Column:
+        return all_of(
+            folded(F.col(f"`{left}{k}`"), types.get(k), case_blind)
+            == folded(F.col(f"`{right}{k}`"), types.get(k), case_blind)
+            for k in keys
+        )
+
+    old, new = _prefixed(target, "__old_", HAS_OLD), _prefixed(load, "__new_", HAS_NEW)
+    keyed_old, no_new = old.filter(~null_key([f"__old_{k}" for k in keys])), null_key([f"__new_{k}" for k in keys])
+    keyed_new = new.filter(~no_new)
+    if facts.small:
+        known = _prefixed(load.select(*keys), "__key_", "__known").filter(~null_key([f"__key_{k}" for k in keys]))
+        keyed_old = keyed_old.join(F.broadcast(known), same_key("__old_", "__key_"), "left_semi")
+    elif facts.bytes <= HASHED_LOAD * int(load.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        keyed_new = keyed_new.hint("shuffle_hash")
+    pairs = keyed_new.join(keyed_old, same_key("__new_", "__old_"), "left")
+    return Pairs(pairs.unionByName(new.filter(no_new), allowMissingColumns=True))
+
+
+def changes_of(pairs: Pairs, rows: Sequence[tuple[Column, dict[str, Column]]], schema: T.StructType) -> DataFrame:
+    """For each pair the rows whose condition holds, as one scan of the pairs.
+
+    A row names its columns' values; columns it leaves out are NULL. ``schema`` says which columns there are.
+    """
+    wanted = F.array_compact(F.array(*(F.when(condition, F.lit(i)) for i, (condition, _) in enumerate(rows))))
+    exploded = pairs.rows.withColumn(WHICH, F.explode(wanted))
+
+    def value(f: T.StructField) -> Column:
+        chosen = F.lit(None).cast(f.dataType)
+        for i, (_, values) in enumerate(rows):
+            if f.name in values:
+                chosen = F.when(F.col(WHICH) == i, values[f.name].cast(f.dataType)).otherwise(chosen)
+        return chosen.alias(f.name)
+
+    return exploded.select(*(value(f) for f in schema.fields))
