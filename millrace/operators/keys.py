@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from millrace.plans.spec import (
     BATCH_ID, INSERTED_AT, RECORD_ID, SURROGATE_SET, UPDATED_AT, SurrogateSpec,
 )
 
+Above = Callable[[int, int], int]
+
 
 def max_key(sgk: DataFrame, key: str) -> Column:
     """The highest surrogate of the whole table, whatever its SGK_ID; 0 when there is none."""
@@ -56,10 +59,13 @@ def new_keys(stage: DataFrame, sgk: DataFrame, spec: SurrogateSpec, distinct: bo
     return _without_surrogate(_distinct_keys(values, spec) if distinct else values, sgk, spec)
 
 
-def _assigned(fresh: DataFrame, sgk: DataFrame, spec: SurrogateSpec, counted: str | None) -> DataFrame:
+def _assigned(
+    fresh: DataFrame, sgk: DataFrame, spec: SurrogateSpec, counted: str | None, above: Above | None = None
+) -> DataFrame:
     natural = F.col(f"`{spec.natural_key}`")
     highest = sgk.agg(F.coalesce(F.max(spec.key), F.lit(0)).cast("long")).first()[0]
-    numbered = number_rows(fresh, [natural.desc()], spec.key, highest, counted)
+    begin = highest if above is None else lambda count: above(highest, count)
+    numbered = number_rows(fresh, [natural.desc()], spec.key, begin, counted)
     return numbered.withColumn(spec.natural_key, cast_to(natural, parse_type(spec.natural_type)))
 
 
@@ -75,11 +81,13 @@ def load_surrogates(
     batch_log: DataFrame,
     as_of: dt.datetime | str | None = None,
     distinct: bool = False,
+    above: Above | None = None,
 ) -> DataFrame:
     """Rows to append to the surrogate table: new keys, numbered, with technical columns.
 
     Natural keys are counted first, so a key that fills much of the stage is one row in the
-    join and the numbering; its copies appear only in the result.
+    join and the numbering; its copies appear only in the result. ``above`` gives the number to count
+    from, of the highest in the table and the number of new rows; the highest itself without it.
     """
     stage = joined(tables, spec.source_table, spec.joins)
     if spec.where:
@@ -89,7 +97,7 @@ def load_surrogates(
         counted = _distinct_keys(values, spec).withColumn("copies", F.lit(1).cast("long"))
     else:
         counted = values.groupBy(spec.natural_key).agg(F.count(F.lit(1)).alias("copies"))
-    fresh = _assigned(_without_surrogate(counted, sgk, spec), sgk, spec, "copies")
+    fresh = _assigned(_without_surrogate(counted, sgk, spec), sgk, spec, "copies", above)
     now = load_time(as_of, "TIMESTAMP(0)")
     filled = {c: F.lit(None).cast(sgk.schema[c].dataType) for c in spec.null_columns if c in sgk.columns}
     return fresh.withColumns(
@@ -106,10 +114,10 @@ def load_surrogates(
 
 def append_surrogates(
     tables: dict[str, DataFrame], sgk: DataFrame, spec: SurrogateSpec, batch_log: DataFrame,
-    as_of: dt.datetime | str | None = None, distinct: bool = False,
+    as_of: dt.datetime | str | None = None, distinct: bool = False, above: Above | None = None,
 ) -> ApplyResult:
     """New surrogates as a load that only adds rows, ready to publish."""
-    rows = load_surrogates(tables, sgk, spec, batch_log, as_of, distinct)
+    rows = load_surrogates(tables, sgk, spec, batch_log, as_of, distinct, above)
     return ApplyResult(
         target=sgk.unionByName(rows), duplicates=sgk.filter(F.lit(False)), flagged=rows,
         outcome=rows.withColumn(DEST, F.lit(MODEL)), appends=True,

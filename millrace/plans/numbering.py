@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,14 +29,27 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def session_folder(spark: SparkSession) -> str:
+    """Where a session keeps what it cuts off from its lineage; see :func:`forget_frozen`."""
+    return f"{shared_folder(spark)}/millrace/{spark.sparkContext.applicationId}"
+
+
 def frozen(df: DataFrame) -> DataFrame:
-    """The same rows cut off from their lineage: written once to the shared folder and read from there.
+    """The same rows cut off from their lineage: written once as Parquet to the shared folder and read from
+    there, with all that Spark knows to do with such files.
 
-    Spark deletes the copy when nothing refers to it any more, if the session says so
-    (``spark.cleaner.referenceTracking.cleanCheckpoints``, as ``session()`` does).
+    A lazy result may read the copy at any time, so it stays until the session is done with its results
+    and calls :func:`forget_frozen`.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    folder = f"{session_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def forget_frozen(spark: SparkSession) -> None:
+    """Delete all copies of this session; results made from them can't be read any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def _copies(df: DataFrame, count: str, longest: int, at_once: int = COPIES_AT_ONCE) -> DataFrame:
@@ -59,12 +73,14 @@ def number_rows(
     df: DataFrame,
     order: Sequence[Column],
     out: str,
-    above: Column | int = 0,
+    above: Column | int | Callable[[int], int] = 0,
     counted: str | None = None,
     at_once: int = COPIES_AT_ONCE,
 ) -> DataFrame:
     """Add ``out``: consecutive numbers above ``above`` in the given order.
 
+    ``above`` may also be a function, which is told how many rows there are.
+
     Equal rows are counted before anything is sorted (or come with their count in the column
     ``counted``), so a value that fills a third of the table is one row here. Distinct rows
     are range-partitioned in order, ties by all columns, and frozen so that the ranges cannot
@@ -99,6 +115,7 @@ def number_rows(
         within = Window.partitionBy("__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
         before = F.sum(counted).over(within) - F.col(counted)
     placed = ranges.join(offset, "__part").withColumn("__first", F.col("__offset") + before + 1)
+    above = above if isinstance(above, (int, Column)) else above(total)
     above = F.lit(above) if isinstance(above, int) else above
     number = above + F.col("__first") + F.col("__copy")
     placed = placed.drop("__at", "__part", "__row", "__offset")

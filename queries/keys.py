@@ -12,6 +12,7 @@ from millrace.operators.keys import (
 )
 from millrace.plans.numbering import number_rows
 from millrace.plans.spec import Join, SurrogateSpec
+from millrace.plans.surrogates import publish_surrogates
 from millrace.sources.publish import publish, read_model, truncate_load
 from queries.common import AS_OF, fresh_folder, moment, table
 
@@ -123,6 +124,18 @@ def _appended(spark, sf_dir):
     return lookup_key(stage["lines"], known, "pair", "SRC_KEY", 1, "PAIR_ID", "PAIR_ID")
 
 
+def _reserved(spark, sf_dir):
+    """Two loads, of pairs with an even and an odd part, into one published table: each reserves the numbers it needs."""
+    folder = fresh_folder(spark)
+    truncate_load(surrogates(spark, sf_dir), folder, "PART_SUPP_SGK")
+    for n in (0, 1):
+        spec = replace(PAIR_KEYS, where=f"lines.pair IS NOT NULL AND CAST(split_part(lines.pair, '-', 1) AS BIGINT) % 2 = {n}")
+        publish_surrogates(
+            spark, folder, "PART_SUPP_SGK", {"lines": lines(spark, sf_dir)}, spec, batch_log(spark, sf_dir), AS_OF, distinct=True
+        )
+    return read_model(spark, folder, "PART_SUPP_SGK").filter("SGK_ID = 1").select("PAIR_ID", "SRC_KEY")
+
+
 QUERIES = {
     "new_keys": lambda s, d: new_keys(lines(s, d), surrogates(s, d), PAIR_KEYS),
     "new_keys_distinct": lambda s, d: new_keys(lines(s, d), surrogates(s, d), PAIR_KEYS, distinct=True),
@@ -130,6 +143,7 @@ QUERIES = {
     "load_surrogates": lambda s, d: _loaded(s, d, PAIR_KEYS, False),
     "load_surrogates_joined": lambda s, d: _loaded(s, d, CUSTOMER_LINE_KEYS, True),
     "append_surrogates": _appended,
+    "publish_surrogates": _reserved,
     "number_rows": _numbered,
     "max_key": _highest,
     "lookup_key": lambda s, d: lookup_key(lines(s, d), surrogates(s, d), "pair", "SRC_KEY", 1, "PAIR_ID", "PAIR_ID"),
@@ -150,6 +164,11 @@ ORACLES = {
                   AND pair NOT IN (SELECT SRC_KEY FROM sgk WHERE SGK_ID = 1)))
         SELECT l.l_orderkey, l.l_returnflag, l.pair, COALESCE(k.PAIR_ID, f.PAIR_ID) AS PAIR_ID
         FROM lines l LEFT JOIN sgk k ON k.SRC_KEY = l.pair AND k.SGK_ID = 1 LEFT JOIN fresh f ON f.pair = l.pair""",
+    "publish_surrogates": SGK_SQL + """, fresh AS (
+            SELECT DISTINCT pair, CAST(split_part(pair, '-', 1) AS BIGINT) % 2 AS part FROM lines
+            WHERE pair IS NOT NULL AND pair NOT IN (SELECT SRC_KEY FROM sgk WHERE SGK_ID = 1))
+        SELECT PAIR_ID, SRC_KEY FROM sgk WHERE SGK_ID = 1
+        UNION ALL SELECT (SELECT MAX(PAIR_ID) FROM sgk) + ROW_NUMBER() OVER (ORDER BY part, pair DESC), pair FROM fresh""",
     "number_rows": """
         SELECT ROW_NUMBER() OVER (ORDER BY event_type DESC, user_id) AS n, event_type, user_id FROM events""",
     "max_key": SGK_SQL + """

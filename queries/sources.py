@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 from millrace.operators.apply import apply_delete_insert, apply_insert, apply_upsert
 from millrace.operators.history import apply_history, final_versions
 from millrace.operators.mart import apply_mart
-from millrace.plans.spec import RECORD_ID
+from millrace.plans.spec import RECORD_ID, ColumnSpec, MappingSpec
 from millrace.sources.dictionary import SourceColumn, SourceTable, tables_from_dictionary
 from millrace.sources.landed import read_landed, stage, text_schema
-from millrace.sources.publish import Layout, publish, publish_load, read_duplicates, read_model, truncate_load
+from millrace.sources.publish import (
+    CommitConflict, Layout, clean_up, compact, last_commit, publish, publish_load, read_duplicates, read_model, truncate_load,
+)
 from millrace.sources.tables import archive_to, load_parquet, read_archive, read_spec, save_parquet, write_table
-from millrace.streaming.arrivals import archive_arrivals, arrivals
+from millrace.streaming.arrivals import archive_arrivals, arrivals, publish_arrivals
 from queries.apply import ALL, DELETE_INSERT_SQL, INSERT_SPEC, INSERT_SQL, UPSERT_MODEL_SQL, UPSERT_SPEC, UPSERT_SQL
 from queries.apply import line_load, line_model, order_load, order_model
-from queries.common import AS_OF, fresh_folder, table
+from queries.common import AS_OF, fresh_folder, moment, table
 from queries.history import ORACLES as HISTORY_SQL
 from queries.history import ORDER_VERSIONS, version_load, version_model
 from queries.mart import LINES, line_mart, line_stage
@@ -117,6 +119,98 @@ def _published_upsert(spark, sf_dir, read):
     return read(spark, folder, "ORDERS")
 
 
+def _published_changes(spark, sf_dir, read, packed=False):
+    """The same upsert into a table that takes changes: only changed rows and masks of old ones are written."""
+    folder = fresh_folder(spark)
+    layout = Layout(buckets=8, keys=("ORD_ID",), changes=True)
+    truncate_load(order_model(spark, sf_dir), folder, "ORDERS", layout=layout)
+    load = order_load(spark, sf_dir)
+    publish_load(spark, folder, "ORDERS", load, lambda model: apply_upsert(load, model, UPSERT_SPEC))
+    if packed:
+        compact(spark, folder, "ORDERS")
+        clean_up(spark, folder, "ORDERS")
+    return read(spark, folder, "ORDERS")
+
+
+def _published_conflict(spark, sf_dir):
+    """Two loads made from one commit, of orders below and above a date: the second, which would undo the
+    first, is refused and made anew."""
+    folder = fresh_folder(spark)
+    truncate_load(order_model(spark, sf_dir), folder, "ORDERS")
+    base, load = last_commit(spark, folder, "ORDERS"), order_load(spark, sf_dir)
+    model = read_model(spark, folder, "ORDERS", base)
+    parts = [load.filter(F.col("ORD_ID") % 2 == n) for n in (0, 1)]
+    publish(spark, folder, "ORDERS", apply_upsert(parts[0], model, UPSERT_SPEC), base=base)
+    try:
+        publish(spark, folder, "ORDERS", apply_upsert(parts[1], model, UPSERT_SPEC), base=base)
+    except CommitConflict:
+        publish_load(spark, folder, "ORDERS", parts[1], lambda now: apply_upsert(parts[1], now, UPSERT_SPEC))
+    return read_model(spark, folder, "ORDERS")
+
+
+def _published_compacted(spark, sf_dir):
+    """Inserts of new orders by weekday, packed into one folder per bucket; folders no commit needs are deleted."""
+    folder, load = fresh_folder(spark), order_load(spark, sf_dir)
+    truncate_load(order_model(spark, sf_dir), folder, "ORDERS", layout=Layout(buckets=4, keys=("ORD_ID",)))
+    for day in range(4):
+        part = load.filter(F.col("ORD_ID") % 4 == day)
+        publish_load(spark, folder, "ORDERS", part, lambda model, part=part: apply_insert(part, model, INSERT_SPEC))
+    compact(spark, folder, "ORDERS")
+    clean_up(spark, folder, "ORDERS")
+    return read_model(spark, folder, "ORDERS")
+
+
+def _published_history_changes(spark, sf_dir):
+    """Order versions closed and inserted as changes: closed rows take the place of masked open ones."""
+    folder = fresh_folder(spark)
+    layout = Layout(buckets=8, keys=("ORD_ID",), changes=True, masked_by=("ORD_END_DT",))
+    truncate_load(version_model(spark, sf_dir), folder, "VERSIONS", layout=layout)
+    load = version_load(spark, sf_dir)
+    publish_load(spark, folder, "VERSIONS", load, lambda model: apply_history(load, model, ORDER_VERSIONS))
+    return read_model(spark, folder, "VERSIONS")
+
+
+GREEK = SourceTable("SALES", "names", (
+    SourceColumn("name", "VARCHAR(40) NOT CASESPECIFIC", key=True), SourceColumn("balance", "FLOAT"),
+))
+
+
+def _published_mart_case_blind(spark, sf_dir):
+    """Customers by a Greek name in capitals, merged in buckets with the same names in small letters."""
+    folder = fresh_folder(spark)
+    rest = {"batch_id": F.lit(1), "insrt_dttm": moment(AS_OF), "updt_dttm": F.lit(None).cast("timestamp_ntz"), "dump_dttm": moment(AS_OF)}
+    names = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("ΟΔΟΣ"), F.col("c_custkey"), F.lit("ΑΣ")).alias("name"), F.col("c_acctbal").alias("balance")
+    )
+    truncate_load(names.withColumns(rest), folder, "NAMES", layout=Layout(buckets=16, keys=("name",)))
+    stage_ = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(
+        F.concat(F.lit("οδος"), F.col("c_custkey"), F.lit("ασ")).alias("name"), (F.col("c_acctbal") + 1).alias("balance"),
+        F.lit(2).alias("batch_id"), moment(AS_OF).alias("dump_dttm"),
+    )
+    publish_load(spark, folder, "NAMES", stage_, lambda mart: apply_mart(stage_, mart, GREEK, AS_OF))
+    return read_model(spark, folder, "NAMES").select("name", "balance", "batch_id")
+
+
+def _published_arrivals(spark, sf_dir):
+    """Orders that land in two deliveries, each upserted as it arrives into a table that takes changes."""
+    folder = fresh_folder(spark)
+    orders = table(spark, sf_dir, "orders").select([c.name for c in ORDERS.columns])
+    text = orders.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    columns = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    typed = stage(text.limit(0), ORDERS, 0, AS_OF).select(*columns)
+    truncate_load(typed, folder, "ORDERS", layout=Layout(buckets=8, keys=("o_orderkey",), changes=True))
+    spec = MappingSpec(150, "ORDERS", "UPSERT", tuple(
+        ColumnSpec(c.name, c.type, pk=c.key) for c in ORDERS.columns
+    ))
+    for delivery in (text.filter("o_orderkey % 3 < 2"), text.filter("o_orderkey % 3 > 0").withColumn("o_orderstatus", F.lit("N"))):
+        delivery.write.mode("append").csv(f"{folder}/in")
+        publish_arrivals(
+            arrivals(spark, f"{folder}/in", "csv", ".csv", text_schema(ORDERS)), folder, "ORDERS", f"{folder}/progress",
+            lambda rows: stage(rows, ORDERS, 1, AS_OF).select(*columns), lambda load, model: apply_upsert(load, model, spec),
+        )
+    return read_model(spark, folder, "ORDERS")
+
+
 def _published_insert(spark, sf_dir):
     folder = fresh_folder(spark)
     model = truncate_load(order_model(spark, sf_dir), folder, "ORDERS")
@@ -200,6 +294,14 @@ QUERIES = {
     "truncate_load": _truncated,
     "publish_upsert": lambda s, d: _published_upsert(s, d, read_model),
     "publish_duplicates": lambda s, d: _published_upsert(s, d, read_duplicates),
+    "publish_changes": lambda s, d: _published_changes(s, d, read_model),
+    "publish_changes_duplicates": lambda s, d: _published_changes(s, d, read_duplicates),
+    "publish_changes_packed": lambda s, d: _published_changes(s, d, read_model, packed=True),
+    "publish_conflict": _published_conflict,
+    "publish_compacted": _published_compacted,
+    "publish_history_changes": _published_history_changes,
+    "publish_mart_case_blind": _published_mart_case_blind,
+    "publish_arrivals": _published_arrivals,
     "publish_insert": _published_insert,
     "publish_delete_insert": _published_slice,
     "publish_history": _published_history,
@@ -231,6 +333,18 @@ ORACLES = {
     "truncate_load": UPSERT_SQL + "SELECT * FROM load",
     "publish_upsert": UPSERT_MODEL_SQL,
     "publish_duplicates": UPSERT_SQL + f"SELECT {ALL} FROM flagged WHERE FLAG = 'D'",
+    "publish_changes": UPSERT_MODEL_SQL,
+    "publish_changes_duplicates": UPSERT_SQL + f"SELECT {ALL} FROM flagged WHERE FLAG = 'D'",
+    "publish_changes_packed": UPSERT_MODEL_SQL,
+    "publish_conflict": UPSERT_MODEL_SQL,
+    "publish_compacted": INSERT_SQL + f"SELECT * FROM model UNION ALL SELECT {ALL} FROM flagged WHERE FLAG = 'I'",
+    "publish_history_changes": HISTORY_SQL["apply_history"],
+    "publish_mart_case_blind": """
+        SELECT concat('ΟΔΟΣ', c_custkey, 'ΑΣ') AS name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS balance,
+               1 AS batch_id FROM customer""",
+    "publish_arrivals": """
+        SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 > 0 THEN 'N' ELSE o_orderstatus END AS o_orderstatus, o_totalprice,
+               CAST(o_orderdate AS DATE) AS o_orderdate FROM orders""",
     "publish_insert": INSERT_SQL + f"SELECT * FROM model UNION ALL SELECT {ALL} FROM flagged WHERE FLAG = 'I'",
     "publish_delete_insert": DELETE_INSERT_SQL,
     "publish_history": HISTORY_SQL["apply_history"],
