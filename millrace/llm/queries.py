@@ -96,7 +96,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return piece_fst.encode_documents(docs, tokenizer_path(PIECE_MODEL)).select("doc_id", "n_tokens", "ids", "round_trip")
+    encoded = piece_fst.encode_documents(docs, tokenizer_path(PIECE_MODEL), keep_text=False)
+    return encoded.select("doc_id", "n_tokens", "ids", "round_trip")
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
