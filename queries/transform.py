@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import partial
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.types import cast_to, parse_type
 from millrace.operators.transform import batch_id, grouped, run_transforms, technical_columns, transform
 from millrace.operators.windows import qualify
+from millrace.plans.combined import ready_name, write_transforms
 from millrace.plans.run import run_mapping
 from millrace.plans.spec import SPEC_COLUMNS, ColumnSpec, Join, Lookup, MappingSpec, specs_from_table
 from queries.apply import ALL, DELETE_INSERT_SQL, INSERT_SQL, UPSERT_SQL, line_model, order_model
 from queries.common import AS_OF, table
 from queries.history import REBUILD_SQL, VERSION_SQL, VERSION_TARGET_SQL, dated_model, version_model
-from queries.keys import batch_log, surrogates
+from queries.keys import PAIR_KEYS, SGK_SQL, batch_log, lines, surrogates
 
 SOURCE = "1-URGENT"
 BATCH_SQL = f"(SELECT COALESCE(MAX(o_orderkey), 0) FROM orders WHERE o_orderpriority = '{SOURCE}')"
@@ -92,6 +96,10 @@ LOOKED_UP = mapping(409, [
 ], from_table="lineitem", entity="LINES", lookups=(
     Lookup("concat_ws('-', lineitem.l_partkey, lineitem.l_suppkey)", "PART_SUPP_SGK", "SRC_KEY", 1, "SGK3"),
 ))
+LINE_PRICES = mapping(411, [
+    col("ORD_ID", "BIGINT", "lineitem", "l_orderkey", pk=True),
+    col("PRICE", "DECIMAL(12,2)", "lineitem", "l_extendedprice"),
+], from_table="lineitem", entity="LINES", where="lineitem.l_returnflag = 'R'")
 FLAGSHIP = mapping(101, [
     ORDER_ID,
     col("CUST_ID", "BIGINT", "orders", "o_custkey"),
@@ -125,6 +133,16 @@ def _all_transforms(spark, sf_dir):
     return result
 
 
+def _written(spark, sf_dir, spec, apply_filters=False):
+    """One load-ready table of a combined run of all mappings, each stage table read once; pairs get surrogates first."""
+    every = [DIRECT, CONSTANTS, DATES, EXPRESSIONS, FILTERED, LATEST, LOOKED_UP, LINE_PRICES]
+    keys = replace(PAIR_KEYS, where="lines.pair IS NOT NULL")
+    found = write_transforms(
+        every, tables(spark, sf_dir) | {"lines": lines(spark, sf_dir)}, batch_log(spark, sf_dir), AS_OF, apply_filters, [keys]
+    )
+    return found[ready_name(spec)]
+
+
 def _typed_events(spark, sf_dir):
     """Event times and values at declared types."""
     declared = {"whole": "TIMESTAMP(0)", "milli": "TIMESTAMP(3)", "full": "timestamp", "day": "DATE"}
@@ -230,6 +248,10 @@ QUERIES = {
     "transform_joins": run(JOINED),
     "transform_lookup": run(LOOKED_UP),
     "run_transforms": _all_transforms,
+    **{f"write_transforms_{spec.record_id}": partial(_written, spec=spec) for spec in (DIRECT, FILTERED, LATEST, LOOKED_UP)},
+    "write_transforms_filtered_405": partial(_written, spec=FILTERED, apply_filters=True),
+    "write_transforms_filtered_406": partial(_written, spec=LATEST, apply_filters=True),
+    "write_transforms_filtered_411": partial(_written, spec=LINE_PRICES, apply_filters=True),
     "run_mapping": _run_mapping,
     "technical_columns": lambda s, d: technical_columns(table(s, d, "customer"), 410, 12, AS_OF),
     "batch_id": lambda s, d: table(s, d, "orders").select("o_orderkey").withColumns(
@@ -243,6 +265,7 @@ QUERIES = {
     ),
     "grouped": lambda s, d: grouped(table(s, d, "lineitem"), ["l_partkey", "l_returnflag"], "l_quantity > 10"),
 }
+EVENTS_SQL = "SELECT user_id AS USER_ID, event_id AS EVENT_ID, event_type AS EVENT_TYPE" + TECHNICAL_SQL.format(rid=406) + "FROM events"
 ORACLES = {
     "transform_direct": "SELECT o_orderkey AS ORD_ID, left(CAST(o_orderkey AS VARCHAR), 3) AS ORD_KEY_TXT, "
         "CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DECIMAL(12,1)) AS ORD_AMT, CAST(o_orderdate AS DATE) AS ORD_DT, "
@@ -317,3 +340,19 @@ ORACLES["run_mapping_history_legacy"] = REBUILD_SQL.replace("o_orderkey AS B_ID"
     "ORDER BY B_ID ASC NULLS FIRST, incoming",
     "ORDER BY B_ID ASC NULLS FIRST, incoming, LAST_STS NULLS FIRST, LAST_PRTY NULLS FIRST", 1,
 ) + "SELECT * FROM model"
+ORACLES |= {
+    "write_transforms_401": ORACLES["transform_direct"],
+    "write_transforms_405": "SELECT o_orderkey AS ORD_ID, o_custkey AS CUST_ID" + TECHNICAL_SQL.format(rid=405) + "FROM orders",
+    "write_transforms_406": EVENTS_SQL,
+    "write_transforms_409": SGK_SQL + """, fresh AS (
+            SELECT pair, (SELECT MAX(PAIR_ID) FROM sgk) + ROW_NUMBER() OVER (ORDER BY pair DESC) AS PAIR_ID
+            FROM (SELECT DISTINCT pair FROM lines WHERE pair IS NOT NULL
+                  AND pair NOT IN (SELECT SRC_KEY FROM sgk WHERE SGK_ID = 1))),
+        known AS (SELECT SRC_KEY, PAIR_ID FROM sgk WHERE SGK_ID = 1 UNION ALL SELECT pair, PAIR_ID FROM fresh)
+        SELECT l.l_orderkey AS ORD_ID, CAST(l.l_linenumber AS INTEGER) AS LINE_NO, k.PAIR_ID""" + TECHNICAL_SQL.format(rid=409)
+        + "FROM lineitem l LEFT JOIN known k ON k.SRC_KEY = concat(l.l_partkey, '-', l.l_suppkey)",
+    "write_transforms_filtered_405": ORACLES["transform_filter"],
+    "write_transforms_filtered_406": ORACLES["transform_qualify"],
+    "write_transforms_filtered_411": "SELECT l_orderkey AS ORD_ID, CAST(l_extendedprice AS DECIMAL(12,2)) AS PRICE"
+        + TECHNICAL_SQL.format(rid=411) + "FROM lineitem WHERE l_returnflag = 'R'",
+}

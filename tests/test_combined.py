@@ -1,0 +1,91 @@
+"""The combined run against the single mappings, rows and passes."""
+
+import pytest
+from conftest import rows
+
+from millrace.operators.transform import transform
+from millrace.plans import combined
+from millrace.plans.combined import fused, ready_name, with_surrogates, write_transforms
+from millrace.plans.spec import ColumnSpec, Join, Lookup, MappingSpec, SpecError, SurrogateSpec
+
+
+def column(name, type_text, table, source, **more):
+    return ColumnSpec(name, type_text, source_table=table, source_column=source, rule="1:1", **more)
+
+
+def mapping(record, columns, **more):
+    return MappingSpec(record, "E", "UPSERT", tuple(columns), source="S", from_table="st", **more)
+
+
+ID = column("ID", "INTEGER", "st", "id", pk=True)
+LOOKUP = Lookup("st.code", "SGK", "NAT", 1, "SGK7")
+SPECS = [
+    mapping(1, [ID, column("V", "VARCHAR(9)", "st", "code")]),
+    mapping(2, [ID, column("K", "BIGINT", "SGK7", "KEY")], lookups=(LOOKUP,)),
+    mapping(3, [ID, column("K", "BIGINT", "OTHER", "KEY")], lookups=(Lookup("st.code", "SGK", "NAT", 2, "OTHER"),), where="OTHER.KEY > 20"),
+    mapping(4, [ID], where="st.id > 2"),
+    mapping(5, [ID, column("N", "VARCHAR(5)", "j", "name")], joins=(Join("names", "st.id = j.id", alias="j"),)),
+    mapping(6, [ColumnSpec("X", "INTEGER", pk=True, rule="as a number", expr="CAST(st.code AS INT)")], where="st.code rlike '^[0-9]+$'"),
+]
+
+
+@pytest.fixture
+def tables(spark):
+    sgk = [(10, "a", 1), (11, "a", 1), (20, "a", 2), (21, "b", 2), (12, None, 1), (13, "7", 1)]
+    return {
+        "st": spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None), (5, "7"), (1, "a")], "id int, code string"),
+        "SGK": spark.createDataFrame(sgk, "KEY long, NAT string, SGK_ID short"),
+        "names": spark.createDataFrame([(1, "x"), (1, "y"), (3, "z")], "id int, name string"),
+    }
+
+
+@pytest.fixture
+def log(spark):
+    return spark.createDataFrame([(5, "S"), (9, "S"), (11, "T")], "B_ID long, B_SOURCE string")
+
+
+@pytest.mark.parametrize("apply_filters, chosen", [(True, SPECS), (False, SPECS[:5])])
+@pytest.mark.parametrize("most", [1000, 1])
+def test_every_table_has_the_rows_of_its_mapping_alone(tables, log, monkeypatch, apply_filters, chosen, most):
+    monkeypatch.setattr(combined, "MOST_ALIKE", most)
+    found = write_transforms(chosen, tables, log, "2024-06-01 00:00:00", apply_filters)
+    assert list(found) and set(found) == {ready_name(s) for s in chosen}
+    for spec in chosen:
+        alone = transform(spec, tables, log, "2024-06-01 00:00:00", apply_filters)
+        assert found[ready_name(spec)].columns == alone.columns
+        assert [f.dataType for f in found[ready_name(spec)].schema.fields] == [f.dataType for f in alone.schema.fields]
+        assert rows(found[ready_name(spec)]) == rows(alone), spec.record_id
+
+
+def test_a_stage_table_is_read_once(spark, tables, log, plan, tmp_path):
+    tables["st"].write.parquet(f"{tmp_path}/st")
+    stored = tables | {"st": spark.read.parquet(f"{tmp_path}/st")}
+    assert plan(fused(SPECS[:4], stored, log)).count("FileScan") == 1
+
+
+def test_a_mapping_without_rows_has_an_empty_table(tables, log):
+    empty = mapping(8, [ID], where="st.id > 99")
+    found = write_transforms([SPECS[0], empty], tables, log, None, True)
+    assert found["E_R8"].count() == 0 and found["E_R1"].count() == 6
+    with pytest.raises(SpecError):
+        write_transforms([SPECS[0], SPECS[0]], tables, log)
+
+
+def test_surrogates_come_before_the_lookups_that_need_them(spark, log):
+    schema = "KEY long, NAT string, SGK_ID short, R_ID int, B_ID long, INSRT_DTTM timestamp_ntz, UPDT_DTTM timestamp_ntz"
+    tables = {
+        "st": spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, code string"),
+        "ONE_SGK": spark.createDataFrame([], schema), "TWO_SGK": spark.createDataFrame([], schema),
+    }
+
+    def surrogate(entity, **more):
+        return SurrogateSpec(1, entity, "KEY", "NAT", "VARCHAR(9)", 1, "S", "st", "st.code", **more)
+
+    # the second one's stage is joined with the first, whatever order they are given in
+    second = surrogate("TWO_SGK", joins=(Join("ONE_SGK", "one.NAT = st.code", alias="one", how="inner"),))
+    looked = mapping(2, [ID, column("K", "BIGINT", "L", "KEY")], lookups=(Lookup("st.code", "TWO_SGK", "NAT", 1, "L"),))
+    found = write_transforms([looked], tables, log, surrogates=[second, surrogate("ONE_SGK", where="st.code IS NOT NULL")])
+    assert rows(found["E_R2"], "ID", "K") == [(1, 2), (2, 1), (3, None)]
+    first = surrogate("ONE_SGK", joins=(Join("TWO_SGK", "two.NAT = st.code", alias="two"),))
+    with pytest.raises(SpecError):
+        with_surrogates([first, second], tables, log)
