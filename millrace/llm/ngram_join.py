@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import col, discard, fresh_folder, row_key, stored, whole
@@ -181,7 +181,8 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn, each an aggregate and a join, until the edges are stars.
     No step gathers a node's neighbours; each round is written to the shared folder.
     """
-    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    spark, at = edges.sparkSession, fresh_folder(edges.sparkSession)
+    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), at)
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -191,7 +192,9 @@ def components(edges: DataFrame) -> DataFrame:
         smallest = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         joined = large.join(smallest, F.col("u") == F.col("w"))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        now = stored(small.filter("u <> v").distinct())
+        before, at = at, fresh_folder(spark)
+        now = stored(small.filter("u <> v").distinct(), at)
+        discard(before)
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(seen) == state:
             break
@@ -327,7 +330,7 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, key: str, text: str, co
     about = stored(signed.select("rid", "k1", "k2", "n", "a", "b", "sketch"))
     rows = about.drop("sketch")
     nodes = stored(rows.filter("n > 0").groupBy("n", "a", "b").agg(F.min("rid").alias("node")))
-    node_of = stored(rows.select("rid", "n", "a", "b").join(nodes, ["n", "a", "b"]).select("rid", "node"))
+    node_of = stored(rows.select("rid", "n", "a", "b").join(nodes, ["n", "a", "b"]).select("rid", "node", "n"))
 
     by_signature = Window.partitionBy("sig")
     led = signed.select("rid", F.explode("own").alias("sig")).withColumn(
@@ -337,20 +340,26 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, key: str, text: str, co
     shared = led.unionByName(local.select(F.col("x.more").alias("sig"), "rid")).unionByName(
         local.select(F.col("x.more").alias("sig"), F.col("x.led_by").alias("rid"))
     )
-    member = stored(shared.join(node_of, "rid").select("sig", "node").distinct())
+    member_at, starred_at, left_at = (fresh_folder(spark) for _ in range(3))
+    member = stored(shared.join(node_of, "rid").select("sig", "node", "n").distinct(), member_at)
     discard(signatures_at)  # most are of one set alone; the others are members now
     shares = member.groupBy("sig").agg((F.count(F.lit(1)) - 1).alias("others")).filter("others > 0")
     popular = member.join(shares, "sig").groupBy("node").agg(F.sum("others").alias("shared"))
     hubs = member.join(popular, "node").groupBy("sig").agg(
-        F.max(F.struct("shared", (-F.col("node")).alias("node"))).alias("hub")
-    ).select("sig", (-F.col("hub.node")).alias("hub"))
-    starred = stored(member.join(hubs, "sig"))
+        F.max(F.struct("shared", (-F.col("node")).alias("node"), "n")).alias("hub")
+    ).select("sig", (-F.col("hub.node")).alias("hub"), F.col("hub.n").alias("n_hub"))
+    starred = stored(member.join(hubs, "sig"), starred_at)
+    discard(member_at)
 
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Pairs that may be similar by their sizes."""
-        size = nodes.select("node", "n")
-        pairs = pairs.join(size.toDF("x", "n_x"), "x").join(size.toDF("y", "n_y"), "y")
-        return pairs.filter(F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num)
+    def pair(a: str, n_a: str, b: str, n_b: str) -> list[Column]:
+        """Two nodes and their sizes, the lower node first."""
+        swap = F.col(a) > F.col(b)
+        return [
+            F.least(a, b).alias("x"), F.greatest(a, b).alias("y"),
+            F.when(swap, F.col(n_b)).otherwise(F.col(n_a)).alias("n_x"), F.when(swap, F.col(n_a)).otherwise(F.col(n_b)).alias("n_y"),
+        ]
+
+    may = F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num  # as far as sizes tell
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """The shingles of nodes. A Bloom filter of their rows keeps most other texts from being shuffled."""
@@ -369,7 +378,8 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, key: str, text: str, co
 
     def checked(pairs: DataFrame) -> DataFrame:
         """Pairs with their distance and whether they link, on whole sets."""
-        pairs, sets_at = stored(pairs), fresh_folder(spark)
+        pairs_at, sets_at = fresh_folder(spark), fresh_folder(spark)
+        pairs = stored(pairs, pairs_at)
         ids = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
         sets = stored(sets_of(ids), sets_at)
         both = pairs.join(sets.toDF("x", "s_x"), "x").join(sets.toDF("y", "s_y"), "y")
@@ -379,22 +389,24 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, key: str, text: str, co
             "x", "y", (F.col("common") * den >= union * num).alias("link"), (1 - F.col("common") / union).alias("distance"),
         ))
         discard(sets_at)
+        discard(pairs_at)
         return found
 
-    spokes = starred.filter("node <> hub").select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y"))
-    first = checked(sized(spokes.distinct()))
+    spokes = starred.filter("node <> hub").select(*pair("node", "n", "hub", "n_hub")).filter(may)
+    first = checked(spokes.distinct())
     links = first.filter("link").select(F.col("x").alias("u"), F.col("y").alias("v"))
     so_far = components(links)
 
     # groups that still hold several components
-    placed = starred.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = starred.drop("n", "n_hub").join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = mixed.filter("low <> high").select("sig")
     known = first.select("x", "y", "distance")
     to_hub = known.unionByName(known.select(F.col("y").alias("x"), F.col("x").alias("y"), "distance"))
     sketched = about.select(F.col("rid").alias("node"), F.col("n").alias("size"), "sketch")
     told = placed.join(mixed, "sig").join(to_hub.toDF("node", "hub", "away"), ["node", "hub"], "left").join(sketched, "node")
-    left = stored(told.select("sig", "node", "component", "size", "away", "sketch"))
+    left = stored(told.select("sig", "node", "component", "size", "away", "sketch"), left_at)
+    discard(starred_at)
     right = left.toDF("sig", "node_2", "component_2", "size_2", "away_2", "sketch_2")
     far = F.abs(F.col("away") - F.col("away_2")) * den > (den - num) + 1e-6
     bits = F.lit(0)
@@ -406,8 +418,9 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, key: str, text: str, co
         & (F.least("size", "size_2") * den >= F.greatest("size", "size_2") * num)
         & ~F.coalesce(far, F.lit(False))
         & (bits * (den + num) <= (F.col("size") + F.col("size_2")) * (den - num))
-    )).select(F.least("node", "node_2").alias("x"), F.greatest("node", "node_2").alias("y")).distinct()
-    second = checked(sized(possible.join(first.select("x", "y"), ["x", "y"], "left_anti")))
+    )).select(*pair("node", "size", "node_2", "size_2")).distinct()
+    second = checked(possible.join(first.select("x", "y"), ["x", "y"], "left_anti"))
+    discard(left_at)
     more = second.filter("link").select(F.col("x").alias("u"), F.col("y").alias("v"))
     links = links.unionByName(more)
     linked = components(links)
