@@ -117,7 +117,7 @@ def test_stages_take_empty_tables_and_extra_columns(spark, folder, name, stage):
 
 def test_all_operators_are_registered():
     found = queries()
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES} and set(QUERIES) < set(found)
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES} and set(QUERIES) < set(found)
     assert "pipeline" in found and set(ORACLES) <= set(oracle_sql())
 
 
@@ -137,3 +137,30 @@ def test_one_document_of_each_group_stays_whatever_its_id(spark, folder):
     found = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, df, folder).select("doc_id", "text").collect()]
     assert Counter(i for i, _ in found) == {3: 1, 7: 1, None: 3}
     assert {t for i, t in found if i is None} == {"alone it is", None, ""}
+
+
+def test_rows_without_an_id_or_of_a_repeated_one_are_mixed_each_for_itself(spark, folder):
+    rows_ = [(None, f"free {i} " + "w " * (i % 9), "b") for i in range(100)]
+    rows_ += [(i % 5, f"held {i} by several", "b") for i in range(50)] + [(9, "equal rows", "b")] * 30
+    rows_ += [(1000 + i, "long words here " * 12, "a") for i in range(60)] + [(2000 + i, "x y z", None) for i in range(400)]
+    df = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows_], SCHEMA)
+    found = [tuple(r) for r in corpus_pipeline.mixture(spark, df, folder).select("doc_id", "text", "source").collect()]
+    size = {s: sum(len(t.split()) for _, t, of in rows_ if of == s) for s in ("a", "b", None)}
+    taken = {s: sum(len(t.split()) for _, t, of in found if of == s) for s in size}
+    targets = brute_targets(size, {"a": 3, "b": 1, None: 2}, 1.5)
+    for s in size:
+        assert abs(taken[s] - targets[s]) <= 36, (s, taken, targets)
+    given, times = Counter((i, t) for i, t, _ in rows_), Counter((i, t) for i, t, _ in found)
+    assert all(times[k] <= 2 * given[k] for k in times) and set(times) <= set(given)
+
+
+def brute_targets(size, weight, share):
+    total, capped = share * sum(size.values()), {}
+    while True:
+        free = [s for s in size if s not in capped]
+        rest = total - sum(capped.values())
+        level = {s: rest * weight[s] / sum(weight[f] for f in free) for s in free}
+        over = [s for s in free if level[s] > 2 * size[s]]
+        if not over:
+            return capped | level
+        capped |= {s: 2 * size[s] for s in over}
