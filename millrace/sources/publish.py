@@ -26,23 +26,26 @@ import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
+from decimal import Decimal
+from urllib.parse import unquote as url_decoded
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.predicates import all_of, any_null, canonical
 from millrace.operators.apply import DEST, DUPLICATES, MASKED, MODEL, ApplyResult
+from millrace.operators.checks import CheckError
 from millrace.sources.commits import (
-    BUCKET, NO_VALUE, VERSION, Change, Commit, CommitConflict, Folder, Layout, changed, changes_since, claim_version,
+    BUCKET, NO_VALUE, VERSION, Change, Commit, CommitConflict, Folder, Layout, Rules, changed, changes_since, claim_version,
     commit_at, committed_at, data_of, forget_commits, last_commit, try_commit, values_of,
 )
 from millrace.sources.store import delete, files_below
 from millrace.sources.tables import named, unnamed
 
 __all__ = [
-    "NO_VALUE", "Commit", "CommitConflict", "Layout", "clean_up", "compact", "last_commit", "publish", "publish_load",
-    "read_duplicates", "read_model", "reached", "truncate_load",
+    "NO_VALUE", "Commit", "CommitConflict", "Layout", "Rules", "clean_up", "compact", "last_commit", "publish", "publish_load",
+    "read_between", "read_duplicates", "read_model", "reached", "truncate_load",
 ]
 
 FINAL = "final"
@@ -57,10 +60,37 @@ def _texts(schema: T.StructType, layout: Layout) -> list[str]:
     return [c for c in layout.partition_by if c.upper() in texts]
 
 
-def _write(spark: SparkSession, root: str, table: str, rows: DataFrame, layout: Layout, least: int, order: int) -> dict:
+def _observed(rows: DataFrame, rules: Rules) -> tuple[DataFrame, Observation | None]:
+    """Rows that count, while they are written, how many model rows break a rule.
+
+    Rows of a key stand together where they are dealt by key anyway; no pass over them is made for it.
+    """
+    model = F.col(DEST).isin(MODEL, FINAL)
+    broken = {f"missing {c}": F.count_if(model & F.col(f"`{c}`").isNull()) for c in rules.required}
+    if rules.unique:
+        keys = [F.col(f"`{k}`") for k in rules.unique]
+        whole = ~any_null(keys) & model
+        nth = F.row_number().over(Window.partitionBy(*keys, model).orderBy(F.lit(1)))
+        # rows without a key are no window: they would all be one
+        counted = rows.filter(whole).withColumn("__nth", nth)
+        rows = counted.unionByName(rows.filter(~F.coalesce(whole, F.lit(False))).withColumn("__nth", F.lit(1)))
+        broken["repeated key"] = F.count_if(model & (F.col("__nth") > 1))
+    if not broken:
+        return rows, None
+    seen = Observation()
+    names = {f"n{i}": name for i, name in enumerate(broken)}
+    seen.names = names
+    return rows.observe(seen, *(c.alias(n) for n, c in zip(names, broken.values()))).drop("__nth"), seen
+
+
+def _write(
+    spark: SparkSession, root: str, table: str, rows: DataFrame, layout: Layout, least: int, order: int,
+    rules: Rules = Rules(),
+) -> dict:
     """Write rows tagged DEST as a version of their own; its folders by what they hold."""
     number = claim_version(spark, root, table, least)
     folder = f"{data_of(root, table)}/{VERSION}={number}"
+    rows, seen = _observed(rows, rules)
     if layout.changes:
         keys = [F.col(f"`{k}`") for k in layout.keys]
         plain = [F.col(f"`{f.name}`") for f in rows.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
@@ -75,10 +105,30 @@ def _write(spark: SparkSession, root: str, table: str, rows: DataFrame, layout:
         if layout.names:
             rows = rows.hint("rebalance", DEST, *layout.names)
         rows.write.mode("overwrite").partitionBy(DEST, *layout.names).parquet(folder)
-    return _listed(spark, root, table, number, order)
-
-
-def _listed(spark: SparkSession, root: str, table: str, number: int, order: int) -> dict[str, dict[str, Folder]]:
+    if seen is not None and any(seen.get.values()):
+        delete(spark, folder)
+        found = ", ".join(f"{seen.names[n]}: {count} rows" for n, count in seen.get.items() if count)
+        raise CheckError(f"{table}: the load breaks the table's rules: {found}")
+    return _listed(spark, root, table, number, order, layout)
+
+
+def _ranges(spark: SparkSession, root: str, table: str, number: int, layout: Layout) -> dict[str, dict[str, list[str | None]]]:
+    """The least and greatest values of the layout's ranges for each folder of a version, as text."""
+    if not layout.ranges:
+        return {}
+    rows = spark.read.option("mergeSchema", "false").parquet(f"{data_of(root, table)}/{VERSION}={number}")
+    at = F.regexp_extract(F.col("_metadata.file_path"), f".*/{VERSION}={number}/(.*)/[^/]*$", 1)
+    ends = [end(F.col(f"`{c}`")).cast("string").alias(f"{n}_{i}") for i, c in enumerate(layout.ranges) for n, end in (("l", F.min), ("g", F.max))]
+    found = rows.groupBy(at.alias("at")).agg(*ends).collect()
+    return {
+        url_decoded(row["at"]): {c: [row[f"l_{i}"], row[f"g_{i}"]] for i, c in enumerate(layout.ranges)} for row in found
+    }
+
+
+def _listed(
+    spark: SparkSession, root: str, table: str, number: int, order: int, layout: Layout
+) -> dict[str, dict[str, Folder]]:
+    ranges = _ranges(spark, root, table, number, layout)
     totals: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for parent, size, _ in files_below(spark, f"{data_of(root, table)}/{VERSION}={number}"):
         at = totals[parent]
@@ -86,7 +136,7 @@ def _listed(spark: SparkSession, root: str, table: str, number: int, order: int)
     found: dict[str, dict[str, Folder]] = {}
     for parent, (size, files) in sorted(totals.items()):
         folder = f"{VERSION}={number}/{parent}" if parent else f"{VERSION}={number}"
-        found.setdefault(_KINDS[values_of(folder)[DEST]], {})[folder] = Folder(order, size, files)
+        found.setdefault(_KINDS[values_of(folder)[DEST]], {})[folder] = Folder(order, size, files, ranges.get(parent, {}))
     return found
 
 
@@ -178,6 +228,7 @@ def publish(
     spark: SparkSession, root: str, table: str, result: ApplyResult, layout: Layout | None = None,
     read: Iterable[str] | None = None, base: Commit | None = None,
     touches: Callable[[list[str]], bool] | None = None, epoch: tuple[str, int] | None = None, blind: bool = False,
+    rules: Rules | None = None,
 ) -> Commit:
     """Write what a load makes, model rows and duplicates in one pass, and commit it.
 
@@ -187,12 +238,14 @@ def publish(
     from, if not all, and ``touches`` tells of folders added meanwhile whether they may hold a key of the load;
     without it all may. ``blind`` loads look at nothing and replace everything.
 
-    ``layout`` counts when the table is first published or written anew. ``epoch``, a stream's name and
+    ``layout`` and ``rules`` count when the table is first published or written anew. Model rows that break a rule are
+    found while they are written, and the load is refused. ``epoch``, a stream's name and
     the number of its batch, is kept with the commit.
     """
     base = base or last_commit(spark, root, table)
     plan = _plan(base, result, layout, read, blind)
-    added = _write(spark, root, table, plan.rows, plan.layout, base.number + 1, base.number + 1)
+    rules = rules if rules is not None and (not base.number or plan.layout is layout or blind) else base.rules
+    added = _write(spark, root, table, plan.rows, plan.layout, base.number + 1, base.number + 1, rules)
     version = next((f.split("/")[0] for listed in added.values() for f in listed), None)
     last = base
     try:
@@ -202,7 +255,7 @@ def publish(
             listed = {kind: {f: replace(a, order=order) for f, a in folders.items()} for kind, folders in added.items()}
             drops = [f for f in plan.drops(last) if f in last.folders]
             set_ = replace(
-                last, schema=plan.schema, final=plan.final, layout=plan.layout,
+                last, schema=plan.schema, final=plan.final, layout=plan.layout, rules=rules,
                 loads=last.loads | ({epoch[0]: epoch[1]} if epoch else {}),
             )
             commit = try_commit(spark, root, table, set_, Change(listed, tuple(drops)))
@@ -226,6 +279,7 @@ def reached(spark: SparkSession, commit: Commit, load: DataFrame) -> tuple[str,
     driver are names of folders, which the commit lists anyway. Texts compare as they are placed.
     """
     layout = commit.layout
+    commit = replace(commit, model=_in_range(commit, load))
     if not layout.reach or not commit.model:
         return commit.model
     kinds = {f.name.upper(): f.dataType for f in commit.schema.fields}
@@ -254,6 +308,34 @@ def reached(spark: SparkSession, commit: Commit, load: DataFrame) -> tuple[str,
     return tuple(folder for folder in commit.model if slot(folder) in hit)
 
 
+def _in_range(commit: Commit, load: DataFrame) -> tuple[str, ...]:
+    """The model folders whose ranges meet those of the load's keys."""
+    columns = [c for c in commit.layout.ranges if c.upper() in {k.upper() for k in commit.layout.keys}]
+    if not columns or not commit.model:
+        return commit.model
+    kinds = {f.name.upper(): f.dataType for f in commit.schema.fields}
+    typed = [F.col(f"`{c}`").cast(kinds[c.upper()]) for c in columns]
+    row = load.agg(*(end(c).cast("string") for c in typed for end in (F.min, F.max))).first()
+    spans = {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)}
+    return tuple(f for f in commit.model if _meets(commit, f, spans))
+
+
+def _meets(commit: Commit, folder: str, spans: dict[str, tuple[str | None, str | None]]) -> bool:
+    """Whether a folder may hold a row with values in all spans; a span's open end is None if the other is not."""
+    kinds = {f.name.upper(): f.dataType for f in commit.schema.fields}
+    known = commit.folders[folder].ranges if folder in commit.folders else {}
+    for c, (low, high) in spans.items():
+        if c not in known:
+            continue
+        least, greatest = known[c]
+        if least is None or (low is None and high is None):
+            return False  # no value here, or none asked for
+        value = Decimal if isinstance(kinds[c.upper()], T.NumericType) else str
+        if (low is not None and value(greatest) < value(low)) or (high is not None and value(least) > value(high)):
+            return False
+    return True
+
+
 def _holds_key_of(spark: SparkSession, root: str, table: str, commit: Commit, load: DataFrame) -> Callable[[list[str]], bool]:
     """Whether folders added since a commit may hold a key of the load: by their rows where changes are
     added, by their place else."""
@@ -263,7 +345,7 @@ def _holds_key_of(spark: SparkSession, root: str, table: str, commit: Commit, lo
         now = last_commit(spark, root, table)
         if now.layout != layout:
             return True
-        known = replace(commit, schema=now.schema, model=tuple(folders))
+        known = replace(now, model=tuple(folders))
         if not layout.changes:
             return bool(reached(spark, known, load))
         kinds = {f.name.upper(): f.dataType for f in now.schema.fields}
@@ -414,6 +496,22 @@ def read_model(spark: SparkSession, root: str, table: str, commit: Commit | None
     return read_folders(spark, root, table, commit, commit.model)
 
 
+def read_between(
+    spark: SparkSession, root: str, table: str, column: str, low: object = None, high: object = None, commit: Commit | None = None
+) -> DataFrame:
+    """Model rows whose value of a column lies between two, both included; None leaves an end open.
+
+    Folders that the commit knows to hold none are not even listed.
+    """
+    commit = _known(root, table, commit or last_commit(spark, root, table))
+    ends = [None if v is None else spark.range(1).select(F.lit(v).cast(commit.schema[column].dataType).cast("string")).first()[0] for v in (low, high)]
+    model = tuple(f for f in commit.model if (low is None and high is None) or _meets(commit, f, {column: tuple(ends)}))
+    rows = read_model(spark, root, table, commit if commit.layout.changes else replace(commit, model=model))
+    at = F.col(f"`{column}`")
+    rows = rows if low is None else rows.filter(at >= F.lit(low))
+    return rows if high is None else rows.filter(at <= F.lit(high))
+
+
 def read_duplicates(spark: SparkSession, root: str, table: str, commit: Commit | None = None) -> DataFrame:
     """All duplicate rows set aside so far."""
     commit = _known(root, table, commit or last_commit(spark, root, table))
@@ -421,16 +519,16 @@ def read_duplicates(spark: SparkSession, root: str, table: str, commit: Commit |
 
 
 def truncate_load(
-    df: DataFrame, root: str, table: str, final: str | None = None, layout: Layout | None = None
+    df: DataFrame, root: str, table: str, final: str | None = None, layout: Layout | None = None, rules: Rules | None = None
 ) -> DataFrame:
     """Empty a table and fill it anew: readers switch when the new rows are complete.
 
     ``final`` stores the rows that meet a condition apart, as history loads do; ``layout``
-    gives the table its folders from now on.
+    gives the table its folders and ``rules`` what must hold for its rows from now on.
     """
     nothing = df.filter(F.lit(False))
     result = ApplyResult(df, nothing, df, df.withColumn(DEST, F.lit(MODEL)), appends=False, final=final)
-    commit = publish(df.sparkSession, root, table, result, layout, blind=True)
+    commit = publish(df.sparkSession, root, table, result, layout, blind=True, rules=rules)
     return read_model(df.sparkSession, root, table, commit)
 
 

@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 
 from millrace.operators.clean import fill_missing, filter_in
 
-INFER_PARTITIONS = "spark.sql.sources.partitionColumnTypeInference.enabled"
-
 
 SCHEMA_FOLDER = "_schema"  # Spark's readers pass over names that begin with an underscore
 LOAD = "LOAD"
@@ -116,6 +114,18 @@ def save_parquet(
     )
 
 
+def _with_text_partitions(spark: SparkSession, path: str) -> DataFrame:
+    """A table of which nothing is known but its files, with its partition columns as text.
+
+    What types folder names would be read as is asked for once, and the schema given instead.
+    """
+    inferred = spark.read.parquet(path)
+    files = spark.read.option("recursiveFileLookup", "true").parquet(path).schema
+    own = {f.name for f in files.fields}
+    fields = [f if f.name in own else T.StructField(f.name, T.StringType()) for f in inferred.schema.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def load_parquet(
     spark: SparkSession,
     path: str,
@@ -132,12 +142,7 @@ def load_parquet(
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        before = spark.conf.get(INFER_PARTITIONS)
-        spark.conf.set(INFER_PARTITIONS, "false")
-        try:
-            df = spark.read.parquet(path)
-        finally:
-            spark.conf.set(INFER_PARTITIONS, before)
+        df = _with_text_partitions(spark, path)
     else:
         schema = T.StructType.fromJson(json.loads(about["schema"]))
         df = spark.read.schema(schema).parquet(path).select(*(F.col(f"`{f.name}`") for f in schema.fields))

@@ -13,7 +13,8 @@ from millrace.plans.spec import RECORD_ID, ColumnSpec, MappingSpec
 from millrace.sources.dictionary import SourceColumn, SourceTable, tables_from_dictionary
 from millrace.sources.landed import read_landed, stage, text_schema
 from millrace.sources.publish import (
-    CommitConflict, Layout, clean_up, compact, last_commit, publish, publish_load, read_duplicates, read_model, truncate_load,
+    CommitConflict, Layout, Rules, clean_up, compact, last_commit, publish, publish_load, read_between, read_duplicates,
+    read_model, truncate_load,
 )
 from millrace.sources.tables import archive_to, load_parquet, read_archive, read_spec, save_parquet, write_table
 from millrace.streaming.arrivals import archive_arrivals, arrivals, publish_arrivals
@@ -211,6 +212,18 @@ def _published_arrivals(spark, sf_dir):
     return read_model(spark, folder, "ORDERS")
 
 
+def _published_ranges(spark, sf_dir):
+    """Orders in two folders, of early and late keys, with the ranges of their keys; late ones upserted, a range read."""
+    folder, load = fresh_folder(spark), order_load(spark, sf_dir)
+    model = order_model(spark, sf_dir)
+    middle = model.agg(F.max("ORD_ID")).first()[0] // 2
+    layout = Layout(keys=("ORD_ID",), ranges=("ORD_ID",))
+    truncate_load(model.filter(F.col("ORD_ID") <= middle), folder, "ORDERS", layout=layout, rules=Rules(("ORD_ID",), ("ORD_ID",)))
+    for part in (model.filter(F.col("ORD_ID") > middle), load.filter(F.col("ORD_ID") > middle)):
+        publish_load(spark, folder, "ORDERS", part, lambda known, part=part: apply_upsert(part, known, UPSERT_SPEC))
+    return read_between(spark, folder, "ORDERS", "ORD_ID", low=middle + 1)
+
+
 def _published_insert(spark, sf_dir):
     folder = fresh_folder(spark)
     model = truncate_load(order_model(spark, sf_dir), folder, "ORDERS")
@@ -298,6 +311,7 @@ QUERIES = {
     "publish_changes_duplicates": lambda s, d: _published_changes(s, d, read_duplicates),
     "publish_changes_packed": lambda s, d: _published_changes(s, d, read_model, packed=True),
     "publish_conflict": _published_conflict,
+    "publish_ranges": _published_ranges,
     "publish_compacted": _published_compacted,
     "publish_history_changes": _published_history_changes,
     "publish_mart_case_blind": _published_mart_case_blind,
@@ -337,6 +351,7 @@ ORACLES = {
     "publish_changes_duplicates": UPSERT_SQL + f"SELECT {ALL} FROM flagged WHERE FLAG = 'D'",
     "publish_changes_packed": UPSERT_MODEL_SQL,
     "publish_conflict": UPSERT_MODEL_SQL,
+    "publish_ranges": f"SELECT * FROM ({UPSERT_MODEL_SQL}) WHERE ORD_ID > (SELECT MAX(ORD_ID) // 2 FROM ({UPSERT_SQL} SELECT * FROM model))",
     "publish_compacted": INSERT_SQL + f"SELECT * FROM model UNION ALL SELECT {ALL} FROM flagged WHERE FLAG = 'I'",
     "publish_history_changes": HISTORY_SQL["apply_history"],
     "publish_mart_case_blind": """

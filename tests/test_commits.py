@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.predicates import canonical
 from millrace.operators.apply import apply_delete_insert, apply_insert, apply_upsert
+from millrace.operators.checks import CheckError
 from millrace.operators.history import apply_history
 from millrace.operators.mart import apply_mart
 from millrace.plans.spec import ColumnSpec, MappingSpec, SurrogateSpec
@@ -18,7 +19,8 @@ from millrace.sources import commits
 from millrace.sources.commits import CommitConflict, commit_at, reserve
 from millrace.sources.dictionary import SourceColumn, SourceTable
 from millrace.sources.publish import (
-    Layout, clean_up, compact, last_commit, publish, publish_load, read_duplicates, read_model, truncate_load,
+    Layout, Rules, clean_up, compact, last_commit, publish, publish_load, read_between, read_duplicates, read_model, reached,
+    truncate_load,
 )
 from millrace.sources.store import create_once, files_below, names_in, read_text
 from millrace.streaming.arrivals import arrivals, publish_arrivals
@@ -340,3 +342,64 @@ def test_a_batch_of_a_stream_is_taken_in_once(spark, tmp_path):
     again = load_of(spark, [(2, "d"), (3, "e")])
     assert publish_load(spark, root, "T", again, upsert(again), epoch=(source, epoch)).number == last.number
     assert read_duplicates(spark, root, "T").count() == 0
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_a_load_that_breaks_the_rules_of_its_table_is_not_committed(spark, tmp_path, layout):
+    root = str(tmp_path)
+    rules = Rules(required=("ID", "VAL"), unique=("ID",))
+    truncate_load(load_of(spark, [(i, "a") for i in range(5)]), root, "T", layout=layout, rules=rules)
+    for bad, said in (([(9, None)], "missing VAL: 1"), ([(9, "x"), (9, "y")], "repeated key: 1"), ([(None, "x")], "missing ID: 1")):
+        load = load_of(spark, bad)
+        result = apply_insert(load, read_model(spark, root, "T"), SPEC, check_keys=False, small_load=False)
+        if None in bad[0][:1]:  # rows without a key never come this far in an insert
+            result = replace(result, outcome=load.withColumn("DEST", F.lit("model")))
+        with pytest.raises(CheckError, match=said):
+            publish(spark, root, "T", result)
+    assert last_commit(spark, root, "T").number == 1 and read_model(spark, root, "T").count() == 5
+    good = load_of(spark, [(1, "b"), (7, "c")])
+    commit = publish_load(spark, root, "T", good, upsert(good))
+    assert commit.rules == rules and read_model(spark, root, "T").count() == 6
+    with pytest.raises(CheckError, match="repeated key: 2"):
+        truncate_load(load_of(spark, [(1, "a")] * 3), root, "T", layout=layout, rules=rules)
+
+
+def test_loads_and_reads_pass_over_folders_out_of_range(spark, tmp_path):
+    root, day = str(tmp_path), dt.date(2024, 1, 1)
+    spec = MappingSpec(1, "T", "UPSERT", (
+        ColumnSpec("D", "DATE", pk=True), ColumnSpec("N", "INTEGER", pk=True), ColumnSpec("VAL", "VARCHAR(10)"),
+    ))
+
+    def month(m, values):
+        made = [(dt.date(2024, m, d), n, v) for d, n, v in values]
+        return spark.createDataFrame(made, "D date, N int, VAL string")
+
+    layout = Layout(keys=("D", "N"), ranges=("D", "N"))
+    truncate_load(month(1, [(1, 1, "a"), (31, 9, "a")]), root, "T", layout=layout)
+    for m in (2, 3, 4):
+        load = month(m, [(1, 10 * m, "a"), (28, 10 * m + 9, "a")])
+        publish_load(spark, root, "T", load, lambda model, load=load: apply_insert(load, model, spec))
+    before = last_commit(spark, root, "T")
+    assert len(before.model) == 4 and before.folders[before.model[0]].ranges == {"D": ["2024-01-01", "2024-01-31"], "N": ["1", "9"]}
+    load = month(3, [(1, 30, "b"), (2, 31, "new")])
+    assert reached(spark, before, load) == (before.model[2],)
+    commit = publish_load(spark, root, "T", load, lambda model: apply_upsert(load, model, spec))
+    assert set(before.model) - set(commit.model) == {before.model[2]}
+    assert rows(read_model(spark, root, "T").filter("VAL <> 'a'"), "N", "VAL") == [(30, "b"), (31, "new")]
+    march = read_between(spark, root, "T", "D", dt.date(2024, 3, 1), dt.date(2024, 3, 31))
+    assert rows(march, "N") == [(30,), (31,), (39,)] and {f.split("VERSION=")[1][0] for f in march.inputFiles()} == {"5"}
+    assert rows(read_between(spark, root, "T", "N", high=9), "N") == [(1,), (9,)]
+    assert rows(read_between(spark, root, "T", "N", 100), "N") == [] and read_between(spark, root, "T", "D").count() == 9
+    assert day in [r[0] for r in read_between(spark, root, "T", "D", high=day).select("D").collect()]
+    # a load of other months is added after one that came between, a load of the same month is made anew
+    base = last_commit(spark, root, "T")
+    late, made = month(2, [(1, 20, "late")]), []
+
+    def apply(model):
+        if not made:
+            other = month(4, [(1, 40, "other")])
+            made.append(publish_load(spark, root, "T", other, lambda m: apply_upsert(other, m, spec)))
+        return apply_upsert(late, model, spec)
+
+    assert publish_load(spark, root, "T", late, apply, attempts=1).number == base.number + 2
+    assert read_model(spark, root, "T").filter("VAL IN ('late', 'other')").count() == 2
