@@ -12,6 +12,7 @@ from millrace.functions.predicates import folded
 from millrace.functions.types import cast_to, load_time, parse_type
 from millrace.operators.apply import DEST, MODEL, ApplyResult
 from millrace.operators.transform import TEXT, batch_id, joined
+from millrace.plans.bloom import prefiltered
 from millrace.plans.numbering import number_rows
 from millrace.plans.spec import (
     BATCH_ID, INSERTED_AT, RECORD_ID, SURROGATE_SET, UPDATED_AT, SurrogateSpec,
@@ -25,12 +26,14 @@ def max_key(sgk: DataFrame, key: str) -> Column:
     return sgk.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).scalar()
 
 
-def _without_surrogate(values: DataFrame, sgk: DataFrame, spec: SurrogateSpec) -> DataFrame:
+def _without_surrogate(values: DataFrame, sgk: DataFrame, spec: SurrogateSpec, prefilter: bool = False) -> DataFrame:
     """Rows whose natural key has no surrogate in this SGK_ID; NULLs never have one and skip the join."""
     ctype, name = parse_type(spec.natural_type), spec.natural_key
     known = sgk.filter((F.col(SURROGATE_SET) == spec.sgk_id) & F.col(f"`{name}`").isNotNull()).select(
         F.col(f"`{name}`").alias("known")
     )
+    if prefilter:
+        known = prefiltered(known, values.select(cast_to(F.col(f"`{name}`"), ctype).alias("known")), ["known"])
     same = folded(cast_to(F.col(f"s.`{name}`"), ctype), ctype, spec.case_blind) == folded(
         F.col("k.known"), ctype, spec.case_blind
     )
@@ -53,10 +56,16 @@ def _distinct_keys(values: DataFrame, spec: SurrogateSpec) -> DataFrame:
     return typed.groupBy(same).agg(F.min(f"`{name}`").alias(name)).select(name)
 
 
-def new_keys(stage: DataFrame, sgk: DataFrame, spec: SurrogateSpec, distinct: bool = False) -> DataFrame:
-    """Natural keys in stage without a surrogate in this SGK_ID; repeats stay unless ``distinct``."""
+def new_keys(
+    stage: DataFrame, sgk: DataFrame, spec: SurrogateSpec, distinct: bool = False, prefilter: bool = False
+) -> DataFrame:
+    """Natural keys in stage without a surrogate in this SGK_ID; repeats stay unless ``distinct``.
+
+    ``prefilter`` is for a surrogate table much larger than the stage, of which the stage meets few rows: a Bloom
+    filter of the stage's keys then keeps all others where they are.
+    """
     values = _natural_keys(stage, spec)
-    return _without_surrogate(_distinct_keys(values, spec) if distinct else values, sgk, spec)
+    return _without_surrogate(_distinct_keys(values, spec) if distinct else values, sgk, spec, prefilter)
 
 
 def _assigned(
@@ -82,12 +91,14 @@ def load_surrogates(
     as_of: dt.datetime | str | None = None,
     distinct: bool = False,
     above: Above | None = None,
+    prefilter: bool = False,
 ) -> DataFrame:
     """Rows to append to the surrogate table: new keys, numbered, with technical columns.
 
     Natural keys are counted first, so a key that fills much of the stage is one row in the
     join and the numbering; its copies appear only in the result. ``above`` gives the number to count
     from, of the highest in the table and the number of new rows; the highest itself without it.
+    ``prefilter`` as for :func:`new_keys`.
     """
     stage = joined(tables, spec.source_table, spec.joins)
     if spec.where:
@@ -97,7 +108,7 @@ def load_surrogates(
         counted = _distinct_keys(values, spec).withColumn("copies", F.lit(1).cast("long"))
     else:
         counted = values.groupBy(spec.natural_key).agg(F.count(F.lit(1)).alias("copies"))
-    fresh = _assigned(_without_surrogate(counted, sgk, spec), sgk, spec, "copies", above)
+    fresh = _assigned(_without_surrogate(counted, sgk, spec, prefilter), sgk, spec, "copies", above)
     now = load_time(as_of, "TIMESTAMP(0)")
     filled = {c: F.lit(None).cast(sgk.schema[c].dataType) for c in spec.null_columns if c in sgk.columns}
     return fresh.withColumns(

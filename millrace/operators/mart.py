@@ -14,6 +14,7 @@ from millrace.functions.predicates import key_equal
 from millrace.functions.types import ColumnType, load_time
 from millrace.operators.apply import DEST, MASKED, MODEL, ApplyResult
 from millrace.operators.checks import check_not_null, check_unique
+from millrace.plans.bloom import prefiltered
 from millrace.plans.matching import (
     LoadFacts, Pairs, changes_of, examine, met, need_unique, null_key, paired, rows_of_interest, size_of,
 )
@@ -113,13 +114,17 @@ def mart_changes(
 
 def new_mart_rows(
     stage: DataFrame, mart: DataFrame, keys: Sequence[str], as_of: dt.datetime | str | None = None,
-    types: Types | None = None, case_blind: bool = False, small_load: bool | None = None,
+    types: Types | None = None, case_blind: bool = False, small_load: bool | None = None, prefilter: bool = False,
 ) -> DataFrame:
-    """Stage rows without a mart row of the same key, as mart rows to append."""
+    """Stage rows without a mart row of the same key, as mart rows to append.
+
+    ``prefilter`` keeps mart rows that no key of a large stage can meet out of the shuffle, by a Bloom filter.
+    """
     _need_keys(keys)
     small = size_of(stage).small if small_load is None else small_load
     now = load_time(as_of, "TIMESTAMP(0)")
-    known = rows_of_interest(mart, stage, keys, (), small, types, case_blind)
+    mart_rows = prefiltered(mart.select(*(F.col(f"`{k}`") for k in keys)), stage, list(keys)) if prefilter and not small else mart
+    known = rows_of_interest(mart_rows, stage, keys, (), small, types, case_blind)
     new = (
         stage.filter(~null_key(keys)).alias("new")
         .join(known.alias("old"), key_equal("new", "old", keys, types, case_blind), "left_anti")

@@ -139,6 +139,7 @@ def _reserved(spark, sf_dir):
 QUERIES = {
     "new_keys": lambda s, d: new_keys(lines(s, d), surrogates(s, d), PAIR_KEYS),
     "new_keys_distinct": lambda s, d: new_keys(lines(s, d), surrogates(s, d), PAIR_KEYS, distinct=True),
+    "new_keys_prefiltered": lambda s, d: new_keys(lines(s, d), surrogates(s, d), PAIR_KEYS, distinct=True, prefilter=True),
     "assign_keys": _assigned,
     "load_surrogates": lambda s, d: _loaded(s, d, PAIR_KEYS, False),
     "load_surrogates_joined": lambda s, d: _loaded(s, d, CUSTOMER_LINE_KEYS, True),
@@ -151,6 +152,7 @@ QUERIES = {
 ORACLES = {
     "new_keys": NEW_SQL + "SELECT SRC_KEY FROM new_rows",
     "new_keys_distinct": NEW_SQL + "SELECT DISTINCT SRC_KEY FROM new_rows",
+    "new_keys_prefiltered": NEW_SQL + "SELECT DISTINCT SRC_KEY FROM new_rows",
     "assign_keys": NEW_SQL + ASSIGN_SQL + "FROM new_rows",
     "load_surrogates": NEW_SQL + ASSIGN_SQL + FILLED_SQL.format(sgk=1, rid=301, source="3-MEDIUM") + "FROM new_rows",
     "load_surrogates_joined": SGK_SQL + """, new_rows AS (

@@ -6,7 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from millrace.operators.keys import append_surrogates, assign_keys, load_surrogates, lookup_key, new_keys
-from millrace.plans import numbering
+from millrace.plans import bloom, numbering
 from millrace.plans.numbering import number_rows
 from millrace.plans.spec import Join, SurrogateSpec
 from millrace.sources.publish import publish, read_model, truncate_load
@@ -110,3 +110,25 @@ def test_surrogates_are_appended_and_found_without_regard_to_case(spark, tmp_pat
     assert rows(known, "K", "NAT") == [(10, "a"), (11, "b"), (12, "c")]
     found = lookup_key(stage(spark, ["A", "B", "x"]), known, "code", "NAT", 1, "K", "K", case_blind=True)
     assert rows(found) == [("A", 10), ("B", 11), ("x", None)]
+
+
+@pytest.mark.parametrize("per_word", [bloom.MOST_PER_WORD, 0])
+def test_a_bloom_filter_lets_all_hits_pass_and_few_others(spark, plan, monkeypatch, per_word):
+    monkeypatch.setattr(bloom, "MOST_PER_WORD", per_word)
+    target = spark.range(100_000).selectExpr("concat('Κ', id, 'Σ') AS name", "id AS n", "id % 7 AS extra").union(
+        spark.createDataFrame([(None, 5, 1), ("x", None, 1)], "name string, n long, extra long"))
+    load = spark.range(0, 100_000, 100).selectExpr("concat('κ', id, 'ς') AS nm", "CAST(id AS int) AS n").union(
+        spark.createDataFrame([(None, 1)], "nm string, n int"))
+    found = bloom.prefiltered(target, load, ["name", "n"], ["nm", "n"])
+    assert found.columns == target.columns
+    assert found.filter("n % 100 = 0").count() == 1000
+    assert found.count() < 3000 if per_word else found.count() == 100_002
+    assert bloom.prefiltered(target, load.limit(0), ["name", "n"], ["nm", "n"]).count() == 0
+
+
+def test_new_keys_are_the_same_with_a_filter_before_the_join(spark, plan):
+    stage = spark.range(50).selectExpr("CAST(id AS string) AS nat").union(spark.createDataFrame([(None,), ("7",)], "nat string"))
+    sgk = spark.range(0, 4000, 2).selectExpr("id AS KEY", "CAST(id AS string) AS NAT", "CAST(1 AS short) AS SGK_ID")
+    spec = SurrogateSpec(1, "S_SGK", "KEY", "NAT", "VARCHAR(10)", 1, "S", "stage", "nat")
+    for distinct in (True, False):
+        assert rows(new_keys(stage, sgk, spec, distinct, prefilter=True)) == rows(new_keys(stage, sgk, spec, distinct))
