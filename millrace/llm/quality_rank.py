@@ -114,16 +114,19 @@ def learn(
     docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, key: str = "doc_id", text: str = "text",
     label: str = "quality",
 ) -> Ranking:
-    """Fit on at most ``most`` labelled documents: those whose key has the lowest hash.
+    """Fit on at most ``most`` labelled documents: those whose key, then text, has the lowest hash.
 
     Labels other than 0 and 1 and NULL keys or labels are left out. The features are computed on
-    the executors; of each document of the sample only they and the label reach the driver.
+    the executors; of each document of the sample only they and the label reach the driver. Equal
+    rows count once. If keys repeat, so that the sample would be larger, those of the highest hash are left out.
     """
     chosen = labels.filter(col(label).isin(0, 1) & col(key).isNotNull()).select(col(key).alias("k"), col(label).cast("int").alias("label"))
     chosen = chosen.distinct().orderBy(F.xxhash64("k"), "k", "label").limit(most)
     # at most ``most`` keys and labels: sent to the texts, which stay where they are
-    named = docs.select(col(key).alias("k"), col(text).alias("text")).join(F.broadcast(chosen), "k")
-    rows = _features_of(named, F.col("text"), F.col("k"), F.col("label")).orderBy("k", "label").limit(most).collect()
+    named = docs.select(col(key).alias("k"), col(text).alias("text"), F.xxhash64(col(text)).alias("t")).join(F.broadcast(chosen), "k")
+    made = _features_of(named, F.col("text"), F.col("k"), F.col("t"), F.col("label")).dropDuplicates(["k", "t", "label"])
+    rows = made.orderBy(F.xxhash64("k"), "k", "t", "label").limit(most).collect()
+    rows.sort(key=lambda r: (r["k"], r["t"], r["label"]))
     x = np.array([r["x"] for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r["label"] for r in rows], dtype=int))
 

@@ -70,6 +70,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts alone: a document that an early rule rejects costs nothing more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.judge_quality(docs).select("doc_id", "kept")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -144,7 +150,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_mix_sources, op3_quality_rules, op4_url_filter, op5_quality_ranking, op6_language_id,
+        op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_mix_sources, op3_quality_rules, op3_quality_verdicts, op4_url_filter, op5_quality_ranking, op6_language_id,
         op7_sentencepiece, op8_top_k, op9_line_dedup, op10_token_files,
         op11_token_counts, op12_fill_in_middle, op13_importance_resampling,
     )
@@ -325,3 +331,4 @@ SELECT s.doc_id, n_features, weight, score, rank::BIGINT AS rank
 FROM scored s LEFT JOIN (SELECT * FROM best WHERE rank <= 5 * eligible // 100) b ON b.doc_id = s.doc_id
 """,
 }
+ORACLES["op3_quality_verdicts"] = f"SELECT doc_id, kept FROM ({ORACLES['op3_quality_rules']})"

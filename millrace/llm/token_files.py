@@ -41,6 +41,10 @@ _UNUSUAL = (
     "  ", "\n\n", " \n", "\n ",
 )
 _BLANK = re.compile(r"[ \n]")
+_PROBES = (
+    "hello world foo", "Hello World, it's naïve. End", "one\ntwo Three,\nfour 5 a1 'b' -c- \"d\"", "é Straße (x) #y a_b c.d e,f",
+    " begins so", "a", "don't we'll I've",
+)
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but for the apostrophe, which may begin a suffix
 
 
@@ -81,6 +85,9 @@ class Encoder:
         self.marks: dict[str, bytes] = {}
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
         self.feed = self._plain("\n")
+        for text in _PROBES:  # a file that splits or spells otherwise would give other ids
+            if self._encoded(text) != self._plain(text):
+                raise ValueError("this tokenizer file does not split texts as byte-level models do")
 
     def _plain(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -122,8 +129,11 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers, with the end id."""
+        return self._encoded(text) + self.end
+
+    def _encoded(self, text: str) -> bytes:
         if not text:
-            return self.end
+            return b""
         usual = not any(map(text.__contains__, _UNUSUAL))
         out, begin = [], 0
         if usual:
@@ -135,7 +145,7 @@ class Encoder:
             end = at.start() if at else len(text)
             out.append((self._words if usual else self._plain)(text[begin:end]))
             begin = end
-        return b"".join(out) + self.end
+        return b"".join(out)
 
 
 @functools.lru_cache(maxsize=2)

@@ -18,19 +18,29 @@ LIST_FACTOR, NODE_FACTOR = 8, 2
 LARGEST = float(1 << 61)
 
 
-def _whole(values: list) -> np.ndarray:
-    return np.floor(256 * np.array(values.tolist() if isinstance(values, np.ndarray) else values, dtype=np.float64))
+def _scaled(values: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.floor(256 * values)
+
+
+def _as_int(value: float) -> int:
+    """floor(256 * value), exactly: from 2^53 on a double is a whole number."""
+    return int(value) * 256 if abs(value) >= 2**53 else int(np.floor(256 * value))
+
+
+_as_ints = np.vectorize(_as_int, otypes=[object])
 
 
 def _products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers; exact, or held at +-2^61 where they leave 64 bits."""
+    """Inner products of floor(256 * x); exact, or held at +-2^61 where they are beyond."""
     if not queries.size or not candidates.size:
         return np.zeros((len(queries), len(candidates)), dtype=np.int64)
-    bound = np.abs(queries).max() * np.abs(candidates).max() * queries.shape[1]
+    q, c = _scaled(queries), _scaled(candidates)
+    with np.errstate(over="ignore", invalid="ignore"):
+        bound = np.abs(q).max() * np.abs(c).max() * q.shape[1]
     if bound < 2**53:
-        return (queries @ candidates.T).astype(np.int64)
-    as_int = np.vectorize(int, otypes=[object])
-    exact = as_int(queries) @ as_int(candidates).T
+        return (q @ c.T).astype(np.int64)
+    exact = _as_ints(queries) @ _as_ints(candidates).T
     return np.clip(exact, -int(LARGEST), int(LARGEST)).astype(np.int64)
 
 
@@ -38,7 +48,7 @@ def _matrix(rows, width: int) -> np.ndarray:
     out = np.zeros((len(rows), width))
     for i, row in enumerate(rows):
         out[i, : len(row)] = row
-    return np.floor(256 * out)
+    return out
 
 
 def _in_blocks(vectors: DataFrame, per_block: int, key: str) -> tuple[DataFrame, int]:
@@ -113,10 +123,12 @@ def _scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         width = max((len(v) for side in ("q", "c") for v in frame[side]), default=0)
         q, c = _matrix(list(frame["q"]), width), _matrix(list(frame["c"]), width)
-        if q.size and np.abs(q).max() * np.abs(c).max() * width >= 2**53:
-            scores = [int(_products(q[i : i + 1], c[i : i + 1])[0, 0]) for i in range(len(frame))]
+        with np.errstate(over="ignore", invalid="ignore"):
+            usual = not q.size or np.abs(_scaled(q)).max() * np.abs(_scaled(c)).max() * width < 2**53
+        if usual:
+            scores = (_scaled(q) * _scaled(c)).sum(axis=1)
         else:
-            scores = (q * c).sum(axis=1)
+            scores = [int(_products(q[i : i + 1], c[i : i + 1])[0, 0]) for i in range(len(frame))]
         yield pd.DataFrame({"query_id": frame["query_id"], "vec_id": frame["vec_id"], "score": np.array(scores, dtype=np.int64)})
 
 
@@ -139,7 +151,8 @@ def top_k(
 
     Rows with a NULL id, a NULL vector or NULL or non-finite components take no part. A vec_id that
     repeats counts once, with its least vector. Shorter vectors are as if filled up with 0. A
-    query without other vectors has no rows; so has an empty table. Scores beyond +-2^61 are held there.
+    query without other vectors has no rows; so has an empty table. Scores beyond +-2^61 are held there, so among
+    them the smaller vec_id comes first; components may be any finite doubles, but vectors of such scores are not cut.
     """
     spark = vectors.sparkSession
     valid = F.forall(col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
@@ -147,7 +160,11 @@ def top_k(
         col(vec_id).cast("long").alias("id"), col(vector).cast("array<double>").alias("vector"), is_query.alias("asks"),
     ).filter(F.col("id").isNotNull() & valid)
     clean = stored(clean.groupBy("id").agg(F.min("vector").alias("vector"), F.bool_or("asks").alias("asks")))
-    width = clean.agg(F.max(F.size("vector"))).first()[0] or 0
+    greatest = F.max(F.array_max(F.transform("vector", lambda x: F.abs(x))))
+    width, most_ = clean.agg(F.max(F.size("vector")), greatest).first()
+    width = width or 0
+    if 2 * width * (256.0 * (most_ or 0.0) + 1) * (256.0 * (most_ or 0.0) + 1) >= LARGEST:
+        slices = 1  # partial scores may leave 64 bits: nodes see whole vectors, and only scores are held
     all_rows, asking = clean.select("id", "vector"), clean.filter("asks").select("id", "vector")
     candidates, n_c = _in_blocks(all_rows, CANDIDATES_PER_BLOCK, "c_block")
     queries, n_q = _in_blocks(asking, QUERIES_PER_BLOCK, "q_block")

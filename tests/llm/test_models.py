@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -90,3 +91,80 @@ def test_folds_are_those_of_crc32(spark):
 
     found = spark.range(200).select("id", fold(F.col("id"), 5).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in found)
+
+
+def test_the_pairwise_loss_is_least_where_a_plain_loop_finds_it():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, len(quality_rank.FEATURES)))
+    label = (x[:, 1] + rng.normal(size=40) > 0).astype(int)
+    penalty, seed = 1e-2, 5
+    ranking = quality_rank.fit(x, label, seed=seed, penalty=penalty)
+    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    draw, n = np.random.default_rng(seed), min(quality_rank.MOST_PAIRS, 20 * 40)
+    pairs = list(zip(draw.choice(good, n), draw.choice(bad, n)))
+
+    def expanded(row):
+        z = [max(-6.0, min(6.0, (v - m) / s)) for v, m, s in zip(row, x.mean(axis=0), x.std(axis=0) + 1e-6)]
+        return z + [v * v / 6 for v in z]
+
+    rows_ = [expanded(row) for row in x]
+
+    def loss(weights):
+        raw = [sum(w * v for w, v in zip(weights, row)) for row in rows_]
+        return sum(math.log1p(math.exp(raw[b] - raw[g])) for g, b in pairs) / n + penalty / 2 * sum(w * w for w in weights)
+
+    least = loss(ranking.weights)
+    for i in range(len(ranking.weights)):
+        for step in (-1e-3, 1e-3):
+            moved = ranking.weights.copy()
+            moved[i] += step
+            assert loss(moved) > least
+    assert loss(ranking.weights * 0) > least
+
+
+def test_steps_of_the_softmax_are_those_of_a_plain_loop(monkeypatch):
+    monkeypatch.setattr(language_id, "BUCKETS", 12)
+    monkeypatch.setattr(language_id, "DIMENSIONS", 3)
+    rng = np.random.default_rng(9)
+    x, y = rng.dirichlet(np.ones(12), 20), rng.integers(0, 3, 20)
+    model = language_id.fit(x, y, ("a", "b", "c"), np.zeros(20, dtype=bool), seed=6, epochs=3)
+
+    draw = np.random.default_rng(6)
+    embed = draw.normal(0, 1 / 3, (12, 3)).tolist()
+    out, bias = [[0.0] * 3 for _ in range(3)], [0.0] * 3
+    order, rate, scale = np.arange(20), 1.0, math.sqrt(12) / 4
+    for epoch in range(3):
+        draw.shuffle(order)
+        for begin in (0, 16):
+            batch = order[begin : begin + 16]
+            d_embed, d_out, d_bias = [[0.0] * 3 for _ in range(12)], [[0.0] * 3 for _ in range(3)], [0.0] * 3
+            for r in batch:
+                given = [scale * v for v in x[r]]
+                inner = [sum(given[i] * embed[i][d] for i in range(12)) for d in range(3)]
+                logits = [sum(inner[d] * out[d][k] for d in range(3)) + bias[k] for k in range(3)]
+                total = sum(math.exp(v) for v in logits)
+                wrong = [(math.exp(v) / total - (k == y[r])) / len(batch) for k, v in enumerate(logits)]
+                for k in range(3):
+                    d_bias[k] += wrong[k]
+                    for d in range(3):
+                        d_out[d][k] += inner[d] * wrong[k]
+                for i in range(12):
+                    for d in range(3):
+                        d_embed[i][d] += given[i] * sum(wrong[k] * out[d][k] for k in range(3))
+            for d in range(3):
+                for k in range(3):
+                    out[d][k] -= rate * d_out[d][k]
+                bias[d] -= rate * d_bias[d]
+            for i in range(12):
+                for d in range(3):
+                    embed[i][d] -= rate * d_embed[i][d]
+        rate = 1.0 * (1 - (epoch + 1) / 3) + 0.02
+    assert np.allclose(model.table, scale * np.array(embed) @ np.array(out)) and np.allclose(model.bias, bias)
+
+
+def test_repeated_keys_do_not_push_others_out_of_the_sample(spark):
+    docs = [(i, f"text {i}") for i in range(30)] + [(1, "text 1")] * 40 + [(2, f"other {i}") for i in range(5)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    whole, again = (quality_rank.learn(d, labels, most=35) for d in (df, df.dropDuplicates()))
+    assert np.allclose(whole.weights, again.weights) and whole.cut == pytest.approx(again.cut)

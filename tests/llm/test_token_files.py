@@ -9,7 +9,7 @@ import zstandard
 from conftest import rows
 from tokenizers import Tokenizer
 
-from millrace.llm.queries import TOKENIZER, tokenizer_path
+from millrace.llm.queries import QUERIES, TOKENIZER, tokenizer_path
 from millrace.llm.token_files import Encoder, read_documents, read_tokens, write_tokens
 
 
@@ -82,3 +82,18 @@ def test_an_empty_table(spark, tmp_path):
     df, _ = documents(spark)
     files = write_tokens(df.limit(0), str(tmp_path / "ids"), tokenizer_path(TOKENIZER), 2)
     assert files.count() == 0 and read_tokens(spark, str(tmp_path / "ids"), files, "ids binary").count() == 0
+
+
+def test_files_of_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        Encoder(tokenizer_path("word_bpe_49k.json"), 2)
+
+
+def test_the_query_agrees_with_the_library(spark, library):
+    found = QUERIES["op10_token_files"](spark, "/root/testdata/sf0.001").orderBy("doc_id").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    start = 0
+    for row, doc in zip(found, docs, strict=True):
+        ids = np.array(library(doc["text"]), dtype="<u4")
+        assert (row["doc_id"], row["start"], row["n_tokens"], row["ids_crc32"]) == (doc["doc_id"], start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)

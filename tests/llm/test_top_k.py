@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -52,3 +53,14 @@ def test_few_vectors_large_numbers_and_none(spark):
     large = spark.createDataFrame([(0, [3e20, 1.0]), (1, [3e20, 1.0]), (2, [-3e20, 1.0])], SCHEMA)
     found = sorted(map(tuple, top_k(large, F.col("vec_id") == 0).collect()))
     assert [r[2] for r in found] == [1, 2] and found[0][3] > 0 > found[1][3]
+
+
+def test_the_largest_doubles_do_no_harm(spark):
+    huge = [(0, [1.7e308, 1.0]), (1, [-1.7e308, 2.0]), (2, [8e305, 0.5]), (3, [0.0, 9e15]), (4, [5e-324, -3.0])]
+    df = spark.createDataFrame(huge, "vec_id long, embedding array<double>")
+    found = sorted(map(tuple, top_k(df, F.lit(True), k=4).collect()))
+    largest = 1 << 61
+    for q, rank, c, score in found:
+        exact = sum(math.floor(Fraction(x) * 256) * math.floor(Fraction(y) * 256) for x, y in zip(huge[q][1], huge[c][1]))
+        assert score == max(-largest, min(largest, exact))
+    assert len(found) == 20
