@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import col, lines, lower_ascii, row_key, stripped, unused, whole, with_results
+from millrace.llm.common import col, lines, lower_ascii, row_key, stored, stripped, unused, whole, with_results
+
+MOST_HELD = 200_000  # hashes that are broadcast, of 16 bytes each
 
 
 def drop_common_lines(
@@ -14,10 +16,12 @@ def drop_common_lines(
     """Documents without the lines whose key stands in ``min_docs`` documents or more.
 
     A line's key is the line without ASCII white space at its ends and with A-Z in lower case.
-    Lines are exploded and hashed to 128 bits; documents are counted per hash; positions to drop
-    are joined back and the lines that stay are put together by position. Only hashes and
-    positions are shuffled to find them; texts move once, to meet their positions. A line that
-    a third of all documents have is one counted row per task before the shuffle.
+    Lines are hashed to 128 bits once and written; they are exploded, documents are counted per hash, positions
+    to drop are joined back and the lines that stay are put together by position. Only hashes and
+    positions are shuffled to find them; texts move once, to meet their positions. A line that a third
+    of all documents have is one counted row per task before the shuffle. The hashes of frequent
+    and of common lines meet the lines by broadcast if there are at most ``MOST_HELD`` of them, so that no line is a
+    key; of more, Spark's join splits what is too large.
 
     ``text`` becomes the lines that stay, joined by line feeds; ``n_lines`` and ``n_dropped`` (long)
     are added, and input columns of these names give way. NULL and '' are one empty line, which
@@ -28,19 +32,29 @@ def drop_common_lines(
     key_a, key_b = row_key(col(key), col(text))
     keyed = docs.withColumns({a: key_a, b: key_b})
 
-    line = keyed.select(a, b, col(key).alias("doc"), F.posexplode(lines(col(text))).alias(at, "line"))
-    line = line.withColumn("line", lower_ascii(stripped(F.col("line")))).filter(F.char_length("line") >= min_chars)
-    hash_a, hash_b = row_key(F.col("line"))
-    line = line.select(a, b, "doc", at, hash_a.alias(h1), hash_b.alias(h2))
+    def hashes(line: Column) -> Column:
+        shown = lower_ascii(stripped(line))
+        first, second = row_key(shown)
+        return F.struct((F.char_length(shown) >= min_chars).alias("counts"), first.alias("h1"), second.alias("h2"))
+
+    line = stored(keyed.select(a, b, col(key).alias("doc"), F.transform(lines(col(text)), hashes).alias("lines")))
+    line = line.select(a, b, "doc", F.posexplode("lines").alias(at, "line")).filter("line.counts").select(
+        a, b, "doc", at, F.col("line.h1").alias(h1), F.col("line.h2").alias(h2)
+    )
+
+    def held(found: DataFrame) -> DataFrame:
+        """Hashes, to be broadcast if they are few."""
+        found = stored(found.select(h1, h2))
+        return F.broadcast(found) if found.count() <= MOST_HELD else found
 
     # only lines that often repeat at all can be in that many documents
-    often = line.groupBy(h1, h2).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select(h1, h2)
+    often = held(line.groupBy(h1, h2).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs))
     repeated = line.join(often, [h1, h2])
-    common = (
+    common = held(
         repeated.select(h1, h2, "doc").distinct()
-        .groupBy(h1, h2).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select(h1, h2)
+        .groupBy(h1, h2).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
     )
-    found = repeated.join(common, [h1, h2], "left_semi").groupBy(a, b).agg(F.collect_set(at).alias(dropped))
+    found = line.join(common, [h1, h2], "left_semi").groupBy(a, b).agg(F.collect_set(at).alias(dropped))
 
     # the hint spares a sort of the texts: what is held in memory are the positions
     joined = keyed.join(found.hint("shuffle_hash"), [a, b], "left").withColumn(parts, lines(col(text)))

@@ -3,6 +3,7 @@ from collections import defaultdict
 import pytest
 from conftest import rows
 
+from millrace.llm import line_dedup
 from millrace.llm.line_dedup import drop_common_lines
 
 BLANKS = "\t\n\x0b\x0c\r "
@@ -32,8 +33,9 @@ DOCS = [
 ]
 
 
-@pytest.mark.parametrize("min_docs, min_chars", [(3, 1), (2, 1), (2, 6), (99, 1), (1, 1)])
-def test_lines_are_dropped_as_by_hand(spark, min_docs, min_chars):
+@pytest.mark.parametrize("min_docs, min_chars, held", [(3, 1, 9), (2, 1, 9), (2, 6, 0), (99, 1, 9), (1, 1, 0), (3, 1, 0)])
+def test_lines_are_dropped_as_by_hand(spark, monkeypatch, min_docs, min_chars, held):
+    monkeypatch.setattr(line_dedup, "MOST_HELD", held)
     df = spark.createDataFrame(DOCS, "doc_id long, text string").repartition(3)
     found = drop_common_lines(df, min_docs, min_chars)
     assert sorted(map(tuple, found.collect()), key=str) == brute(DOCS, min_docs, min_chars)
