@@ -155,7 +155,7 @@ class _Plan:
 def _plan(base: Commit, result: ApplyResult, layout: Layout | None, read: Iterable[str] | None, blind: bool) -> _Plan:
     whole = read is None
     folders = frozenset(base.model if whole else read)
-    layout = (layout or Layout()) if not base.number or (whole and layout is not None) else base.layout
+    layout = (layout or Layout()) if base.schema is None or (whole and layout is not None) else base.layout
     final, rows = result.final if whole else base.final, result.outcome
     if not whole and (result.replaces is not None or (result.kept is not None and base.final != result.final)):
         raise ValueError("this load must be made from the whole table")
@@ -170,19 +170,23 @@ def _plan(base: Commit, result: ApplyResult, layout: Layout | None, read: Iterab
     reads: frozenset[str] | None = folders
     if blind:
         drops, reads = (lambda last: [*last.model, *last.masked]), None
-    elif layout.changes and base.number and (result.changes is not None or result.appends):
+    elif layout.changes and layout == base.layout and (result.changes is not None or result.appends):
         rows, final, drops = result.changes if result.changes is not None else rows, None, none
-    elif result.appends:
+    elif result.appends and layout == base.layout:
         final, drops = base.final, none
+    elif result.appends:  # a new layout: the rows there are are written anew
+        rows = result.target.withColumn(DEST, F.lit(MODEL)).unionByName(
+            result.duplicates.withColumn(DEST, F.lit(DUPLICATES)), allowMissingColumns=True
+        )
     elif result.replaces is not None:
         column, values = result.replaces
         final = base.final
-        if column.upper() in (c.upper() for c in base.layout.partition_by):
+        if layout == base.layout and column.upper() in (c.upper() for c in base.layout.partition_by):
             reads = None
             drops = lambda last: [f for f in (*last.model, *last.masked) if _has(f, column, values)]
         else:
             rows = result.target.withColumn(DEST, F.lit(MODEL))
-    elif result.kept is not None and base.final == final and not layout.changes:
+    elif result.kept is not None and base.final == final and layout == base.layout and not layout.changes:
         drops = lambda _: sorted(f for f in folders if values_of(f)[DEST] != FINAL)
     elif result.kept is not None:
         rows = rows.unionByName(result.kept.withColumn(DEST, F.lit(MODEL)), allowMissingColumns=True)
@@ -244,7 +248,7 @@ def publish(
     """
     base = base or last_commit(spark, root, table)
     plan = _plan(base, result, layout, read, blind)
-    rules = rules if rules is not None and (not base.number or plan.layout is layout or blind) else base.rules
+    rules = rules if rules is not None and (base.schema is None or plan.layout is layout or blind) else base.rules
     added = _write(spark, root, table, plan.rows, plan.layout, base.number + 1, base.number + 1, rules)
     version = next((f.split("/")[0] for listed in added.values() for f in listed), None)
     last = base
@@ -409,15 +413,21 @@ def read_folders(
     """The rows of some folders of a commit as they lie there, with ``places`` as they were tagged for writing."""
     fields = commit.schema.fields
     at = [T.StructField(VERSION, T.LongType()), T.StructField(DEST, T.StringType()), T.StructField(BUCKET, T.IntegerType())]
-    folders = list(folders)
-    if not folders:
-        return spark.createDataFrame([], commit.schema)
-    rows = spark.read.schema(T.StructType([*fields, *at])).option("basePath", data_of(root, table)).parquet(
-        *(f"{data_of(root, table)}/{folder}" for folder in folders)
-    )
-    if places:
-        return rows.select(*(F.col(f"`{f.name}`") for f in fields), DEST, *([BUCKET] if BUCKET in commit.layout.names else []))
-    return rows.select(*(_column(f, commit.layout) for f in fields))
+    alike: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for folder in folders:  # duplicates may be from a time when the table had another layout
+        alike[tuple(values_of(folder))].append(folder)
+    found = None
+    for names, each in alike.items():
+        rows = spark.read.schema(T.StructType([*fields, *at])).option("basePath", data_of(root, table)).parquet(
+            *(f"{data_of(root, table)}/{folder}" for folder in each)
+        )
+        if places:
+            more = [BUCKET] if BUCKET in commit.layout.names else []
+            rows = rows.select(*(F.col(f"`{f.name}`") for f in fields), DEST, *more)
+        else:
+            rows = rows.select(*(_column(f, replace(commit.layout, partition_by=names[2:])) for f in fields))
+        found = rows if found is None else found.unionByName(rows)
+    return spark.createDataFrame([], commit.schema) if found is None else found
 
 
 def _registered(spark: SparkSession, root: str, table: str, commit: Commit) -> str:
@@ -546,7 +556,8 @@ def compact(
         commit = _known(root, table, last_commit(spark, root, table))
         slots = defaultdict(list)
         for folder in (*commit.model, *commit.duplicates):
-            if commit.layout.changes or commit.folders[folder].bytes < small:
+            other = tuple(values_of(folder))[2:] != commit.layout.names  # of a time with another layout
+            if commit.layout.changes or (commit.folders[folder].bytes < small and not other):
                 slots[folder.partition("/")[2]].append(folder)
         chosen = [f for folders in slots.values() if len(folders) >= least for f in folders]
         if not chosen:

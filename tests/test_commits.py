@@ -403,3 +403,26 @@ def test_loads_and_reads_pass_over_folders_out_of_range(spark, tmp_path):
 
     assert publish_load(spark, root, "T", late, apply, attempts=1).number == base.number + 2
     assert read_model(spark, root, "T").filter("VAL IN ('late', 'other')").count() == 2
+
+
+@pytest.mark.parametrize("apply", [apply_upsert, apply_insert])
+def test_a_load_may_give_its_table_another_layout(spark, tmp_path, apply):
+    root = str(tmp_path)
+    model = truncate_load(load_of(spark, [(i, "a") for i in range(9)]), root, "T")
+    for n, layout in enumerate((CHANGES, Layout(buckets=2, keys=("ID",)), Layout(partition_by=("VAL",)), CHANGES)):
+        load = load_of(spark, [(100 + n, "b"), (1, "a")])
+        commit = publish(spark, root, "T", apply(load, model, SPEC), layout)
+        model = read_model(spark, root, "T")
+        assert commit.layout == layout and {f.split("/")[0] for f in commit.model} == {f"VERSION={n + 2}"}
+        assert model.count() == 10 + n and model.filter("ID >= 100").count() == n + 1
+    assert read_duplicates(spark, root, "T").count() == 4
+
+
+def test_numbers_may_be_reserved_before_anything_is_published(spark, tmp_path):
+    root = str(tmp_path)
+    assert reserve(spark, root, "T", 5, 0) == 0
+    with pytest.raises(FileNotFoundError):
+        read_model(spark, root, "T")
+    truncate_load(load_of(spark, [(1, "a")]), root, "T", layout=CHANGES)
+    last = last_commit(spark, root, "T")
+    assert (last.number, last.highest, last.layout) == (2, 5, CHANGES) and read_model(spark, root, "T").count() == 1
