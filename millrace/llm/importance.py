@@ -117,10 +117,10 @@ class Vocabulary:
             in_head, last = head[:count].copy(), known[n - 1 :]
             for k in range(1, n):
                 in_head &= head[k : k + count]
+            states = np.zeros(count, np.uint32)
             if n == 1:
-                states = self.state[np.maximum(known, 0)]
+                states[head] = self.state[known[head]]
             else:
-                states = np.zeros(count, np.uint32)
                 open_ = np.flatnonzero(in_head)
                 if n == 2 and len(open_):
                     keys = self.pair_keys(known[open_], last[open_])
