@@ -161,7 +161,8 @@ def _vocabulary(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
                     chars = 0
                 elif chars > FLUSH_CHARS:
                     chars = 0
-        yield flush()
+        if units:
+            yield flush()
 
     return count
 
