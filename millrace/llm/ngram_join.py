@@ -373,8 +373,9 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, key: str, text: str, co
                 made = [shingles(t, n).view(np.int64) for t in frame["text"]]
                 yield pd.DataFrame({"node": frame["node"], "held": made})
 
-        found = likely.join(wanted, ["k1", "k2"]).select("node", whole(F.col("text")).alias("text"))
-        return found.mapInPandas(sets, "node long, held array<long>").dropDuplicates(["node"])
+        # repeated rows go before the join, by its key: texts are shuffled once and sets, which are larger, not at all
+        found = likely.dropDuplicates(["k1", "k2"]).join(wanted, ["k1", "k2"]).select("node", whole(F.col("text")).alias("text"))
+        return found.mapInPandas(sets, "node long, held array<long>")
 
     def checked(pairs: DataFrame) -> DataFrame:
         """Pairs with their distance and whether they link, on whole sets."""
@@ -407,18 +408,18 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, key: str, text: str, co
     told = placed.join(mixed, "sig").join(to_hub.toDF("node", "hub", "away"), ["node", "hub"], "left").join(sketched, "node")
     left = stored(told.select("sig", "node", "component", "size", "away", "sketch"), left_at)
     discard(starred_at)
-    right = left.toDF("sig", "node_2", "component_2", "size_2", "away_2", "sketch_2")
-    far = F.abs(F.col("away") - F.col("away_2")) * den > (den - num) + 1e-6
+    # as aliases of one table, which Spark shuffles once for both sides
+    far = F.abs(F.col("one.away") - F.col("other.away")) * den > (den - num) + 1e-6
     bits = F.lit(0)
     for i in range(SKETCH_WORDS):
-        bits = bits + F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch_2", F.lit(i))))
-    possible = left.join(right, (
-        (left["sig"] == right["sig"])
-        & (F.col("component") < F.col("component_2"))
-        & (F.least("size", "size_2") * den >= F.greatest("size", "size_2") * num)
+        bits = bits + F.bit_count(F.get("one.sketch", F.lit(i)).bitwiseXOR(F.get("other.sketch", F.lit(i))))
+    possible = left.alias("one").join(left.alias("other"), (
+        (F.col("one.sig") == F.col("other.sig"))
+        & (F.col("one.component") < F.col("other.component"))
+        & (F.least("one.size", "other.size") * den >= F.greatest("one.size", "other.size") * num)
         & ~F.coalesce(far, F.lit(False))
-        & (bits * (den + num) <= (F.col("size") + F.col("size_2")) * (den - num))
-    )).select(*pair("node", "size", "node_2", "size_2")).distinct()
+        & (bits * (den + num) <= (F.col("one.size") + F.col("other.size")) * (den - num))
+    )).select(*pair("one.node", "one.size", "other.node", "other.size")).distinct()
     second = checked(possible.join(first.select("x", "y"), ["x", "y"], "left_anti"))
     discard(left_at)
     more = second.filter("link").select(F.col("x").alias("u"), F.col("y").alias("v"))

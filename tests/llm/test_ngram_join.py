@@ -115,3 +115,29 @@ def test_links_inside_a_component_count_and_so_do_copies(spark, monkeypatch, blo
     found = ngram_join(df, n=4, num=85, den=100)
     assert sorted(map(tuple, found.select("doc_id", "n_links").distinct().collect())) == all_links(texts, 4, 85, 100)
     assert dict(all_links(texts, 4, 85, 100))[1] == 9  # the other three, the original, and five more copies of the first
+
+
+def test_texts_are_shuffled_once_and_mixed_groups_too(spark, monkeypatch):
+    ran, write = [], module.stored
+
+    def seen(df, folder=None):
+        ran.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, folder)
+
+    monkeypatch.setattr(module, "stored", seen)
+    texts = {i: f"a b c d e f g h i x{i % 5}" for i in range(6)} | {6: "one two three", 7: None}
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        df = spark.createDataFrame([(i, t, "x") for i, t in [*texts.items(), (1, texts[1])]], SCHEMA)
+        found = ngram_join(df, n=4, num=85, den=100, count_links=False).distinct()
+        assert sorted(map(tuple, found.collect())) == brute(texts, 4, 85, 100)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    sets = [p for p in ran if "MapInPandas" in p and "sketch" not in p]
+    assert len(sets) == 2 and all("Exchange" not in p.split("MapInPandas")[0] for p in sets)
+    [mixed] = [p for p in ran if "LeftAnti" in p]
+    assert "ReusedExchange" in mixed.split("SortMergeJoin [sig")[1]
