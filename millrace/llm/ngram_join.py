@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ SEEDS = 16
 HELD_SIGNATURES = 1_000_000
 SKETCH_WORDS = 32
 BLOCK_NODES, BLOCK_SHINGLES = 128, 1 << 20
+GROUP_NODES, PAIRS_AT_ONCE = 4096, 1 << 16
+MEMBER, AWAY = 4 + SKETCH_WORDS, 1 << 50
 
 _P1, _P2, _P3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -222,6 +225,52 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], num: int, den:
     return common * den >= union * num
 
 
+def _alike(num: int, den: int):
+    """Pairs of nodes of different components that can be similar. A row holds a block of a group (its pairs are
+    those inside), or two blocks of one group (a node of each); a member is node, component, size, distance to the
+    hub (of ``AWAY``, -1 if there is none) and sketch."""
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = batch.column("one"), batch.column("other")
+            lengths = [side.value_lengths().fill_null(0).to_numpy() // MEMBER for side in sides]
+            firsts, others = (np.cumsum(n) - n for n in lengths)
+            total = int(lengths[0].sum())
+            held = np.concatenate([side.flatten().to_numpy() for side in sides]).reshape(-1, MEMBER)
+            node, component, size, away = np.ascontiguousarray(held[:, : MEMBER - SKETCH_WORDS].T)
+            words = held[:, MEMBER - SKETCH_WORDS :].view(np.uint64)
+            # the pairs of the member at ``i`` of a first block are with all from begin[i] up to end[i]
+            row = np.repeat(np.arange(len(firsts)), lengths[0])
+            inside = sides[1].is_null().to_numpy(zero_copy_only=False)[row]
+            begin = np.where(inside, np.arange(total) + 1, total + others[row])
+            end = np.where(inside, (firsts + lengths[0])[row], total + (others + lengths[1])[row])
+            upto = np.cumsum(end - begin)
+            at, found = 0, []
+            while at < total:
+                done = upto[at - 1] if at else 0
+                last = max(at + 1, int(np.searchsorted(upto, done + PAIRS_AT_ONCE, "right")))
+                many = end[at:last] - begin[at:last]
+                x = np.repeat(np.arange(at, last), many)
+                y = np.arange(len(x)) + np.repeat(begin[at:last] - (np.cumsum(many) - many), many)
+                at = last
+                may = component[x] != component[y]
+                x, y = x[may], y[may]
+                may = np.minimum(size[x], size[y]) * den >= np.maximum(size[x], size[y]) * num
+                may &= (np.minimum(away[x], away[y]) < 0) | (np.abs(away[x] - away[y]) * den <= ((den - num) + 1e-6) * AWAY)
+                x, y = x[may], y[may]
+                bits = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)
+                may = bits * (den + num) <= (size[x] + size[y]) * (den - num)
+                x, y = x[may], y[may]
+                swap = node[x] > node[y]
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                found.append(np.stack([node[x], node[y], size[x], size[y]], axis=1))
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(4)], ["x", "y", "n_x", "n_y"])
+
+    return alike
+
+
 def _count_rows(num: int, den: int):
     """Links of each node, of rows that come sorted by the pair of blocks they are to be compared in."""
 
@@ -278,7 +327,8 @@ def ngram_join(
     3. Links give components. Only groups that still hold several components are looked at again:
        pairs of nodes of different components go on if they can be similar by their sizes, by their
        distances to the group's hub (Jaccard distance obeys the triangle inequality) and by their
-       sketches, all of which a similar pair passes; they are checked exactly too.
+       sketches, all of which a similar pair passes; they are checked exactly too. Groups are cut into
+       blocks of bounded size, whose pairs are looked at as arrays: only what passes becomes a row.
     So every group is either one component or has had all its possible pairs checked: no link
     between components is lost, and groups of copies are never expanded into pairs.
     4. To count links, the distinct sets of each component are dealt into blocks of bounded size, and
@@ -400,26 +450,29 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, key: str, text: str, co
 
     # groups that still hold several components
     placed = starred.drop("n", "n_hub").join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = mixed.filter("low <> high").select("sig")
+    mixed = placed.groupBy("sig").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / GROUP_NODES).alias("blocks")
+    )
+    mixed = mixed.filter("low <> high").select("sig", "blocks")
     known = first.select("x", "y", "distance")
     to_hub = known.unionByName(known.select(F.col("y").alias("x"), F.col("x").alias("y"), "distance"))
     sketched = about.select(F.col("rid").alias("node"), F.col("n").alias("size"), "sketch")
     told = placed.join(mixed, "sig").join(to_hub.toDF("node", "hub", "away"), ["node", "hub"], "left").join(sketched, "node")
-    left = stored(told.select("sig", "node", "component", "size", "away", "sketch"), left_at)
+    # a group is one block or, if it is large, several of bounded size, which meet as aliases of one table that Spark shuffles once
+    # one array a block: generated code for several is too long to be compiled
+    away = F.coalesce(F.round(F.col("away") * AWAY).cast("long"), F.lit(-1).cast("long"))
+    packed = F.concat(F.array("node", "component", "size", away), "sketch")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
+    left = stored(told.select("sig", "blocks", block, packed.alias("member")).groupBy("sig", "blocks", "block").agg(
+        F.flatten(F.collect_list("member")).alias("held")
+    ), left_at)
+    several = left.filter("blocks > 1")
+    met = several.alias("one").join(several.alias("other"), (
+        (F.col("one.sig") == F.col("other.sig")) & (F.col("one.block") <= F.col("other.block"))
+    )).select(F.col("one.held").alias("one"), F.when(F.col("one.block") < F.col("other.block"), F.col("other.held")).alias("other"))
+    alone = left.filter("blocks = 1").select(F.col("held").alias("one"), F.lit(None).cast("array<long>").alias("other"))
     discard(starred_at)
-    # as aliases of one table, which Spark shuffles once for both sides
-    far = F.abs(F.col("one.away") - F.col("other.away")) * den > (den - num) + 1e-6
-    bits = F.lit(0)
-    for i in range(SKETCH_WORDS):
-        bits = bits + F.bit_count(F.get("one.sketch", F.lit(i)).bitwiseXOR(F.get("other.sketch", F.lit(i))))
-    possible = left.alias("one").join(left.alias("other"), (
-        (F.col("one.sig") == F.col("other.sig"))
-        & (F.col("one.component") < F.col("other.component"))
-        & (F.least("one.size", "other.size") * den >= F.greatest("one.size", "other.size") * num)
-        & ~F.coalesce(far, F.lit(False))
-        & (bits * (den + num) <= (F.col("one.size") + F.col("other.size")) * (den - num))
-    )).select(*pair("one.node", "one.size", "other.node", "other.size")).distinct()
+    possible = met.unionByName(alone).mapInArrow(_alike(num, den), "x long, y long, n_x long, n_y long").distinct()
     second = checked(possible.join(first.select("x", "y"), ["x", "y"], "left_anti"))
     discard(left_at)
     more = second.filter("link").select(F.col("x").alias("u"), F.col("y").alias("v"))

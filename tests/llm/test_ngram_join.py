@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 
@@ -141,3 +142,56 @@ def test_texts_are_shuffled_once_and_mixed_groups_too(spark, monkeypatch):
     assert len(sets) == 2 and all("Exchange" not in p.split("MapInPandas")[0] for p in sets)
     [mixed] = [p for p in ran if "LeftAnti" in p]
     assert "ReusedExchange" in mixed.split("SortMergeJoin [sig")[1]
+
+
+@pytest.mark.parametrize("group_nodes, pairs_at_once", [(4096, 1 << 16), (3, 4)])
+def test_mixed_groups_are_compared_in_blocks_of_arrays(spark, monkeypatch, group_nodes, pairs_at_once):
+    monkeypatch.setattr(module, "GROUP_NODES", group_nodes)
+    monkeypatch.setattr(module, "PAIRS_AT_ONCE", pairs_at_once)
+    ran, write = [], module.stored
+
+    def seen(df, folder=None):
+        ran.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, folder)
+
+    monkeypatch.setattr(module, "stored", seen)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    # one family whose members share signatures and are partly too different from all others
+    texts = {i: " ".join(edited(rng, base, rng.choice([0.005, 0.02, 0.05]))) for i in range(60)}
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], SCHEMA).repartition(3)
+    found = ngram_join(df, n=3, num=80, den=100, count_links=False)
+    expected = brute(texts, 3, 80, 100)
+    assert sorted(map(tuple, found.collect())) == expected
+    assert 2 < len({least for *_, least in expected}) < 50
+    [mixed] = [p for p in ran if "LeftAnti" in p]
+    assert "bit_count" not in mixed and "MapInArrow" in mixed
+
+
+@pytest.mark.parametrize("pairs_at_once", [1 << 16, 5])
+def test_pairs_of_blocks_are_those_of_all_pairs(monkeypatch, pairs_at_once):
+    monkeypatch.setattr(module, "PAIRS_AT_ONCE", pairs_at_once)
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.integers(0, 14):], rng.integers(0, 2**63, rng.integers(0, 9), dtype=np.uint64)])) for _ in range(40)]
+    away = [None if i % 5 == 0 else float(rng.random() / 3) for i in range(40)]
+    component = [int(c) for c in rng.integers(0, 6, 40)]
+    rows_ = [(range(0, 12), None), (range(12, 20), range(20, 31)), (range(31, 32), None), (range(32, 40), range(32, 32)), (range(33, 40), None)]
+    def packed(members):
+        return None if members is None else [int(v) for i in members for v in (
+            100 - i, component[i], len(sets[i]), -1 if away[i] is None else round(away[i] * module.AWAY), *sketch(sets[i])
+        )]
+
+    batch = pa.RecordBatch.from_pydict({
+        side: pa.array([packed(r[at]) for r in rows_], pa.list_(pa.int64())) for at, side in enumerate(("one", "other"))
+    })
+    found = {tuple(r.values()) for out in module._alike(80, 100)(iter([batch.slice(0, 2), batch.slice(2)])) for r in out.to_pylist()}
+    expected = set()
+    for one, other in rows_:
+        for i, j in ((i, j) for i in one for j in (other if other is not None else one) if other is not None or i < j):
+            a, b = len(sets[i]), len(sets[j])
+            bits = int(np.bitwise_count((sketch(sets[i]) ^ sketch(sets[j])).view(np.uint64)).sum())
+            far = away[i] is not None and away[j] is not None and abs(away[i] - away[j]) * 100 > 20 + 1e-6
+            if component[i] != component[j] and min(a, b) * 100 >= max(a, b) * 80 and not far and bits * 180 <= (a + b) * 20:
+                expected.add((100 - j, 100 - i, b, a) if j > i else (100 - i, 100 - j, a, b))
+    assert found == expected and 10 < len(expected)
