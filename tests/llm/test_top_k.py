@@ -64,3 +64,26 @@ def test_the_largest_doubles_do_no_harm(spark):
         exact = sum(math.floor(Fraction(x) * 256) * math.floor(Fraction(y) * 256) for x, y in zip(huge[q][1], huge[c][1]))
         assert score == max(-largest, min(largest, exact))
     assert len(found) == 20
+
+
+def test_pairs_are_scored_where_their_vectors_are(spark, monkeypatch):
+    monkeypatch.setattr(module, "CANDIDATES_PER_BLOCK", 50)
+    monkeypatch.setattr(module, "QUERIES_PER_BLOCK", 4)
+    monkeypatch.setattr(module, "SCORES_AT_ONCE", 64)
+    monkeypatch.setattr(module, "PAIRS_AT_ONCE", 16)
+    ran, write = [], module.stored
+
+    def seen(df, folder=None):
+        ran.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, folder)
+
+    monkeypatch.setattr(module, "stored", seen)
+    rng = random.Random(5)
+    values = [(i, [rng.gauss(0, 0.3) for _ in range(rng.choice([5, 6]))]) for i in range(200)]
+    df = spark.createDataFrame(values, SCHEMA).repartition(3)
+    found = top_k(df, F.col("vec_id") % 10 == 0, k=3)
+    ran.append(found._jdf.queryExecution().optimizedPlan().toString())
+    assert sorted(map(tuple, found.collect())) == brute(values, 10, 3)
+    # a vector goes to a few blocks, not along with every pair that is scored
+    scored = [p for p in ran if "_scored" in p]
+    assert len(scored) >= 2 and all("Join Inner, (vec_id" not in p and "Join Inner, (query_id" not in p.split("_scored", 1)[1] for p in scored)
