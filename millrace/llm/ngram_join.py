@@ -459,7 +459,7 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, key: str, text: str, co
     sketched = about.select(F.col("rid").alias("node"), F.col("n").alias("size"), "sketch")
     told = placed.join(mixed, "sig").join(to_hub.toDF("node", "hub", "away"), ["node", "hub"], "left").join(sketched, "node")
     # a group is one block or, if it is large, several of bounded size, which meet as aliases of one table that Spark shuffles once
-    # one array a block: generated code for several is too long to be compiled
+    # one array a block, so that little code is generated to pass it on
     away = F.coalesce(F.round(F.col("away") * AWAY).cast("long"), F.lit(-1).cast("long"))
     packed = F.concat(F.array("node", "component", "size", away), "sketch")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
